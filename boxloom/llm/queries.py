@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from boxloom.llm.bpe import encode_decode
 from boxloom.llm.common import read
+from boxloom.llm.neardup import near_duplicates
 from boxloom.llm.tokenfile import token_files
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -24,5 +25,9 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_bpe)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), words=4, over=80, of=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op3_bpe, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
