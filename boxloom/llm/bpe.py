@@ -35,6 +35,8 @@ from boxloom.llm.common import utf8
 
 #: The pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Every version of Unicode agrees on the letters below.
+BEYOND = re.compile("[^\x00-\u024f]")
 ACROSS = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -177,7 +179,7 @@ class ForcedBpe:
         return b"".join(out)
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii() and unsettled().search(text):
+        if not text.isascii() and BEYOND.search(text) and unsettled().search(text):
             return self._ids([text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)])
         if not self.at_space or ACROSS.search(text):
             return self._ids(self.pattern.findall(text))
@@ -205,8 +207,17 @@ class LibraryBpe(ForcedBpe):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.sizes = np.array([len(t) for t in self.table])
 
     def solve(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that all begin with a space before something visible are encoded as one text, and its ids cut where they begin."""
+        if all(p[0] == " " and not p[1:2].isspace() and len(p) > 1 for p in pieces):
+            ids = np.array(self.library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            ends, at = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in pieces])
+            cut = np.searchsorted(ends, at)
+            if (ends[np.minimum(cut, len(ends) - 1)] == at).all():
+                got, cuts = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
+                return [got[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
