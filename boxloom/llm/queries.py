@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from boxloom.llm.bpe import encode_decode
 from boxloom.llm.common import read
+from boxloom.llm.mixing import plan
 from boxloom.llm.neardup import near_duplicates
 from boxloom.llm.tokenfile import token_files
+from boxloom.llm.toxicity import toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -29,5 +31,15 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=4, over=80, of=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op3_bpe, op10_minhash)}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = plan(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, keep=["doc_id"])
+    taken = F.aggregate("pieces", F.expr("0L"), lambda a, x: a + x["words"])
+    return mix.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_bpe, op8_toxicity, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
