@@ -57,7 +57,7 @@ def features(text: str | None, bits: int) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal for logistic loss over sets of coordinates, with an intercept."""
 
-    def __init__(self, size: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 5.0, l2: float = 0.5):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.5):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.free = size  # the intercept; not held to zero
