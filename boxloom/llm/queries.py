@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxloom.llm import secrets
 from boxloom.llm.bpe import encode_decode
 from boxloom.llm.chat import format_conversations, read_conversations
 from boxloom.llm.common import read, staged
@@ -48,9 +49,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_conversations(staged(format_conversations(rows.unionByName(more)), "chat"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    return found.select("doc_id", "begin", F.length("secret").alias("n_chars"), F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_bpe, op6_chat, op8_toxicity, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_bpe, op6_chat, op7_secrets, op8_toxicity, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
