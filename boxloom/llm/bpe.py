@@ -163,17 +163,22 @@ class ForcedBpe:
         new = self.new
         out = list(map(new.get, pieces))
         if None in out:
-            old, missing = self.old, {}
-            for p, x in zip(pieces, out, strict=True):
-                if x is None and p not in missing:
-                    if (x := old.get(p)) is None:
-                        missing[p] = None
-                    else:
-                        new[p] = x
-            if missing:
-                missing.update(zip(missing, self.solve(list(missing)), strict=True))
-                new.update((p, x) for p, x in missing.items() if len(p) < 100)
-            out = [x if x is not None else new[p] if p in new else missing[p] for p, x in zip(pieces, out, strict=True)]
+            lacking = {p: None for p, x in zip(pieces, out, strict=True) if x is None}
+            if self.old:
+                found = {p: x for p in lacking if (x := self.old.get(p)) is not None}
+                new.update(found)
+                lacking = [p for p in lacking if p not in found]
+            else:
+                lacking = list(lacking)
+            if lacking:
+                got = self.solve(lacking)
+                if max(map(len, lacking)) < 100:
+                    new.update(zip(lacking, got, strict=True))
+                else:
+                    long = dict(zip(lacking, got, strict=True))
+                    new.update((p, x) for p, x in long.items() if len(p) < 100)
+                    return b"".join([new.get(p) or long[p] for p in pieces])
+            out = list(map(new.get, pieces))
             if len(new) > self.KEPT:
                 self.old, self.new = new, {}
         return b"".join(out)
@@ -210,10 +215,19 @@ class LibraryBpe(ForcedBpe):
         self.sizes = np.array([len(t) for t in self.table])
 
     def solve(self, pieces: list[str]) -> list[bytes]:
-        """Pieces that all begin with a space before something visible are encoded as one text, and its ids cut where they begin."""
-        if all(p[0] == " " and not p[1:2].isspace() and len(p) > 1 for p in pieces):
-            ids = np.array(self.library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-            ends, at = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in pieces])
+        """Pieces that begin with a space before something visible are encoded as one text, and its ids cut where they begin."""
+        alone = [k for k, p in enumerate(pieces) if p[0] != " " or p[1:2].isspace() or len(p) < 2]
+        if alone:
+            each = {k: np.array(e.ids, "<u4").tobytes() for k, e in zip(alone, self.library.encode_batch_fast([pieces[k] for k in alone], add_special_tokens=False), strict=True)}
+            rest = iter(self.solve([p for k, p in enumerate(pieces) if k not in each]))
+            return [each[k] if k in each else next(rest) for k in range(len(pieces))]
+        if not pieces:
+            return []
+        data = "".join(pieces).encode()
+        ids = np.array(self.library.encode_batch_fast([data.decode()], add_special_tokens=False)[0].ids, "<u4")
+        at = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32)[1:], len(data))
+        if len(at) == len(pieces):
+            ends = np.cumsum(self.sizes[ids])
             cut = np.searchsorted(ends, at)
             if (ends[np.minimum(cut, len(ends) - 1)] == at).all():
                 got, cuts = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
