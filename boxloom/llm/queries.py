@@ -13,6 +13,7 @@ from boxloom.llm.common import read, staged
 from boxloom.llm.mixing import plan
 from boxloom.llm.neardup import near_duplicates
 from boxloom.llm.neardup_vectors import near_duplicate_vectors
+from boxloom.llm.repeats import remove_repeats
 from boxloom.llm.tokenfile import token_files
 from boxloom.llm.topk import top_k
 from boxloom.llm.toxicity import toxicity
@@ -45,6 +46,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(read(spark, sf_dir, "documents"), length=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"), least=0.95)
 
@@ -68,5 +74,5 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_bpe, op5_embedding_neardup, op6_chat, op7_secrets, op8_toxicity, op9_topk, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_bpe, op4_repeats, op5_embedding_neardup, op6_chat, op7_secrets, op8_toxicity, op9_topk, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}
