@@ -21,18 +21,17 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 from tokenizers import pre_tokenizers as PreTokenizer
 
-from boxloom.llm.common import utf8
-
 #: The pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Every version of Unicode agrees on the letters below.
@@ -241,9 +240,10 @@ def encoder(path: str, kind: type[ForcedBpe] = ForcedBpe) -> ForcedBpe:
     return kind(path)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids binary, decoded string) of each row; no rows move between tasks."""
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids binary, decoded string"
+def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """(key, n_tokens, ids binary, decoded string) of each row, and behind them the columns to carry; no rows move between tasks."""
+    also = docs.select(*[F.col(c) for c in carry]).schema.fields
+    schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType()), *also])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
@@ -251,6 +251,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 ids = [bpe.encode(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], names=[key, "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string()), *part.columns[2:]], names=schema.names)
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text), *[F.col(c) for c in carry]).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import prefix_sums
+from boxloom.llm.common import free_name, prefix_sums
 
 #: Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -145,13 +145,14 @@ def permuted_hash(h: np.ndarray, no: np.ndarray) -> np.ndarray:
 
 
 def mixed(docs: DataFrame, weights: Sequence[float], text: str = "text", **how: object) -> DataFrame:
-    """The mix: the rows of docs in shard order, a row for each pass that takes a document; the text that the target cuts ends
-    behind its last word taken. Columns: those of docs, then shard and order, by which the rows are sorted within their shard."""
+    """The mix: a row of docs for each pass that takes it; the text that the target cuts ends behind its last word taken. Behind the
+    columns of docs come shard and order, by which a shard's rows are to be sorted; where docs has such names, theirs are _shard and
+    _order."""
     spread = plan(docs, weights, text=text, **how).select("row", "size", F.explode("pieces").alias("piece"))
-    columns = [F.col(f"row.{c}").alias(c) for c in docs.columns if c != text]
-    whole = F.when(F.col("piece.words") >= F.col("size"), F.col(f"row.{text}")).otherwise(first_words(F.col(f"row.{text}"), F.col("piece.words")))
-    out = spread.select(*columns, whole.alias(text), F.col("piece.shard").alias("shard"), F.col("piece.order").alias("order"))
-    return out.select(*docs.columns, "shard", "order")
+    body = F.col("row")[text]
+    whole = F.when(F.col("piece.words") >= F.col("size"), body).otherwise(first_words(body, F.col("piece.words")))
+    columns = [whole.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
+    return spread.select(*columns, F.col("piece.shard").alias(free_name(docs, "shard")), F.col("piece.order").alias(free_name(docs, "order")))
 
 
 def first_words(text: Column, n: Column) -> Column:

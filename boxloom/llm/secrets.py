@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxloom.llm.common import free_name
+
 _C = r"A-Za-z0-9+/_\-"
 CANDIDATE = rf"(?<![{_C}])(?=[A-Za-z+/_\-]{{0,200}}[0-9])[{_C}]{{12,}}={{0,2}}"
 #: Frequent parts of names and prose; what they cover is less likely a secret.
@@ -184,8 +186,8 @@ def scan(docs: DataFrame, forest: Forest, text: str = "text", key: str = "doc_id
 
 def redact(docs: DataFrame, forest: Forest, text: str = "text", mask: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """The rows of docs, their secrets replaced by the mask."""
-    t = F.col(text)
+    t, at = F.col(text), free_name(docs, "hits")
     hits = findings(t, forest, threshold)
     step = lambda a, x: F.struct(F.concat(a["done"], F.substring(t, a["at"] + 1, x["begin"] - a["at"]), F.lit(mask)).alias("done"), (x["begin"] + F.length(x["secret"])).alias("at"))
-    out = F.aggregate("_hits", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), step, lambda a: F.concat(a["done"], F.substring(t, a["at"] + 1, F.length(t))))
-    return docs.withColumn("_hits", hits).withColumn(text, F.when(F.size("_hits") > 0, out).otherwise(t)).drop("_hits")
+    out = F.aggregate(at, F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), step, lambda a: F.concat(a["done"], F.substring(t, a["at"] + 1, F.length(t))))
+    return docs.withColumn(at, hits).withColumn(text, F.when(F.size(at) > 0, out).otherwise(t)).drop(at)
