@@ -21,15 +21,15 @@ Rows of one id are told apart by the hash of their texts, in whose order they st
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import BASE, BASE_INV, byte_codes, mix64, powers, release, staged, utf8
+from boxloom.llm.common import BASE, BASE_INV, byte_codes, discard, mix64, powers, release, staged, utf8
 from boxloom.llm.neardup import in_blocks
 
 _CODES = byte_codes(11)
@@ -83,28 +83,41 @@ def sliding(x: np.ndarray, w: int, least: np.ufunc) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window) for all windows of a text, and the hash of the string at each anchor in order."""
+def anchors(data: np.ndarray, start: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, its hash, first window, last window, text) for all windows of the texts that stand one behind the other in data,
+    from start on. What an anchor is depends on the bytes of its windows alone."""
+    w = length - seed + 1
     if len(data) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, none, none
     h = mix64(PrefixHashes(data).all(seed))
-    w = length - seed + 1
     least = sliding(h, w, np.minimum)  # of the strings of each window
-    # the leftmost string of the least hash: the first place from the window's begin on where h is least
     n = len(least)
-    marks = np.flatnonzero(sliding(np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), w, np.maximum) == h)
-    at = marks[np.searchsorted(marks, np.arange(n))]
+    edge = np.zeros(w - 1, np.uint64)
+    marks = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), w, np.maximum) == h)
+    at = np.repeat(marks, np.diff(marks, prepend=-1))[:n]  # the next mark
     wrong = np.flatnonzero(h[at] != least)
     while len(wrong):  # marks of other windows stand between
         at[wrong] = marks[np.searchsorted(marks, at[wrong] + 1)]
         wrong = wrong[h[at[wrong]] != least[wrong]]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return at[first], first, np.append(first[1:], n) - 1
-
-
-def anchor_hashes(data: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
-    return mix64(PrefixHashes(data).at(at, seed)).view(np.int64) if len(at) else np.zeros(0, np.int64)
+    text = np.repeat(np.arange(len(start)), np.diff(start, append=len(data)))
+    whole = text[:n] == text[length - 1 :]  # windows that lie in one text
+    edge = np.flatnonzero(np.diff(np.where(whole, at, -1), prepend=-2))
+    first = edge[whole[edge]]
+    last = np.append(edge[1:], n)[whole[edge]] - 1
+    q = at[first]
+    return q, h[q].view(np.int64), first, last, text[first]
+
+
+def arenas(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, bytes, where each text starts) of runs of texts of about `most` bytes."""
+    at, held = 0, 0
+    for i, t in enumerate([*texts, None]):
+        if i > at and (t is None or held + len(t) > most):
+            size = np.fromiter((len(x) for x in texts[at:i]), np.int64, i - at)
+            yield at, i, np.frombuffer(b"".join(texts[at:i]), np.uint8), np.cumsum(size) - size
+            at, held = i, 0
+        held += len(t or b"")
 
 
 def merge_sort(hashes: PrefixHashes, item: np.ndarray, size: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -163,74 +176,83 @@ def merge_sort(hashes: PrefixHashes, item: np.ndarray, size: np.ndarray, bucket:
     return same
 
 
-def repeats(rows: list[tuple[bytes, int]], group: np.ndarray, age: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """Of contexts (bytes, place of the anchor), in the order of group and age: the windows (first, last) of each that occur in an
-    older one of its group, or earlier in the same. Rows of equal age are the same place of the same document."""
-    size = np.fromiter((len(r[0]) for r in rows), np.int64, len(rows))
-    anchor = np.fromiter((r[1] for r in rows), np.int64, len(rows))
-    data = np.frombuffer(b"".join([*(r[0] for r in rows), b"\0" * 8]), np.uint8)
+def repeats(data: np.ndarray, size: np.ndarray, anchor: np.ndarray, group: np.ndarray, age: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, last): the windows of contexts that occur in an older context of the group, or earlier in the same one.
+
+    Contexts of the given sizes stand one behind the other in data, in the order of group and age; anchor is the anchor's place in
+    each. Contexts of equal age are the same place of the same document."""
     start = np.cumsum(size) - size
-    hashes = PrefixHashes(data)
-    out: list[list[tuple[int, int]]] = [[] for _ in rows]
+    hashes, raw = PrefixHashes(data), data.tobytes()
+    rows: list[np.ndarray] = []
     # whole contexts: equal ones repeat all their windows
     same = merge_sort(hashes, start, size, group)
     twin = np.flatnonzero(same >= 0)
-    true = np.fromiter((rows[i][0] == rows[j][0] and rows[i][1] == rows[j][1] for i, j in zip(twin, same[twin], strict=True)), bool, len(twin))
+    other = same[twin]
+    true = np.fromiter((raw[i : i + n] == raw[j : j + n] for i, j, n in zip(start[twin].tolist(), start[other].tolist(), size[twin].tolist(), strict=True)), bool, len(twin))
+    true &= anchor[twin] == anchor[other]
     same[twin[~true]] = -1
     twin = twin[true]
     again = age[twin] == age[same[twin]]  # the same place of the same document, in a repeated row
-    for i in twin[~again].tolist():
-        out[i].append((0, int(size[i]) - length))
-
-    def settled() -> list[list[tuple[int, int]]]:
-        for i in twin[again].tolist():
-            out[i] = out[int(same_context[i])]
-        return out
-
-    same_context = same
+    double, twin = twin[again], twin[~again]
+    rows.append(np.stack([twin, np.zeros(len(twin), np.int64), size[twin] - length]))
+    # windows of the distinct contexts of groups that have several, or whose only one is longer than a window
     left = np.flatnonzero(same < 0)
-    several = np.flatnonzero(np.diff(group[left], prepend=-1, append=-1) == 0)  # groups with more than one distinct context
-    both = np.zeros(len(left), bool)
-    both[several[several < len(left)]] = True
-    both[several - 1] |= several > 0
-    left = left[both]
-    if not len(left):
-        return settled()
-    # windows of the distinct ones; only those at the same distance from the anchor can be equal
+    g = group[left]
+    several = np.zeros(len(left), bool)
+    several[1:] |= g[1:] == g[:-1]
+    several[:-1] |= g[1:] == g[:-1]
+    left = left[several]
     many = size[left] - length + 1
     row = np.repeat(left, many)
     t = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    bucket = group[row] * (length + 1) + anchor[row] - t
+    bucket = group[row] * (length + 1) + anchor[row] - t  # only windows at the same distance from the anchor can be equal
     order = np.argsort(bucket, kind="stable")
     row, t, bucket = row[order], t[order], bucket[order]
     item = start[row] + t
-    same = merge_sort(hashes, item, np.full(len(item), length, np.int64), bucket)
-    found = np.flatnonzero(same >= 0)
-    by_row = found[np.lexsort((t[found], row[found]))]
+    match = merge_sort(hashes, item, np.full(len(item), length, np.int64), bucket)
+    found = np.flatnonzero(match >= 0)
+    found = found[np.lexsort((t[found], row[found]))]
+    r, k, shift = row[found], t[found], item[match[found]] - item[found]
     # neighbouring windows that repeat neighbouring ones are verified as one stretch
-    shift = item[same[by_row]] - item[by_row]
-    new = np.flatnonzero((np.diff(row[by_row], prepend=-1) != 0) | (np.diff(t[by_row], prepend=-9) != 1) | (np.diff(shift, prepend=0) != 0) | (np.arange(len(by_row)) == 0))
-    bad: set[int] = set()
-    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(by_row)], strict=True):
-        i, j, n = int(item[by_row[a]]), int(item[by_row[a]] + shift[a]), b - a + length - 1
-        r = int(row[by_row[a]])
-        if not np.array_equal(data[i : i + n], data[j : j + n]):
-            bad.add(int(group[r]))
-        else:
-            out[r].append((int(t[by_row[a]]), int(t[by_row[b - 1]])))
-    for g in bad:  # a hash deceived: the group again, on the bytes
-        seen: set[bytes] = set()
-        for r in np.flatnonzero(group == g).tolist():
-            text, hits = rows[r][0], []
-            for k in range(len(text) - length + 1):
-                if text[k : k + length] in seen:
-                    hits.append((k, k))
-                seen.add(text[k : k + length])
-            out[r] = hits
-    return settled()
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: int = 16_384, windows: int = 1_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    new = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(k, prepend=-9) != 1) | (np.diff(shift, prepend=0) != 0)) if len(r) else np.zeros(0, np.int64)
+    if len(new) and new[0]:
+        new = np.append(0, new)
+    stop = np.append(new[1:], len(r)) - 1
+    begin, moved, n = item[found][new] if len(new) else new, shift[new], k[stop] - k[new] + length
+    good = np.fromiter((raw[i : i + m] == raw[i + d : i + d + m] for i, d, m in zip(begin.tolist(), moved.tolist(), n.tolist(), strict=True)), bool, len(new))
+    rows.append(np.stack([r[new], k[new], k[stop]]))
+    out = np.concatenate(rows, axis=1)
+    if not good.all():  # a hash deceived: these groups again, on the bytes
+        bad = np.unique(group[r[new[~good]]])
+        out = out[:, ~np.isin(group[out[0]], bad)]
+        more = []
+        for b in bad.tolist():
+            seen: dict[bytes, int] = {}
+            for i in np.flatnonzero(group == b).tolist():
+                for j in range(size[i] - length + 1):
+                    x = raw[start[i] + j : start[i] + j + length]
+                    if seen.setdefault(x, i * (1 << 32) + j) != i * (1 << 32) + j and not (age[seen[x] >> 32] == age[i] and seen[x] >> 32 != i):
+                        more.append((i, j, j))
+        out = np.concatenate([out, np.array(more, np.int64).reshape(-1, 3).T], axis=1)
+    for i in double.tolist():  # repeated rows lose what the first of them loses
+        mine = out[:, out[0] == same[i]].copy()
+        mine[0] = i
+        out = np.concatenate([out, mine], axis=1)
+    return out[0], out[1], out[2]
+
+
+def pieces(groups: np.ndarray, context: pa.ChunkedArray, most: int) -> list[tuple[int, int]]:
+    """Runs of whole groups of about `most` bytes, up to where the last group begins."""
+    size = np.append(0, np.cumsum(pc.binary_length(context).to_numpy()))[groups]
+    out, at = [], 0
+    while at < len(groups) - 1:
+        to = max(int(np.searchsorted(size, size[at] + most, "right")) - 1, at + 1)
+        out.append((int(groups[at]), int(groups[to])))
+        at = to
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: int = 16_384, windows: int = 8_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary) of each row."""
     spark = docs.sparkSession
     one_row_each = not docs.groupBy(key).count().where("count > 1").head(1)
@@ -238,66 +260,71 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: in
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                rows = b.slice(at, 500)
-                got = []
-                for x in utf8(rows.column(2)):
-                    data = np.frombuffer(x, np.uint8)
-                    q = anchors(data, length, seed)[0]
-                    got.append((q, anchor_hashes(data, q, seed)))
-                n = np.fromiter((len(g[0]) for g in got), np.int64, len(got))
-                if n.sum():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[1] for g in got])), pa.array(np.repeat(rows.column(0).to_numpy(), n)), pa.array(np.repeat(rows.column(1).to_numpy(), n)), pa.array(np.concatenate([g[0] for g in got]).astype(np.int32))], names=["h", "doc", "part", "pos"])
-
-    found = docs.select("doc", "part", "text").mapInArrow(find, "h long, doc long, part long, pos int")
-    again = found.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    places = found.join(again, "h").groupBy("doc", "part").agg(F.collect_list(F.struct("pos", "size")).alias("at"))
-    places = staged(places, "places")
-    release(spark)
+            doc, part = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, j, data, start in arenas(utf8(b.column(2))):
+                q, h, _, _, text = anchors(data, start, length, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc[i:j][text]), pa.array(part[i:j][text]), pa.array((q - start[text]).astype(np.int32))], names=["h", "doc", "part", "pos"])
+
+    found = staged(docs.select("doc", "part", "text").mapInArrow(find, "h long, doc long, part long, pos int"), "anchors")
+    again = found.groupBy("h").agg(F.count("*").cast("int").alias("size")).where("size > 1")
+    places = staged(found.join(again, "h").groupBy("doc", "part").agg(F.collect_list(F.struct("pos", "size")).alias("at")), "places")
+    discard(found)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                rows = b.slice(at, 200)
-                out: list[tuple] = []
-                for doc, part, x, lists in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), utf8(rows.column(2)), rows.column(3), strict=True):
-                    data = np.frombuffer(x, np.uint8)
-                    q, first, last = anchors(data, length, seed)
-                    h = anchor_hashes(data, q, seed)
-                    pos, size = (lists.values.field(k).to_numpy() for k in (0, 1))
-                    many = dict(zip(pos.tolist(), size.tolist(), strict=True))
-                    out += [(int(h[k]), doc, part, int(first[k]), int(q[k] - first[k]), x[first[k] : last[k] + length], many[p]) for k, p in enumerate(q.tolist()) if p in many]
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "doc", "part", "first", "anchor", "context", "size"])
-
-    contexts = docs.join(places, ["doc", "part"]).select("doc", "part", "text", "at").mapInArrow(cut, "h long, doc long, part long, first int, anchor int, context binary, size long")
+            doc, part, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+            for i, j, data, start in arenas(utf8(b.column(2))):
+                q, h, first, last, text = anchors(data, start, length, seed)
+                some = lists.slice(i, j - i)
+                flat, of = some.flatten(), some.value_parent_indices().to_numpy()
+                pos = flat.field("pos").to_numpy(zero_copy_only=False) + start[of]
+                order = np.argsort(pos)
+                pos, size = pos[order], flat.field("size").to_numpy(zero_copy_only=False)[order]
+                at = np.minimum(np.searchsorted(pos, q), max(len(pos) - 1, 0))
+                use = np.flatnonzero(pos[at] == q) if len(pos) else np.zeros(0, np.int64)
+                if not len(use):
+                    continue
+                a, z, text = first[use], last[use] + length, text[use]
+                raw = data.tobytes()
+                ends = np.cumsum(z - a)
+                body = b"".join([raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)])
+                contexts = pa.BinaryArray.from_buffers(pa.binary(), len(use), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(body)])
+                yield pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(doc[i:j][text]), pa.array(part[i:j][text]), pa.array((a - start[text]).astype(np.int32)), pa.array((q[use] - a).astype(np.int32)), contexts, pa.array(size[at[use]])], names=["h", "doc", "part", "first", "anchor", "context", "size"])
+
+    contexts = docs.join(places, ["doc", "part"]).select("doc", "part", "text", "at").mapInArrow(cut, "h long, doc long, part long, first int, anchor int, context binary, size int")
     dealt = in_blocks(contexts.withColumn("_m", F.xxhash64("doc", "part", "first")), "h", "size", "_m", block).select("h", "b1", "b2", "doc", "part", "first", "anchor", "context")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         load = 0
 
-        def solve(rows: list[tuple]) -> pa.RecordBatch:
-            keys = [r[:3] for r in rows]
-            group = np.cumsum([0, *(a != b for a, b in zip(keys, keys[1:], strict=False))])
-            place = [r[3:6] for r in rows]
-            age = np.cumsum([0, *(a != b or k != m for a, b, k, m in zip(place, place[1:], keys, keys[1:], strict=False))])
-            spans = repeats([(r[7], r[6]) for r in rows], group, age, length)
-            out = [(r[3], r[4], r[5] + a, r[5] + b + length) for r, s in zip(rows, spans, strict=True) for a, b in s]
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["doc", "part", "begin", "end"])
+        def solve(rows: pa.Table) -> pa.RecordBatch:
+            h, b1, b2, doc, part, first, anchor = (rows.column(k).to_numpy() for k in range(7))
+            text = rows.column(7).combine_chunks()
+            text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
+            ends = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, 4 * text.offset).astype(np.int64)
+            data = np.frombuffer(text.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0])
+            moved = lambda *cs: np.any([np.diff(c, prepend=c[:1]) != 0 for c in cs], axis=0)
+            other = moved(h, b1, b2)
+            group, age = np.cumsum(other), np.cumsum(other | moved(doc, part, first))
+            i, a, z = repeats(data, np.diff(ends), anchor.astype(np.int64), group, age, length)
+            return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(part[i]), pa.array((first[i] + a).astype(np.int32)), pa.array((first[i] + z + length).astype(np.int32))], names=["doc", "part", "begin", "end"])
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if load > windows and row[:3] != held[-1][:3]:
-                    yield solve(held)
-                    held, load = [], 0
-                held.append(row)
-                load += len(row[7]) - length + 1
-        if held:
-            yield solve(held)
+            held.append(b)
+            load += b.column(7).nbytes
+            if load < windows:
+                continue
+            rows = pa.Table.from_batches(held)
+            h, b1, b2 = (rows.column(k).to_numpy() for k in range(3))
+            cut_at = np.flatnonzero((np.diff(h) != 0) | (np.diff(b1) != 0) | (np.diff(b2) != 0)) + 1
+            if len(cut_at):  # whole groups; the last may go on
+                for s, e in pieces(np.append(0, cut_at), rows.column(7), windows):
+                    yield solve(rows.slice(s, e - s))
+                held = rows.slice(int(cut_at[-1])).to_batches()
+                load = sum(x.column(7).nbytes for x in held)
+        if held and (rows := pa.Table.from_batches(held)).num_rows:
+            yield solve(rows)
 
     ordered = dealt.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2", "doc", "part", "first")
     spans = ordered.mapInArrow(sort, "doc long, part long, begin int, end int").groupBy("doc", "part").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
