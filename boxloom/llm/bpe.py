@@ -65,7 +65,7 @@ class ForcedBpe:
     """Encoder and decoder of one vocabulary. Ids of a text are bytes: little-endian unsigned 32-bit integers."""
 
     #: Fragments kept by a worker; older ones go by halves.
-    KEPT = 600_000
+    KEPT = 250_000
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -205,6 +205,8 @@ class ForcedBpe:
 class LibraryBpe(ForcedBpe):
     """The same with the tokenizers library: it encodes each piece that is in no table yet."""
 
+    KEPT = 600_000
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__(path)

@@ -31,7 +31,7 @@ class WordCodes(dict):
     """64-bit codes of words, kept for as long as they fit."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = 0xCBF29CE484222325
         for at in range(0, len(b := word.encode()), 7):
@@ -100,7 +100,7 @@ def learn_weights(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t, bits).astype("<u4").tobytes() for t in b.column(2).to_pylist()]
+            x = [features(t.as_py(), bits).astype("<u4").tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["doc", "y", "x"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +126,10 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], bits: int = 20, tex
         table = np.zeros(size + 1)
         table[at] = w
         for b in batches:
-            s = np.array([table[features(t, bits)].sum() for t in b.column(place).to_pylist()] or [0.0])[: b.num_rows] + table[size]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], names=names)
+            for begin in range(0, b.num_rows, 500):
+                part = b.slice(begin, 500)
+                s = np.array([table[features(t, bits)].sum() for t in part.column(place).to_pylist()]) + table[size]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], names=names)
 
     return docs.mapInArrow(run, schema)
 
