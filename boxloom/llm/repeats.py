@@ -214,11 +214,9 @@ def repeats(data: np.ndarray, size: np.ndarray, anchor: np.ndarray, group: np.nd
     found = found[np.lexsort((t[found], row[found]))]
     r, k, shift = row[found], t[found], item[match[found]] - item[found]
     # neighbouring windows that repeat neighbouring ones are verified as one stretch
-    new = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(k, prepend=-9) != 1) | (np.diff(shift, prepend=0) != 0)) if len(r) else np.zeros(0, np.int64)
-    if len(new) and new[0]:
-        new = np.append(0, new)
-    stop = np.append(new[1:], len(r)) - 1
-    begin, moved, n = item[found][new] if len(new) else new, shift[new], k[stop] - k[new] + length
+    differs = (np.diff(r) != 0) | (np.diff(k) != 1) | (np.diff(shift) != 0)
+    new, stop = np.flatnonzero(np.append(True, differs)[: len(r)]), np.flatnonzero(np.append(differs, True)[: len(r)])
+    begin, moved, n = item[found][new], shift[new], k[stop] - k[new] + length
     good = np.fromiter((raw[i : i + m] == raw[i + d : i + d + m] for i, d, m in zip(begin.tolist(), moved.tolist(), n.tolist(), strict=True)), bool, len(new))
     rows.append(np.stack([r[new], k[new], k[stop]]))
     out = np.concatenate(rows, axis=1)
