@@ -218,7 +218,9 @@ def repeats(data: np.ndarray, size: np.ndarray, anchor: np.ndarray, group: np.nd
     new, stop = np.flatnonzero(np.append(True, differs)[: len(r)]), np.flatnonzero(np.append(differs, True)[: len(r)])
     begin, moved, n = item[found][new], shift[new], k[stop] - k[new] + length
     good = np.fromiter((raw[i : i + m] == raw[i + d : i + d + m] for i, d, m in zip(begin.tolist(), moved.tolist(), n.tolist(), strict=True)), bool, len(new))
-    rows.append(np.stack([r[new], k[new], k[stop]]))
+    ends = np.append((np.diff(r) != 0) | (np.diff(k) != 1), True)[: len(r)]  # what is told goes on over such stretches
+    begins = np.append(True, ends[:-1])[: len(r)]
+    rows.append(np.stack([r[begins], k[begins], k[ends]]))
     out = np.concatenate(rows, axis=1)
     if not good.all():  # a hash deceived: these groups again, on the bytes
         bad = np.unique(group[r[new[~good]]])
@@ -250,7 +252,7 @@ def pieces(groups: np.ndarray, context: pa.ChunkedArray, most: int) -> list[tupl
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: int = 16_384, windows: int = 8_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: int = 32_768, windows: int = 8_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary) of each row."""
     spark = docs.sparkSession
     one_row_each = not docs.groupBy(key).count().where("count > 1").head(1)
