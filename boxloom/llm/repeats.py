@@ -176,6 +176,19 @@ def merge_sort(hashes: PrefixHashes, item: np.ndarray, size: np.ndarray, bucket:
     return same
 
 
+def copies(hashes: PrefixHashes, raw: bytes, a: np.ndarray, z: np.ndarray, anchor: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of the contexts a:z have an equal one in an older place (doc, part, place) among them."""
+    key = mix64(hashes.at(a, z - a) + mix64((z - a).astype(np.uint64) << np.uint64(20) ^ anchor.astype(np.uint64)))
+    order = np.lexsort((place, part, doc, key))
+    run = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
+    lead = order[np.searchsorted(run, run)]
+    other = np.flatnonzero((doc[lead] != doc[order]) | (part[lead] != part[order]) | (place[lead] != place[order]))
+    i, j = order[other], lead[other]
+    out = np.zeros(len(a), bool)
+    out[i] = np.fromiter((raw[p:q] == raw[r:s] for p, q, r, s in zip(a[i].tolist(), z[i].tolist(), a[j].tolist(), z[j].tolist(), strict=True)), bool, len(i)) & (anchor[i] == anchor[j])
+    return out
+
+
 def repeats(data: np.ndarray, size: np.ndarray, anchor: np.ndarray, group: np.ndarray, age: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, first, last): the windows of contexts that occur in an older context of the group, or earlier in the same one.
 
@@ -270,6 +283,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: in
     places = staged(found.join(again, "h").groupBy("doc", "part").agg(F.collect_list(F.struct("pos", "size")).alias("at")), "places")
     discard(found)
 
+    # a row without a context is a span that is known to repeat already; its anchor column holds where it ends
+    names = ["h", "doc", "part", "first", "anchor", "context", "size"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, part, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
@@ -284,12 +300,22 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: in
                 use = np.flatnonzero(pos[at] == q) if len(pos) else np.zeros(0, np.int64)
                 if not len(use):
                     continue
-                a, z, text = first[use], last[use] + length, text[use]
-                raw = data.tobytes()
-                ends = np.cumsum(z - a)
-                body = b"".join([raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)])
-                contexts = pa.BinaryArray.from_buffers(pa.binary(), len(use), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(body)])
-                yield pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(doc[i:j][text]), pa.array(part[i:j][text]), pa.array((a - start[text]).astype(np.int32)), pa.array((q[use] - a).astype(np.int32)), contexts, pa.array(size[at[use]])], names=["h", "doc", "part", "first", "anchor", "context", "size"])
+                a, z, text, raw = first[use], last[use] + length, text[use], data.tobytes()
+                d, p = doc[i:j][text], part[i:j][text]
+                twin = copies(PrefixHashes(data), raw, a, z, q[use] - a, d, p, a - start[text])
+                # copies within the batch are repeats already; neighbouring ones are told as one
+                t = np.flatnonzero(twin)
+                new = np.flatnonzero(np.append(True, (text[t][1:] != text[t][:-1]) | (a[t][1:] != z[t][:-1] - length + 1))[: len(t)])
+                if len(t):
+                    s, e = t[new], t[np.append(new[1:], len(t)) - 1]
+                    spread = mix64(h[use][s].view(np.uint64) + s.astype(np.uint64)).view(np.int64)
+                    none = pa.nulls(len(s), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(d[s]), pa.array(p[s]), pa.array((a[s] - start[text[s]]).astype(np.int32)), pa.array((z[e] - start[text[s]]).astype(np.int32)), none, pa.array(np.ones(len(s), np.int32))], names=names)
+                keep = np.flatnonzero(~twin)
+                ends = np.cumsum((z - a)[keep])
+                body = b"".join([raw[x:y] for x, y in zip(a[keep].tolist(), z[keep].tolist(), strict=True)])
+                contexts = pa.BinaryArray.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(body)])
+                yield pa.RecordBatch.from_arrays([pa.array(h[use][keep]), pa.array(d[keep]), pa.array(p[keep]), pa.array((a - start[text])[keep].astype(np.int32)), pa.array((q[use] - a)[keep].astype(np.int32)), contexts, pa.array(size[at[use]][keep])], names=names)
 
     contexts = docs.join(places, ["doc", "part"]).select("doc", "part", "text", "at").mapInArrow(cut, "h long, doc long, part long, first int, anchor int, context binary, size int")
     dealt = in_blocks(contexts.withColumn("_m", F.xxhash64("doc", "part", "first")), "h", "size", "_m", block).select("h", "b1", "b2", "doc", "part", "first", "anchor", "context")
@@ -311,6 +337,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: in
             return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(part[i]), pa.array((first[i] + a).astype(np.int32)), pa.array((first[i] + z + length).astype(np.int32))], names=["doc", "part", "begin", "end"])
 
         for b in batches:
+            known = pc.is_null(b.column(7))
+            if known.true_count:
+                spans = b.filter(known)
+                yield pa.RecordBatch.from_arrays([spans.column(k) for k in (3, 4, 5, 6)], names=["doc", "part", "begin", "end"])
+                b = b.filter(pc.invert(known))
             held.append(b)
             load += b.column(7).nbytes
             if load < windows:
