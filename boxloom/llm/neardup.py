@@ -182,8 +182,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 1
         yield _links(pairs)
 
     texts = docs.where("text is not null").join(members, "doc").select("root", "b1", "b2", "doc", "text").repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2")
-    groups = components(texts.mapInArrow(confirm, "a long, b long"))
+    copies = seen.where("doc is not null").join(classes.select("print", "rep"), "print").where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
+    groups = components(texts.mapInArrow(confirm, "a long, b long").unionByName(copies))
     release(spark)
-    classed = seen.select("doc", "n", "print").join(classes.select("print", "rep"), "print", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    one = F.when(F.col("doc").isNotNull(), F.coalesce("root", "rep", "doc"))
+    classed = seen.select("doc", "n").join(groups.withColumnRenamed("node", "doc"), "doc", "left")
+    one = F.when(F.col("doc").isNotNull(), F.coalesce("root", "doc"))
     return classed.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), one.alias("component_id"), F.coalesce(F.col("doc") == one, F.lit(True)).alias("kept"))
