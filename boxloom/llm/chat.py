@@ -8,7 +8,7 @@ A conversation is rendered as
 Turns are rendered plain first. The rendered text is parsed again by the deterministic parser of this grammar, and the turns found
 are compared with the source; where they differ, the content that conflicts is escaped, and the text is parsed again, until both
 are identical. Escaping puts one more backslash between "<" and "|" wherever only backslashes stand there, and the parser takes
-one away; in roles, line breaks and backslashes are escaped too. So control strings never stand inside content, and text that
+one away; in roles, backslashes, line breaks and < become letters behind a backslash. So control strings never stand inside content, and text that
 looks escaped comes back as it was.
 
 The text of assistant turns is under the loss mask: spans of the rendered text, without control strings.
@@ -44,11 +44,11 @@ def unescape(text: str) -> str:
 
 
 def escape_role(role: str) -> str:
-    return role.replace("\\", "\\\\").replace("\n", "\\n").replace("<", "\\<")
+    return role.replace("\\", "\\\\").replace("\n", "\\n").replace("<", "\\l")
 
 
 def unescape_role(role: str) -> str:
-    return _ROLE.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
+    return _ROLE.sub(lambda m: {"n": "\n", "l": "<"}.get(m[1], m[1]), role)
 
 
 def parse(text: str) -> list[tuple[str, str, int, int]]:

@@ -62,7 +62,7 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     for i, q in enumerate(quotas.tolist()):  # the marginals of the multivariate draw, one source after the other
         pool -= q
         if q and rest:
-            mine[i] = q if not pool else rng.hypergeometric(q, pool, rest) if q + pool < 10**9 else _spread(q, pool, rest, rng)
+            mine[i] = rest if not pool else rng.hypergeometric(q, pool, rest) if q + pool < 10**9 else _spread(q, pool, rest, rng)
         rest -= int(mine[i])
     return np.concatenate([split(mine, left, rng), split(quotas - mine, shards - left, rng)])
 

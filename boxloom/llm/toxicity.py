@@ -7,9 +7,9 @@ leaves at zero whatever does not pay, so the weights that remain are few: they a
 Learning reads at most `most` labelled rows, those of the least hashes of their ids, in the order of these hashes, in one task; a
 held-out row is never among them. The bound is on the labelled sample alone: every text is scored, whole.
 
-Null and empty texts get the score of the intercept. Where labels are missing, null or none, all scores are the rate of an untrained
-model, 0.5 before the prior is known and the share of label 1 as soon as one label is. A document with several labels counts as each
-of them. Only the text is an input of a score."""
+Null and empty texts get the score of the intercept, which starts from the share of label 1, (ones + 1) / (labels + 10); so without
+labels all scores are 0.1, and nothing is called toxic. Null labels don't count. A document with several labels counts as each of
+them. Only the text is an input of a score."""
 
 from __future__ import annotations
 
@@ -61,6 +61,7 @@ class Ftrl:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.free = size  # the intercept; not held to zero
+        self.start = 0.0  # what it starts from
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -70,7 +71,7 @@ class Ftrl:
     def learn(self, x: np.ndarray, y: float) -> None:
         at = np.append(x, self.free).astype(np.int64)
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+        g = 1 / (1 + np.exp(-np.clip(w.sum() + self.start, -35, 35))) - y
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
@@ -79,10 +80,13 @@ class Ftrl:
 def train(rows: list[tuple[np.ndarray, float]], bits: int, passes: int = 4, **how: float) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights that aren't zero; coordinate 2**bits is the intercept."""
     model, size = Ftrl(1 << bits, **how), 1 << bits
+    share = (sum(y for _, y in rows) + 1) / (len(rows) + 10)
+    model.start = float(np.log(share / (1 - share)))
     for _ in range(passes):
         for x, y in rows:
             model.learn(x, y)
     w = model.weights(np.arange(size + 1))
+    w[size] += model.start
     at = np.flatnonzero(w)
     return at, w[at]
 
@@ -111,7 +115,8 @@ def learn_weights(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits
     kind = seen.schema["doc"].dataType.simpleString()
     ready = pool.select("doc", "y", "text").mapInArrow(hashed, f"doc {kind}, y double, x binary")
     one = ready.repartition(1).sortWithinPartitions(*order, "x").select("y", "x")
-    return [(r.at, r.w) for r in one.mapInArrow(fit, "at long, w double").collect()]
+    got = [(r.at, r.w) for r in one.mapInArrow(fit, "at long, w double").collect()]
+    return got or [(int(a), float(w)) for a, w in zip(*train([], bits), strict=True)]  # no rows, no task
 
 
 def score(docs: DataFrame, weights: list[tuple[int, float]], bits: int = 20, text: str = "text", out: str = "score") -> DataFrame:
