@@ -75,4 +75,29 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_bpe, op4_repeats, op5_embedding_neardup, op6_chat, op7_secrets, op8_toxicity, op9_topk, op10_minhash)}
-ORACLE_SQL: dict[str, str] = {}
+OP4_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), b AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM b, LATERAL (SELECT unnest(range(n - 99)) AS i) WHERE n >= 100),
+f AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM f),
+j AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g), r AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS z FROM j GROUP BY doc_id, k),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM r),
+t AS (SELECT p.doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept, max(z) AS last, sum(z - a) AS gone, count(*) AS spans FROM p JOIN b ON b.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN t ON t.doc_id = b.doc_id"""
+OP5_SQL = """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM e),
+g AS (SELECT * FROM n WHERE isfinite(size) AND size > 0), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS least FROM r GROUP BY a), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.least, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(c.least, e.vec_id)) AS kept FROM e LEFT JOIN k ON k.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id"""
+OP6_SQL = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+d AS (SELECT *, CASE WHEN regexp_matches(text, '<\\\\*\\|') THEN len(regexp_extract_all(text, '<\\\\*\\|')) ELSE 0 END AS marks FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum({len("<|im_start|>") + len("<|im_end|>") + 2} + length(role) + length(text) + marks)::BIGINT AS formatted_chars FROM d GROUP BY conv_id"""
+OP9_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+OP10_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+x AS (SELECT doc_id, unnest(s) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS hits FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s), l AS (SELECT a, b FROM p JOIN n q ON q.doc_id = a JOIN n r ON r.doc_id = b WHERE 100 * hits >= 80 * (q.n + r.n - hits)),
+t(a, b) AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a), c AS (SELECT a, min(b) AS least FROM t GROUP BY a)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept FROM n LEFT JOIN c ON c.a = doc_id"""
+#: The others are beyond SQL (a vocabulary, hash draws, learned models) or too slow in it on whole tables; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op4_repeats": OP4_SQL, "op5_embedding_neardup": OP5_SQL, "op6_chat": OP6_SQL, "op9_topk": OP9_SQL, "op10_minhash": OP10_SQL}
