@@ -155,47 +155,62 @@ class ForcedBpe:
         out = []
         for p in pieces:
             tokens = self.pattern.findall(p)
-            out.append(self._token(p) if len(tokens) == 1 else b"".join([self.new.get(t) or self._token(t) for t in tokens]))
+            out.append(self._token(p) if len(tokens) == 1 else b"".join([self._token(t) for t in tokens]))
         return out
 
-    def _ids(self, pieces: list[str]) -> bytes:
-        new = self.new
-        out = list(map(new.get, pieces))
-        if None in out:
-            lacking = {p: None for p, x in zip(pieces, out, strict=True) if x is None}
-            if self.old:
-                found = {p: x for p in lacking if (x := self.old.get(p)) is not None}
+    def _look(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it."""
+        new, old = self.new, self.old
+        out = list(map(new.get, words))
+        lacking = [k for k, x in enumerate(out) if x is None]
+        if lacking:
+            unique = dict.fromkeys([words[k] for k in lacking])
+            if old:
+                found = {w: x for w in unique if (x := old.get(w)) is not None}
                 new.update(found)
-                lacking = [p for p in lacking if p not in found]
-            else:
-                lacking = list(lacking)
-            if lacking:
-                got = self.solve(lacking)
-                if max(map(len, lacking)) < 100:
-                    new.update(zip(lacking, got, strict=True))
-                else:
-                    long = dict(zip(lacking, got, strict=True))
-                    new.update((p, x) for p, x in long.items() if len(p) < 100)
-                    return b"".join([new.get(p) or long[p] for p in pieces])
-            out = list(map(new.get, pieces))
+                unique.update(found)
+            open_ = [w for w, x in unique.items() if x is None]
+            got = dict(zip(open_, self.solve([" " + w for w in open_]), strict=True))
+            unique.update(got)
+            new.update(got if max(map(len, got), default=0) < 100 else {w: x for w, x in got.items() if len(w) < 100})
+            for k in lacking:
+                out[k] = unique[words[k]]
             if len(new) > self.KEPT:
                 self.old, self.new = new, {}
+        return out
+
+    def _odd(self, text: str) -> bytes:
+        """Ids of a text that may not be cut before each space: with added tokens, or white space or characters that look across."""
+        parts = self.split_added.split(text) if self.split_added else [text]
+        out = []
+        for k, x in enumerate(parts):
+            if k % 2:
+                out.append(np.array([self.added[x]], "<u4").tobytes())
+            elif x:
+                pieces = [x[a:b] for _, (a, b) in self.pre.pre_tokenize_str(x)] if unsettled().search(x) else self.pattern.findall(x)
+                out += [self._token(t) for t in pieces]
         return b"".join(out)
 
-    def _plain(self, text: str) -> bytes:
-        if not text.isascii() and BEYOND.search(text) and unsettled().search(text):
-            return self._ids([text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)])
-        if not self.at_space or ACROSS.search(text):
-            return self._ids(self.pattern.findall(text))
-        first, *rest = text.split(" ")
-        return self._ids([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        out, words, spans = [b""] * len(texts), [], []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if not self.at_space or ACROSS.search(t) or (self.split_added and self.split_added.search(t)) or (not t.isascii() and BEYOND.search(t) and unsettled().search(t)):
+                out[i] = self._odd(t)
+                continue
+            head, *rest = t.split(" ")
+            spans.append((i, head, len(words), len(words) + len(rest)))
+            words += rest
+        got = self._look(words)
+        heads = dict.fromkeys(s[1] for s in spans if s[1])
+        heads = dict(zip(heads, self.solve(list(heads)), strict=True))
+        for i, head, a, b in spans:
+            out[i] = b"".join([heads.get(head, b""), *got[a:b]])
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.split_added is None or not self.split_added.search(text):
-            return self._plain(text)
-        return b"".join(np.array([self.added[x]], "<u4").tobytes() if k % 2 else self._plain(x) if x else b"" for k, x in enumerate(self.split_added.split(text)))
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
         table = self.table
@@ -252,7 +267,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids = [bpe.encode(x) for x in part.column(1).to_pylist()]
+                ids = bpe.encode_many(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string()), *part.columns[2:]], names=schema.names)
 
     return docs.select(F.col(key), F.col(text), *[F.col(c) for c in carry]).mapInArrow(run, schema)

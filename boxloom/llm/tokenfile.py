@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from boxloom.llm.bpe import LibraryBpe, encoder
 from boxloom.llm.common import parallelism, release, stage_path, staged
@@ -122,15 +123,21 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None, path: str
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, before = encoder(vocabulary, LibraryBpe), TaskContext.get().partitionId(), 0
-        wide = "<u4" if max(len(bpe.table) - 1, end_id or 0) > 65535 else "<u2"
+        most = max(len(bpe.table) - 1, end_id or 0)
+        wide, total = "<u4" if most > 65535 else "<u2", np.zeros(most + 1, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 rows = b.slice(at, 500)
-                ids = [np.frombuffer(bpe.encode(x) + end, "<u4") for x in rows.column(1).to_pylist()]
+                ids = [np.frombuffer(x + end, "<u4") for x in bpe.encode_many(rows.column(1).to_pylist())]
                 n = np.fromiter(map(len, ids), np.int64, len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), rows.column(0), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array([x.astype(wide).tobytes() for x in ids], pa.binary())], names=["part", "key", "before", "n", "ids"])
                 before += int(n.sum())
+                total += np.bincount(np.concatenate(ids).astype(np.int64), minlength=len(total)) if len(ids) else 0
+        # a last row, of -1 tokens, has the counts of the ids
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, arrow_kind), pa.array([0], pa.int64()), pa.array([-1], pa.int64()), pa.array([found.astype("<i8").tobytes() + total[found].astype("<i8").tobytes()], pa.binary())], names=["part", "key", "before", "n", "ids"])
 
+    arrow_kind = to_arrow_type(docs.schema[key].dataType)
     spread = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(parallelism(spark), F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     tokens = staged(spread.mapInArrow(tokenize, f"part int, key {kind}, before long, n long, ids binary"), "tokens")
     release(spark)
@@ -139,19 +146,13 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None, path: str
         return np.frombuffer(b, "<u2" if len(b) == 2 * n else "<u4")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                rows = b.slice(at, 1000)
-                got = [narrow(x, n) for x, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
-                c = np.bincount(np.concatenate(got).astype(np.int64), minlength=len(total))
-                c[: len(total)] += total
-                total = c
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["id", "n"])
+            for x in b.column(0).to_pylist():
+                found, n = np.frombuffer(x, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["id", "n"])
 
     # as many rows as the vocabulary has ids
-    seen = tokens.select("ids", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
+    seen = tokens.where("n < 0").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     ids = np.array([r.id for r in seen], np.int64)
     limit = max(longest, int(np.ceil(np.log2(max(len(ids), 2)))))
     bits = code_lengths(np.array([r.n for r in seen], np.int64), limit)
@@ -159,7 +160,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None, path: str
     spark.createDataFrame(book, "id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     # one total for each range of keys
     base, start = {}, 0
-    for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+    for r in tokens.where("n >= 0").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
         base[r.part], start = start, start + r.n
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None, path: str
         if keys:
             yield block()
 
-    tokens.mapInArrow(encode, f"start long, keys array<{kind}>, lens array<long>, block binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    tokens.where("n >= 0").mapInArrow(encode, f"start long, keys array<{kind}>, lens array<long>, block binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
