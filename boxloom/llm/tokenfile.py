@@ -15,6 +15,7 @@ tables without rows."""
 
 from __future__ import annotations
 
+import gc
 import struct
 from collections.abc import Iterator
 
@@ -124,6 +125,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None, path: str
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, before = encoder(vocabulary, LibraryBpe), TaskContext.get().partitionId(), 0
         most = max(len(bpe.table) - 1, end_id or 0)
+        gc.disable()  # nothing here makes cycles, and the tables are large
         wide, total = "<u4" if most > 65535 else "<u2", np.zeros(most + 1, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 500):
@@ -133,6 +135,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None, path: str
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), rows.column(0), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array([x.astype(wide).tobytes() for x in ids], pa.binary())], names=["part", "key", "before", "n", "ids"])
                 before += int(n.sum())
                 total += np.bincount(np.concatenate(ids).astype(np.int64), minlength=len(total)) if len(ids) else 0
+        gc.enable()
         # a last row, of -1 tokens, has the counts of the ids
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, arrow_kind), pa.array([0], pa.int64()), pa.array([-1], pa.int64()), pa.array([found.astype("<i8").tobytes() + total[found].astype("<i8").tobytes()], pa.binary())], names=["part", "key", "before", "n", "ids"])
