@@ -17,6 +17,7 @@ from boxloom.functions import colour
 from boxloom.operators import metrics
 from boxloom.operators.decode import pictures, pixels
 from boxloom.plans import items as it
+from boxloom.plans import streams
 from boxloom.plans.sequences import Sequences, rescale
 from boxloom.sources import writer as w
 from boxloom.sources.tables import Container, box_rows
@@ -371,6 +372,22 @@ ANNEXB_UNITS = """SELECT s_suppkey AS file_id, i::INT AS no, ((s_suppkey + i) %
 FROM supplier, LATERAL (SELECT unnest(range(1 + s_nationkey % 4)) AS i)"""
 
 
+def coded_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, depths, colour, tiles and slices from the parameter sets and slice headers of HEVC items."""
+
+    def make(key: int, size: int) -> bytes:
+        nals = [w.hevc_sps(64 + 8 * size, 48, (key % 3, 0, 0, key % 2), 8 + 2 * (key % 3), [([-1], [1]), ([-2], [])], (key % 2, 1 + key % 9, 13, 6) if key % 4 else None), w.hevc_pps((1 + key % 3, 1 + key % 2))]
+        parts = [w.hevc_slice(19, 2)] + [w.hevc_slice(1, i % 3, key % 256, first=False, address=1, which=i % 2, address_bits=3) for i in range(key % 5)]
+        return w.still([{"id": 1, "type": "hvc1", "props": [1, 2], "parts": [b"".join(len(p).to_bytes(4, "big") + p for p in parts)]}], [w.ispe(8, 8), w.hvcc(8, nals)])
+
+    got = streams.coded_items(Container(written(table(spark, sf_dir, "part").where("p_size <= 8").select("p_partkey", "p_size"), make)))
+    return got.select("file_id", "width", "height", "bit_depth", "full_range", "primaries", "tile_columns", "tile_rows", "slices", "slice_types", "error")
+
+
+CODED_STREAMS = """SELECT p_partkey AS file_id, (64 + 8 * p_size - 2 * (p_partkey % 3))::INT AS width, (48 - 2 * (p_partkey % 2))::INT AS height, (8 + 2 * (p_partkey % 3))::INT AS bit_depth, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 2 = 1 END AS full_range,
+CASE WHEN p_partkey % 4 > 0 THEN 1 + p_partkey % 9 END::INT AS primaries, (1 + p_partkey % 3)::INT AS tile_columns, (1 + p_partkey % 2)::INT AS tile_rows, (1 + p_partkey % 5)::INT AS slices, substr('IBPIB', 1, (1 + p_partkey % 5)::INT) AS slice_types, NULL::VARCHAR AS error FROM part WHERE p_size <= 8"""
+
+
 # ---- expressions ----
 
 
@@ -432,7 +449,7 @@ ALL = (
     (file_kind, FILE_KIND), (box_scan, BOX_SCAN), (order_items, ORDER_ITEMS), (image_info, IMAGE_INFO), (metadata, METADATA), (references, REFERENCES), (compact_images, COMPACT_IMAGES),
     (sequence_samples, SEQUENCE_SAMPLES), (sequence_frames, SEQUENCE_FRAMES), (sequence_info, SEQUENCE_INFO),
     (unci_pixels, UNCI_PIXELS), (turned_pixels, TURNED_PIXELS), (alpha_pixels, ALPHA_PIXELS), (overlay_pixels, OVERLAY_PIXELS), (unsupported_pictures, UNSUPPORTED_PICTURES),
-    (image_difference, IMAGE_DIFFERENCE), (box_means, BOX_MEANS), (annexb_units, ANNEXB_UNITS), (expr_ycc_rgb, EXPR_YCC_RGB), (expr_samples, EXPR_SAMPLES), (corpus_pick, CORPUS_PICK), (bench_summary, BENCH_SUMMARY), (verdicts, VERDICTS),
+    (image_difference, IMAGE_DIFFERENCE), (box_means, BOX_MEANS), (annexb_units, ANNEXB_UNITS), (coded_streams, CODED_STREAMS), (expr_ycc_rgb, EXPR_YCC_RGB), (expr_samples, EXPR_SAMPLES), (corpus_pick, CORPUS_PICK), (bench_summary, BENCH_SUMMARY), (verdicts, VERDICTS),
 )
 QUERIES = {f.__name__: f for f, _ in ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in ALL}

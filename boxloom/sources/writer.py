@@ -226,3 +226,86 @@ def mini(width: int, height: int, orientation: int = 1, exif: bytes = b"", xmp:
         if part:
             w.put(len(part) - 1, 20)
     return box("ftyp", b"mif3", b"heic", b"mif3", b"heic") + box("mini", w.bytes(), config, icc_profile, alpha, data, exif, xmp)
+
+
+class HevcBits(BitWriter):
+    """Bits of an HEVC unit."""
+
+    def ue(self, v):
+        n = (v + 1).bit_length()
+        self.put(v + 1, 2 * n - 1)
+
+    def se(self, v):
+        self.ue(2 * v - 1 if v > 0 else -2 * v)
+
+    def nal(self, kind, layer=0):
+        self.put(1, 1)
+        raw, out = bytes([kind << 1, layer + 1]) + self.bytes(), bytearray()
+        for x in raw:  # escapes
+            if x < 4 and len(out) > 1 and out[-1] == 0 and out[-2] == 0:
+                out.append(3)
+            out.append(x)
+        return bytes(out)
+
+
+def hevc_sps(width=64, height=48, crop=(0, 0, 0, 0), depth=8, sets=(), colour=None, chroma=1):
+    """A sequence parameter set with blocks of 32, and the given reference sets: lists of differences before and after."""
+    b = HevcBits()
+    b.put(0, 4), b.put(0, 3), b.put(1, 1)
+    b.put(1, 8), b.put(0x60000000, 32), b.put(0, 48), b.put(93, 8)
+    b.ue(0), b.ue(chroma)
+    if chroma == 3:
+        b.put(0, 1)
+    b.ue(width), b.ue(height), b.put(any(crop), 1)
+    if any(crop):
+        for v in crop:
+            b.ue(v)
+    b.ue(depth - 8), b.ue(depth - 8), b.ue(4)
+    b.put(1, 1), b.ue(4), b.ue(2), b.ue(0)
+    for v in (0, 2, 0, 3, 1, 1):
+        b.ue(v)
+    b.put(0, 1), b.put(1, 1), b.put(1, 1), b.put(0, 1)
+    b.ue(len(sets))
+    for i, (before, after) in enumerate(sets):
+        if i:
+            b.put(0, 1)
+        b.ue(len(before)), b.ue(len(after))
+        for way, ds in ((-1, before), (1, after)):
+            at = 0
+            for d in ds:
+                b.ue(way * (d - at) - 1), b.put(1, 1)
+                at = d
+    b.put(0, 1), b.put(1, 1), b.put(1, 1)
+    b.put(colour is not None, 1)
+    if colour:
+        b.put(0, 2), b.put(1, 1), b.put(5, 3), b.put(colour[0], 1), b.put(1, 1)
+        for v in colour[1:]:
+            b.put(v, 8)
+    return b.nal(33)
+
+
+def hevc_pps(tiles=None):
+    """A picture parameter set with dependent slices."""
+    b = HevcBits()
+    b.ue(0), b.ue(0), b.put(1, 1), b.put(0, 1), b.put(0, 3), b.put(0, 2), b.ue(0), b.ue(0), b.se(-3), b.put(0, 2), b.put(0, 1), b.se(2), b.se(-1), b.put(0, 4), b.put(tiles is not None, 1), b.put(0, 1)
+    if tiles:
+        b.ue(tiles[0] - 1), b.ue(tiles[1] - 1)
+    return b.nal(34)
+
+
+def hevc_slice(kind, slice_type, poc=None, first=True, address=0, which=None, layer=0, dependent=False, address_bits=2):
+    """The beginning of a slice; which is the number of its reference set, of two."""
+    b = HevcBits()
+    b.put(first, 1)
+    if 16 <= kind <= 23:
+        b.put(0, 1)
+    b.ue(0)
+    if not first:
+        b.put(dependent, 1), b.put(address, address_bits)
+    if not dependent:
+        b.ue(slice_type)
+        if kind not in (19, 20):
+            b.put(poc, 8), b.put(1, 1)
+            if which is not None:
+                b.put(which, 1)
+    return b.nal(kind, layer)
