@@ -100,7 +100,8 @@ def learn_weights(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits
     seen = labels.select(F.col(key).alias("doc"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & F.col("doc").isNotNull()).where(~held_out("doc"))
     order = [F.xxhash64("doc"), "doc", "y"]
     sample = seen.orderBy(*order).limit(most)
-    pool = sample.join(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc")
+    # `most` ids and labels at the most: a bounded side, so the texts stay where they are
+    pool = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(F.broadcast(sample), "doc")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
