@@ -19,6 +19,7 @@ from boxloom.operators.decode import pictures, pixels
 from boxloom.plans import items as it
 from boxloom.plans import streams
 from boxloom.plans.sequences import Sequences, rescale
+from boxloom.shipping import shipped
 from boxloom.sources import writer as w
 from boxloom.sources.tables import Container, box_rows
 
@@ -451,5 +452,5 @@ ALL = (
     (unci_pixels, UNCI_PIXELS), (turned_pixels, TURNED_PIXELS), (alpha_pixels, ALPHA_PIXELS), (overlay_pixels, OVERLAY_PIXELS), (unsupported_pictures, UNSUPPORTED_PICTURES),
     (image_difference, IMAGE_DIFFERENCE), (box_means, BOX_MEANS), (annexb_units, ANNEXB_UNITS), (coded_streams, CODED_STREAMS), (expr_ycc_rgb, EXPR_YCC_RGB), (expr_samples, EXPR_SAMPLES), (corpus_pick, CORPUS_PICK), (bench_summary, BENCH_SUMMARY), (verdicts, VERDICTS),
 )
-QUERIES = {f.__name__: f for f, _ in ALL}
+QUERIES = {f.__name__: shipped(f) for f, _ in ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in ALL}
