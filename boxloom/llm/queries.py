@@ -16,6 +16,7 @@ from boxloom.llm.neardup_vectors import near_duplicate_vectors
 from boxloom.llm.repeats import remove_repeats
 from boxloom.llm.tokenfile import token_files
 from boxloom.llm.topk import top_k
+from boxloom.shipping import shipped
 from boxloom.llm.toxicity import toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -74,7 +75,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_mixing, op3_bpe, op4_repeats, op5_embedding_neardup, op6_chat, op7_secrets, op8_toxicity, op9_topk, op10_minhash)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_token_output, op2_mixing, op3_bpe, op4_repeats, op5_embedding_neardup, op6_chat, op7_secrets, op8_toxicity, op9_topk, op10_minhash)}
 OP4_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), b AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
 w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM b, LATERAL (SELECT unnest(range(n - 99)) AS i) WHERE n >= 100),
 f AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
