@@ -11,8 +11,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch; Spark's default of 64 MB, held on both sides of a worker, is much for rows of long texts.
+BATCH, DEFAULT = str(4 << 20), "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Once for each context; a package that is not plain files is taken to be installed everywhere."""
+    """Once for each context; a package that is not plain files is taken to be installed everywhere. Sessions that leave the size of
+    Arrow batches at its default get smaller ones."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", DEFAULT) == DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     context, here = spark.sparkContext, Path(__file__).resolve().parent
     if getattr(context, "_boxloom_shipped", False) or not here.is_dir():
         return
