@@ -65,7 +65,7 @@ class ForcedBpe:
     """Encoder and decoder of one vocabulary. Ids of a text are bytes: little-endian unsigned 32-bit integers."""
 
     #: Fragments kept by a worker; older ones go by halves.
-    KEPT = 250_000
+    KEPT = 200_000
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -100,6 +100,7 @@ class ForcedBpe:
         self.pre = PreTokenizer.ByteLevel(add_prefix_space=False, use_regex=pre.get("use_regex", True))
         self.pattern = regex.compile(PATTERN if pre.get("use_regex", True) else r"(?s).+")
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.marks = {c: self._token(c) for c in ".,;:!?"}
         self.old: dict = {}
         self.new: dict = {}
 
@@ -169,8 +170,7 @@ class ForcedBpe:
                 found = {w: x for w in unique if (x := old.get(w)) is not None}
                 new.update(found)
                 unique.update(found)
-            open_ = [w for w, x in unique.items() if x is None]
-            got = dict(zip(open_, self.solve([" " + w for w in open_]), strict=True))
+            got = self._words([w for w, x in unique.items() if x is None])
             unique.update(got)
             new.update(got if max(map(len, got), default=0) < 100 else {w: x for w, x in got.items() if len(w) < 100})
             for k in lacking:
@@ -179,6 +179,36 @@ class ForcedBpe:
                 self.old, self.new = new, {}
         return out
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, with a space before them, that are in no table. Letters and a mark behind them are two tokens of the pattern,
+        so only the letters are encoded, where they are new."""
+        letters, marked, rest, new, old = {}, [], [], self.new, self.old
+        for w in words:
+            if w.isalpha():
+                letters[w] = None
+            elif w[-1:] in self.marks and w[:-1].isalpha():
+                marked.append(w)
+            else:
+                rest.append(w)
+        known = {}
+        for w in marked:
+            if (b := w[:-1]) not in known and b not in letters:
+                x = new.get(b) or old.get(b)
+                if x is None:
+                    letters[b] = None
+                else:
+                    known[b] = x
+        got = dict(zip(letters, self.letters(list(letters)), strict=True))
+        marks = self.marks
+        out = dict(zip(rest, self.solve([" " + w for w in rest]), strict=True))
+        out.update(got)
+        out.update([(w, (known.get(w[:-1]) or got[w[:-1]]) + marks[w[-1]]) for w in marked])
+        return out
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, each with a space before it."""
+        return [self._token(" " + w) for w in words]
+
     def _odd(self, text: str) -> bytes:
         """Ids of a text that may not be cut before each space: with added tokens, or white space or characters that look across."""
         parts = self.split_added.split(text) if self.split_added else [text]
@@ -229,6 +259,23 @@ class LibraryBpe(ForcedBpe):
         self.library.no_truncation()
         self.library.no_padding()
         self.sizes = np.array([len(t) for t in self.table])
+        # the same model for words spelled in the alphabet of the vocabulary, a line each, so that it has no pattern to match
+        self.lines = Tokenizer.from_file(path)
+        self.lines.pre_tokenizer = PreTokenizer.Split("\n", "removed")
+        self.spelled = {b: c for c, b in byte_alphabet().items()}
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        spelled = ["Ġ" + w if w.isascii() else "Ġ" + w.encode().decode("latin-1").translate(self.spelled) for w in words]
+        ids = np.array(self.lines.encode_batch_fast(["\n".join(spelled)], add_special_tokens=False)[0].ids, "<u4")
+        # a character of that alphabet is a byte
+        ends, at = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
+        cut = np.searchsorted(ends, at)
+        if ends[-1] != at[-1] or not (ends[cut] == at).all():
+            raise AssertionError("the library's ids don't spell the words")
+        got, cuts = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
+        return [got[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def solve(self, pieces: list[str]) -> list[bytes]:
         """Pieces that begin with a space before something visible are encoded as one text, and its ids cut where they begin."""
@@ -265,8 +312,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
                 ids = bpe.encode_many(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string()), *part.columns[2:]], names=schema.names)
 

@@ -121,7 +121,7 @@ class Words:
         data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         start = np.concatenate([[0], np.cumsum(n + 1)])
         if len(Words._pow) <= len(data):
-            Words._pow, Words._inv = powers(BASE, 2 * len(data)), powers(BASE_INV, 2 * len(data))
+            Words._pow, Words._inv = powers(BASE, len(data) + 1), powers(BASE_INV, len(data) + 1)
         space = Words.SPACE[data]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
         begin, end = edge[0::2], edge[1::2]

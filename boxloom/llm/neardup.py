@@ -33,9 +33,15 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """The sorted distinct hashes of the runs of n words of each text."""
-    hashes, at = Words(texts).shingles(n)
-    return [np.unique(hashes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    """The sorted distinct hashes of the runs of n words of each text; texts are taken half a megabyte at a time."""
+    out, at, held = [], 0, 0
+    for i, t in enumerate([*texts, None]):
+        if i > at and (t is None or held + len(t) > 1 << 19):
+            hashes, first = Words(texts[at:i]).shingles(n)
+            out += [np.unique(hashes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            at, held = i, 0
+        held += len(t or b"")
+    return out
 
 
 def _search(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:

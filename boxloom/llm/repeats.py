@@ -39,7 +39,7 @@ _NULL = -(2**63)
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("up", ())) < n:
-        size = max(2 * n, 1 << 16)
+        size = max(n + n // 4, 1 << 16)
         _tables.update(up=powers(BASE, size), down=powers(BASE_INV, size))
     return _tables["up"], _tables["down"]
 

@@ -31,7 +31,7 @@ class WordCodes(dict):
     """64-bit codes of words, kept for as long as they fit."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 150_000:
             self.clear()
         h = 0xCBF29CE484222325
         for at in range(0, len(b := word.encode()), 7):
