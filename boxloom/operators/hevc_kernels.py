@@ -1,0 +1,164 @@
+"""Sample arithmetic of HEVC on whole blocks, in NumPy: scaling, inverse transforms, intra prediction, interpolation, sample offsets.
+
+Written from the public standard (ITU-T H.265, clauses 8.4.4, 8.5.3, 8.6 and 8.7.3). No entropy decoder feeds these yet, so pictures
+don't come from them; they are held against the standard's formulas in tests."""
+
+from __future__ import annotations
+
+import functools
+
+import numpy as np
+
+#: Cosines of multiples of pi/64 as the standard rounds them, by how often 2 divides the multiple.
+COSINES = {1: (90, 90, 88, 85, 82, 78, 73, 67, 61, 54, 46, 38, 31, 22, 13, 4), 2: (90, 87, 80, 70, 57, 43, 25, 9), 4: (89, 75, 50, 18), 8: (83, 36), 16: (64,)}
+#: The sine transform of 4 x 4 luma blocks, scales of the six steps, and angles of the modes from 2 to 34.
+SINE = np.array([[29, 55, 74, 84], [74, 74, 0, -74], [84, -29, -74, 55], [55, -84, 74, -29]])
+SCALES = (40, 45, 51, 57, 64, 72)
+ANGLES = (32, 26, 21, 17, 13, 9, 5, 2, 0, -2, -5, -9, -13, -17, -21, -26, -32, -26, -21, -17, -13, -9, -5, -2, 0, 2, 5, 9, 13, 17, 21, 26, 32)
+#: Interpolation filters of quarter luma and eighth chroma samples.
+LUMA_TAPS = np.array([[0, 0, 0, 64, 0, 0, 0, 0], [-1, 4, -10, 58, 17, -5, 1, 0], [-1, 4, -11, 40, 40, -11, 4, -1], [0, 1, -5, 17, 58, -10, 4, -1]])
+CHROMA_TAPS = np.array([[0, 64, 0, 0], [-2, 58, 10, -2], [-4, 54, 16, -2], [-6, 46, 28, -4], [-4, 36, 36, -4], [-4, 28, 46, -6], [-2, 16, 54, -4], [-2, 10, 58, -2]])
+PLANAR, DC, ACROSS, DOWN = 0, 1, 10, 26
+
+
+@functools.cache
+def cosine_matrix(n: int) -> np.ndarray:
+    """The n x n transform; row k holds its k-th basis function."""
+
+    def cosine(j: int) -> int:
+        j %= 128
+        sign = -1 if 32 < j < 96 else 1
+        j = min(j, 128 - j)
+        j = 64 - j if j > 32 else j
+        if j in (0, 32):
+            return 64 * sign if j == 0 else 0
+        step = j & -j
+        return sign * COSINES[step][j // step // 2]
+
+    return np.array([[cosine(k * (32 // n) * (2 * x + 1)) for x in range(n)] for k in range(n)])
+
+
+def scaled(levels: np.ndarray, qp: int, depth: int, factors: np.ndarray | int = 16) -> np.ndarray:
+    """Coefficients from their levels; factors are those of a scaling list, 16 without one."""
+    shift = depth + levels.shape[0].bit_length() - 1 - 5
+    v = levels.astype(np.int64) * factors * SCALES[qp % 6] << qp // 6
+    return np.clip(v + (1 << shift - 1) >> shift, -(1 << 15), (1 << 15) - 1)
+
+
+def residual(coefficients: np.ndarray, depth: int, sine: bool = False) -> np.ndarray:
+    """The inverse transform: columns, then rows."""
+    m = SINE if sine else cosine_matrix(coefficients.shape[0])
+    first = np.clip(m.T @ coefficients.astype(np.int64) + 64 >> 7, -(1 << 15), (1 << 15) - 1)
+    return first @ m + (1 << 19 - depth) >> 20 - depth
+
+
+def add(prediction: np.ndarray, rest: np.ndarray, depth: int) -> np.ndarray:
+    return np.clip(prediction + rest, 0, (1 << depth) - 1)
+
+
+def substituted(border: np.ndarray, there: np.ndarray, depth: int) -> np.ndarray:
+    """The border of a block, from the lowest left sample over the corner to the rightmost above; missing samples take the one before."""
+    if not there.any():
+        return np.full(len(border), 1 << depth - 1)
+    at = np.maximum.accumulate(np.where(there, np.arange(len(border)), -1))
+    return border[np.where(at < 0, there.argmax(), at)]
+
+
+def smoothed(border: np.ndarray, mode: int, n: int, depth: int, strong: bool, luma: bool = True) -> np.ndarray:
+    """The border as the mode reads it: filtered by 1 2 1, or linear where it is nearly so and that is allowed."""
+    far = 0 if mode == PLANAR else min(abs(mode - DOWN), abs(mode - ACROSS))
+    if not luma or mode == DC or n == 4 or mode != PLANAR and far <= {8: 7, 16: 1, 32: 0}[n]:
+        return border
+    b = border.astype(np.int64)
+    low, corner, high = b[0], b[2 * n], b[-1]
+    if strong and n == 32 and abs(low + corner - 2 * b[n]) < 1 << depth - 5 and abs(corner + high - 2 * b[3 * n]) < 1 << depth - 5:
+        k = np.arange(1, 64)
+        return np.concatenate([[low], (64 - k) * low + k * corner + 32 >> 6, [corner], (64 - k) * corner + k * high + 32 >> 6, [high]])
+    out = b.copy()
+    out[1:-1] = b[:-2] + 2 * b[1:-1] + b[2:] + 2 >> 2
+    return out
+
+
+def intra(border: np.ndarray, mode: int, n: int, depth: int, edges: bool = True) -> np.ndarray:
+    """The prediction of an n x n block from its border of 4n + 1 samples; edges: whether DC, across and down soften their edges."""
+    b = border.astype(np.int64)
+    left, corner, above = b[2 * n - 1 :: -1], b[2 * n], b[2 * n + 1 :]
+    x, y = np.meshgrid(np.arange(n), np.arange(n))
+    if mode == PLANAR:
+        return (n - 1 - x) * left[y] + (x + 1) * above[n] + (n - 1 - y) * above[x] + (y + 1) * left[n] + n >> n.bit_length()
+    if mode == DC:
+        mean = left[:n].sum() + above[:n].sum() + n >> n.bit_length()
+        out = np.full((n, n), mean)
+        if edges and n < 32:
+            out[0], out[:, 0] = above[:n] + 3 * mean + 2 >> 2, left[:n] + 3 * mean + 2 >> 2
+            out[0, 0] = left[0] + 2 * mean + above[0] + 2 >> 2
+        return out
+    angle, down = ANGLES[mode - 2], mode >= 18
+    main, side = (above, left) if down else (left, above)
+    ref = np.concatenate([[corner], main])
+    base = 0
+    if angle < 0 and n * angle >> 5 < -1:
+        steps = np.arange(-1, (n * angle >> 5) - 1, -1)
+        from_side = np.concatenate([[corner], side])[(steps * -round(8192 / -angle) + 128 >> 8)]
+        ref, base = np.concatenate([from_side[::-1], ref]), len(steps)
+    elif angle < 0:
+        base = 0
+    k = np.arange(1, n + 1)
+    whole, part = k * angle >> 5, k * angle & 31
+    at = base + np.arange(n)[None, :] + whole[:, None] + 1
+    out = (32 - part)[:, None] * ref[at] + part[:, None] * ref[np.minimum(at + 1, len(ref) - 1)] + 16 >> 5
+    if angle == 0 and edges and n < 32:
+        out[:, 0] = np.clip(main[0] + (side[:n] - corner >> 1), 0, (1 << depth) - 1)
+    return out if down else out.T
+
+
+def interpolated(plane: np.ndarray, x: int, y: int, width: int, height: int, depth: int, chroma: bool = False, steps: tuple[int, int] | None = None) -> np.ndarray:
+    """A block at a place in fractions of samples (quarters for luma, eighths for chroma), of 14 bits; the plane's edges go on outside."""
+    taps = CHROMA_TAPS if chroma else LUMA_TAPS
+    sx, sy = steps or ((8, 8) if chroma else (4, 4))
+    before, n = (1, 4) if chroma else (3, 8)
+    rows = np.clip(np.arange(y // sy - before, y // sy - before + height + n - 1), 0, plane.shape[0] - 1)
+    cols = np.clip(np.arange(x // sx - before, x // sx - before + width + n - 1), 0, plane.shape[1] - 1)
+    p = plane[np.ix_(rows, cols)].astype(np.int64)
+    fx, fy = taps[x % sx * len(taps) // sx], taps[y % sy * len(taps) // sy]
+    if x % sx == 0 and y % sy == 0:
+        return p[before : before + height, before : before + width] << 14 - depth
+    if y % sy == 0:
+        return sum(t * p[before : before + height, i : i + width] for i, t in enumerate(fx)) >> depth - 8
+    if x % sx == 0:
+        return sum(t * p[i : i + height, before : before + width] for i, t in enumerate(fy)) >> depth - 8
+    wide = sum(t * p[:, i : i + width] for i, t in enumerate(fx)) >> depth - 8
+    return sum(t * wide[i : i + height] for i, t in enumerate(fy)) >> 6
+
+
+def predicted(blocks: list[np.ndarray], depth: int, weights: list[tuple[int, int]] | None = None, log_scale: int = 0) -> np.ndarray:
+    """One block, or the mean of two, of 14 bits as samples; weights are (factor, offset) on a scale of 2**log_scale."""
+    most, shift = (1 << depth) - 1, 14 - depth
+    if weights is None:
+        s = shift + len(blocks) - 1
+        return np.clip(sum(blocks) + (1 << s - 1 if s else 0) >> s, 0, most)
+    offsets = [o << depth - 8 for _, o in weights]
+    if len(blocks) == 1:
+        s = shift + log_scale
+        v = blocks[0] * weights[0][0]
+        return np.clip((v + (1 << s - 1) >> s if s >= 1 else v) + offsets[0], 0, most)
+    s = shift + log_scale
+    return np.clip(blocks[0] * weights[0][0] + blocks[1] * weights[1][0] + (sum(offsets) + 1 << s) >> s + 1, 0, most)
+
+
+def band_offset(block: np.ndarray, first: int, offsets: list[int], depth: int) -> np.ndarray:
+    """Offsets of the four bands from the first on, of 32."""
+    table = np.zeros(32, np.int64)
+    table[[(first + i) % 32 for i in range(4)]] = offsets
+    return np.clip(block + table[block >> depth - 5], 0, (1 << depth) - 1)
+
+
+def edge_offset(padded: np.ndarray, direction: int, offsets: list[int], depth: int) -> np.ndarray:
+    """Offsets of valleys, half valleys, half peaks and peaks against two neighbours; padded has a sample more on each side."""
+    dx, dy = ((1, 0), (0, 1), (1, 1), (-1, 1))[direction]
+    h, w = padded.shape[0] - 2, padded.shape[1] - 2
+    p = padded.astype(np.int64)
+    mid, a, b = p[1 : 1 + h, 1 : 1 + w], p[1 - dy : 1 - dy + h, 1 - dx : 1 - dx + w], p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
+    kind = np.sign(mid - a) + np.sign(mid - b)
+    table = np.array([offsets[0], offsets[1], 0, offsets[2], offsets[3]])
+    return np.clip(mid + table[kind + 2], 0, (1 << depth) - 1)

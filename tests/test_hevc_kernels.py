@@ -1,0 +1,101 @@
+"""Block arithmetic against the formulas it stands for."""
+
+import numpy as np
+import pytest
+
+from boxloom.operators import hevc_kernels as k
+
+
+@pytest.mark.parametrize("n", [4, 8, 16, 32])
+def test_cosine_matrix(n):
+    m = k.cosine_matrix(n)
+    want = np.array([[np.cos(np.pi * i * (2 * x + 1) / (2 * n)) * (1 if i else np.sqrt(0.5)) * 64 * np.sqrt(2) for x in range(n)] for i in range(n)])
+    assert np.abs(m - want).max() < 1.6
+    gram = m @ m.T
+    assert np.abs(gram - np.diag(np.diag(gram))).max() < 0.005 * gram[0, 0]
+    if n == 4:
+        assert m.tolist() == [[64, 64, 64, 64], [83, 36, -36, -83], [64, -64, -64, 64], [36, -83, 83, -36]]
+
+
+@pytest.mark.parametrize(("n", "sine"), [(4, True), (4, False), (8, False), (32, False)])
+def test_transforms_invert(n, sine):
+    rng = np.random.default_rng(n)
+    block = rng.integers(-100, 100, (n, n))
+    m = (k.SINE if sine else k.cosine_matrix(n)).astype(float)
+    levels = np.rint(np.linalg.solve(m.T, block * 2.0**7) @ np.linalg.inv(m) * 2.0**12)
+    assert np.abs(k.residual(levels, 8, sine) - block).max() <= 1
+
+
+def test_dc_and_scaling():
+    c = np.zeros((8, 8), int)
+    c[0, 0] = 512
+    assert (k.residual(c, 8) == 4).all()
+    assert k.scaled(np.array([[3] * 4] * 4), 27, 8)[0, 0] == (3 * 16 * 57 * 16 + 16) >> 5
+    assert k.scaled(np.full((4, 4), 32767), 51, 8).max() == 32767
+    assert k.add(np.array([250, 3]), np.array([10, -9]), 8).tolist() == [255, 0]
+
+
+def slow_intra(b, mode, n):
+    """Angular prediction sample by sample, from p[x][-1] and p[-1][y]."""
+    p = lambda x, y: int(b[2 * n + 1 + x]) if y == -1 else int(b[2 * n - 1 - y])
+    angle, down = k.ANGLES[mode - 2], mode >= 18
+    main = (lambda i: p(i - 1, -1) if i else p(-1, -1)) if down else (lambda i: p(-1, i - 1) if i else p(-1, -1))
+    side = (lambda i: p(-1, i)) if down else (lambda i: p(i, -1))
+    out = np.zeros((n, n), int)
+    inv = round(8192 / -angle) * -1 if angle < 0 else 0
+
+    def ref(i):
+        return main(i) if i >= 0 else side(-1 + ((i * inv + 128) >> 8))
+
+    for y in range(n):
+        for x in range(n):
+            a, c = (x, y) if down else (y, x)
+            whole, part = (c + 1) * angle >> 5, (c + 1) * angle & 31
+            out[y, x] = ((32 - part) * ref(a + whole + 1) + part * ref(a + whole + 2) + 16) >> 5 if part else ref(a + whole + 1)
+    return out
+
+
+@pytest.mark.parametrize("n", [4, 8, 16])
+def test_angles(n):
+    b = np.random.default_rng(n).integers(0, 256, 4 * n + 1)
+    for mode in range(2, 35):
+        assert (k.intra(b, mode, n, 8, edges=False) == slow_intra(b, mode, n)).all(), mode
+
+
+def test_planar_dc_and_edges():
+    n, b = 4, np.arange(17)
+    got = k.intra(b, k.PLANAR, n, 8)
+    left, above = b[7::-1], b[9:]
+    assert all(got[y, x] == ((3 - x) * left[y] + (x + 1) * above[4] + (3 - y) * above[x] + (y + 1) * left[4] + 4) >> 3 for x in range(4) for y in range(4))
+    flat = k.intra(np.full(17, 70), k.DC, n, 8)
+    assert (flat == 70).all() and (k.intra(np.full(17, 70), k.DOWN, n, 8) == 70).all()
+    got = k.intra(b, k.DOWN, n, 8)
+    assert got[:, 1:].tolist() == [list(above[1:4])] * 4 and got[:, 0].tolist() == [above[0] + (int(left[y]) - 8 >> 1) for y in range(4)]
+
+
+def test_borders():
+    there = np.array([False, False, True, False, True])
+    assert k.substituted(np.array([1, 2, 3, 4, 5]), there, 8).tolist() == [3, 3, 3, 3, 5]
+    assert k.substituted(np.zeros(3, int), np.zeros(3, bool), 10).tolist() == [512] * 3
+    b = np.arange(0, 129) * 1
+    assert (k.smoothed(b, k.PLANAR, 32, 8, True) == b).all() and (k.smoothed(b, k.DOWN, 32, 8, True) == b).all()
+    b = np.array([0, 100] * 16 + [0])
+    assert k.smoothed(b, 2, 8, 8, False)[1:-1].tolist() == [50] * 31 and (k.smoothed(b, k.DC, 8, 8, False) == b).all()
+
+
+def test_interpolation_and_weights():
+    plane = np.tile(np.arange(40) * 4, (40, 1))
+    for fx in range(4):
+        got = k.predicted([k.interpolated(plane, 4 * 10 + fx, 4 * 10 + 2, 8, 8, 8)], 8)
+        assert np.abs(got - (np.arange(10, 18) * 4 + fx)[None, :]).max() <= 1
+    assert (k.predicted([k.interpolated(plane, 80, 80, 4, 4, 8, chroma=True)], 8) == plane[10:14, 10:14]).all()
+    assert (k.interpolated(plane, -400, -400, 4, 4, 8) == 0).all()
+    a = np.full((2, 2), 100 << 6)
+    assert (k.predicted([a, a], 8) == 100).all() and (k.predicted([a], 8, [(2, 5)], 1) == 105).all() and (k.predicted([a, a], 8, [(1, 2), (3, 4)], 1) == 103).all()
+
+
+def test_offsets():
+    assert k.band_offset(np.array([[0, 8, 16, 255]]), 31, [1, 2, 3, 4], 8).tolist() == [[2, 11, 20, 255]]
+    p = np.array([[5, 5, 5, 5], [5, 3, 5, 9], [5, 9, 3, 3], [5, 5, 5, 5]])
+    assert k.edge_offset(p, 0, [4, 3, -3, -4], 8).tolist() == [[7, 5], [5, 6]]
+    assert k.edge_offset(p, 1, [1, 2, 3, 4], 8).tolist() == [[4, 8], [13, 4]]
