@@ -14,7 +14,6 @@ import corpus_pipeline
 from boxloom.llm import chat, mixing, secrets, toxicity
 from tests.llm.helpers import SCHEMA, documents, prose, with_clashes
 
-SF = "/root/testdata/sf0.001"
 
 
 def mixed_rows():
