@@ -9,7 +9,8 @@ first token's number among all, the documents' keys and token counts, and `block
 in little-endian order, the bits from the highest of each byte on. A block is read without any other; within it all stretches
 between checkpoints are decoded side by side, one table lookup a token.
 
-Documents come in ascending order of their keys, null keys first, rows of one key in the order of their texts. Null and empty
+Documents come in ascending order of their keys, null keys first, rows of one key in that of a
+hash of their texts. Null and empty
 texts have the end id alone. A document is never cut, so a very long one makes a block of its own. Tables without rows give
 tables without rows."""
 
@@ -141,7 +142,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None, path: str
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, arrow_kind), pa.array([0], pa.int64()), pa.array([-1], pa.int64()), pa.array([found.astype("<i8").tobytes() + total[found].astype("<i8").tobytes()], pa.binary())], names=["part", "key", "before", "n", "ids"])
 
     arrow_kind = to_arrow_type(docs.schema[key].dataType)
-    spread = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(parallelism(spark), F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    spread = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(parallelism(spark), F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"), "text")
     tokens = staged(spread.mapInArrow(tokenize, f"part int, key {kind}, before long, n long, ids binary"), "tokens")
     release(spark)
 
