@@ -1,6 +1,6 @@
-"""Sample arithmetic of HEVC on whole blocks, in NumPy: scaling, inverse transforms, intra prediction, interpolation, sample offsets.
+"""Sample arithmetic of HEVC on whole blocks, in NumPy: scaling, inverse transforms, intra prediction, interpolation, deblocking, offsets.
 
-Written from the public standard (ITU-T H.265, clauses 8.4.4, 8.5.3, 8.6 and 8.7.3). No entropy decoder feeds these yet, so pictures
+Written from the public standard (ITU-T H.265, clauses 8.4.4, 8.5.3, 8.6 and 8.7). No entropy decoder feeds these yet, so pictures
 don't come from them; they are held against the standard's formulas in tests."""
 
 from __future__ import annotations
@@ -162,3 +162,62 @@ def edge_offset(padded: np.ndarray, direction: int, offsets: list[int], depth: i
     kind = np.sign(mid - a) + np.sign(mid - b)
     table = np.array([offsets[0], offsets[1], 0, offsets[2], offsets[3]])
     return np.clip(mid + table[kind + 2], 0, (1 << depth) - 1)
+
+
+#: The largest change of a sample at an edge, by quantization parameter and strength.
+CHANGES = (0,) * 18 + (1,) * 9 + (2,) * 4 + (3,) * 4 + (4,) * 3 + (5, 5, 6, 6, 7, 8, 9, 10, 11, 13, 14, 16, 18, 20, 22, 24)
+
+
+def flatness(q: int) -> int:
+    """How uneven the sides of an edge may be to be smoothed."""
+    q = min(max(q, 0), 51)
+    return 0 if q < 16 else q - 10 if q < 29 else 2 * q - 38
+
+
+def largest_change(q: int, strength: int, depth: int) -> int:
+    return CHANGES[min(max(q + 2 * (strength - 1), 0), 53)] << depth - 8
+
+
+def smoothed_edge(lines: np.ndarray, strength: int, qp: int, depth: int, flat_offset: int = 0, change_offset: int = 0, keep: tuple[bool, bool] = (False, False)) -> np.ndarray:
+    """Four lines of eight luma samples across an edge, p3 p2 p1 p0 | q0 q1 q2 q3, behind the deblocking filter; keep: sides that stay."""
+    if not strength:
+        return lines
+    v = lines.astype(np.int64)
+    beta, tc = flatness(qp + flat_offset) << depth - 8, largest_change(qp + change_offset, strength, depth)
+    p3, p2, p1, p0, q0, q1, q2, q3 = v.T
+    dp, dq = np.abs(p2 - 2 * p1 + p0), np.abs(q2 - 2 * q1 + q0)
+    uneven = int(dp[0] + dq[0] + dp[3] + dq[3])
+    if uneven >= beta:
+        return lines
+    ends = [0, 3]
+    strong = all(2 * (dp[i] + dq[i]) < beta >> 2 and abs(p3[i] - p0[i]) + abs(q0[i] - q3[i]) < beta >> 3 and abs(p0[i] - q0[i]) < 5 * tc + 1 >> 1 for i in ends)
+    out = v.copy()
+    if strong:
+        new = [p2, p1, p0, q0, q1, q2]
+        means = (2 * p3 + 3 * p2 + p1 + p0 + q0 + 4 >> 3, p2 + p1 + p0 + q0 + 2 >> 2, p2 + 2 * p1 + 2 * p0 + 2 * q0 + q1 + 4 >> 3, p1 + 2 * p0 + 2 * q0 + 2 * q1 + q2 + 4 >> 3, p0 + q0 + q1 + q2 + 2 >> 2, p0 + q0 + q1 + 3 * q2 + 2 * q3 + 4 >> 3)
+        for k, (old, mean) in enumerate(zip(new, means, strict=True)):
+            out[:, k + 1] = np.clip(mean, old - 2 * tc, old + 2 * tc)
+    else:
+        delta = 9 * (q0 - p0) - 3 * (q1 - p1) + 8 >> 4
+        small = np.abs(delta) < 10 * tc
+        delta = np.where(small, np.clip(delta, -tc, tc), 0)
+        limit = beta + (beta >> 1) >> 3
+        most = (1 << depth) - 1
+        out[:, 3], out[:, 4] = np.clip(p0 + delta, 0, most), np.clip(q0 - delta, 0, most)
+        if dp[0] + dp[3] < limit:
+            out[:, 2] = np.where(small, np.clip(p1 + np.clip((p2 + p0 + 1 >> 1) - p1 + delta >> 1, -(tc >> 1), tc >> 1), 0, most), p1)
+        if dq[0] + dq[3] < limit:
+            out[:, 5] = np.where(small, np.clip(q1 + np.clip((q2 + q0 + 1 >> 1) - q1 - delta >> 1, -(tc >> 1), tc >> 1), 0, most), q1)
+    for side, part in zip(keep, (slice(0, 4), slice(4, 8)), strict=True):
+        if side:
+            out[:, part] = v[:, part]
+    return out
+
+
+def smoothed_chroma_edge(lines: np.ndarray, qp: int, depth: int, change_offset: int = 0) -> np.ndarray:
+    """Lines of four chroma samples across an edge of strength 2, p1 p0 | q0 q1."""
+    p1, p0, q0, q1 = lines.astype(np.int64).T
+    tc = largest_change(qp + change_offset, 2, depth)
+    delta = np.clip((q0 - p0 << 2) + p1 - q1 + 4 >> 3, -tc, tc)
+    most = (1 << depth) - 1
+    return np.stack([p1, np.clip(p0 + delta, 0, most), np.clip(q0 - delta, 0, most), q1], axis=1)

@@ -99,3 +99,20 @@ def test_offsets():
     p = np.array([[5, 5, 5, 5], [5, 3, 5, 9], [5, 9, 3, 3], [5, 5, 5, 5]])
     assert k.edge_offset(p, 0, [4, 3, -3, -4], 8).tolist() == [[7, 5], [5, 6]]
     assert k.edge_offset(p, 1, [1, 2, 3, 4], 8).tolist() == [[4, 8], [13, 4]]
+
+
+def test_edges():
+    step = np.array([[60, 60, 60, 60, 66, 66, 66, 66]] * 4)
+    got = k.smoothed_edge(step, 2, 37, 8)
+    assert (np.diff(got, axis=1) >= 0).all() and np.abs(np.diff(got, axis=1)).max() <= 2 and (got[:, [0, 7]] == step[:, [0, 7]]).all()
+    assert (k.smoothed_edge(step, 0, 37, 8) == step).all() and (k.smoothed_edge(step, 2, 10, 8) == step).all()
+    assert (k.smoothed_edge(step, 2, 37, 8, keep=(True, False))[:, :4] == 60).all()
+    rough = np.array([[60, 90, 20, 60, 66, 10, 99, 66]] * 4)
+    assert (k.smoothed_edge(rough, 2, 30, 8) == rough).all()
+    sharp = np.array([[50, 50, 50, 50, 70, 70, 70, 70]] * 4)
+    tc = k.largest_change(30, 1, 8)
+    weak = k.smoothed_edge(sharp, 1, 40, 8)
+    assert tc == 2 and (weak[:, 3] > 50).all() and (weak[:, 4] < 70).all()
+    assert k.flatness(15) == 0 and k.flatness(16) == 6 and k.flatness(28) == 18 and k.flatness(29) == 20 and k.flatness(51) == 64
+    assert len(k.CHANGES) == 54 and k.CHANGES[53] == 24
+    assert k.smoothed_chroma_edge(np.array([[50, 50, 58, 58]]), 40, 8).tolist() == [[50, 53, 55, 58]]
