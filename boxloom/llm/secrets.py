@@ -1,12 +1,15 @@
-"""Secret scans in DataFrame functions alone: candidates by a pattern, false positives removed by a random forest.
+"""Secret scans in DataFrame functions alone: candidates by patterns, false positives removed by a random forest.
 
-A candidate is a run of 12 or more letters, digits and + / _ - that holds a digit, with up to two = behind it. Its features are its
-length, shares of kinds of characters, transitions between kinds, the share of it that dictionary words cover, whether it stands in
-a path or address, and the words beside it. The forest is trained on labelled findings, at most `most` of them, on the driver, and
-becomes one SQL expression; documents are scanned row by row, and nothing moves between tasks.
+Candidates are runs of 12 or more letters, digits and + / _ - with up to two = behind them, wherever they stand; values behind a secret
+word (password, token ...) with =, : or a blank between; and values behind any other = or :. Values may have any length and hold any
+symbols but blanks, quotes, < and >; they end before & ; , if a further name with its = or : follows (without a secret word before any of
+& ; , = : ?), and closing punctuation behind them is not part of them. Features are the length, shares of kinds of characters,
+transitions between kinds, the share that dictionary words cover, whether the candidate stands in a path or address, and the 48
+characters before it, whatever other candidates these hold. The forest is trained on labelled findings, at most `most` of them, on the
+driver, and becomes one SQL expression; documents are scanned row by row, and nothing moves between tasks.
 
-Null and empty texts have no findings. Texts are scanned whole, with all their candidates; repeated rows have the same findings
-again. Without labelled findings of both kinds every candidate is a finding."""
+Null and empty texts have no findings. Texts are scanned whole, with all their candidates; of findings one within the other the longer
+is given; repeated rows have the same findings again. Without labelled findings of both kinds every candidate is a finding."""
 
 from __future__ import annotations
 
@@ -20,12 +23,18 @@ from pyspark.sql import functions as F
 from boxloom.llm.common import free_name
 
 _C = r"A-Za-z0-9+/_\-"
-CANDIDATE = rf"(?<![{_C}])(?=[A-Za-z+/_\-]{{0,200}}[0-9])[{_C}]{{12,}}={{0,2}}"
+#: The first group is what a match holds before the candidate.
+RUN = rf"()(?<![{_C}])[{_C}]{{12,}}(?:={{1,2}}(?![{_C}=\"'`]))?"
+_WORDS = r"token|secret|passw|passphrase|pwd|api.?key|access.?key|auth(?!or(?!i[sz]))|credential|bearer|private|signature"
+_V, _W, _ENDS = r"[^\s\"'`<>&;,]", r"[^\s\"'`<>&;,=:?]", r"(?<![.,;:)\]}])"
+NAMED = rf"((?i:{_WORDS})[^\s=:\"'`]{{0,20}}[\"'`]?(?:\s{{0,2}}[=:]{{1,2}}>?\s{{0,2}}|\s{{1,2}})[\"'`]?){_V}+(?:[&;,](?!\w{{1,40}}[=:]){_V}+){{0,50}}{_ENDS}"
+ASSIGNED = rf"([=:]>?\s{{0,2}}[\"'`]?){_W}+{_ENDS}"
+CANDIDATES = (RUN, NAMED, ASSIGNED)
 #: Frequent parts of names and prose; what they cover is less likely a secret.
 DICTIONARY = "account address admin backup bank build cache class client code color config content count course customer data date default demo device document download draft email error event example export file final first form group guide handler height house image index info invoice item label large last left light line link list local login main manager message meta method model module month name network note number object order other output page part path person photo phone picture place plan point post price print product profile project query read record release report request response result right sample schema screen script section server service session size small source start state status storage street string style summary system table task temp test text thumb time title track type update upload user value version video view week width window world year".split()
-BEFORE = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|bearer|private|signature)[^\s]{0,20}\s{0,2}[=:]?\s{0,2}[\"']?$"
+BEFORE = r"(?i)(?:" + _WORDS + r")[^\s]{0,20}\s{0,2}[=:]{0,2}>?\s{0,2}[\"'`]?$"
 PLAIN = r"(?i)(commit|sha1|sha256|md5|checksum|digest|etag|uuid|guid|isbn|card|phone|tel|order|invoice|build|revision|version|hash|id|no|nr|number)\W{0,4}$"
-FEATURES = ("length", "digits", "upper", "lower", "transitions", "letters_only_runs", "dictionary", "path", "assigned", "quoted", "secret_word", "plain_word", "hex", "variety", "known_form")
+FEATURES = ("length", "digits", "upper", "lower", "transitions", "letters_only_runs", "dictionary", "path", "assigned", "quoted", "secret_word", "plain_word", "hex", "variety", "symbols", "known_form")
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -51,6 +60,7 @@ def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
         "plain_word": flag(before.rlike(PLAIN)),
         "hex": flag(c.rlike("^[0-9a-f]+$") | c.rlike("^[0-9A-F]+$")),
         "variety": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
+        "symbols": _share(c, "[^A-Za-z0-9+/_=-]"),
         "known_form": flag(c.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^xox[abp]-|^sk[-_]|^AIza|^eyJ")),
     }
 
@@ -132,8 +142,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 1) -> Data
     sets = lambda: r.choice([" = \"", "=", ": ", ":", " = '", "=\"", " = ", " "])
 
     def secret() -> tuple[str, str]:
-        k = r.randrange(6)
-        value = [lambda: pick(hexes, r.choice([12, 16, 18, 20, 24, 32, 40, 64])), lambda: pick(b62, r.randint(16, 48)), lambda: "AKIA" + pick(string.ascii_uppercase + "234567", 16), lambda: "ghp_" + pick(b62, 36), lambda: pick(b62 + "+/", 43) + "=", lambda: "sk-" + pick(b62, r.randint(32, 48))][k]()
+        k = r.randrange(10)
+        value = [lambda: pick(hexes, r.choice([12, 16, 18, 20, 24, 32, 40, 64])), lambda: pick(b62, r.randint(16, 48)), lambda: "AKIA" + pick(string.ascii_uppercase + "234567", 16), lambda: "ghp_" + pick(b62, 36), lambda: pick(b62 + "+/", 43) + "=", lambda: "sk-" + pick(b62, r.randint(32, 48)), lambda: pick(b62 + "!#$%.@^*-_", r.randint(6, 20)) + pick(b62 + "!#$%", 1), lambda: pick(b62, r.randint(6, 15)), lambda: pick(string.ascii_letters, r.randint(8, 24)), lambda: (word() + pick(digits, r.randint(1, 4)) + pick(string.ascii_lowercase + "!#$", r.randint(0, 3))).rjust(6, "q")][k]()
         bare = k in (2, 3, 5) and r.random() < 0.7
         return value, prose() + " " + ("" if bare else name() + sets())
 
@@ -150,6 +160,13 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 1) -> Data
             lambda: (pick(digits, 8) + "T" + pick(digits, 6), r.choice(["", "time: ", "date=", "version "])),
             lambda: (word() + "-" + word() + "-" + pick(digits, 4) + "-" + word(), r.choice(["", "https://", "www."])),
             lambda: ("+" + pick(digits, r.randint(11, 14)), r.choice(["", "phone ", "tel: "])),
+            lambda: (r.choice([str.lower, str.title, str.upper])("".join(word() for _ in range(r.randint(3, 6))) + "ungen"), r.choice(["", "", "name: ", "title=", '"text": "'])),
+            lambda: (r.choice(["_", "-", "/", ""]).join(r.choice([str.lower, str.title])(r.choice(DICTIONARY)) for _ in range(r.randint(2, 5))), r.choice(["", "/", "id=", "file: ", "https://www."])),
+            lambda: ("//www." + word() + r.choice([".com", ".org/" + word(), ".de/" + word() + "/" + pick(digits, 4)]), r.choice(["https:", "http:"])),
+            lambda: (r.choice([word(), r.choice(DICTIONARY), pick(digits, r.randint(1, 8)), word() + ".", word().title() + pick(digits, 2), pick(digits, 2) + "." + pick(digits, 2), pick(digits, 4) + "-" + pick(digits, 2)]), r.choice(["note: ", "name: ", "width=", "at 10:", "user = \"", "Re: ", "x=", "count: ", "a href=\""])),
+            lambda: (r.choice(["null", "true", "false", "None", "required", "invalid", "expired", "****", "********", "${" + word() + "}", "{{" + word() + "}}", "self." + word(), "config.get(" + word() + ")", "os.environ[" + word() + "]", r.choice(DICTIONARY), "your_" + r.choice(DICTIONARY)]), name() + sets()),
+            lambda: (r.choice([word(), word() + ",", "is", "for", "of", "the", "was", word() + word(), word() + "."]), name() + r.choice([" ", " ", "s ", ": "])),
+            lambda: (r.choice("-_/+") * r.randint(12, 60), r.choice(["", ": ", "="])),
         ]
         value, before = r.choice(kinds)()
         return value, prose() + " " + before
@@ -163,20 +180,43 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 1) -> Data
     return spark.createDataFrame(rows, "candidate string, before string, after string, secret int")
 
 
+def candidates(text: Column) -> Column:
+    """An array of (parts, found, lead) of a text, one for each pattern: what stands between matches, the matches, and what each holds
+    before its candidate."""
+    one = lambda p: F.struct(F.split(text, p, -1).alias("parts"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("lead"))
+    return F.array(*map(one, CANDIDATES))
+
+
+def in_context(p: Column, judge) -> Column:
+    """What judge makes of the (secret, begin, before, after) of each match of a pattern: arrays, put together."""
+
+    def step(a: Column, x: Column) -> Column:
+        n, so_far = F.length(x["lead"]), F.concat(a["tail"], x["part"])
+        begin = a["at"] + F.length(x["part"]) + n
+        secret = F.substring(x["found"], n + 1, F.length(x["found"]))
+        before = F.substring(F.concat(so_far, x["lead"]), -48, 48)
+        one = F.struct(secret.alias("secret"), begin.alias("begin"), before.alias("before"), F.substring(x["after"], 1, 24).alias("after"))
+        tail = F.substring(F.concat(so_far, x["found"]), -48, 48)
+        return F.struct((begin - n + F.length(x["found"])).alias("at"), tail.alias("tail"), F.concat(a["out"], judge(F.array(one))).alias("out"))
+
+    part = lambda c, i: F.struct(c.alias("found"), F.get(p["lead"], i).alias("lead"), F.get(p["parts"], i).alias("part"), F.concat(F.get(p["parts"], i + 1), F.coalesce(F.get(p["found"], i + 1), F.lit(""))).alias("after"))
+    none = F.filter(judge(F.array(F.struct(F.lit("x").alias("secret"), F.lit(0).alias("begin"), F.lit("").alias("before"), F.lit("").alias("after")))), lambda _: F.lit(False))
+    return F.aggregate(F.transform(p["found"], part), F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")), step, lambda a: a["out"])
+
+
 def findings(text: Column, forest: Forest, threshold: float = 0.5) -> Column:
-    """An array of (secret, begin, score, no) of a text: begin counts characters from 0, no is the candidate's place among all."""
-    parts, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-
-    def with_features(c: Column, i: Column) -> Column:
-        before, after = F.element_at(parts, i + 1), F.element_at(parts, i + 2)
-        f = features(c, F.substring(before, -48, 48), F.substring(after, 1, 24))
-        return F.struct(c.alias("secret"), i.alias("no"), *[x.cast("double").alias(k) for k, x in f.items()])
-
-    scored = F.transform(F.transform(found, with_features), lambda x: F.struct(x["secret"].alias("secret"), x["no"].alias("no"), forest.column(lambda k: x[FEATURES[k]]).alias("score")))
-    good = F.filter(scored, lambda x: x["score"] >= threshold)
-    add = lambda a, s: a + F.length(s)
-    begin = lambda i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), add) + F.aggregate(F.slice(found, 1, i), F.lit(0), add)
-    return F.transform(good, lambda x: F.struct(x["secret"].alias("secret"), begin(x["no"]).alias("begin"), x["score"].alias("score"), x["no"].alias("no")))
+    """An array of (begin, left, secret, score) of a text, by begin, which counts characters from 0; left is the length below zero."""
+
+    def judge(some: Column) -> Column:
+        known = F.transform(some, lambda x: F.struct(x["secret"].alias("secret"), x["begin"].alias("begin"), *[v.cast("double").alias(k) for k, v in features(x["secret"], x["before"], x["after"]).items()]))
+        scored = F.transform(known, lambda x: F.struct(x["begin"].alias("begin"), (-F.length(x["secret"])).alias("left"), x["secret"].alias("secret"), forest.column(lambda k: x[FEATURES[k]]).alias("score")))
+        return F.filter(scored, lambda x: x["score"] >= threshold)
+
+    found = F.array_sort(F.flatten(F.transform(candidates(text), lambda p: in_context(p, judge))))
+    none = F.filter(F.array(F.struct(F.lit(0).alias("begin"), F.lit(0).alias("left"), F.lit("").alias("secret"), F.lit(0.0).alias("score"))), lambda _: F.lit(False))
+    fresh = lambda a, x: F.filter(F.array(x), lambda y: y["begin"] - y["left"] > a["end"])
+    step = lambda a, x: F.struct(F.greatest(a["end"], x["begin"] - x["left"]).alias("end"), F.concat(a["out"], fresh(a, x)).alias("out"))
+    return F.aggregate(found, F.struct(F.lit(0).alias("end"), none.alias("out")), step, lambda a: a["out"])
 
 
 def scan(docs: DataFrame, forest: Forest, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
