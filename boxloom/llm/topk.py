@@ -11,8 +11,8 @@ An annulus of over `block` vectors (many copies of one vector, say) is searched
 queries; what the driver holds is the sample and one row for each annulus.
 
 Vectors that are null or empty or hold null or non-finite components take no part, nor do those without an id or of another length
-than most of the sample. Rows of one id count as one vector in a query's own favour: a query never meets its own id, and of several
-rows of its id that of the least bytes is the query. Ties go to the smaller id. Scores beyond 64 bits are cut to the largest."""
+than most of the sample. Rows of one id count as one: a query never meets its own id, of several rows of its id that of the least bytes
+is the query, and an id that is met has the score of its best row and one place. Ties go to the smaller id. Scores beyond 64 bits are cut to the largest."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import release, staged
+from boxloom.llm.common import discard, release, staged
 
 
 def integer_vectors(rows: DataFrame, scale: float, key: str, vector: str) -> DataFrame:
@@ -81,7 +81,7 @@ def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, pivots: int = 64, rings: int = 8, sample: int = 4096, block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which is_query holds, the k other rows of the largest inner products."""
-    vectors = integer_vectors(rows, scale, key, vector)
+    vectors = staged(integer_vectors(rows, scale, key, vector).distinct(), "vectors")
     seen = [np.frombuffer(r.v, "<f8") for r in vectors.orderBy(F.xxhash64("id"), "id", "v").limit(sample).collect()]
     dim = max(Counter(map(len, seen)).items(), key=lambda x: (x[1], x[0]), default=(1, 0))[0]
     centers, parts = fit(np.array([x for x in seen if len(x) == dim]).reshape(-1, dim), pivots, rings)
@@ -95,6 +95,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(r), pa.array(np.sqrt((x**2).sum(axis=1))), pa.array([i for i, _ in keep], pa.int64()), pa.array([v for _, v in keep], pa.binary())], names=["cell", "r", "norm", "id", "v"])
 
     index = staged(vectors.mapInArrow(assign, "cell int, r double, norm double, id long, v binary"), "index")
+    discard(vectors)
     # a row for each annulus: pivots times rings at most
     cells = sorted(tuple(c) for c in index.groupBy("cell").agg(F.count("*"), F.min("r"), F.max("r"), F.max("norm")).collect())
     no, many, low, high, norm = (np.array([c[i] for c in cells], np.float64) for i in range(5))
@@ -134,7 +135,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
         return run
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, ids, held, x = None, [], [], None
+        of, ids, held, x, first = None, [], [], None, None
         for b in batches:
             cell, part, kind, key_, v = (b.column(i) for i in range(5))
             cell, part, kind = (c.to_numpy() for c in (cell, part, kind))
@@ -150,11 +151,13 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
                 if x is None:
                     order = np.argsort(np.array(ids, np.int64), kind="stable")
                     x, own = np.frombuffer(b"".join(held), "<f8").reshape(-1, dim)[order], np.array(ids, np.int64)[order]
+                    own, first = np.unique(own, return_index=True)
                 if not len(x):
                     continue
                 for a in range(0, len(some), 256):
                     q = np.array(some[a : a + 256], np.int64)
                     s_ = exact_scores(np.frombuffer(b"".join(vs[a : a + 256]), "<f8").reshape(-1, dim), x)
+                    s_ = s_ if len(first) == len(x) else np.maximum.reduceat(s_, first, axis=1)
                     s_[q[:, None] == own] = -(2**63)
                     best = np.argsort(-s_.astype(np.float64), axis=1, kind="stable")[:, :k] if np.abs(s_.astype(np.float64))[s_ > -(2**63)].max(initial=0) < 2**53 else np.array([sorted(range(len(own)), key=lambda j: (-int(r[j]), j))[:k] for r in s_])
                     rows_, cols = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
@@ -163,14 +166,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
                     yield pa.RecordBatch.from_arrays([pa.array(q[rows_]), pa.array(own[cols]), pa.array(s_[rows_, cols])], names=["query_id", "vec_id", "score"])
 
     share = F.create_map(*[F.lit(x) for c in sorted(shares.items()) for x in c]) if shares else F.create_map(F.lit(0), F.lit(1))
-    stored = index.select("cell", F.pmod(F.xxhash64("id"), share[F.col("cell")].cast("long")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
+    stored = index.select("cell", F.pmod(F.xxhash64("id", "v"), share[F.col("cell")].cast("long")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
 
     def searched(routes: DataFrame) -> DataFrame:
         met = stored.unionByName(routes).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
         return met.mapInArrow(search, "query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = lambda df: df.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    top = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     form = "cell int, block int, kind int, id long, v binary"
     early = staged(top(searched(queries.mapInArrow(route(True), form))), "early")
     bar = early.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))

@@ -217,6 +217,25 @@ def test_top_k(spark, rings, block):
     assert top_k(spark.createDataFrame([], VECTORS), F.col("id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_top_k_of_repeated_rows(spark, block):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=4).tolist()) for i in range(150)]
+    rows = rows * 2 + [rows[7]] * 150 + [(8, r.normal(size=4).tolist()) for _ in range(100)]
+    x = [(i, np.floor(1024 * np.float32(v).astype(float))) for i, v in rows]
+    want = set()
+    for q, v in {i: min((y for j, y in x if j == i), key=lambda y: y.astype("<f8").tobytes()) for i in (0, 100)}.items():
+        score = {}
+        for i, y in x:
+            if i != q:
+                score[i] = max(score.get(i, -(2**62)), int(v @ y))
+        want |= {(q, k + 1, i, s) for k, (i, s) in enumerate(sorted(score.items(), key=lambda e: (-e[1], e[0]))[:10])}
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 100 == 0, pivots=3, rings=2, block=block)
+    assert {tuple(g) for g in got.collect()} == want
+
+
 def test_large_scores_are_exact():
     q, v = np.array([[2.0**40, 1.0]]), np.array([[2.0**22, 1.0], [2.0**30, 0.0]])
     assert exact_scores(q, v).tolist() == [[2**62 + 1, 2**63 - 1]]
