@@ -29,6 +29,7 @@ from boxloom.llm.common import free_name, prefix_sums
 
 #: Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
+SHARDS = 16
 
 
 def n_words(text: str | Column) -> Column:
@@ -93,7 +94,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def plan(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: float = 2.0, shards: int = 16, block: int = 4096, seed: int = 1, text: str = "text", key: str = "doc_id", source: str = "source", keep: Sequence[str] | None = None) -> DataFrame:
+def plan(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: float = 2.0, shards: int = SHARDS, block: int = 4096, seed: int = 1, text: str = "text", key: str = "doc_id", source: str = "source", keep: Sequence[str] | None = None) -> DataFrame:
     """Each row of docs, its columns (or those of keep) in `row`, with size, source_size, target, place, and `pieces`: (pass, words, block, shard, order)
     for each pass that takes some of it. The weights repeat over the sources in the order of their code points, null last."""
     spark = docs.sparkSession
@@ -146,13 +147,15 @@ def permuted_hash(h: np.ndarray, no: np.ndarray) -> np.ndarray:
 
 def mixed(docs: DataFrame, weights: Sequence[float], text: str = "text", **how: object) -> DataFrame:
     """The mix: a row of docs for each pass that takes it; the text that the target cuts ends behind its last word taken. Behind the
-    columns of docs come shard and order, by which a shard's rows are to be sorted; where docs has such names, theirs are _shard and
-    _order."""
+    columns of docs come shard and order; where docs has such names, theirs are _shard and _order. Each shard is a partition, sorted by
+    order: what is written right away has a file for each shard."""
     spread = plan(docs, weights, text=text, **how).select("row", "size", F.explode("pieces").alias("piece"))
     body = F.col("row")[text]
     whole = F.when(F.col("piece.words") >= F.col("size"), body).otherwise(first_words(body, F.col("piece.words")))
     columns = [whole.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
-    return spread.select(*columns, F.col("piece.shard").alias(free_name(docs, "shard")), F.col("piece.order").alias(free_name(docs, "order")))
+    shard, order = free_name(docs, "shard"), free_name(docs, "order")
+    rows = spread.select(*columns, F.col("piece.shard").alias(shard), F.col("piece.order").alias(order))
+    return rows.repartitionById(how.get("shards", SHARDS), shard).sortWithinPartitions(shard, order)
 
 
 def first_words(text: Column, n: Column) -> Column:

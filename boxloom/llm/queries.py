@@ -44,7 +44,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = plan(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, keep=["doc_id"])
     taken = F.aggregate("pieces", F.expr("0L"), lambda a, x: a + x["words"])
-    return mix.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mix.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("pieces.shard").alias("shards"), F.col("pieces.order").alias("orders"))
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

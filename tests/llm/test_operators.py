@@ -63,6 +63,16 @@ def test_mixed_texts(spark):
     assert sum(known[r.doc_id] != r.text for r in out) <= 6 and all(known[r.doc_id].startswith(r.text) for r in out)
 
 
+def test_mixed_files_are_shards(spark, tmp_path):
+    docs, path = spark.createDataFrame([r for r in mixed_rows() if r[0] is not None][:150], SCHEMA), str(tmp_path)
+    drawn = {}
+    for r in mixing.plan(docs, (3, 1, 2), share=1.5, most=2.0).select("row.doc_id", F.explode("pieces").alias("p")).collect():
+        drawn.setdefault(r.p.shard, []).append((r.p.order, r.doc_id))
+    corpus_pipeline.mix(spark, docs, path).write.parquet(f"{path}/mix")
+    files = [[r.doc_id for r in spark.read.parquet(str(f)).collect()] for f in (tmp_path / "mix").glob("*.parquet")]
+    assert len(drawn) > 1 and sorted(f for f in files if f) == sorted([i for _, i in sorted(d)] for d in drawn.values())
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 500), min_size=1, max_size=6), st.integers(1, 9), st.integers(0, 99))
 def test_splitting_tree(quotas, shards, seed):
