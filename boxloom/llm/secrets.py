@@ -29,7 +29,6 @@ _WORDS = r"token|secret|passw|passphrase|pwd|api.?key|access.?key|auth(?!or(?!i[
 _V, _W, _ENDS = r"[^\s\"'`<>&;,]", r"[^\s\"'`<>&;,=:?]", r"(?<![.,;:)\]}])"
 NAMED = rf"((?i:{_WORDS})[^\s=:\"'`]{{0,20}}[\"'`]?(?:\s{{0,2}}[=:]{{1,2}}>?\s{{0,2}}|\s{{1,2}})[\"'`]?){_V}+(?:[&;,](?!\w{{1,40}}[=:]){_V}+){{0,50}}{_ENDS}"
 ASSIGNED = rf"([=:]>?\s{{0,2}}[\"'`]?){_W}+{_ENDS}"
-CANDIDATES = (RUN, NAMED, ASSIGNED)
 #: Frequent parts of names and prose; what they cover is less likely a secret.
 DICTIONARY = "account address admin backup bank build cache class client code color config content count course customer data date default demo device document download draft email error event example export file final first form group guide handler height house image index info invoice item label large last left light line link list local login main manager message meta method model module month name network note number object order other output page part path person photo phone picture place plan point post price print product profile project query read record release report request response result right sample schema screen script section server service session size small source start state status storage street string style summary system table task temp test text thumb time title track type update upload user value version video view week width window world year".split()
 BEFORE = r"(?i)(?:" + _WORDS + r")[^\s]{0,20}\s{0,2}[=:]{0,2}>?\s{0,2}[\"'`]?$"
@@ -183,8 +182,10 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 1) -> Data
 def candidates(text: Column) -> Column:
     """An array of (parts, found, lead) of a text, one for each pattern: what stands between matches, the matches, and what each holds
     before its candidate."""
-    one = lambda p: F.struct(F.split(text, p, -1).alias("parts"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("lead"))
-    return F.array(*map(one, CANDIDATES))
+    one = lambda p, may: F.when(may, matches(p)).otherwise(F.struct(F.array(text).alias("parts"), F.array().cast("array<string>").alias("found"), F.array().cast("array<string>").alias("lead")))
+    matches = lambda p: F.struct(F.split(text, p, -1).alias("parts"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("lead"))
+    # most texts hold no secret word: one look at them instead of three
+    return F.array(matches(RUN), one(NAMED, text.rlike(f"(?i){_WORDS}")), one(ASSIGNED, text.rlike("[=:]")))
 
 
 def in_context(p: Column, judge) -> Column:
