@@ -22,9 +22,11 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Every version of Unicode agrees on the letters below.
 BEYOND = re.compile("[^\x00-\u024f]")
 ACROSS = re.compile(r"\s (?:\s|\Z)")
+#: Stands at the begin of a part of a text that has no space before it.
+MARK = "\0"
+#: The mark, white space but blanks and line breaks, and what may be such or unsettled.
+RARE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u0250-\U0010ffff]")
+#: A letter or digit at the end, on which every version of Unicode agrees.
+SETTLED = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
+SYMBOLS = "\n" + "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -61,11 +70,18 @@ def unsettled() -> re.Pattern:
     return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]" if runs else r"(?!)")
 
 
+def gather(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of data that begin at `at`, one behind the other."""
+    kind = np.int32 if len(data) < 1 << 31 > size.sum() else np.int64
+    ends = np.cumsum(size)
+    return data[np.repeat((at - ends + size).astype(kind), size) + np.arange(ends[-1] if len(ends) else 0, dtype=kind)]
+
+
 class ForcedBpe:
     """Encoder and decoder of one vocabulary. Ids of a text are bytes: little-endian unsigned 32-bit integers."""
 
-    #: Fragments kept by a worker; older ones go by halves.
-    KEPT = 200_000
+    #: Words kept by a worker.
+    KEPT = 400_000
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -100,9 +116,10 @@ class ForcedBpe:
         self.pre = PreTokenizer.ByteLevel(add_prefix_space=False, use_regex=pre.get("use_regex", True))
         self.pattern = regex.compile(PATTERN if pre.get("use_regex", True) else r"(?s).+")
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.marks = {c: self._token(c) for c in ".,;:!?"}
-        self.old: dict = {}
-        self.new: dict = {}
+        self.tails: dict[str, np.ndarray] = {}
+        # words met, and where their ids stand in flat
+        self.words, self.used = pa.array([], pa.string()), np.zeros(0, bool)
+        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of a fragment: the adjacent pair of least rank is merged, the leftmost first, until none is left."""
@@ -145,104 +162,138 @@ class ForcedBpe:
         cuts = [k for k in range(1, len(piece)) if not inside[piece[k - 1] << 8 | piece[k]]]
         return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)] if cuts else [piece]
 
-    def _token(self, text: str) -> bytes:
+    def _token(self, text: str) -> list[int]:
         out: list[int] = []
         for f in self.fragments(text.encode()):
             out += self.merge(f)
-        return np.array(out, "<u4").tobytes()
-
-    def solve(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that are in no table yet."""
-        out = []
-        for p in pieces:
-            tokens = self.pattern.findall(p)
-            out.append(self._token(p) if len(tokens) == 1 else b"".join([self._token(t) for t in tokens]))
         return out
 
-    def _look(self, words: list[str]) -> list[bytes]:
-        """The ids of each word with a space before it."""
-        new, old = self.new, self.old
-        out = list(map(new.get, words))
-        lacking = [k for k, x in enumerate(out) if x is None]
-        if lacking:
-            unique = dict.fromkeys([words[k] for k in lacking])
-            if old:
-                found = {w: x for w in unique if (x := old.get(w)) is not None}
-                new.update(found)
-                unique.update(found)
-            got = self._words([w for w, x in unique.items() if x is None])
-            unique.update(got)
-            new.update(got if max(map(len, got), default=0) < 100 else {w: x for w, x in got.items() if len(w) < 100})
-            for k in lacking:
-                out[k] = unique[words[k]]
-            if len(new) > self.KEPT:
-                self.old, self.new = new, {}
-        return out
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, with a space before them, that are in no table. Letters and a mark behind them are two tokens of the pattern,
-        so only the letters are encoded, where they are new."""
-        letters, marked, rest, new, old = {}, [], [], self.new, self.old
-        for w in words:
-            if w.isalpha():
-                letters[w] = None
-            elif w[-1:] in self.marks and w[:-1].isalpha():
-                marked.append(w)
-            else:
-                rest.append(w)
-        known = {}
-        for w in marked:
-            if (b := w[:-1]) not in known and b not in letters:
-                x = new.get(b) or old.get(b)
-                if x is None:
-                    letters[b] = None
-                else:
-                    known[b] = x
-        got = dict(zip(letters, self.letters(list(letters)), strict=True))
-        marks = self.marks
-        out = dict(zip(rest, self.solve([" " + w for w in rest]), strict=True))
-        out.update(got)
-        out.update([(w, (known.get(w[:-1]) or got[w[:-1]]) + marks[w[-1]]) for w in marked])
-        return out
-
-    def letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone, each with a space before it."""
-        return [self._token(" " + w) for w in words]
-
-    def _odd(self, text: str) -> bytes:
+    def letters(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces that are one token of the pattern: letters, with or without a space before them."""
+        return [self._token(p) for p in pieces]
+
+    def solve(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of any other pieces."""
+        return [[i for t in self.pattern.findall(p) for i in self._token(t)] for p in pieces]
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The numbers of words in the table; those it lacks are encoded. A word has a space before it, unless it begins with the mark."""
+        found = pc.index_in(words, value_set=self.words)
+        place = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        if not found.null_count:
+            self.used[place] = True
+            return place
+        new = np.flatnonzero(pc.is_null(found).to_numpy(zero_copy_only=False))
+        lacking = words.take(pa.array(new)).dictionary_encode()
+        todo = lacking.dictionary.to_pylist()
+        got: dict[str, list[int]] = {}
+        for solve, some in ((self.letters, [w for w in todo if w.lstrip(MARK).isalpha()]), (self.solve, [w for w in todo if not w.lstrip(MARK).isalpha()])):
+            got.update(zip(some, solve([w[1:] if w[:1] == MARK else " " + w for w in some]), strict=True))
+        self.used[place[pc.is_valid(found).to_numpy(zero_copy_only=False)]] = True
+        if len(self.words) + len(todo) > self.KEPT:  # what no text has had since the last time goes
+            moved = np.cumsum(self.used) - 1
+            self._keep(np.flatnonzero(self.used))
+            self.used[:] = False
+            place = moved[place] if len(moved) else place
+        place[new] = len(self.words) + lacking.indices.to_numpy()
+        ids = [got[w] for w in todo]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.at = np.append(self.at, len(self.flat) + np.cumsum(size) - size)
+        self.size, self.flat = np.append(self.size, size), np.append(self.flat, np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum())))
+        self.words, self.used = pa.concat_arrays([self.words, lacking.dictionary.cast(pa.string())]), np.append(self.used, np.ones(len(todo), bool))
+        return place
+
+    def _keep(self, rows: np.ndarray) -> None:
+        self.flat = gather(self.flat, self.at[rows], self.size[rows])
+        self.words, self.size, self.used = self.words.take(pa.array(rows)), self.size[rows], self.used[rows]
+        self.at = np.cumsum(self.size) - self.size
+
+    def _look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one behind the other, and how many each has.
+
+        Symbols behind a letter or digit begin a token of the pattern, so they are looked up apart from what stands before them."""
+        bases = pc.utf8_rtrim(words, SYMBOLS)
+        bases = pc.if_else(pc.match_substring_regex(bases, SETTLED), bases, words)
+        long, short = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (words, bases))
+        rows = np.flatnonzero(long > short)
+        # what stands behind the bases, cut out of the words' bytes
+        first = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_string(words.type) else np.int32, len(words) + 1, words.offset * (8 if pa.types.is_large_string(words.type) else 4)).astype(np.int64)
+        n = (long - short)[rows]
+        body = gather(np.frombuffer(words.buffers()[2] or b"", np.uint8), first[rows] + short[rows], n)
+        tails = pa.StringArray.from_buffers(len(rows), pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int32)), pa.py_buffer(body)).dictionary_encode()
+        kinds = [self.tails[t] if t in self.tails else self._tail(t) for t in tails.dictionary.to_pylist()]
+        k_size = np.fromiter(map(len, kinds), np.int64, len(kinds))
+        base = self._known(bases)
+        at, size = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        at[:, 0], size[:, 0] = self.at[base], self.size[base]
+        code = tails.indices.to_numpy()
+        at[rows, 1], size[rows, 1] = (len(self.flat) + np.cumsum(k_size) - k_size)[code], k_size[code]
+        return gather(np.concatenate([self.flat, *kinds]), at.ravel(), size.ravel()), size.sum(axis=1)
+
+    def _tail(self, tail: str) -> np.ndarray:
+        ids = np.array(self.solve([tail])[0], "<u4")
+        if len(self.tails) < 10_000 and len(tail) < 20:
+            self.tails[tail] = ids
+        return ids
+
+    def _odd(self, text: str) -> list[int]:
         """Ids of a text that may not be cut before each space: with added tokens, or white space or characters that look across."""
         parts = self.split_added.split(text) if self.split_added else [text]
-        out = []
+        out: list[int] = []
         for k, x in enumerate(parts):
             if k % 2:
-                out.append(np.array([self.added[x]], "<u4").tobytes())
+                out.append(self.added[x])
             elif x:
                 pieces = [x[a:b] for _, (a, b) in self.pre.pre_tokenize_str(x)] if unsettled().search(x) else self.pattern.findall(x)
-                out += [self._token(t) for t in pieces]
-        return b"".join(out)
+                for t in pieces:
+                    out += self._token(t)
+        return out
+
+    def _parts(self, text: str) -> str | None:
+        """The text, so that its parts between spaces can be encoded apart: the first has the mark, and so have those behind line breaks,
+        which get a space where no other white space is near. None: it can't be cut."""
+        if not self.at_space or any(a in text for a in self.added):
+            return None
+        if RARE.search(text):
+            whole = MARK in text or ACROSS.search(text) or (not text.isascii() and BEYOND.search(text) and unsettled().search(text))
+            return None if whole else MARK + text
+        if ("  " in text or "\n " in text) and ACROSS.search(text):
+            return None
+        return MARK + (text if "\n\n" in text or " \n" in text else text.replace("\n", "\n " + MARK))
+
+    def encode_arrays(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text behind the other, and how many each has.
+
+        Words are told apart and numbered by Arrow; only distinct ones are looked up, and their ids are gathered by number."""
+        parts = [self._parts(t) if t else "" for t in texts]
+        count = np.zeros(len(texts), np.int64)
+        odd = {i: np.array(self._odd(texts[i]), "<u4") for i, x in enumerate(parts) if x is None}
+        plain = np.array([i for i, x in enumerate(parts) if x], np.int64)
+        some = [parts[i] for i in plain.tolist()]
+        words = pc.split_pattern(pa.array(some, pa.string() if sum(map(len, some)) < 1 << 28 else pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        flat, size = self._look(coded.dictionary)
+        code = coded.indices.to_numpy()
+        n = size[code]
+        ends = np.append(0, np.cumsum(n))
+        out = gather(flat, (np.cumsum(size) - size)[code], n)
+        bounds = ends[np.append(0, np.cumsum(words.value_lengths().to_numpy()))]
+        count[plain] = np.diff(bounds)
+        if odd:
+            count[list(odd)] = [len(x) for x in odd.values()]
+            mine = {i: out[a:b] for i, a, b in zip(plain.tolist(), bounds.tolist(), bounds[1:].tolist(), strict=False)} | odd
+            out = np.concatenate([mine[i] for i in sorted(mine)])
+        return out, count
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        out, words, spans = [b""] * len(texts), [], []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.at_space or ACROSS.search(t) or (self.split_added and self.split_added.search(t)) or (not t.isascii() and BEYOND.search(t) and unsettled().search(t)):
-                out[i] = self._odd(t)
-                continue
-            head, *rest = t.split(" ")
-            spans.append((i, head, len(words), len(words) + len(rest)))
-            words += rest
-        got = self._look(words)
-        heads = dict.fromkeys(s[1] for s in spans if s[1])
-        heads = dict(zip(heads, self.solve(list(heads)), strict=True))
-        for i, head, a, b in spans:
-            out[i] = b"".join([heads.get(head, b""), *got[a:b]])
-        return out
+        ids, count = self.encode_arrays(texts)
+        data, ends = ids.tobytes(), np.append(0, 4 * np.cumsum(count)).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
-    def decode(self, ids: bytes) -> str:
+    def decode(self, ids: bytes | np.ndarray) -> str:
         table = self.table
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
@@ -250,7 +301,7 @@ class ForcedBpe:
 class LibraryBpe(ForcedBpe):
     """The same with the tokenizers library: it encodes each piece that is in no table yet."""
 
-    KEPT = 600_000
+    KEPT = 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -258,44 +309,29 @@ class LibraryBpe(ForcedBpe):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.sizes = np.array([len(t) for t in self.table])
-        # the same model for words spelled in the alphabet of the vocabulary, a line each, so that it has no pattern to match
-        self.lines = Tokenizer.from_file(path)
-        self.lines.pre_tokenizer = PreTokenizer.Split("\n", "removed")
+        self.model = self.library.model
         self.spelled = {b: c for c, b in byte_alphabet().items()}
 
-    def letters(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
-        spelled = ["Ġ" + w if w.isascii() else "Ġ" + w.encode().decode("latin-1").translate(self.spelled) for w in words]
-        ids = np.array(self.lines.encode_batch_fast(["\n".join(spelled)], add_special_tokens=False)[0].ids, "<u4")
-        # a character of that alphabet is a byte
-        ends, at = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
-        cut = np.searchsorted(ends, at)
-        if ends[-1] != at[-1] or not (ends[cut] == at).all():
-            raise AssertionError("the library's ids don't spell the words")
-        got, cuts = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
-        return [got[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def solve(self, pieces: list[str]) -> list[bytes]:
-        """Pieces that begin with a space before something visible are encoded as one text, and its ids cut where they begin."""
-        alone = [k for k, p in enumerate(pieces) if p[0] != " " or p[1:2].isspace() or len(p) < 2]
-        if alone:
-            each = {k: np.array(e.ids, "<u4").tobytes() for k, e in zip(alone, self.library.encode_batch_fast([pieces[k] for k in alone], add_special_tokens=False), strict=True)}
-            rest = iter(self.solve([p for k, p in enumerate(pieces) if k not in each]))
-            return [each[k] if k in each else next(rest) for k in range(len(pieces))]
-        if not pieces:
-            return []
-        data = "".join(pieces).encode()
-        ids = np.array(self.library.encode_batch_fast([data.decode()], add_special_tokens=False)[0].ids, "<u4")
-        at = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32)[1:], len(data))
-        if len(at) == len(pieces):
-            ends = np.cumsum(self.sizes[ids])
-            cut = np.searchsorted(ends, at)
-            if (ends[np.minimum(cut, len(ends) - 1)] == at).all():
-                got, cuts = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
-                return [got[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+    def letters(self, pieces: list[str]) -> list[list[int]]:
+        """One token of the pattern goes right to the library's model, spelled in the alphabet of the vocabulary."""
+        tokenize, spelled = self.model.tokenize, self.spelled
+        return [[t.id for t in tokenize(p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(spelled))] for p in pieces]
+
+    def solve(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+
+    def _odd(self, text: str) -> list[int]:
+        return self.solve([text])[0]
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about `most` bytes of a text column: what a batch holds does not follow the lengths of its texts."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")), at + 1)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 @functools.cache
@@ -304,17 +340,24 @@ def encoder(path: str, kind: type[ForcedBpe] = ForcedBpe) -> ForcedBpe:
     return kind(path)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
-    """(key, n_tokens, ids binary, decoded string) of each row, and behind them the columns to carry; no rows move between tasks."""
+def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", carry: Sequence[str] = (), decoded: bool = True) -> DataFrame:
+    """(key, n_tokens, ids binary, decoded string) of each row, and behind them the columns to carry; no rows move between tasks.
+
+    Without `decoded` the decoded text is held against the text (null: empty), and `round_trip` tells whether they are equal."""
     also = docs.select(*[F.col(c) for c in carry]).schema.fields
-    schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType()), *also])
+    last = T.StructField("decoded", T.StringType()) if decoded else T.StructField("round_trip", T.BooleanType())
+    schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), last, *also])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                ids = bpe.encode_many(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string()), *part.columns[2:]], names=schema.names)
+            for part in by_bytes(b, 1):
+                texts = part.column(1).to_pylist()
+                ids, count = bpe.encode_arrays(texts)
+                ends = np.append(0, 4 * np.cumsum(count))
+                back = [bpe.decode(ids[a:z]) for a, z in zip((ends[:-1] // 4).tolist(), (ends[1:] // 4).tolist(), strict=True)]
+                column = pa.array(back, pa.string()) if decoded else pa.array([x == (t or "") for x, t in zip(back, texts, strict=True)], pa.bool_())
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), packed, column, *part.columns[2:]], names=schema.names)
 
     return docs.select(F.col(key), F.col(text), *[F.col(c) for c in carry]).mapInArrow(run, schema)

@@ -16,7 +16,6 @@ tables without rows."""
 
 from __future__ import annotations
 
-import gc
 import struct
 from collections.abc import Iterator
 
@@ -27,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from boxloom.llm.bpe import LibraryBpe, encoder
-from boxloom.llm.common import parallelism, release, stage_path, staged
+from boxloom.llm.bpe import LibraryBpe, by_bytes, encoder
+from boxloom.llm.common import discard, parallelism, release, stage_path, staged
 
 MAGIC = b"BLT1"
 
@@ -121,28 +120,28 @@ def unpack(block: bytes, ids: np.ndarray, bits: np.ndarray, longest: int) -> np.
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None, path: str, text: str = "text", key: str = "doc_id", longest: int = 18, block_tokens: int = 1 << 18, every: int = 256) -> None:
     """Encodes the texts with the tokenizers library, appends end_id to each, and writes the folder `path`."""
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, before = encoder(vocabulary, LibraryBpe), TaskContext.get().partitionId(), 0
         most = max(len(bpe.table) - 1, end_id or 0)
-        gc.disable()  # nothing here makes cycles, and the tables are large
         wide, total = "<u4" if most > 65535 else "<u2", np.zeros(most + 1, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                rows = b.slice(at, 500)
-                ids = [np.frombuffer(x + end, "<u4") for x in bpe.encode_many(rows.column(1).to_pylist())]
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), rows.column(0), pa.array(before + np.cumsum(n) - n), pa.array(n), pa.array([x.astype(wide).tobytes() for x in ids], pa.binary())], names=["part", "key", "before", "n", "ids"])
-                before += int(n.sum())
-                total += np.bincount(np.concatenate(ids).astype(np.int64), minlength=len(total)) if len(ids) else 0
-        gc.enable()
+            for rows in by_bytes(b, 1):
+                ids, n = bpe.encode_arrays(rows.column(1).to_pylist())
+                if end_id is not None:
+                    ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                ends = np.append(0, np.cumsum(n))
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * int(wide[-1])).astype(np.int32)), pa.py_buffer(ids.astype(wide))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), rows.column(0), pa.array(before + ends[:-1]), pa.array(n), packed], names=["part", "key", "before", "n", "ids"])
+                before += int(ends[-1])
+                total += np.bincount(ids, minlength=len(total))
         # a last row, of -1 tokens, has the counts of the ids
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, arrow_kind), pa.array([0], pa.int64()), pa.array([-1], pa.int64()), pa.array([found.astype("<i8").tobytes() + total[found].astype("<i8").tobytes()], pa.binary())], names=["part", "key", "before", "n", "ids"])
 
     arrow_kind = to_arrow_type(docs.schema[key].dataType)
-    spread = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(parallelism(spark), F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"), "text")
+    ranges = parallelism(spark)
+    spread = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(ranges, F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"), "text")
     tokens = staged(spread.mapInArrow(tokenize, f"part int, key {kind}, before long, n long, ids binary"), "tokens")
     release(spark)
 
@@ -172,22 +171,22 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None, path: str
         keys: list = []
         lens: list[int] = []
         parts: list[np.ndarray] = []
-        first, held, of = 0, 0, None
+        first, held, of = 0, 0, 0
 
         def block() -> pa.RecordBatch:
             packed = pack(np.concatenate(parts).astype(np.int64), code, size, every)
-            return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([keys], pa.list_(kind_arrow)), pa.array([lens], pa.list_(pa.int64())), pa.array([packed], pa.binary())], names=["start", "keys", "lens", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([first], pa.int64()), pa.array([keys], pa.list_(kind_arrow)), pa.array([lens], pa.list_(pa.int64())), pa.array([packed], pa.binary())], names=["part", "start", "keys", "lens", "block"])
 
         for b in batches:
             kind_arrow = b.schema.field("key").type
             for at in range(0, b.num_rows, 1000):
                 rows = b.slice(at, 1000)
                 for part, key, before, n, x in zip(*(rows.column(c).to_pylist() for c in ("part", "key", "before", "n", "ids")), strict=True):
-                    if held and (held + n > block_tokens or base[part] + before != first + held):
+                    if held and (held + n > block_tokens or part != of or base[part] + before != first + held):
                         yield block()
                         keys, lens, parts, held = [], [], [], 0
                     if not keys:
-                        first = base[part] + before
+                        first, of = base[part] + before, part
                     keys.append(key)
                     lens.append(n)
                     parts.append(narrow(x, n))
@@ -195,7 +194,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None, path: str
         if keys:
             yield block()
 
-    tokens.where("n >= 0").mapInArrow(encode, f"start long, keys array<{kind}>, lens array<long>, block binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    blocks = tokens.where("n >= 0").mapInArrow(encode, f"part int, start long, keys array<{kind}>, lens array<long>, block binary")
+    # a file for each range, so that the files, too, are in the order of the keys
+    blocks.repartitionById(ranges, "part").sortWithinPartitions("start").drop("part").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    discard(tokens)
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
