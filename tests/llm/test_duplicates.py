@@ -9,7 +9,7 @@ import pytest
 from boxloom.llm import neardup, repeats
 from boxloom.llm.common import Words
 from boxloom.llm.components import components
-from boxloom.llm.neardup_vectors import near_duplicate_vectors
+from boxloom.llm.neardup_vectors import Forest, linked, near_duplicate_vectors, unit
 from boxloom.llm.topk import exact_scores, top_k
 from tests.llm.helpers import documents, odd_rows, prose, with_clashes
 
@@ -199,6 +199,31 @@ def test_vectors(spark, leaf, block):
     assert near_duplicate_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_forest_finds_near_pairs_below_the_fitted_levels():
+    r = np.random.default_rng(3)
+    middle = unit(r.standard_normal((2000, 64)))
+    x = unit(np.concatenate([middle, middle + 0.035 * r.standard_normal((2000, 64))]))
+    f = Forest(x[r.choice(len(x), 512, replace=False)], trees=4, depth=10, spill=0.25 * (0.1 / 64) ** 0.5, seed=1)
+    assert f.fitted == 5
+    row, leaf = f.leaves(x)
+    of = [set() for _ in x]
+    for i, k in zip(row.tolist(), leaf.tolist(), strict=True):
+        of[i].add(k)
+    near = (x[:2000] * x[2000:]).sum(axis=1) >= 0.9
+    assert near.sum() > 1000 and np.mean([bool(of[i] & of[i + 2000]) for i in np.flatnonzero(near)]) >= 0.9
+    assert np.unique(leaf, return_counts=True)[1].max() < 200
+    # what a row's leaves are does not depend on the rows beside it
+    for i in (0, 7, 3999):
+        assert set(f.leaves(x[i : i + 1])[1].tolist()) == of[i]
+
+
+def test_links_at_the_threshold():
+    x = unit(np.random.default_rng(1).standard_normal((50, 8)))
+    least = float((x[3] * x[9]).sum())
+    hit = linked(x, least)
+    assert hit[3, 9] and hit[9, 3] and (hit == hit.T).all() and not hit.diagonal().any()
+
+
 @pytest.mark.parametrize(("rings", "block"), [(8, 2048), (3, 7)])
 def test_top_k(spark, rings, block):
     from pyspark.sql import functions as F
