@@ -14,7 +14,8 @@ Only sums by source and the quotas (sources times shards) come to the driver, ne
 like any other, since places come from range sums. All draws come from `seed`, so reruns agree.
 
 A null text has no words; a document without words is taken 0 times. A null source is a source of its own, the last. Where no words
-are, all targets are 0. Rows that tie (same id, same text) are all kept; they stand in the order in which they are read."""
+are, all targets are 0. Rows that tie (same id, same text) are all kept; they stand in the order in which they are read. Long texts are
+counted whole and taken whole, but for the last of a source. Empty tables give empty tables. The columns of docs may have any names."""
 
 from __future__ import annotations
 
@@ -30,6 +31,10 @@ from boxloom.llm.common import free_name, prefix_sums
 #: Fixed value: what a word is.
 WORD = r"[^\x20\x09-\x0D]+"
 SHARDS = 16
+#: Blocks grow beyond so many: the generator's hypergeometric draws are exact below a population of 10**9.
+MOST_BLOCKS = 500_000_000
+#: Words of a part of a shard. A shard is written as parts, in the order of its rows, so that no task holds a shard however large.
+PART = 4_000_000
 
 
 def n_words(text: str | Column) -> Column:
@@ -63,18 +68,11 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     for i, q in enumerate(quotas.tolist()):  # the marginals of the multivariate draw, one source after the other
         pool -= q
         if q and rest:
-            mine[i] = rest if not pool else rng.hypergeometric(q, pool, rest) if q + pool < 10**9 else _spread(q, pool, rest, rng)
+            mine[i] = rng.hypergeometric(q, pool, rest) if pool else rest
         rest -= int(mine[i])
     return np.concatenate([split(mine, left, rng), split(quotas - mine, shards - left, rng)])
 
 
-def _spread(q: int, pool: int, draw: int, rng: np.random.Generator) -> int:
-    """A hypergeometric draw too large for the generator, by its normal limit."""
-    n, p = q + pool, q / (q + pool)
-    x = rng.normal(draw * p, (draw * p * (1 - p) * (n - draw) / max(n - 1, 1)) ** 0.5)
-    return int(min(max(round(x), draw - pool, 0), q, draw))
-
-
 def permuted(index: np.ndarray, size: np.ndarray, key: int) -> np.ndarray:
     """A pseudo-random permutation of 0..size-1 at index, elementwise: a Feistel network that is walked until it falls inside."""
     half = np.maximum((np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) + 1) // 2, 1).astype(np.uint64)
@@ -94,9 +92,14 @@ def permuted(index: np.ndarray, size: np.ndarray, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def plan(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: float = 2.0, shards: int = SHARDS, block: int = 4096, seed: int = 1, text: str = "text", key: str = "doc_id", source: str = "source", keep: Sequence[str] | None = None) -> DataFrame:
+def plan(docs: DataFrame, weights: Sequence[float], **how: object) -> DataFrame:
     """Each row of docs, its columns (or those of keep) in `row`, with size, source_size, target, place, and `pieces`: (pass, words, block, shard, order)
     for each pass that takes some of it. The weights repeat over the sources in the order of their code points, null last."""
+    return _plan(docs, weights, **how)[0]
+
+
+def _plan(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: float = 2.0, shards: int = SHARDS, block: int = 4096, seed: int = 1, text: str = "text", key: str = "doc_id", source: str = "source", keep: Sequence[str] | None = None) -> tuple[DataFrame, int]:
+    """plan(), and the words of the whole mix."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(c) for c in keep or docs.columns]).alias("row"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("h1"), F.xxhash64(F.lit(seed + 1), F.col(key).cast("string"), text).alias("h2"))
     placed = prefix_sums(rows, ["h1", "h2"], "size", "place", "source")
@@ -104,6 +107,7 @@ def plan(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: fl
     sizes = [r.n for r in found]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
     words = [round(t) for t in wanted]
+    block = max(block, -(-sum(words) // MOST_BLOCKS))
     quotas = np.array([-(-w // block) for w in words], np.int64)
     ends = np.cumsum(split(quotas, shards, np.random.default_rng(seed)), axis=0) if len(quotas) else np.zeros((shards, 0), np.int64)
     by_source = spark.createDataFrame([(r.source, i, s, t, w, int(q), [int(x) for x in ends[:, i]]) for i, (r, s, t, w, q) in enumerate(zip(found, sizes, wanted, words, quotas, strict=True))], "s string, s_no int, source_size long, target double, words long, quota long, ends array<long>")
@@ -133,7 +137,7 @@ def plan(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: fl
             out = {c: col(c) for c in names} | {"pieces": pa.ListArray.from_arrays(offsets(pieces), full)}
             yield pa.RecordBatch.from_arrays([out[c] for c in schema.names], names=schema.names)
 
-    return taken.drop("h1").mapInArrow(deal, schema)
+    return taken.drop("h1").mapInArrow(deal, schema), sum(words)
 
 
 def offsets(lists: pa.ListArray) -> pa.Array:
@@ -147,15 +151,21 @@ def permuted_hash(h: np.ndarray, no: np.ndarray) -> np.ndarray:
 
 def mixed(docs: DataFrame, weights: Sequence[float], text: str = "text", **how: object) -> DataFrame:
     """The mix: a row of docs for each pass that takes it; the text that the target cuts ends behind its last word taken. Behind the
-    columns of docs come shard and order; where docs has such names, theirs are _shard and _order. Each shard is a partition, sorted by
-    order: what is written right away has a file for each shard."""
-    spread = plan(docs, weights, text=text, **how).select("row", "size", F.explode("pieces").alias("piece"))
+    columns of docs come shard and order; where docs has such names, theirs are _shard and _order. Each shard is one or more
+    partitions that follow each other, sorted by order: what is written right away has a file for each part of about PART words."""
+    shards = how.get("shards", SHARDS)
+    planned, words = _plan(docs, weights, text=text, **how)
+    spread = planned.select("row", "size", F.explode("pieces").alias("piece"))
     body = F.col("row")[text]
     whole = F.when(F.col("piece.words") >= F.col("size"), body).otherwise(first_words(body, F.col("piece.words")))
     columns = [whole.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
     shard, order = free_name(docs, "shard"), free_name(docs, "order")
-    rows = spread.select(*columns, F.col("piece.shard").alias(shard), F.col("piece.order").alias(order))
-    return rows.repartitionById(how.get("shards", SHARDS), shard).sortWithinPartitions(shard, order)
+    # orders are spread evenly over 64 bits, so equal stretches of them are parts of about equal size
+    parts = max(1, -(-words // (shards * PART)))
+    part = F.floor((F.col("piece.order").cast("double") / 2.0**64 + 0.5) * parts).cast("int")
+    at = F.col("piece.shard") * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))
+    rows = spread.select(*columns, F.col("piece.shard").alias(shard), F.col("piece.order").alias(order), at.alias("_at"))
+    return rows.repartitionById(shards * parts, "_at").drop("_at").sortWithinPartitions(shard, order)
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -4,12 +4,14 @@ Features of a text, each counted once: its words, pairs of neighbouring words, a
 letters and digits, lower-cased, and features are hashed to 2**bits coordinates. Every coordinate has its own learning rate, and L1
 leaves at zero whatever does not pay, so the weights that remain are few: they are sent to all tasks as (coordinate, weight).
 
-Learning reads at most `most` labelled rows, those of the least hashes of their ids, in the order of these hashes, in one task; a
-held-out row is never among them. The bound is on the labelled sample alone: every text is scored, whole.
+Learning reads at most `most` labelled texts, those of the least hashes of their ids, in the order of these hashes, in one task; a
+held-out row is never among them. The bound is on the labelled sample alone, after labels and texts have met, so that it also holds
+where an id has many rows or labels: every text is scored, whole and however long.
 
 Null and empty texts get the score of the intercept, which starts from the share of label 1, (ones + 1) / (labels + 10); so without
 labels all scores are 0.1, and nothing is called toxic. Null labels don't count. A document with several labels counts as each of
-them. Only the text is an input of a score."""
+them. Only the text is an input of a score; rows that tie or repeat have one score each. Empty tables give empty tables. Other columns may
+have any names: score() adds its own under the name it is given, toxicity() returns four columns."""
 
 from __future__ import annotations
 
@@ -95,8 +97,8 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
 
-def learn_weights(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = 20, most: int = 12_000, text: str = "text", key: str = "doc_id") -> list[tuple[int, float]]:
-    """(coordinate, weight) learned from the labelled rows that aren't held out; at most `most` of them are read."""
+def learned_from(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = 20, most: int = 12_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(y, x): label and coordinates of at most `most` labelled rows that aren't held out, one partition in their order."""
     seen = labels.select(F.col(key).alias("doc"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & F.col("doc").isNotNull()).where(~held_out("doc"))
     order = [F.xxhash64("doc"), "doc", "y"]
     sample = seen.orderBy(*order).limit(most)
@@ -108,14 +110,21 @@ def learn_weights(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits
             x = [features(t.as_py(), bits).astype("<u4").tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["doc", "y", "x"])
 
+    kind = seen.schema["doc"].dataType.simpleString()
+    ready = pool.select("doc", "y", "text").mapInArrow(hashed, f"doc {kind}, y double, x binary")
+    # a document of many rows or labels gives many; the bound holds for what is read
+    return ready.orderBy(*order, "x").limit(most).repartition(1).sortWithinPartitions(*order, "x").select("y", "x")
+
+
+def learn_weights(docs: DataFrame, labels: DataFrame, bits: int = 20, **how: object) -> list[tuple[int, float]]:
+    """(coordinate, weight) learned from the labelled rows that aren't held out; a bounded number of them is read."""
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(np.frombuffer(x, "<u4"), y) for b in batches for x, y in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)]
         at, w = train(rows, bits)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w)], names=["at", "w"])
 
-    kind = seen.schema["doc"].dataType.simpleString()
-    ready = pool.select("doc", "y", "text").mapInArrow(hashed, f"doc {kind}, y double, x binary")
-    one = ready.repartition(1).sortWithinPartitions(*order, "x").select("y", "x")
+    one = learned_from(docs, labels, bits=bits, **how)
     got = [(r.at, r.w) for r in one.mapInArrow(fit, "at long, w double").collect()]
     return got or [(int(a), float(w)) for a, w in zip(*train([], bits), strict=True)]  # no rows, no task
 

@@ -73,6 +73,23 @@ def test_mixed_files_are_shards(spark, tmp_path):
     assert len(drawn) > 1 and sorted(f for f in files if f) == sorted([i for _, i in sorted(d)] for d in drawn.values())
 
 
+def test_large_shards_are_written_as_parts(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([r for r in mixed_rows() if r[0] is not None][:150], SCHEMA)
+    monkeypatch.setattr(mixing, "PART", 60)
+    rows = mixing.mixed(docs, (3, 1, 2), shards=2)
+    rows.write.parquet(f"{tmp_path}/mix")
+    files = [[(r["shard"], r["order"]) for r in spark.read.parquet(str(f)).collect()] for f in sorted((tmp_path / "mix").glob("*.parquet"))]
+    together = [x for f in files for x in f]
+    assert sum(map(bool, files)) > 4 and together == sorted(together) and {x[0] for x in together} == {0, 1}
+    plain = mixing.plan(docs, (3, 1, 2), shards=2).select(F.explode("pieces").alias("p")).select("p.shard", "p.order").collect()
+    assert sorted(map(tuple, plain)) == together
+
+
+def test_draws_of_many_blocks_are_exact(monkeypatch):
+    got = mixing.split(np.array([300_000_000, 199_000_000]), 4, np.random.default_rng(1))
+    assert (got.sum(axis=0) == [300_000_000, 199_000_000]).all() and np.ptp(got.sum(axis=1)) <= 1 and mixing.MOST_BLOCKS < 10**9
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 500), min_size=1, max_size=6), st.integers(1, 9), st.integers(0, 99))
 def test_splitting_tree(quotas, shards, seed):
@@ -222,6 +239,13 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), marks).count() == 0
 
 
+def test_the_bound_holds_for_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "", "", 1) for i in range(300)] + [(4, "other", "", "", 1)], SCHEMA)
+    marks = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.learned_from(docs, marks).count() == 601
+    assert toxicity.learned_from(docs, marks, most=50).count() == 50  # however many rows an id has
+
+
 def test_pipeline(spark, tmp_path):
     rows, labels = toxic_rows(300)
     copies = [(2000 + i, r[1], "en", "b", 1) for i, r in enumerate(rows[:20])]
