@@ -10,7 +10,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from boxloom.operators import frames as fr
 from boxloom.operators.unci import Unsupported
 from boxloom.operators.unci import decode as decode_unci
-from boxloom.plans.items import GAIN_MAP, auxiliaries, payloads, references, resolved_items, thumbnails
+from boxloom.plans.items import GAIN_MAP, first_with, let, node_payload, resolved
 from boxloom.sources.boxes import Fields, Short
 from boxloom.sources.container import ALPHA_HEVC, ALPHA_URN, Limits
 from boxloom.sources.tables import Container
@@ -155,19 +155,18 @@ IMAGE = "role string, width int, height int, format string, stride int, data bin
 
 def pictures(c: Container, form: str = "rgb", roles: tuple[str, ...] = ("primary",)) -> DataFrame:
     """(file_id, role, width, height, format, stride, data, warning, error) of each file's primary image, thumbnail and gain map."""
-    items = resolved_items(c)
-    kids = references(c, "dimg", MOST_TILES).groupBy("file_id", F.col("from_id").alias("item_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "to_id"))), lambda x: x["to_id"]).alias("dimg"))
-    data = payloads(c).withColumnRenamed("error", "payload_error")
-    whole = items.join(kids, ["file_id", "item_id"], "left").join(data, ["file_id", "item_id"], "left").withColumn("dimg", F.coalesce("dimg", F.array().cast("array<bigint>")))
-    columns = ["item_id", "item_type", "ispe", "colr", "hvcc", "av1c", "uncc", "cmpc", "cmpd", "icef", "transforms", "dimg", "payload", "payload_error"]
-    by_file = whole.groupBy("file_id").agg(F.collect_list(F.struct(*columns)).alias("items"))
-    target = c.files.select("file_id", F.col("primary_id").alias("target_id"))
-    place = F.struct("ref_ord", "pos")
-    best = lambda df: df.join(target, ["file_id", "target_id"]).groupBy("file_id").agg(F.min_by("item_id", place).alias("item_id"))
-    alpha = best(auxiliaries(c, items, ALPHA_URN)).select("file_id", F.col("item_id").alias("a1")).join(best(auxiliaries(c, items, ALPHA_HEVC)).select("file_id", F.col("item_id").alias("a2")), "file_id", "full").select("file_id", F.coalesce("a1", "a2").alias("alpha"))
-    out = c.files.select("file_id", "primary_id", F.col("error").alias("parse_error")).join(by_file, "file_id", "left").join(alpha, "file_id", "left")
-    for name, df in (("thumbnail", thumbnails(c)), ("gain_map", auxiliaries(c, items, GAIN_MAP))):
-        out = out.join(best(df).withColumnRenamed("item_id", name), "file_id", "left") if name in roles else out.withColumn(name, F.lit(None).cast("bigint"))
+    columns = ["item_id", "item_type", "ispe", "colr", "hvcc", "av1c", "uncc", "cmpc", "cmpd", "icef", "transforms"]
+
+    def known(n: Column) -> Column:
+        bytes_of = lambda r: let(node_payload(n), lambda p: F.struct(*[r[k].alias(k) for k in columns], F.slice(n["dimg"], 1, MOST_TILES).alias("dimg"), p["payload"].alias("payload"), p["error"].alias("payload_error")))
+        return let(resolved(n), bytes_of)
+
+    primary, none = F.col("primary_id"), F.lit(None).cast("bigint")
+    alpha = F.coalesce(first_with("auxl", primary, ALPHA_URN), first_with("auxl", primary, ALPHA_HEVC))
+    small = first_with("thmb", primary) if "thumbnail" in roles else none
+    gain = first_with("auxl", primary, GAIN_MAP) if "gain_map" in roles else none
+    # items and their payloads are put together in the row of their file, and decoded there
+    out = c.whole.select("file_id", "primary_id", F.col("error").alias("parse_error"), F.transform("nodes", known).alias("items"), alpha.alias("alpha"), small.alias("thumbnail"), gain.alias("gain_map"))
     kind, limits = c.parsed.schema["file_id"].dataType, c.limits
     schema = T.StructType([T.StructField("file_id", kind), *T.StructType.fromDDL(IMAGE).fields])
     arrow = to_arrow_schema(schema)

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from boxloom.functions.hevc_bits import PPS, SPS, picture_parameters, sequence_parameters, slice_start
 from boxloom.operators.metrics import length_prefixed
-from boxloom.plans.items import payloads, resolved_items
+from boxloom.plans.items import last_of, node_payload, properties
 from boxloom.sources.boxes import Damaged, Short
 from boxloom.sources.tables import Container
 
@@ -60,5 +60,6 @@ def coded_items(c: Container) -> DataFrame:
                 rows.append({"file_id": f, "item_id": i} | {n: got.get(n) for n in schema.names[2:]})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    items = resolved_items(c).where("hvcc is not null").join(payloads(c).drop("error"), ["file_id", "item_id"], "left")
-    return items.select("file_id", "item_id", F.col("hvcc.nals").alias("nals"), F.col("hvcc.nal_length").alias("size"), "payload").mapInArrow(run, schema)
+    coded = F.filter("nodes", lambda n: F.exists(properties(n["props"]), lambda p: p["kind"] == "hvcc"))
+    items = c.whole.select("file_id", F.explode(F.transform(coded, lambda n: F.struct(n["item_id"].alias("item_id"), last_of(properties(n["props"]), "hvcc").alias("hvcc"), node_payload(n)["payload"].alias("payload")))).alias("r"))
+    return items.select("file_id", "r.item_id", F.col("r.hvcc.nals").alias("nals"), F.col("r.hvcc.nal_length").alias("size"), "r.payload").mapInArrow(run, schema)

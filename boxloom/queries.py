@@ -86,9 +86,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("d"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s")).alias("r"))
     files = written(line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("lines")), _order_file)
     c = Container(files)
-    data = it.payloads(c).select("file_id", "item_id", F.col("payload").cast("string").alias("payload"))
-    first = c.items.groupBy("file_id", "item_id").agg(F.min_by(F.struct("item_type", "name", "content_type", "hidden"), "ord").alias("i"))
-    return first.join(data, ["file_id", "item_id"]).select("file_id", "item_id", "i.item_type", "i.name", "i.content_type", "i.hidden", "payload")
+    return it.item_payloads(c).select("file_id", "item_id", "item_type", "name", "content_type", "hidden", F.col("payload").cast("string").alias("payload"))
 
 
 ORDER_ITEMS = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity::INT, strftime(l_shipdate, '%Y-%m-%d'), l_returnflag, l_linestatus) AS k FROM lineitem)
@@ -138,8 +136,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         return w.still([{"id": 1, "type": "hvc1", "props": [1, 2, 3][: 1 + key % 3]}, {"id": 2, "type": "Exif", "parts": [b"\0\0\0\xff" + b"bad"]}, {"id": 3, "type": "Exif", "parts": [bytes([0, 0, 0, key % 4]) + b"z" * (key % 4) + f"MM{key}".encode()]}, {"id": 4, "type": "mime", "content_type": "application/xmp", "parts": [name.encode(), b"!"], "idat": True}], props)
 
     c = Container(written(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), make))
-    text = lambda df, name: df.select("file_id", F.col(name).cast("string").alias(name))
-    return c.files.select("file_id").join(text(it.exif(c), "exif"), "file_id", "left").join(text(it.xmp(c), "xmp"), "file_id", "left").join(text(it.icc(c), "icc"), "file_id", "left")
+    return it.metadata(c).select("file_id", *[F.col(k).cast("string").alias(k) for k in ("exif", "xmp", "icc")])
 
 
 METADATA = """SELECT c_custkey AS file_id, 'MM' || c_custkey AS exif, c_name || '!' AS xmp, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS icc FROM customer"""
@@ -151,10 +148,9 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
         return w.still(items, [w.ispe(1, 1), w.auxc(ALPHA)], [("dimg", 1, [2 + n % 4, 3, 4, 5, 6]), ("dimg", 1, [7 + n % 3]), ("thmb", 8, [1]), ("thmb", 9, [2, 1]), ("auxl", 3, [1]), ("auxl", 10, [1]), ("auxl", 6, [2])])
 
     c = Container(written(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), make))
-    items = it.resolved_items(c)
     a = it.references(c, "dimg", 6).select("file_id", F.lit("dimg").alias("what"), "no", F.col("to_id").alias("id"))
     b = it.thumbnails(c).where("target_id = 1").select("file_id", F.lit("thmb").alias("what"), "pos", "item_id")
-    d = it.auxiliaries(c, items, ALPHA).where("target_id = 1").select("file_id", F.lit("auxl").alias("what"), "pos", "item_id")
+    d = it.auxiliaries(c, ALPHA).where("target_id = 1").select("file_id", F.lit("auxl").alias("what"), "pos", "item_id")
     return a.unionAll(b).unionAll(d).select("file_id", "what", F.col("no").cast("int").alias("no"), "id")
 
 
@@ -198,7 +194,7 @@ def _sequence_file(key: int, orders: list[int]) -> bytes:
 
 def _sequences(spark: SparkSession, sf_dir: str) -> Sequences:
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("orders"))
-    return Sequences(Container(written(orders, _sequence_file)))
+    return Sequences(Container(written(orders, _sequence_file), keep=True))
 
 
 _SAMPLES = """WITH o AS (SELECT o_custkey AS f, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
@@ -375,18 +371,19 @@ FROM supplier, LATERAL (SELECT unnest(range(1 + s_nationkey % 4)) AS i)"""
 
 def coded_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, depths, colour, tiles and slices from the parameter sets and slice headers of HEVC items."""
+    address_bits = lambda width, height: (-(-width // 32) * -(-height // 32) - 1).bit_length()
 
     def make(key: int, size: int) -> bytes:
         nals = [w.hevc_sps(64 + 8 * size, 48, (key % 3, 0, 0, key % 2), 8 + 2 * (key % 3), [([-1], [1]), ([-2], [])], (key % 2, 1 + key % 9, 13, 6) if key % 4 else None), w.hevc_pps((1 + key % 3, 1 + key % 2))]
-        parts = [w.hevc_slice(19, 2)] + [w.hevc_slice(1, i % 3, key % 256, first=False, address=1, which=i % 2, address_bits=3) for i in range(key % 5)]
+        parts = [w.hevc_slice(19, 2)] + [w.hevc_slice(1, i % 3, key % 256, first=False, address=1, which=i % 2, address_bits=address_bits(64 + 8 * size, 48)) for i in range(key % 5)]
         return w.still([{"id": 1, "type": "hvc1", "props": [1, 2], "parts": [b"".join(len(p).to_bytes(4, "big") + p for p in parts)]}], [w.ispe(8, 8), w.hvcc(8, nals)])
 
-    got = streams.coded_items(Container(written(table(spark, sf_dir, "part").where("p_size <= 8").select("p_partkey", "p_size"), make)))
+    got = streams.coded_items(Container(written(table(spark, sf_dir, "part").select("p_partkey", "p_size"), make)))
     return got.select("file_id", "width", "height", "bit_depth", "full_range", "primaries", "tile_columns", "tile_rows", "slices", "slice_types", "error")
 
 
 CODED_STREAMS = """SELECT p_partkey AS file_id, (64 + 8 * p_size - 2 * (p_partkey % 3))::INT AS width, (48 - 2 * (p_partkey % 2))::INT AS height, (8 + 2 * (p_partkey % 3))::INT AS bit_depth, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 2 = 1 END AS full_range,
-CASE WHEN p_partkey % 4 > 0 THEN 1 + p_partkey % 9 END::INT AS primaries, (1 + p_partkey % 3)::INT AS tile_columns, (1 + p_partkey % 2)::INT AS tile_rows, (1 + p_partkey % 5)::INT AS slices, substr('IBPIB', 1, (1 + p_partkey % 5)::INT) AS slice_types, NULL::VARCHAR AS error FROM part WHERE p_size <= 8"""
+CASE WHEN p_partkey % 4 > 0 THEN 1 + p_partkey % 9 END::INT AS primaries, (1 + p_partkey % 3)::INT AS tile_columns, (1 + p_partkey % 2)::INT AS tile_rows, (1 + p_partkey % 5)::INT AS slices, substr('IBPIB', 1, (1 + p_partkey % 5)::INT) AS slice_types, NULL::VARCHAR AS error FROM part"""
 
 
 # ---- expressions ----

@@ -97,14 +97,12 @@ def boxes(data: bytes, offset: int = 0) -> Iterator[Box]:
 HOLDERS = {"meta": 4, "iprp": 0, "ipco": 0, "iref": 4, "moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "edts": 0, "tref": 0, "dinf": 0}
 
 
-def box_tree(data: bytes, most: int = 100_000) -> list[tuple[int, int | None, int, str, int, int]]:
+def box_tree(data: bytes) -> list[tuple[int, int | None, int, str, int, int]]:
     """(box_id, parent_id, depth, type, content_off, content_len) of all boxes, parents first."""
     out: list[tuple[int, int | None, int, str, int, int]] = []
 
     def walk(content: bytes, offset: int, parent: int | None, depth: int) -> None:
         for b in boxes(content, offset):
-            if len(out) >= most:
-                raise Damaged("too many boxes")
             out.append((len(out), parent, depth, b.type, b.offset, len(b.content)))
             if b.type == "iinf" and len(b.content) >= 6:
                 skip = 6 if b.content[0] == 0 else 8

@@ -435,6 +435,40 @@ def read_moov(b: Box, out: dict) -> None:
                 out["warnings"].append("a track is damaged")
 
 
+def by_item(out: dict) -> dict:
+    """The rows of a file once more, by item: what belongs together in one place each, found by its number.
+
+    nodes are the first rows of items, with the numbers of their properties and of the items that they are derived from; locations
+    the first extents of each item; links the references from one item."""
+    number, nodes = {}, []
+    for r in out["items"]:
+        if r["item_id"] not in number:
+            number[r["item_id"]] = len(nodes)
+            nodes.append(r | {"props": [], "dimg": [], "dimg_no": [], "loc": None})
+    seen: dict[int, int] = {}
+    for a in out["assocs"]:
+        if seen.setdefault(a["item_id"], a["assoc_ord"]) == a["assoc_ord"] and a["prop_idx"] is not None and a["item_id"] in number:
+            nodes[number[a["item_id"]]]["props"].append(a["prop_idx"])
+    seen, locations = {}, []
+    for e in out["extents"]:
+        if e["item_id"] not in seen:
+            if e["item_id"] in number:
+                nodes[number[e["item_id"]]]["loc"] = len(locations)
+            locations.append({"item_id": e["item_id"], "method": e["method"], "parts": []})
+        if seen.setdefault(e["item_id"], e["loc_ord"]) == e["loc_ord"] and e["ext_no"] is not None:
+            locations[-1]["parts"].append({"at": e["base_offset"] + e["offset"], "length": e["length"]})
+    links: dict[tuple, dict] = {}
+    for r in out["refs"]:
+        key = r["ref_type"], r["from_id"]
+        link = links.setdefault(key, {"ref_type": key[0], "from_id": key[1], "from_no": number.get(key[1]), "targets": []})
+        link["targets"].append({k: r[k] for k in ("ref_ord", "pos", "to_id")})
+        if key[0] == "dimg" and key[1] in number:
+            node = nodes[number[key[1]]]
+            node["dimg"].append(r["to_id"])
+            node["dimg_no"].append(number.get(r["to_id"]))
+    return {"nodes": nodes, "locations": locations, "links": list(links.values()), "primary_no": number.get(out["primary_id"])}
+
+
 def parse(content: bytes, limits: Limits | None = None) -> dict:
     """The rows of one file; `error` tells why it can't be read, and then there are none."""
     limits, out, moov = limits or Limits(), empty(), None
@@ -465,5 +499,5 @@ def parse(content: bytes, limits: Limits | None = None) -> dict:
         if not out["has_meta"] and not out["tracks"]:
             raise Damaged("no meta, mini or moov with an image")
     except (Short, Damaged) as e:
-        return empty() | {"error": str(e) or "the data end too early"}
-    return out | {"error": None}
+        return empty() | {"nodes": [], "locations": [], "links": [], "primary_no": None, "error": str(e) or "the data end too early"}
+    return out | by_item(out) | {"error": None}

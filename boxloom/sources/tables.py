@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from boxloom.sources.boxes import Damaged, box_tree
+from boxloom.sources.boxes import box_tree
 from boxloom.sources.container import Limits, parse
 
 _U64 = "decimal(20,0)"
@@ -43,32 +43,44 @@ ROWS = {
     "refs": "ref_ord: int, ref_type: string, from_id: bigint, pos: int, to_id: bigint",
     "tracks": f"track: int, track_id: bigint, aux_for: bigint, width: bigint, height: bigint, handler: string, timescale: bigint, media_duration: {_U64}, hvcc: {HVCC}, av1c: {AV1C}, colr: {COLR}, is_alpha: boolean, sizes: array<bigint>, chunk_offsets: array<{_U64}>, stsc: array<struct<first_chunk: bigint, per_chunk: bigint, description: bigint>>, sync: array<bigint>, stts: array<struct<count: bigint, delta: bigint>>, ctts: array<struct<count: bigint, offset: bigint>>, edits: array<struct<segment: {_U64}, media_time: bigint, rate: int, rate_fraction: int>>, edit_repeat: boolean",
 }
-FILE = f"brand: string, minor: string, brands: array<string>, primary_id: bigint, idat_off: bigint, idat_len: bigint, mdat_off: bigint, mdat_len: bigint, movie_timescale: bigint, movie_duration: {_U64}, error: string, warnings: array<string>"
+#: The same rows by item, for questions that are answered in the row of a file.
+NESTED = {
+    "nodes": "item_id: bigint, ord: int, item_type: string, name: string, content_type: string, hidden: boolean, props: array<int>, dimg: array<bigint>, dimg_no: array<int>, loc: int",
+    "locations": "item_id: bigint, method: int, parts: array<struct<at: decimal(38,0), length: decimal(20,0)>>",
+    "links": "ref_type: string, from_id: bigint, from_no: int, targets: array<struct<ref_ord: int, pos: int, to_id: bigint>>",
+}
+FILE = f"primary_no: int, brand: string, minor: string, brands: array<string>, primary_id: bigint, idat_off: bigint, idat_len: bigint, mdat_off: bigint, mdat_len: bigint, movie_timescale: bigint, movie_duration: {_U64}, error: string, warnings: array<string>"
 
 
-def parse_files(files: DataFrame, limits: Limits | None = None, file_id: str = "file_id", content: str = "content") -> DataFrame:
-    """A row for each file: its own columns and, nested, the rows of each table. A damaged file has an error and no rows."""
+def parse_files(files: DataFrame, limits: Limits | None = None, file_id: str = "file_id", content: str = "content", keep: bool = False) -> DataFrame:
+    """A row for each file: its id, what FILE names and, nested, the rows of each table; with `keep` its content, too. A damaged file has
+    an error and no rows."""
     kind = files.schema[file_id].dataType
-    body = T.StructType.fromDDL(f"{FILE}, file_len: bigint, " + ", ".join(f"{k}: array<struct<{v}>>" for k, v in ROWS.items()))
+    body = T.StructType.fromDDL(f"{FILE}, file_len: bigint, " + ", ".join(f"{k}: array<struct<{v}>>" for k, v in (ROWS | NESTED).items()))
     schema = T.StructType([T.StructField("file_id", kind), *body.fields])
     arrow = to_arrow_schema(schema)
     names = [f.name for f in body.fields if f.name != "file_len"]
+    full = schema.add("content", T.BinaryType()) if keep else schema
+    columns = [f.name for f in full.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 rows = []
-                for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    got = parse(x or b"", limits)
-                    rows.append({"file_id": i, "file_len": len(x or b"")} | {k: got.get(k) for k in names})
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    data = x.as_py() or b""
+                    got = parse(data, limits)
+                    rows.append({"file_id": i, "file_len": len(data)} | {k: got.get(k) for k in names})
+                out = pa.RecordBatch.from_pylist(rows, schema=arrow)
+                yield pa.RecordBatch.from_arrays([*out.columns, part.column(1)], names=columns) if keep else out
 
-    return files.select(F.col(file_id).alias("file_id"), F.col(content).alias("content")).mapInArrow(run, schema)
+    return files.select(F.col(file_id).alias("file_id"), F.col(content).alias("content")).mapInArrow(run, full)
 
 
 def box_rows(files: DataFrame) -> DataFrame:
-    """(file_id, box_id, parent_id, depth, type, content_off, content_len) of all boxes of (file_id, content)."""
+    """(file_id, box_id, parent_id, depth, type, content_off, content_len) of all boxes of (file_id, content), up to a header that can't
+    be right."""
     kind = files.schema["file_id"].dataType.simpleString()
     schema = T.StructType.fromDDL(f"file_id {kind}, box_id int, parent_id int, depth int, type string, content_off bigint, content_len bigint")
     arrow = to_arrow_schema(schema)
@@ -77,26 +89,34 @@ def box_rows(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    rows += [dict(zip(schema.names, (i, *r), strict=True)) for r in box_tree(x or b"")]
-                except Damaged:
-                    pass
+                rows += [dict(zip(schema.names, (i, *r), strict=True)) for r in box_tree(x or b"")]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return files.select("file_id", "content").mapInArrow(run, schema)
 
 
 class Container:
-    """The tables of some files. The parsed rows are kept for as long as they are used; what is derived from them is plain Catalyst."""
+    """The tables of some files; what is derived from the parsed rows is plain Catalyst. With `keep` the parsed rows are kept until
+    release(), for several questions about the same files; they hold no contents."""
 
-    def __init__(self, files: DataFrame, limits: Limits | None = None):
+    def __init__(self, files: DataFrame, limits: Limits | None = None, keep: bool = False):
         self.contents = files.select("file_id", "content")
         self.limits = limits or Limits()
-        self.parsed = parse_files(self.contents, self.limits).persist(StorageLevel.MEMORY_AND_DISK)
+        self.parsed = parse_files(self.contents, self.limits)
+        if keep:
+            self.parsed = self.parsed.persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def whole(self) -> DataFrame:
+        """The parsed rows with the contents of their files beside them, so that items are cut where the file is; never kept."""
+        return parse_files(self.contents, self.limits, keep=True)
+
+    def release(self) -> None:
+        self.parsed.unpersist()
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.parsed.drop(*ROWS)
+        return self.parsed.drop(*ROWS, *NESTED, "primary_no")
 
     def rows(self, table: str) -> DataFrame:
         return self.parsed.select("file_id", F.explode(table).alias("r")).select("file_id", "r.*")

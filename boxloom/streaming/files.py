@@ -27,10 +27,10 @@ def write_tables(stream: DataFrame, out: str, checkpoint: str, tables: dict[str,
     made = tables or {"info": info, "items": lambda c: c.items, "props": lambda c: c.props.drop("icef")}
 
     def batch(files: DataFrame, number: int) -> None:
-        c = Container(files, limits)
+        c = Container(files, limits, keep=True)
         for name, make in made.items():
             make(c).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        c.parsed.unpersist()
+        c.release()
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
