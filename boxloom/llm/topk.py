@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from boxloom.llm.common import discard, release, staged
 
 
+LOWEST = -(2**63)
+
+
 def integer_vectors(rows: DataFrame, scale: float, key: str, vector: str) -> DataFrame:
     """(id, v): components floor(scale * x) as little-endian doubles that hold integers."""
 
@@ -124,20 +127,20 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
                     if first:
                         go = early
                     else:
-                        least = np.array([-np.inf if x is None else x for x in part.column(2).to_pylist()])
-                        go = ~early & (most >= least[:, None])
+                        go = ~early & (most >= part.column(2).to_numpy().astype(np.float64)[:, None])
                     i, c = np.nonzero(go)
                     each = blocks[c]
                     i, c = np.repeat(i, each), np.repeat(c, each)
                     block_no = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
-                    yield pa.RecordBatch.from_arrays([pa.array(no[c], pa.int32()), pa.array(block_no, pa.int32()), pa.array(np.ones(len(i), np.int32)), pa.array([ids[j] for j in i], pa.int64()), pa.array([vs[j] for j in i], pa.binary())], names=["cell", "block", "kind", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(no[c], pa.int32()), pa.array(block_no, pa.int32()), pa.array(np.ones(len(i), np.int32)), pa.array([ids[j] for j in i], pa.int64()), pa.array([vs[j] for j in i], pa.binary()), part.column(2).take(pa.array(i))], names=["cell", "block", "kind", "id", "v", "least"])
 
         return run
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, ids, held, x, first = None, [], [], None, None
         for b in batches:
-            cell, part, kind, key_, v = (b.column(i) for i in range(5))
+            cell, part, kind, key_, v, bars = (b.column(i) for i in range(6))
+            bars = bars.to_numpy()
             cell, part, kind = (c.to_numpy() for c in (cell, part, kind))
             edge = np.flatnonzero(np.diff(cell, prepend=-1) | np.diff(part, prepend=-1) | np.diff(kind, prepend=-1)).tolist()
             for s, e in zip(edge, [*edge[1:], b.num_rows], strict=True):
@@ -161,12 +164,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
                     s_[q[:, None] == own] = -(2**63)
                     best = np.argsort(-s_.astype(np.float64), axis=1, kind="stable")[:, :k] if np.abs(s_.astype(np.float64))[s_ > -(2**63)].max(initial=0) < 2**53 else np.array([sorted(range(len(own)), key=lambda j: (-int(r[j]), j))[:k] for r in s_])
                     rows_, cols = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
-                    good = q[rows_] != own[cols]
+                    # a score below the k-th that its query has already can't be among the best
+                    good = (q[rows_] != own[cols]) & (s_[rows_, cols] >= bars[s + a : s + a + len(q)][rows_])
                     rows_, cols = rows_[good], cols[good]
                     yield pa.RecordBatch.from_arrays([pa.array(q[rows_]), pa.array(own[cols]), pa.array(s_[rows_, cols])], names=["query_id", "vec_id", "score"])
 
+    lowest = F.lit(LOWEST).cast("long")
     share = F.create_map(*[F.lit(x) for c in sorted(shares.items()) for x in c]) if shares else F.create_map(F.lit(0), F.lit(1))
-    stored = index.select("cell", F.pmod(F.xxhash64("id", "v"), share[F.col("cell")].cast("long")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
+    stored = index.select("cell", F.pmod(F.xxhash64("id", "v"), share[F.col("cell")].cast("long")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v", lowest.alias("least"))
 
     def searched(routes: DataFrame) -> DataFrame:
         met = stored.unionByName(routes).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
@@ -174,10 +179,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    form = "cell int, block int, kind int, id long, v binary"
-    early = staged(top(searched(queries.mapInArrow(route(True), form))), "early")
+    form = "cell int, block int, kind int, id long, v binary, least long"
+    early = staged(top(searched(queries.select("id", "v", lowest.alias("least")).mapInArrow(route(True), form))), "early")
     bar = early.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-    late = searched(queries.join(bar, "id", "left").select("id", "v", "least").mapInArrow(route(False), form))
+    late = searched(queries.join(bar, "id", "left").select("id", "v", F.coalesce("least", lowest).alias("least")).mapInArrow(route(False), form))
     out = staged(top(early.drop("rank").unionByName(late)), "best")
     release(rows.sparkSession)
     return out.select("query_id", "rank", "vec_id", "score")
