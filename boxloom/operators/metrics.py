@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxloom.functions.colour import div
 from boxloom.sources.boxes import Fields
@@ -20,6 +22,30 @@ def difference(left: DataFrame, right: DataFrame, keys: list[str], value: str =
     return out.withColumn("mse", F.col("sse") / F.col("n"))
 
 
+def picture_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, sse, max_diff, n_diff, mse) of decoded pictures that agree in keys; null where their sizes or formats don't agree.
+
+    Pictures meet whole, one row each, and are compared in one pass over their bytes."""
+    shape = ["width", "height", "format", "data"]
+    one = lambda df, name: df.where("error is null").select(*keys, F.struct(*shape).alias(name))
+    both = one(left, "l").join(one(right, "r"), keys)
+    schema = T.StructType([*[left.schema[k] for k in keys], *T.StructType.fromDDL("n long, sse long, max_diff long, n_diff long, mse double").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            l, r = (b.column(b.schema.get_field_index(k)) for k in ("l", "r"))
+            same = [all(l.field(k)[i].as_py() == r.field(k)[i].as_py() for k in shape[:3]) for i in range(b.num_rows)]
+            out = []
+            for i, ok in enumerate(same):
+                x, y = (np.frombuffer(c.field("data")[i].as_buffer(), np.uint8).astype(np.int64) for c in (l, r))
+                d = np.abs(x - y) if ok else None
+                out.append((len(d), int((d * d).sum()), int(d.max(initial=0)), int(np.count_nonzero(d)), float((d * d).sum()) / max(len(d), 1)) if ok else (None,) * 5)
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True))], names=schema.names)
+
+    return both.select(*keys, "l", "r").mapInArrow(run, schema)
+
+
 def box_means(pixels: DataFrame, keys: list[str], cells: int = 16) -> DataFrame:
     """(keys, cx, cy, ch, v): rounded means over cells x cells boxes, box t of n samples being [t * n / cells, (t + 1) * n / cells)."""
     size = pixels.groupBy(*keys).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))

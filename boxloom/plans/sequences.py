@@ -10,6 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxloom.plans.items import info
 from boxloom.sources.container import MOST_ITEMS
 from boxloom.sources.tables import Container
 
@@ -39,8 +40,17 @@ class Sequences:
     """The sequences of some files, decided and unrolled step by step; each table is a lazy DataFrame."""
 
     def __init__(self, c: Container):
-        self.c = c
-        self.tracks = c.tracks.withColumn("coded", F.col("hvcc").isNotNull() | F.col("av1c").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        self.c, self.held = c, []
+        self.tracks = self._kept(c.tracks.withColumn("coded", F.col("hvcc").isNotNull() | F.col("av1c").isNotNull()))
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """Later tables are made of earlier ones several times, so these are kept until release()."""
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
     @cached_property
     def roles(self) -> DataFrame:
@@ -53,7 +63,7 @@ class Sequences:
         others = t.where("coded").join(main, "file_id").where("track != m.track")
         alpha = others.where("handler = 'auxv' and is_alpha and aux_for = m.track_id").groupBy("file_id").agg(F.min("track").alias("track"), F.count("*").alias("n")).where("n = 1").select(*KEY, F.lit("alpha").alias("role"))
         small = others.where("handler = 'pict' and not (width >= m.width and height >= m.height)").groupBy("file_id").agg(F.min("track").alias("track")).select(*KEY, F.lit("thumbnail").alias("role"))
-        return main.select("file_id", F.col("m.track").alias("track"), F.lit("image").alias("role")).unionByName(alpha).unionByName(small)
+        return self._kept(main.select("file_id", F.col("m.track").alias("track"), F.lit("image").alias("role")).unionByName(alpha).unionByName(small))
 
     @cached_property
     def samples(self) -> DataFrame:
@@ -64,18 +74,21 @@ class Sequences:
         spans = t.select(*KEY, F.size("chunk_offsets").alias("n"), F.posexplode("stsc").alias("no", "r")).select(*KEY, "n", "no", F.col("r.first_chunk").alias("first"), F.col("r.per_chunk").alias("per"))
         spans = spans.withColumn("next", F.least(F.coalesce(F.lead("first").over(Window.partitionBy(*KEY).orderBy("no")), F.col("n") + 1), F.col("n") + 1)).where("first >= 1 and next > first")
         dealt = chunks.join(spans.select(*KEY, "per", F.explode(F.sequence("first", F.col("next") - 1)).alias("chunk")), [*KEY, "chunk"])
-        dealt = dealt.withColumn("first", _sum("per", "chunk")).join(t.select(*KEY, "sizes", "sync", F.size("sizes").alias("count")), KEY).where("first < count and per > 0")
-        each = dealt.select(*KEY, "chunk", "at", "sizes", "sync", F.explode(F.sequence(F.col("first") + 1, F.least(F.col("first") + F.col("per"), F.col("count").cast("bigint")))).alias("sample"))
-        each = each.withColumn("size", F.element_at("sizes", F.col("sample").cast("int")))
+        dealt = dealt.withColumn("first", _sum("per", "chunk")).join(t.select(*KEY, F.size("sizes").alias("count"), (F.col("sync").isNull() | (F.size("sync") == 0)).alias("all_sync")), KEY).where("first < count and per > 0")
+        each = dealt.select(*KEY, "chunk", "at", "all_sync", F.explode(F.sequence(F.col("first") + 1, F.least(F.col("first") + F.col("per"), F.col("count").cast("bigint")))).alias("sample"))
+        # sizes and sync samples come as rows, so that no sample carries its track's tables along
+        sized = t.select(*KEY, F.posexplode("sizes").alias("no", "size")).select(*KEY, (F.col("no") + 1).cast("bigint").alias("sample"), "size")
+        synced = t.select(*KEY, F.explode("sync").alias("sample")).distinct().withColumn("marked", F.lit(True))
+        each = each.join(sized, [*KEY, "sample"])
         within = Window.partitionBy(*KEY, "chunk").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
-        none = F.col("sync").isNull() | (F.size("sync") == 0)
-        placed = each.select(*KEY, "sample", (F.col("at") + F.coalesce(F.sum("size").over(within), F.lit(0))).cast("decimal(20,0)").alias("offset"), "size", (none | F.array_contains("sync", F.col("sample"))).alias("is_sync"))
+        placed = each.select(*KEY, "sample", (F.col("at") + F.coalesce(F.sum("size").over(within), F.lit(0))).cast("decimal(20,0)").alias("offset"), "size", "all_sync")
+        placed = placed.join(synced, [*KEY, "sample"], "left").select(*KEY, "sample", "offset", "size", (F.col("all_sync") | F.coalesce("marked", F.lit(False))).alias("is_sync"))
         timed = runs(t, "stts", "delta").select(*KEY, "sample", F.col("value").cast("bigint").alias("duration"), F.col("before").cast("bigint").alias("decode_time"))
         late = runs(t.where("ctts is not null"), "ctts", "offset").select(*KEY, "sample", F.col("value").cast("bigint").alias("shift"))
         out = placed.join(timed, [*KEY, "sample"]).join(late, [*KEY, "sample"], "left").withColumn("composition_time", F.col("decode_time") + F.coalesce("shift", F.lit(0))).drop("shift")
         rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("composition_time", "sample")) - 1
         gop = F.max(F.when(F.col("is_sync"), F.col("sample"))).over(Window.partitionBy(*KEY).orderBy("sample").rowsBetween(Window.unboundedPreceding, 0))
-        return out.withColumn("rank", rank).withColumn("gop", gop)
+        return self._kept(out.withColumn("rank", rank).withColumn("gop", gop))
 
     @cached_property
     def errors(self) -> DataFrame:
@@ -99,7 +112,7 @@ class Sequences:
         error = F.lit(None).cast("string")
         for text, broken in reversed(rules):
             error = F.when(F.coalesce(broken, F.lit(False)), text).otherwise(error)
-        return t.join(got, KEY, "left").select(*KEY, error.alias("error"))
+        return self._kept(t.join(got, KEY, "left").select(*KEY, error.alias("error")))
 
     @cached_property
     def frames(self) -> DataFrame:
@@ -114,7 +127,7 @@ class Sequences:
         shown = s.join(edits, KEY).where("composition_time >= e.media_time and composition_time - e.media_time < span")
         cut = shown.select(*KEY, "edit", "rank", "sample", (F.col("cursor") + rescale(F.col("composition_time") - F.col("e.media_time"), F.col("media"), F.col("movie"))).cast(_DEC).alias("time"), rescale(F.col("duration"), F.col("media"), F.col("movie")).alias("duration"))
         no = F.row_number().over(Window.partitionBy(*KEY).orderBy("edit", "rank")) - 1
-        return plain.unionByName(cut).select(*KEY, no.alias("frame"), "sample", F.col("time").cast("decimal(20,0)").alias("time"), F.col("duration").cast("bigint").alias("duration"))
+        return self._kept(plain.unionByName(cut).select(*KEY, no.alias("frame"), "sample", F.col("time").cast("decimal(20,0)").alias("time"), F.col("duration").cast("bigint").alias("duration")))
 
     @cached_property
     def info(self) -> DataFrame:
@@ -130,7 +143,7 @@ class Sequences:
         all_ones = length.isin(F.lit(FOREVER).cast(_DEC), F.lit(str((1 << 64) - 1)).cast(_DEC))
         parts = F.when((segment > 0) & (length % segment == 0), (length / segment).cast("bigint"))
         again = F.when(F.col("edits").isNull(), 1).when(loops & all_ones, FOREVER).when(loops & (parts <= FOREVER), parts).otherwise(0)
-        return t.join(f, KEY).join(dependent, KEY).select(*KEY, "role", "frames", scale.alias("timescale"), length.cast("decimal(20,0)").alias("duration"), again.cast("bigint").alias("repetitions"), "first_time", "last_time", "dependent", "width", "height")
+        return self._kept(t.join(f, KEY).join(dependent, KEY).select(*KEY, "role", "frames", scale.alias("timescale"), length.cast("decimal(20,0)").alias("duration"), again.cast("bigint").alias("repetitions"), "first_time", "last_time", "dependent", "width", "height"))
 
     @cached_property
     def alpha_matches(self) -> DataFrame:
@@ -141,3 +154,28 @@ class Sequences:
         right = both.join(f.withColumnRenamed("track", "at"), ["file_id", "at"]).select("file_id", "frame", F.col("time").alias("t2"), F.col("duration").alias("d2"))
         odd = left.join(right, ["file_id", "frame"], "full").where(~(F.col("t1").eqNullSafe(F.col("t2")) & F.col("d1").eqNullSafe(F.col("d2")))).select("file_id").distinct().withColumn("odd", F.lit(True))
         return both.join(odd, "file_id", "left").select("file_id", (F.col("same") & F.col("odd").isNull()).alias("matches"))
+
+    @cached_property
+    def usable(self) -> DataFrame:
+        """(file_id, track, has_alpha, has_thumbnail): the image tracks of movies that can be shown; alpha has to be sound and to match."""
+        at = lambda role: F.max(F.when(F.col("role") == role, F.struct("track", F.col("error").isNull().alias("sound"))))
+        by = self.roles.join(self.errors, KEY).groupBy("file_id").agg(at("image").alias("i"), at("alpha").alias("a"), at("thumbnail").alias("t")).join(self.alpha_matches, "file_id", "left")
+        sound = F.col("i.sound") & (F.col("a").isNull() | F.coalesce(F.col("a.sound") & F.col("matches"), F.lit(False)))
+        return by.where(sound).select("file_id", F.col("i.track").alias("track"), F.col("a").isNotNull().alias("has_alpha"), F.col("t").isNotNull().alias("has_thumbnail"))
+
+
+def info_with_movies(c: Container, s: Sequences) -> DataFrame:
+    """items.info(), files with a movie that can be shown being sequences; those without a primary item have the movie's image track for
+    one, its size, depth and colour, and its alpha and thumbnail tracks."""
+    base = info(c)
+    t = s.usable.withColumnRenamed("has_alpha", "m_alpha").withColumnRenamed("has_thumbnail", "m_thumbnail")
+    t = t.join(s.tracks.select(*KEY, F.col("width").alias("m_width"), F.col("height").alias("m_height"), F.coalesce("hvcc.bit_depth", "av1c.bit_depth", F.lit(8)).alias("m_depth"), F.when(F.col("colr.kind") == "nclx", F.col("colr")).alias("m_colr")), KEY).drop("track")
+    rows = base.join(t.withColumn("movie", F.lit(True)), "file_id", "left")
+    only = F.coalesce(F.col("movie") & (F.col("error") == "no primary item"), F.lit(False))
+    lim, w, h = c.limits, F.col("m_width"), F.col("m_height")
+    made = {
+        "kind": F.when(F.col("movie"), "sequence").otherwise(F.col("kind")), "width": w, "height": h, "bit_depth": F.col("m_depth"), "has_alpha": F.col("m_alpha"), "has_exif": F.lit(False), "has_xmp": F.lit(False), "has_thumbnail": F.col("m_thumbnail"), "has_gain_map": F.lit(False),
+        "color_primaries": F.col("m_colr.primaries"), "transfer_characteristics": F.col("m_colr.transfer"), "matrix_coefficients": F.col("m_colr.matrix"), "full_range": F.col("m_colr.full_range"),
+        "rgb_bytes": w * h * 3, "rgba_bytes": w * h * 4, "within_limits": (w <= lim.width) & (h <= lim.height) & (w * h <= lim.pixels), "error": F.lit(None).cast("string"),
+    }
+    return rows.select("file_id", *[(made[k] if k == "kind" else F.when(only, made[k]).otherwise(F.col(k))).alias(k) for k in base.columns if k != "file_id"])

@@ -18,7 +18,7 @@ from boxloom.operators import metrics
 from boxloom.operators.decode import pictures, pixels
 from boxloom.plans import items as it
 from boxloom.plans import streams
-from boxloom.plans.sequences import Sequences, rescale
+from boxloom.plans.sequences import Sequences, info_with_movies, rescale
 from boxloom.shipping import shipped
 from boxloom.sources import writer as w
 from boxloom.sources.tables import Container, box_rows
@@ -231,6 +231,32 @@ SELECT g.f AS file_id, 'image' AS role, count(*) AS frames, 1000::BIGINT AS time
 arg_min(tm, n)::BIGINT AS first_time, arg_max(tm, n)::BIGINT AS last_time, any_value(x.dep) AS dependent FROM g JOIN (SELECT f, max(total) AS total, bool_or(NOT sync) AS dep FROM u GROUP BY f) x ON x.f = g.f GROUP BY g.f"""
 
 
+def _movie_file(key: int, size: int) -> bytes:
+    """Still images, movies alone, movies with alpha and thumbnail tracks, movies whose samples leave the file, and alpha out of step."""
+    k = key % 5
+    if k == 0:
+        return w.still([{"id": 1, "type": "hvc1", "props": [1, 2]}], [w.ispe(size, size + 1), w.hvcc(10)])
+    n = 1 + size % 4
+    even = lambda delta, **how: w.track([4] * n, [(n, delta)], [32 if k != 3 else 10_000], [(1, n)], **how)
+    tracks = [even(20, width=size + 2, height=size + 3)]
+    if k in (2, 4):
+        tracks.append(even(20 if k == 2 else 30, track_id=2, handler="auxv", alpha_of=1, width=size + 2, height=size + 3))
+    if k == 2:
+        tracks.append(even(20, track_id=3, width=2, height=2))
+    return w.movie(tracks, 1000, 20 * n, bytes(40), brands=("avis", "mif1"))
+
+
+def movie_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Container(written(table(spark, sf_dir, "part").select("p_partkey", "p_size"), _movie_file), keep=True)
+    return info_with_movies(c, Sequences(c)).select("file_id", "kind", "width", "height", "bit_depth", "has_alpha", "has_thumbnail", "has_exif", "within_limits", "rgba_bytes", "error")
+
+
+MOVIE_INFO = """WITH p AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 5 AS v FROM part)
+SELECT k AS file_id, CASE WHEN v = 0 THEN 'heic' WHEN v IN (1, 2) THEN 'sequence' ELSE 'avif' END AS kind, CASE WHEN v = 0 THEN s WHEN v IN (1, 2) THEN s + 2 END::BIGINT AS width, CASE WHEN v = 0 THEN s + 1 WHEN v IN (1, 2) THEN s + 3 END::BIGINT AS height,
+CASE WHEN v = 0 THEN 10 WHEN v IN (1, 2) THEN 8 END::INT AS bit_depth, CASE WHEN v < 3 THEN v = 2 END AS has_alpha, CASE WHEN v < 3 THEN v = 2 END AS has_thumbnail, CASE WHEN v < 3 THEN false END AS has_exif, CASE WHEN v < 3 THEN true END AS within_limits,
+CASE WHEN v = 0 THEN s * (s + 1) * 4 WHEN v IN (1, 2) THEN (s + 2) * (s + 3) * 4 END::BIGINT AS rgba_bytes, CASE WHEN v > 2 THEN 'no primary item' END AS error FROM p"""
+
+
 # ---- pictures ----
 
 
@@ -334,9 +360,9 @@ def image_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
         planes = [[[(key * (c + 1) + x * 12 + y * 3) % 256 for x in range(4)] for y in range(4)] for c in range(3)]
         return w.unci_file(w.pack_samples(planes, [8] * 3, 0), 4, 4, w.uncc([8] * 3, 0), (4, 5, 6))
 
-    p = pixels(pictures(Container(written(table(spark, sf_dir, "part").select("p_partkey"), make))))
+    p = pictures(Container(written(table(spark, sf_dir, "part").select("p_partkey"), make)))
     other = p.withColumn("file_id", F.col("file_id") - 1)
-    return metrics.difference(p, other, ["file_id"]).select("file_id", "n", "sse", "max_diff", "n_diff", "mse")
+    return metrics.picture_difference(p, other, ["file_id"]).select("file_id", "n", "sse", "max_diff", "n_diff", "mse")
 
 
 IMAGE_DIFFERENCE = """WITH p AS (SELECT p_partkey AS k, x, y, ch, (p_partkey * (ch + 1) + x * 12 + y * 3) % 256 AS v """ + _GRID.format(w=4, h=4, c=3) + """)
@@ -445,7 +471,7 @@ VERDICTS = """SELECT CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 = 0 THEN 'b
 
 ALL = (
     (file_kind, FILE_KIND), (box_scan, BOX_SCAN), (order_items, ORDER_ITEMS), (image_info, IMAGE_INFO), (metadata, METADATA), (references, REFERENCES), (compact_images, COMPACT_IMAGES),
-    (sequence_samples, SEQUENCE_SAMPLES), (sequence_frames, SEQUENCE_FRAMES), (sequence_info, SEQUENCE_INFO),
+    (sequence_samples, SEQUENCE_SAMPLES), (sequence_frames, SEQUENCE_FRAMES), (sequence_info, SEQUENCE_INFO), (movie_info, MOVIE_INFO),
     (unci_pixels, UNCI_PIXELS), (turned_pixels, TURNED_PIXELS), (alpha_pixels, ALPHA_PIXELS), (overlay_pixels, OVERLAY_PIXELS), (unsupported_pictures, UNSUPPORTED_PICTURES),
     (image_difference, IMAGE_DIFFERENCE), (box_means, BOX_MEANS), (annexb_units, ANNEXB_UNITS), (coded_streams, CODED_STREAMS), (expr_ycc_rgb, EXPR_YCC_RGB), (expr_samples, EXPR_SAMPLES), (corpus_pick, CORPUS_PICK), (bench_summary, BENCH_SUMMARY), (verdicts, VERDICTS),
 )

@@ -137,9 +137,9 @@ def track(sizes: list[int], deltas: list[tuple[int, int]], offsets: list[int], c
     return box("trak", tkhd, edts, tref, box("mdia", mdhd, hdlr, box("minf", box("stbl", *stbl))))
 
 
-def movie(tracks: list[bytes], timescale: int, duration: int, data: bytes = b"", wide: bool = False) -> bytes:
+def movie(tracks: list[bytes], timescale: int, duration: int, data: bytes = b"", wide: bool = False, brands: tuple[str, str] = ("msf1", "hevc")) -> bytes:
     """A sequence without a meta box. The data stand in front, so that chunk offsets can be told beforehand: they begin at 32."""
-    head = ftyp("msf1", ("msf1", "hevc"))
+    head = ftyp(brands[0], brands)
     mvhd = full("mvhd", 1, 0, bytes(16), struct.pack(">IQ", timescale, duration)) if wide else full("mvhd", 0, 0, bytes(8), struct.pack(">II", timescale, duration))
     return head + box("mdat", data) + box("moov", mvhd, *tracks)
 

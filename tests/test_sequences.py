@@ -2,7 +2,7 @@
 
 import pytest
 
-from boxloom.plans.sequences import Sequences
+from boxloom.plans.sequences import Sequences, info_with_movies
 from boxloom.sources import writer as w
 from boxloom.sources.tables import Container
 
@@ -72,3 +72,16 @@ def test_roles_and_alpha(spark):
     s = sequences(spark, w.movie([pict, alpha, small], 1000, 40, bytes(400)), w.movie([pict, odd], 1000, 40, bytes(400)))
     assert {(r.file_id, r.track, r.role) for r in s.roles.collect()} == {(0, 0, "image"), (0, 1, "alpha"), (0, 2, "thumbnail"), (1, 0, "image"), (1, 1, "alpha")}
     assert {r.file_id: r.matches for r in s.alpha_matches.collect()} == {0: True, 1: False}
+
+
+def test_movies_are_sequences_where_they_can_be_shown(spark):
+    pair = lambda delta, at=32: w.movie([even(4, 20, width=70, height=50), w.track([4] * 4, [(4, delta)], [at], [(1, 4)], track_id=2, handler="auxv", alpha_of=1)], 1000, 80, bytes(400), brands=("avis", "mif1"))
+    still = w.still([{"id": 1, "type": "hvc1", "props": [1, 2]}], [w.ispe(5, 6), w.hvcc()])
+    files = [pair(20), pair(30), pair(20, 9999), movie(even(2, 5), 10), still, b"junk"]
+    s = sequences(spark, *files)
+    rows = {r.file_id: (r.kind, r.width, r.height, r.has_alpha, r.error) for r in info_with_movies(s.c, s).collect()}
+    assert rows[0] == ("sequence", 70, 50, True, None)
+    assert rows[1] == rows[2] == ("avif", None, None, None, "no primary item")
+    assert rows[3] == ("sequence", 64, 64, False, None) and rows[4] == ("heic", 5, 6, False, None) and rows[5][0] is None and rows[5][4]
+    assert {r.file_id: r.matches for r in s.alpha_matches.collect()} == {0: True, 1: False}
+    s.release()
