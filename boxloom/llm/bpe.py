@@ -11,7 +11,9 @@ applied within the pieces. Texts in which a space stands between white space, wh
 matched whole. Texts with characters whose class depends on the version of Unicode are cut by the library's own pre-tokenizer.
 
 Null texts are encoded as empty; empty texts have no ids; texts of any length are encoded whole, a fragment of n bytes in
-O(n log n). Decoding replaces invalid UTF-8 by U+FFFD as the library does."""
+O(n log n). Each row is encoded for itself: rows that tie or repeat have the same ids, and empty tables give empty tables. Columns are
+returned under the names given; carried ones that clash have to be renamed before. Decoding replaces invalid UTF-8 by U+FFFD as the
+library does."""
 
 from __future__ import annotations
 

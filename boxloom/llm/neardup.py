@@ -14,7 +14,8 @@ Lists and components of over `block` documents are dealt in pairs of blocks, so
 pair is missed.
 
 Null and empty texts, and those without words, have no shingles and link with nothing. Rows of one doc_id are one document; a
-null doc_id links with nothing and is kept. Ties don't matter: results depend on sets and least ids only."""
+null doc_id links with nothing and is kept. Ties don't matter: results depend on sets and least ids only. Long texts are read whole.
+Empty tables give empty tables. Only the two columns named are read, so others may have any names."""
 
 from __future__ import annotations
 

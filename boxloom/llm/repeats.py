@@ -17,7 +17,8 @@ Anchors with over `block` contexts (a line that a third of all documents share,
 each other in one of them, and no task holds more than two blocks.
 
 Null texts are empty; texts under `length` bytes lose nothing but may not be longer than 2 GB. A null doc_id comes before all others.
-Rows of one id are told apart by the hash of their texts, in whose order they stand; rows equal in both are one document."""
+Rows of one id are told apart by the hash of their texts, in whose order they stand; rows equal in both are one document. Empty tables
+give empty tables. Only the two columns named are read, so others may have any names."""
 
 from __future__ import annotations
 
@@ -269,7 +270,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: in
     """(key, n_bytes, n_removed, n_spans, kept binary) of each row."""
     spark = docs.sparkSession
     one_row_each = not docs.groupBy(key).count().where("count > 1").head(1)
-    docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("doc"), (F.lit(0).cast("long") if one_row_each else F.coalesce(F.xxhash64(text), F.lit(0))).alias("part"), F.col(text).alias("text"), F.col(key).isNull().alias("nameless"))
+    docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("doc"), (F.when(F.col(key).isNull(), -1).otherwise(0).cast("long") if one_row_each else F.coalesce(F.xxhash64(text), F.lit(0))).alias("part"), F.col(text).alias("text"), F.col(key).isNull().alias("nameless"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,7 +9,8 @@ characters before it, whatever other candidates these hold. The forest is traine
 driver, and becomes one SQL expression; documents are scanned row by row, and nothing moves between tasks.
 
 Null and empty texts have no findings. Texts are scanned whole, with all their candidates; of findings one within the other the longer
-is given; repeated rows have the same findings again. Without labelled findings of both kinds every candidate is a finding."""
+is given; rows that tie or repeat have the same findings again; empty tables give empty tables. scan() reads two columns only, so others
+may have any names; redact() keeps all columns. Without labelled findings of both kinds every candidate is a finding."""
 
 from __future__ import annotations
 

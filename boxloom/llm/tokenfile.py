@@ -12,7 +12,7 @@ between checkpoints are decoded side by side, one table lookup a token.
 Documents come in ascending order of their keys, null keys first, rows of one key in that of a
 hash of their texts. Null and empty
 texts have the end id alone. A document is never cut, so a very long one makes a block of its own. Tables without rows give
-tables without rows."""
+tables without rows. Only the two columns named are read, so others may have any names."""
 
 from __future__ import annotations
 

@@ -12,7 +12,9 @@ queries; what the driver holds is the sample and one row for each annulus.
 
 Vectors that are null or empty or hold null or non-finite components take no part, nor do those without an id or of another length
 than most of the sample. Rows of one id count as one: a query never meets its own id, of several rows of its id that of the least bytes
-is the query, and an id that is met has the score of its best row and one place. Ties go to the smaller id. Scores beyond 64 bits are cut to the largest."""
+is the query, and an id that is met has the score of its best row and one place. Ties go to the smaller id. Scores beyond 64 bits are cut
+to the largest. Long vectors are compared whole. Empty tables give empty tables. Only the columns named are read, so others may have any
+names."""
 
 from __future__ import annotations
 
