@@ -13,8 +13,9 @@ A byte goes if a string of `length` bytes that covers it also starts earlier: in
    again on the bytes themselves.
 4. Spans. Repeated windows become spans of each text, and the rest of the text is kept.
 
-Anchors with over `block` contexts (a line that a third of all documents share, say) are dealt in pairs of blocks: each window meets
-each other in one of them, and no task holds more than two blocks.
+Each anchor's number of places is joined to them; the few anchors with more places than a task should hold, at most one for each task,
+are broadcast instead. Anchors with over `block` contexts (a line that a third of all documents share, say) are dealt in pairs of
+blocks: each window meets each other in one of them, and no task holds more than two blocks.
 
 Null texts are empty; texts under `length` bytes lose nothing but may not be longer than 2 GB. A null doc_id comes before all others.
 Rows of one id are told apart by the hash of their texts, in whose order they stand; rows equal in both are one document. Empty tables
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import BASE, BASE_INV, byte_codes, discard, mix64, powers, release, staged, utf8
+from boxloom.llm.common import BASE, BASE_INV, byte_codes, discard, mix64, parallelism, powers, release, staged, utf8
 from boxloom.llm.neardup import in_blocks
 
 _CODES = byte_codes(11)
@@ -280,9 +281,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: in
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc[i:j][text]), pa.array(part[i:j][text]), pa.array((q - start[text]).astype(np.int32))], names=["h", "doc", "part", "pos"])
 
     found = staged(docs.select("doc", "part", "text").mapInArrow(find, "h long, doc long, part long, pos int"), "anchors")
-    again = found.groupBy("h").agg(F.count("*").cast("int").alias("size")).where("size > 1")
-    places = staged(found.join(again, "h").groupBy("doc", "part").agg(F.collect_list(F.struct("pos", "size")).alias("at")), "places")
+    again = staged(found.groupBy("h").agg(F.count("*").cast("int").alias("size")).where("size > 1"), "again")
+    # of n keys in p parts at the most p have over n / p rows: these few are sent to their rows, which would else meet in one task
+    often = F.broadcast(again.where(F.col("size") > found.count() // parallelism(spark)))
+    sized = found.join(often, "h", "left_anti").join(again, "h").unionByName(found.join(often, "h"))
+    places = staged(sized.groupBy("doc", "part").agg(F.collect_list(F.struct("pos", "size")).alias("at")), "places")
     discard(found)
+    discard(again)
 
     # a row without a context is a span that is known to repeat already; its anchor column holds where it ends
     names = ["h", "doc", "part", "first", "anchor", "context", "size"]
