@@ -70,13 +70,16 @@ def plane_hash(rows: DataFrame, key: str, samples: str, out: str = "hash") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for s in b.column(1).to_pylist():
-                h = FNV_START
-                for v in s or ():
-                    h = (h ^ v) * FNV_FACTOR & 0xFFFFFFFFFFFFFFFF
-                got.append(h)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.decimal128(20, 0))], names=[key, out])
+            n = b.column(1).value_lengths().fill_null(0).to_numpy()
+            flat, start = b.column(1).flatten().to_numpy().astype(np.uint64), np.cumsum(n) - n
+            order = np.argsort(-n, kind="stable")
+            h, start, long = np.full(len(n), FNV_START, np.uint64), start[order], -n[order]
+            for k in range(-int(long.min(initial=0))):  # the k-th sample of all rows that have one
+                some = int(np.searchsorted(long, -k))
+                h[:some] = (h[:some] ^ flat[start[:some] + k]) * np.uint64(FNV_FACTOR)
+            got = np.empty_like(h)
+            got[order] = h
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.tolist(), pa.decimal128(20, 0))], names=[key, out])
 
     return rows.select(key, samples).mapInArrow(run, f"`{key}` {kind}, {out} decimal(20,0)")
 

@@ -257,6 +257,16 @@ CASE WHEN v = 0 THEN 10 WHEN v IN (1, 2) THEN 8 END::INT AS bit_depth, CASE WHEN
 CASE WHEN v = 0 THEN s * (s + 1) * 4 WHEN v IN (1, 2) THEN (s + 2) * (s + 3) * 4 END::BIGINT AS rgba_bytes, CASE WHEN v > 2 THEN 'no primary item' END AS error FROM p"""
 
 
+def sequence_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image, alpha and thumbnail tracks of movies, and whether alpha is in step with the image."""
+    seq = Sequences(Container(written(table(spark, sf_dir, "part").select("p_partkey", "p_size"), _movie_file), keep=True))
+    return seq.roles.join(seq.alpha_matches, "file_id", "left").select("file_id", F.col("track").cast("int").alias("track"), "role", "matches")
+
+
+SEQUENCE_ROLES = """SELECT p_partkey AS file_id, track::INT AS track, role, CASE p_partkey % 5 WHEN 2 THEN true WHEN 4 THEN false END AS matches FROM part, (VALUES (0, 'image'), (1, 'alpha'), (2, 'thumbnail')) v(track, role)
+WHERE p_partkey % 5 > 0 AND (role = 'image' OR p_partkey % 5 = 2 OR role = 'alpha' AND p_partkey % 5 = 4)"""
+
+
 # ---- pictures ----
 
 
@@ -292,6 +302,65 @@ UNCI_PIXELS = """WITH p AS (SELECT p_partkey AS k, x, y, ch, p_partkey * 7 + ch
 SELECT k AS file_id, x::INT AS x, y::INT AS y, ch::INT AS ch, CASE WHEN k % 10 IN (4, 7, 8) THEN (raw % 1024) >> 2 WHEN k % 10 = 5 THEN ((raw % 32) * 255 + 15) // 31 ELSE raw % 256 END::INT AS v FROM p"""
 
 
+def packed_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures whose samples are compressed whole or in units, with and without a zlib header."""
+
+    def make(key: int) -> bytes:
+        planes = [[[_value(key, c, x, y) % 256 for x in range(4)] for y in range(4)] for c in range(3)]
+        data, kind = w.pack_samples(planes, [8] * 3, 0), "zlib" if key % 2 else "defl"
+        n = (len(data), 16, 5, 4)[key % 4]
+        units = []
+        for at in range(0, len(data), n):
+            z = zlib.compressobj(wbits=zlib.MAX_WBITS if key % 2 else -zlib.MAX_WBITS)
+            units.append(z.compress(data[at : at + n]) + z.flush())
+        return w.unci_file(b"".join(units), 4, 4, w.uncc([8] * 3), (4, 5, 6), [w.cmpc(kind)] + ([w.icef(map(len, units))] if key % 4 else []))
+
+    return pixels(pictures(Container(written(table(spark, sf_dir, "part").select("p_partkey"), make)))).select("file_id", "x", "y", "ch", "v")
+
+
+PACKED_PIXELS = "SELECT p_partkey AS file_id, x::INT AS x, y::INT AS y, ch::INT AS ch, ((p_partkey * 7 + ch * 50 + x * 40 + y * 10 + x * y) % 256)::INT AS v " + _GRID.format(w=4, h=4, c=3)
+
+
+def chroma_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of half the chroma across, or across and down, in planes or with the two mixed; two matrices, full and limited range."""
+
+    def make(key: int) -> bytes:
+        rows = 2 if key % 2 else 4
+        luma = bytes((key * 5 + x * 30 + y * 17) % 256 for y in range(4) for x in range(4))
+        cb, cr = ([(key * (3 + c) + x * 90 + y * 25 + c * 40) % 256 for y in range(rows) for x in range(2)] for c in range(2))
+        mixed = key % 4 > 1
+        body = bytes(v for pair in zip(cb, cr, strict=True) for v in pair) if mixed else bytes(cb + cr)
+        form = w.uncc([8] * 3, 2 if mixed else 0, sampling=1 + key % 2)
+        return w.unci_file(luma + body, 4, 4, form, (1, 2, 3), [w.nclx(1, 13, 1 if key % 3 == 0 else 6, key % 5 > 1)])
+
+    return pixels(pictures(Container(written(table(spark, sf_dir, "part").select("p_partkey"), make)))).select("file_id", "x", "y", "ch", "v")
+
+
+CHROMA_PIXELS = """WITH p AS (SELECT p_partkey AS k, x, y, ch, ((p_partkey * 5 + x * 30 + y * 17) % 256)::INT AS lu, x // 2 AS cx, CASE WHEN p_partkey % 2 = 1 THEN y // 2 ELSE y END AS cy """ + _GRID.format(w=4, h=4, c=3) + """),
+a AS (SELECT *, ((k * 3 + cx * 90 + cy * 25) % 256)::INT AS cb, ((k * 4 + cx * 90 + cy * 25 + 40) % 256)::INT AS cr, k % 5 > 1 AS f FROM p),
+b AS (SELECT *, greatest(16, least(235, lu)) - 16 AS ly, greatest(16, least(240, cb)) - 128 AS lb, greatest(16, least(240, cr)) - 128 AS lr, cb - 128 AS fb, cr - 128 AS fr,
+CASE WHEN f THEN CASE WHEN k % 3 = 0 THEN [403, -48, -120, 475] ELSE [359, -88, -183, 454] END ELSE CASE WHEN k % 3 = 0 THEN [14744, -1754, -4383, 17373] ELSE [13126, -3222, -6686, 16591] END END AS q FROM a),
+c AS (SELECT *, CASE ch WHEN 0 THEN q[1] * CASE WHEN f THEN fr ELSE lr END WHEN 1 THEN q[2] * CASE WHEN f THEN fb ELSE lb END + q[3] * CASE WHEN f THEN fr ELSE lr END ELSE q[4] * CASE WHEN f THEN fb ELSE lb END END AS add FROM b)
+SELECT k AS file_id, x::INT AS x, y::INT AS y, ch::INT AS ch, greatest(0, least(255, CASE WHEN f THEN lu + ((add + 128) >> 8) ELSE (ly * 9576 + add + 4096) >> 13 END))::INT AS v FROM c"""
+
+
+def role_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primary images that are mirrored copies of another item, their thumbnails and their gain maps."""
+
+    def make(key: int) -> bytes:
+        plane = lambda width, height, n: w.pack_samples([[[(key * n + x * 20 + y * 7) % 256 for x in range(width)] for y in range(height)]], [8], 0)
+        items = [{"id": 1, "type": "iden", "props": [6]}, {"id": 2, "type": "unci", "props": [1, 4, 5], "parts": [plane(4, 3, 1)]}]
+        items += [{"id": 3, "type": "unci", "props": [2, 4, 5], "parts": [plane(2, 2, 3)]}, {"id": 4, "type": "unci", "props": [3, 4, 5, 7], "parts": [plane(3, 1, 5)]}]
+        return w.still(items, [w.ispe(4, 3), w.ispe(2, 2), w.ispe(3, 1), w.uncc([8]), w.cmpd(0), w.imir(1), w.auxc(GAIN)], [("dimg", 1, [2]), ("thmb", 3, [1]), ("auxl", 4, [1])])
+
+    c = Container(written(table(spark, sf_dir, "part").select("p_partkey"), make))
+    return pixels(pictures(c, roles=("primary", "thumbnail", "gain_map"))).where("ch = 0").select("file_id", "role", "x", "y", "v")
+
+
+ROLE_PIXELS = """SELECT p_partkey AS file_id, role, x::INT AS x, y::INT AS y, ((p_partkey * n + CASE WHEN n = 1 THEN 3 - x ELSE x END * 20 + y * 7) % 256)::INT AS v
+FROM part, (VALUES ('primary', 1, 4, 3), ('thumbnail', 3, 2, 2), ('gain_map', 5, 3, 1)) r(role, n, w, h), (SELECT unnest(range(4)) AS x), (SELECT unnest(range(3)) AS y) WHERE x < w AND y < h"""
+
+
 def turned_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """5 x 4 pictures cut to 3 x 2 where the key is odd, then turned key % 4 times against the clock, then mirrored if key % 3."""
 
@@ -370,6 +439,23 @@ SELECT a.k AS file_id, count(*) AS n, sum((a.v - b.v) * (a.v - b.v))::BIGINT AS
 FROM p a JOIN p b ON b.k = a.k + 1 AND a.x = b.x AND a.y = b.y AND a.ch = b.ch GROUP BY a.k"""
 
 
+def picture_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and digest of pictures as files, and the hash of the samples of their middle channel."""
+
+    def make(key: int) -> bytes:
+        planes = [[[_value(key, c, x, y) % 256 for x in range(4)] for y in range(4)] for c in range(3)]
+        return w.unci_file(w.pack_samples(planes, [8] * 3, 1), 4, 4, w.uncc([8] * 3, 1), (4, 5, 6))
+
+    p = pictures(Container(written(table(spark, sf_dir, "supplier").select("s_suppkey"), make)))
+    middle = pixels(p).where("ch = 1").groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("samples"))
+    return metrics.netpbm(p).select("file_id", F.length("ppm").alias("n_bytes"), F.md5("ppm").alias("md5")).join(metrics.plane_hash(middle, "file_id", "samples").withColumn("hash", F.col("hash").cast("string")), "file_id")
+
+
+PICTURE_HASHES = """WITH p AS (SELECT s_suppkey AS k, x, y, ch, (s_suppkey * 7 + ch * 50 + x * 40 + y * 10 + x * y) % 256 AS v """ + _GRID.format(w=4, h=4, c=3).replace("FROM part", "FROM supplier") + """)
+SELECT k AS file_id, (11 + count(*))::INT AS n_bytes, md5(unhex('50360A3420340A3235350A' || string_agg(printf('%02X', v::INT), '' ORDER BY y, x, ch))) AS md5,
+list_reduce(list_prepend(14695981039346656037::HUGEINT, list(v::HUGEINT ORDER BY y, x) FILTER (ch = 1)), lambda h, v: xor(h, v) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT)::VARCHAR AS hash FROM p GROUP BY k"""
+
+
 def box_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(key: int) -> bytes:
         plane = [[(key * 11 + x * x + 5 * y) % 256 for x in range(20)] for y in range(18)]
@@ -471,9 +557,9 @@ VERDICTS = """SELECT CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 = 0 THEN 'b
 
 ALL = (
     (file_kind, FILE_KIND), (box_scan, BOX_SCAN), (order_items, ORDER_ITEMS), (image_info, IMAGE_INFO), (metadata, METADATA), (references, REFERENCES), (compact_images, COMPACT_IMAGES),
-    (sequence_samples, SEQUENCE_SAMPLES), (sequence_frames, SEQUENCE_FRAMES), (sequence_info, SEQUENCE_INFO), (movie_info, MOVIE_INFO),
-    (unci_pixels, UNCI_PIXELS), (turned_pixels, TURNED_PIXELS), (alpha_pixels, ALPHA_PIXELS), (overlay_pixels, OVERLAY_PIXELS), (unsupported_pictures, UNSUPPORTED_PICTURES),
-    (image_difference, IMAGE_DIFFERENCE), (box_means, BOX_MEANS), (annexb_units, ANNEXB_UNITS), (coded_streams, CODED_STREAMS), (expr_ycc_rgb, EXPR_YCC_RGB), (expr_samples, EXPR_SAMPLES), (corpus_pick, CORPUS_PICK), (bench_summary, BENCH_SUMMARY), (verdicts, VERDICTS),
+    (sequence_samples, SEQUENCE_SAMPLES), (sequence_frames, SEQUENCE_FRAMES), (sequence_info, SEQUENCE_INFO), (movie_info, MOVIE_INFO), (sequence_roles, SEQUENCE_ROLES),
+    (unci_pixels, UNCI_PIXELS), (packed_pixels, PACKED_PIXELS), (chroma_pixels, CHROMA_PIXELS), (role_pixels, ROLE_PIXELS), (turned_pixels, TURNED_PIXELS), (alpha_pixels, ALPHA_PIXELS), (overlay_pixels, OVERLAY_PIXELS), (unsupported_pictures, UNSUPPORTED_PICTURES),
+    (image_difference, IMAGE_DIFFERENCE), (picture_hashes, PICTURE_HASHES), (box_means, BOX_MEANS), (annexb_units, ANNEXB_UNITS), (coded_streams, CODED_STREAMS), (expr_ycc_rgb, EXPR_YCC_RGB), (expr_samples, EXPR_SAMPLES), (corpus_pick, CORPUS_PICK), (bench_summary, BENCH_SUMMARY), (verdicts, VERDICTS),
 )
 QUERIES = {f.__name__: shipped(f) for f, _ in ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in ALL}
