@@ -5,14 +5,17 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from boxloom.llm import chat, mixing, secrets, toxicity
 from tests.llm.helpers import SCHEMA, documents, prose, with_clashes
+from tests.llm.test_duplicates import Sets, shingles, varied
 
 
 
@@ -270,6 +273,48 @@ def test_pipeline(spark, tmp_path):
     assert final.select("doc_id", "n_tokens").exceptAll(docs.select("doc_id", "n_tokens")).count() == 0 and final.count() == docs.count()
 
 
+def test_stages_against_brute_force(spark, tmp_path):
+    rows = varied() + [(5000 + i, prose(500 + i, 40), "en", "bca"[i % 3], 1) for i in range(30)] + [(6000, "", "en", "b", 0), (6001, None, "en", None, 0), (6002, "last words", "en", None, 10)]
+    docs, out = spark.createDataFrame(rows, SCHEMA), {}
+    for name in ("minhash", "mixing", "bpe"):
+        dict(corpus_pipeline.STAGES)[name](spark, docs, "").write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        out[name] = docs.collect()
+
+    sets, linked = [(r[0], shingles(r[1] or "", 5)) for r in rows], Sets()
+    for i, (a, x) in enumerate(sets):
+        linked.find(a)
+        for b, y in sets[:i]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                linked.join(a, b)
+    assert sorted(r.doc_id for r in out["minhash"]) == sorted(a for a, _ in sets if linked.find(a) == a)
+    assert len(out["minhash"]) < len(rows)
+
+    before = {r.doc_id: r for r in out["minhash"]}
+    words = lambda t: len((t or "").split())
+    names = sorted({r.source for r in before.values()}, key=lambda x: (x is None, x or ""))
+    size = {n: sum(words(r.text) for r in before.values() if r.source == n) for n in names}
+    weight, target, rest, free = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}, {}, 1.5 * sum(size.values()), set(names)
+    while free:
+        part = {n: rest * weight[n] / sum(weight[m] for m in free) for n in free}
+        full = {n for n in free if part[n] > 2 * size[n]}
+        target |= {n: 2 * size[n] for n in full} or part
+        rest -= sum(2 * size[n] for n in full)
+        free = free - full if full else set()
+    taken, by = dict.fromkeys(names, 0), {}
+    for r in out["mixing"]:
+        assert r.text in before[r.doc_id].text and (r.source, r.n_chars) == (before[r.doc_id].source, len(r.text))
+        taken[r.source] += words(r.text)
+        by[r.doc_id] = by.get(r.doc_id, 0) + words(r.text)
+    assert all(abs(taken[n] - target[n]) <= 0.5 for n in names)
+    assert all(n <= 2 * words(before[i].text) for i, n in by.items())
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [(r.doc_id, np.array(library.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()) for r in out["mixing"]]
+    assert sorted((r.doc_id, bytes(r.ids)) for r in out["bpe"]) == sorted(want)
+    assert all(r.round_trip and 4 * r.n_tokens == len(r.ids) for r in out["bpe"])
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     path = str(tmp_path)
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
