@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from boxloom.llm import secrets
 from boxloom.llm.bpe import encode_decode
 from boxloom.llm.chat import format_conversations, read_conversations
+from boxloom.llm.collocations import collocations
 from boxloom.llm.common import read, staged
 from boxloom.llm.mixing import plan
 from boxloom.llm.neardup import near_duplicates
 from boxloom.llm.neardup_vectors import near_duplicate_vectors
+from boxloom.llm.repair import damaged, digests, repair
 from boxloom.llm.repeats import remove_repeats
+from boxloom.llm.token_counts import token_counts
 from boxloom.llm.tokenfile import token_files
 from boxloom.llm.topk import top_k
 from boxloom.shipping import shipped
@@ -75,7 +78,23 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_token_output, op2_mixing, op3_bpe, op4_repeats, op5_embedding_neardup, op6_chat, op7_secrets, op8_toxicity, op9_topk, op10_minhash)}
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    told = digests(repair(damaged(rows))).withColumnRenamed("conv_id", "id")
+    every = rows.select("conv_id").distinct().join(told, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    numbers = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"), least=100, most=2000)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=512)
+
+
+QUERIES = {f.__name__: shipped(f) for f in (op1_token_output, op2_mixing, op3_bpe, op4_repeats, op5_embedding_neardup, op6_chat, op7_secrets, op8_toxicity, op9_topk, op10_minhash, op11_structure_repair, op12_collocations, op13_token_counts)}
 OP4_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), b AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
 w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM b, LATERAL (SELECT unnest(range(n - 99)) AS i) WHERE n >= 100),
 f AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
@@ -100,6 +119,46 @@ x AS (SELECT doc_id, unnest(s) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_i
 n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s), l AS (SELECT a, b FROM p JOIN n q ON q.doc_id = a JOIN n r ON r.doc_id = b WHERE 100 * hits >= 80 * (q.n + r.n - hits)),
 t(a, b) AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a), c AS (SELECT a, min(b) AS least FROM t GROUP BY a)
 SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept FROM n LEFT JOIN c ON c.a = doc_id"""
-#: The others are beyond SQL (a vocabulary, hash draws, learned models) or too slow in it on whole tables. Tests hold op1 and op3 against the tokenizers library,
+
+
+def _op11_sql() -> str:
+    """Least (cost, audit) of each grammar state, turn by turn, as texts of eight digits and the audit, so that the least text is the cheapest
+    and least audit."""
+    add = lambda b, cost, letter: f"lpad((substr({b}, 1, 8)::INT + {cost})::VARCHAR, 8, '0') || substr({b}, 9) || '{letter}'"
+    keep = lambda b, who: f"CASE WHEN f < 2 AND w = '{who}' THEN {add(b, 'm', 'K')} END"
+    rerole = lambda b: f"CASE WHEN f < 2 THEN {add(b, '3 + m', 'R')} END"
+    user = ", ".join(f"{rerole(b)}, {keep(b, 'u')}" for b in ("b0", "b1", "b3"))
+    inserted = lambda *of: ", ".join(add(b, 3, "I") for b in of)
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(conv_id::VARCHAR, '-') AS g, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda x: x::BIGINT)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS fault FROM c),
+d AS (SELECT g, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, LATERAL (SELECT unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END))) WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, substr(text, 1, 64), text) AS i FROM d),
+x AS (SELECT *, substr(role, 1, 1) AS w, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 2 WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 3 WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 0 ELSE 1 END AS f FROM o),
+y AS (SELECT *, CASE WHEN f = 1 THEN 3 ELSE 0 END AS m, lag(w) OVER (PARTITION BY g ORDER BY i) || w AS pair FROM x),
+z(g, i, b0, b1, b2, b3) AS (SELECT DISTINCT g, 0::BIGINT, '00000000', NULL::VARCHAR, '00000003I', '00000006II' FROM y UNION ALL
+SELECT g, i, n0, n1, e2, least(n3, {inserted("e2")}) FROM (SELECT *, least(n2, {inserted("n0", "n1", "n3")}) AS e2 FROM (SELECT z.g, y.i, {add("b0", 4, "D")} AS n0, least({add("b1", 4, "D")}, {keep("b0", "s")}) AS n1, least({add("b2", 4, "D")}, {user}) AS n2, least({add("b3", 4, "D")}, {rerole("b2")}, {keep("b2", "a")}) AS n3
+FROM z JOIN y ON y.g = z.g AND y.i = z.i + 1))),
+e AS (SELECT g, least(arg_max(b0, i), arg_max(b3, i)) AS best FROM z GROUP BY g),
+l AS (SELECT g, p, substr(best, 8 + p::INT, 1) AS letter FROM (SELECT g, best, unnest(range(1, length(best) - 7)) AS p FROM e)),
+q AS (SELECT *, sum((letter <> 'I')::INT) OVER (PARTITION BY g ORDER BY p) AS i, row_number() OVER (PARTITION BY g, letter = 'D' ORDER BY p) AS j FROM l),
+r AS (SELECT q.g, p, j, letter, role, text, w FROM q LEFT JOIN y ON y.g = q.g AND y.i = q.i WHERE letter <> 'D'),
+s AS (SELECT *, bool_or(j = 1 AND letter = 'K' AND w = 's') OVER (PARTITION BY g) AS led FROM r),
+t AS (SELECT g, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS digest FROM s GROUP BY g),
+n AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(f = 2) AS blank, count_if(f = 3) AS duplicate, count_if(f = 1) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM y GROUP BY g)
+SELECT u.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(substr(best, 1, 8)::BIGINT, 0) AS cost,
+coalesce(substr(best, 9), '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id, g FROM c) u LEFT JOIN e ON e.g = u.g LEFT JOIN n ON n.g = u.g LEFT JOIN t ON t.g = u.g"""
+
+
+OP11_SQL = _op11_sql()
+OP12_SQL = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100), c AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+x AS (SELECT DISTINCT a.lang, a.phrase FROM c a JOIN c b ON a.lang = b.lang AND a.k > 1 AND b.k > a.k AND 100 * b.f >= 100 * a.f AND contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ')),
+s AS (SELECT c.lang, c.phrase, c.f AS a, u.k, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f) AS score FROM c JOIN n ON n.lang = c.lang, LATERAL (SELECT unnest(range(1, c.k)) AS k) u
+JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:u.k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[u.k + 1:], ' ') WHERE c.k > 1),
+b AS (SELECT * FROM s WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM x) QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase))::INT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM b QUALIFY rank <= 2000"""
+#: The others are beyond SQL (a vocabulary, hash draws, learned models) or too slow in it on whole tables. Tests hold op1, op3 and op13 against the tokenizers library,
 #: op2 against its sums and bounds, op7 and op8 against planted findings and held-out labels.
-ORACLE_SQL: dict[str, str] = {"op4_repeats": OP4_SQL, "op5_embedding_neardup": OP5_SQL, "op6_chat": OP6_SQL, "op9_topk": OP9_SQL, "op10_minhash": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_repeats": OP4_SQL, "op5_embedding_neardup": OP5_SQL, "op6_chat": OP6_SQL, "op9_topk": OP9_SQL, "op10_minhash": OP10_SQL, "op11_structure_repair": OP11_SQL, "op12_collocations": OP12_SQL}
