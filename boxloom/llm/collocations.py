@@ -114,18 +114,19 @@ class Shard:
         self.room = np.minimum(self.room, np.repeat(stop, np.diff(stop, prepend=-1)) - np.arange(n) + 1)
 
     def suffixes(self, depth: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-        """Places with room for two words in the order of the words from there on, up to depth, and the LCP of each with the one before."""
-        n, at = len(self.ids), np.flatnonzero(self.room > 1)
-        room, rank, known, order = np.minimum(self.room, depth), np.where(self.room > 0, self.ids + 1, 0), 1, np.arange(len(at))
+        """Places in pieces of two words and more in the order of the words from there on, up to depth, and the LCP of each with the one
+        before."""
+        n, room = len(self.ids), np.minimum(self.room, depth)
+        at = np.flatnonzero((room > 1) | (room == 1) & (np.append(0, room[:-1]) > 1))
+        rank, known, order = self.ids + 1, 1, np.arange(len(at))
         while known < depth:
             step = min(known, depth - known)
             # a rank of `known` words, then one of the `known` words that end at the new depth; 0 where the piece has ended
-            key = rank[at] * (2 * n + 2) + np.where(room[at] > step, rank[np.minimum(at + step, n - 1)], 0)
+            key = rank[at] * (n + 2) + np.where(room[at] > step, rank[np.minimum(at + step, n - 1)], 0)
             order = np.argsort(key)
             key = key[order]
-            # places with room for one word, which the next step may look up, keep ranks below all others
-            rank = np.where(room == 1, self.ids + 1, 0)
-            rank[at[order]] = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)]) + len(self.words)
+            rank = np.zeros(n, np.int64)
+            rank[at[order]] = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)])
             known += step
         at = at[order]
         lcp = np.zeros(len(at), np.int64)
