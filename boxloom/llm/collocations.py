@@ -6,10 +6,10 @@ word ids by prefix doubling in numpy (by 1, 2, 4 and 5 words; no further, as no
 words as their LCP says, so the phrases of n words are the intervals whose LCP is n or more: one interval is one phrase, its length its
 count in the shard. Counts are merged by (language, phrase) over all shards; texts are never shuffled.
 
-Only what can occur `least` times need be merged. So shards are read three times. The first two count words, then pairs of frequent words,
-by their 64-bit hashes; hashes that reach `least` set bits of a map of fixed size (2 ** bits), which is all that is sent to the tasks. A
-map tells too much (two hashes may share a bit) but never too little: phrases that reach `least` have frequent words and pairs. The third
-reading sorts suffixes and merges phrases by their words themselves, so counts are exact.
+Only what can occur `least` times need be merged. So shards are read four times. The first three count words, pairs of frequent words and
+triples of frequent pairs by their 64-bit hashes; hashes that reach `least` set bits of maps of fixed size (2 ** bits), which are all that
+is sent to the tasks. A map tells too much (two hashes may share a bit) but never too little: phrases that reach `least` have frequent
+words, pairs and triples. The fourth reading sorts suffixes and merges phrases by their words themselves, so counts are exact.
 
 A phrase is scored at its worst cut: floor(1000 * a * n / (l * r)), in exact decimals. It is dropped if it lies in a phrase of one word
 more that occurs as often (longer ones that hold it occur at most as often as one between). The first `most` of each language are ranked
@@ -113,6 +113,14 @@ class Shard:
         stop = np.append(np.flatnonzero(~good[: max(n - 1, 0)]), n - 1)
         self.room = np.minimum(self.room, np.repeat(stop, np.diff(stop, prepend=-1)) - np.arange(n) + 1)
 
+    def limit_triples(self, good: np.ndarray) -> None:
+        """Phrases of three words and more hold none but good triples; good tells of each place whether the triple that begins there is."""
+        n = len(self.ids)
+        good = good & (self.room > 2)
+        bad = np.append(np.flatnonzero(~good), n)
+        after = np.repeat(bad, np.diff(bad, prepend=-1))[:n] - np.arange(n)
+        self.room = np.where(good, after + 2, np.minimum(self.room, 2))
+
     def suffixes(self, depth: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
         """Places in pieces of two words and more in the order of the words from there on, up to depth, and the LCP of each with the one
         before."""
@@ -159,10 +167,13 @@ class Shard:
         return (pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]).cast(pa.large_string())
 
 
-def paired(h: np.ndarray, shard: Shard) -> np.ndarray:
-    """A hash of the pair of words that begins at each place, from the hashes of the vocabulary."""
+def runs(h: np.ndarray, shard: Shard, k: int) -> np.ndarray:
+    """A hash of the k words that begin at each place, from the hashes of the vocabulary; 0 where fewer follow."""
     w = h[shard.ids]
-    return mix64(w[:-1] * _U(BASE) + mix64(w[1:]))
+    out, n = mix64(w), max(len(w) - k + 1, 0)
+    for j in range(1, k):
+        out = mix64(out[:n] * _U(BASE) + w[j : n + j])
+    return np.append(out[:n], np.zeros(len(w) - n, _U))
 
 
 def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, Shard]]:
@@ -244,28 +255,36 @@ def phrase_counts(docs: DataFrame, least: int = 100, text: str = "text", lang: s
     sizes = total.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
     known = spark.sparkContext.broadcast(bit_map(total.where(F.col("n") >= least), bits))
 
-    def frequent(s: Shard) -> np.ndarray:
+    def frequent(s: Shard, pairs: np.ndarray | None = None, triples: np.ndarray | None = None) -> np.ndarray:
+        """Limits a shard to what can be frequent by the maps that are there."""
         h = s.hashes()
         s.limit(is_set(known.value, h, bits))
+        if pairs is not None:
+            s.limit_pairs(is_set(pairs, runs(h, s, 2), bits))
+        if triples is not None:
+            s.limit_triples(is_set(triples, runs(h, s, 3), bits))
         return h
 
-    def pairs(_: str, s: Shard) -> Iterator[list[pa.Array]]:
-        if not len(s.words):
-            return
-        h = frequent(s)
-        found = paired(h, s)[(s.room[:-1] >= 2) & (np.arange(len(s.ids) - 1) < s.own)]
-        value, n = np.unique(found, return_counts=True)
-        if len(value):
-            yield [pa.array(value.view(np.int64)), pa.array(n)]
+    def often(k: int, name: str, *maps) -> DataFrame:
+        """Hashes of the runs of k words that are frequent."""
+
+        def make(_: str, s: Shard) -> Iterator[list[pa.Array]]:
+            if len(s.words):
+                h = frequent(s, *(m.value for m in maps))
+                value, n = np.unique(runs(h, s, k)[: s.own][s.room[: s.own] >= k], return_counts=True)
+                if len(value):
+                    yield [pa.array(value.view(np.int64)), pa.array(n)]
+
+        found = counted(rows, make, "lang string, h long, n long", shard).groupBy("lang", "h").agg(F.sum("n").alias("n"))
+        return staged(found.where(F.col("n") >= least), name)
 
-    often = counted(rows, pairs, "lang string, h long, n long", shard).groupBy("lang", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    joined = spark.sparkContext.broadcast(bit_map(staged(often, "pairs"), bits))
+    pairs = spark.sparkContext.broadcast(bit_map(often(2, "pairs"), bits))
+    triples = spark.sparkContext.broadcast(bit_map(often(3, "triples", pairs), bits))
 
     def all_phrases(_: str, s: Shard) -> Iterator[list[pa.Array]]:
         if not len(s.words):
             return
-        h = frequent(s)
-        s.limit_pairs(np.append(is_set(joined.value, paired(h, s), bits), False))
+        frequent(s, pairs.value, triples.value)
         for k, place, n in s.phrases():
             if len(place):
                 yield [s.spelled(place, k).cast(pa.string()), pa.array(np.full(len(place), k, np.int32)), pa.array(n)]
