@@ -5,13 +5,13 @@ in the row that holds them. Where a table has several rows for an item, the firs
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.functions.arrays import let
 from boxloom.sources.container import ALPHA_HEVC, ALPHA_URN, Limits
-from boxloom.sources.tables import MEMBERS, Container
+from boxloom.sources.schema import MEMBERS
+from boxloom.sources.tables import Container
 
 #: The name of gain maps, item types that stand for others, and depths to which those are followed.
 GAIN_MAP = "urn:com:apple:photo:2020:aux:hdrgainmap"
@@ -21,11 +21,6 @@ KINDS = {"avif": ("avif", "avis"), "heic": ("heic", "heix", "hevc", "hevx"), "se
 INFO = ("item_id", "ord", "item_type", "name", "content_type", "hidden")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), value being worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def kind(brands: Column, is_sequence: Column) -> Column:
     """The kind of a file from its major and first 15 compatible brands."""
     first = F.slice(brands, 1, 16)
@@ -189,7 +184,8 @@ def first_coded(start: Column, nodes: Column) -> Column:
 
 
 def info(c: Container) -> DataFrame:
-    """What can be told of each file's primary image without decoding it; an error where nothing can.
+    """What can be told of each file's primary image without decoding it; an error where nothing can. Files with a movie that can be shown
+    are sequences; those without still images have the movie's image for their primary one.
 
     (file_id, kind, width, height, bit_depth, has_alpha, has_exif, has_xmp, has_thumbnail, has_gain_map, color_primaries,
     transfer_characteristics, matrix_coefficients, full_range, rgb_bytes, rgba_bytes, within_limits, error)"""
@@ -197,13 +193,13 @@ def info(c: Container) -> DataFrame:
     with_nodes = c.parsed.withColumn("probed", F.transform("nodes", probed))
     found = with_nodes.withColumn("own_no", F.when(parse_error.isNull(), F.col("primary_no"))).withColumn("sized_no", first_sized(F.col("own_no"), F.col("probed"))).withColumn("coded_no", first_coded(F.col("own_no"), F.col("probed")))
     item = lambda name: F.when(F.col(name).isNotNull(), resolved(F.get(F.col("nodes"), F.col(name))))
-    rows = found.select("file_id", "brand", "brands", parse_error.alias("parse_error"), "primary_id", "own_no", "items", "links", "nodes", "props", item("sized_no").alias("sized"), item("coded_no").alias("coded"), item("own_no").alias("own"))
+    rows = found.select("file_id", "movie", "brand", "brands", parse_error.alias("parse_error"), "primary_id", "own_no", "items", "links", "nodes", "props", item("sized_no").alias("sized"), item("coded_no").alias("coded"), item("own_no").alias("own"))
     ref = lambda name, urn=None: F.coalesce(first_with(name, primary, urn).isNotNull(), F.lit(False))
     xmp_type = lambda i: (i["item_type"] == "mime") & (F.contains(i["content_type"], F.lit("xmp")) | F.contains(i["content_type"], F.lit("rdf+xml")))
     rows = rows.select(
-        "file_id", "brand", "brands", "parse_error", "own_no", F.when(F.col("sized.ispe").isNotNull(), display_size(F.col("sized.ispe.width"), F.col("sized.ispe.height"), F.col("sized.transforms"))).alias("size"),
+        "file_id", "movie", "brand", "brands", "parse_error", "own_no", F.when(F.col("sized.ispe").isNotNull(), display_size(F.col("sized.ispe.width"), F.col("sized.ispe.height"), F.col("sized.transforms"))).alias("size"),
         F.coalesce("coded.hvcc.bit_depth", "coded.av1c.bit_depth").alias("depth"), F.col("own.colr").alias("colr"), F.col("coded.colr").alias("coded_colr"),
-        F.exists("items", lambda i: i["item_type"] == "Exif").alias("has_exif"), F.exists("items", xmp_type).alias("has_xmp"), ref("thmb").alias("has_thumbnail"), (ref("auxl", ALPHA_URN) | ref("auxl", ALPHA_HEVC)).alias("has_alpha"), ref("auxl", GAIN_MAP).alias("has_gain_map"),
+        F.exists("items", lambda i: i["item_type"] == "Exif").alias("has_exif"), F.exists("items", xmp_type).alias("has_xmp"), ref("thmb").alias("has_thumbnail"), (ref("auxl", ALPHA_URN) | ref("auxl", ALPHA_HEVC) | F.col("movie.alpha").isNotNull()).alias("has_alpha"), ref("auxl", GAIN_MAP).alias("has_gain_map"),
     )
     nclx = F.when(F.col("colr.kind") == "nclx", F.col("colr")).when(F.col("coded_colr.kind") == "nclx", F.col("coded_colr"))
     error = F.coalesce("parse_error", F.when(F.col("own_no").isNull(), "no primary item"), F.when(F.col("size").isNull(), "the primary item has no size"))
@@ -211,7 +207,7 @@ def info(c: Container) -> DataFrame:
     flag = lambda name: F.when(error.isNull(), F.coalesce(F.col(name), F.lit(False))).alias(name)
     lim: Limits = c.limits
     return rows.select(
-        "file_id", F.when(F.col("parse_error").isNull(), kind(F.concat(F.array("brand"), "brands"), F.lit(False))).alias("kind"), w.alias("width"), h.alias("height"), F.when(error.isNull(), F.coalesce("depth", F.lit(8))).alias("bit_depth"),
+        "file_id", F.when(F.col("parse_error").isNull(), kind(F.concat(F.array("brand"), "brands"), F.col("movie").isNotNull())).alias("kind"), w.alias("width"), h.alias("height"), F.when(error.isNull(), F.coalesce("depth", F.lit(8))).alias("bit_depth"),
         *map(flag, ("has_alpha", "has_exif", "has_xmp", "has_thumbnail", "has_gain_map")),
         nclx["primaries"].alias("color_primaries"), nclx["transfer"].alias("transfer_characteristics"), nclx["matrix"].alias("matrix_coefficients"), nclx["full_range"].alias("full_range"),
         (w * h * 3).alias("rgb_bytes"), (w * h * 4).alias("rgba_bytes"), ((w <= lim.width) & (h <= lim.height) & (w * h <= lim.pixels)).alias("within_limits"), error.alias("error"),

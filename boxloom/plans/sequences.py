@@ -1,181 +1,87 @@
-"""Image sequences: tracks to samples, samples to frames, in windows and joins over run-length tables.
+"""Image sequences: tracks, samples, frames and summaries of the files of a container.
 
-All rows carry (file_id, track). A track that breaks a rule has an error, and no frames."""
+All is worked out in the row of a file by expressions (functions/tracks.py) and exploded from there: no joins, windows or exchanges, and
+nothing is kept. All rows carry (file_id, track). A track that breaks a rule has an error, and no frames."""
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.plans.items import info
-from boxloom.sources.container import MOST_ITEMS
+from boxloom.functions import tracks as tr
+from boxloom.functions.arrays import let
+from boxloom.functions.tracks import rescale
+from boxloom.sources.movies import with_roles
 from boxloom.sources.tables import Container
 
-KEY = ["file_id", "track"]
-FOREVER = 0xFFFFFFFF
-_DEC = "decimal(38,0)"
-_before = lambda *order: Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-_sum = lambda c, *order: F.coalesce(F.sum(c).over(_before(*order)), F.lit(0))
-
-
-def rescale(value: Column, source: Column, target: Column) -> Column:
-    """floor(value * target / source) in two steps, null where the value is beyond 63 bits."""
-    v = F.when(value <= (1 << 63) - 1, value.cast("bigint"))
-    div = lambda a, b: F.call_function("div", a, b)
-    return (div(v, source).cast("decimal(20,0)") * target.cast("decimal(12,0)") + div((v % source).cast("decimal(12,0)") * target.cast("decimal(12,0)"), source.cast("decimal(12,0)")).cast("decimal(20,0)")).cast(_DEC)
-
-
-def runs(tracks: DataFrame, column: str, value: str) -> DataFrame:
-    """(file_id, track, sample, value, total before): a run-length table, a row for each sample from 1 on."""
-    rows = tracks.select(*KEY, F.posexplode(column).alias("no", "r")).select(*KEY, "no", F.col("r.count").alias("n"), F.col(f"r.{value}").cast(_DEC).alias("value"))
-    rows = rows.withColumn("first", _sum("n", "no")).withColumn("sum", _sum((F.col("n") * F.col("value")).cast(_DEC), "no"))
-    rows = rows.where(F.col("first") + F.col("n") <= MOST_ITEMS)
-    return rows.select(*KEY, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"), "first", "value", "sum").select(*KEY, (F.col("first") + F.col("k") + 1).cast("bigint").alias("sample"), "value", (F.col("sum") + F.col("k") * F.col("value")).cast(_DEC).alias("before"))
+__all__ = ["Sequences", "lookup", "rescale"]
 
 
 class Sequences:
-    """The sequences of some files, decided and unrolled step by step; each table is a lazy DataFrame."""
+    """The sequences of some files; each table is a lazy DataFrame."""
 
     def __init__(self, c: Container):
-        self.c, self.held = c, []
-        self.tracks = self._kept(c.tracks.withColumn("coded", F.col("hvcc").isNotNull() | F.col("av1c").isNotNull()))
+        self.c = c
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        """Later tables are made of earlier ones several times, so these are kept until release()."""
-        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return self.held[-1]
+    @cached_property
+    def rows(self) -> DataFrame:
+        """A row for each file with tracks: told, roles, matches, usable."""
+        return with_roles(self.c.raw.where(F.size("tracks") > 0), self.c.limits)
 
-    def release(self) -> None:
-        for df in self.held:
-            df.unpersist()
+    @cached_property
+    def tracks(self) -> DataFrame:
+        return self.c.tracks
+
+    def _each(self, *columns: str) -> DataFrame:
+        return self.rows.select("file_id", "movie_timescale", "roles", F.explode("told").alias("t")).select("file_id", "movie_timescale", "roles", F.col("t.track").alias("track"), *[F.col(f"t.{c}").alias(c) for c in columns])
 
     @cached_property
     def roles(self) -> DataFrame:
         """(file_id, track, role): the image track, and its alpha and thumbnail tracks."""
-        lim, t = self.c.limits, self.tracks.select("file_id", "track", "track_id", "aux_for", "handler", "width", "height", "is_alpha", "coded")
-        order = F.struct(F.when(F.col("handler") == "pict", 0).otherwise(1).alias("rank"), "track")
-        main = t.where("coded and handler in ('pict', 'vide')").groupBy("file_id").agg(F.min_by(F.struct("track", "track_id", "width", "height"), order).alias("m"))
-        fits = lambda s: (F.col(f"{s}width") > 0) & (F.col(f"{s}height") > 0) & (F.col(f"{s}width") <= lim.width) & (F.col(f"{s}height") <= lim.height) & (F.col(f"{s}width") * F.col(f"{s}height") <= lim.pixels)
-        main = main.where(fits("m."))
-        others = t.where("coded").join(main, "file_id").where("track != m.track")
-        alpha = others.where("handler = 'auxv' and is_alpha and aux_for = m.track_id").groupBy("file_id").agg(F.min("track").alias("track"), F.count("*").alias("n")).where("n = 1").select(*KEY, F.lit("alpha").alias("role"))
-        small = others.where("handler = 'pict' and not (width >= m.width and height >= m.height)").groupBy("file_id").agg(F.min("track").alias("track")).select(*KEY, F.lit("thumbnail").alias("role"))
-        return self._kept(main.select("file_id", F.col("m.track").alias("track"), F.lit("image").alias("role")).unionByName(alpha).unionByName(small))
+        named = F.array(*[F.struct(F.col(f"roles.{r}").alias("track"), F.lit(r).alias("role")) for r in ("image", "alpha", "thumbnail")])
+        return self.rows.select("file_id", F.explode(F.filter(named, lambda r: r["track"].isNotNull())).alias("r")).select("file_id", "r.*")
 
     @cached_property
     def samples(self) -> DataFrame:
         """(file_id, track, sample, offset, size, duration, decode_time, composition_time, is_sync, rank, gop): coded samples from 1 on;
         rank is the place in presentation order, gop the sample at which decoding must begin."""
-        t = self.tracks.where("sizes is not null and chunk_offsets is not null and stsc is not null and stts is not null")
-        chunks = t.select(*KEY, F.posexplode("chunk_offsets").alias("no", "at")).select(*KEY, (F.col("no") + 1).cast("bigint").alias("chunk"), "at")
-        spans = t.select(*KEY, F.size("chunk_offsets").alias("n"), F.posexplode("stsc").alias("no", "r")).select(*KEY, "n", "no", F.col("r.first_chunk").alias("first"), F.col("r.per_chunk").alias("per"))
-        spans = spans.withColumn("next", F.least(F.coalesce(F.lead("first").over(Window.partitionBy(*KEY).orderBy("no")), F.col("n") + 1), F.col("n") + 1)).where("first >= 1 and next > first")
-        dealt = chunks.join(spans.select(*KEY, "per", F.explode(F.sequence("first", F.col("next") - 1)).alias("chunk")), [*KEY, "chunk"])
-        dealt = dealt.withColumn("first", _sum("per", "chunk")).join(t.select(*KEY, F.size("sizes").alias("count"), (F.col("sync").isNull() | (F.size("sync") == 0)).alias("all_sync")), KEY).where("first < count and per > 0")
-        each = dealt.select(*KEY, "chunk", "at", "all_sync", F.explode(F.sequence(F.col("first") + 1, F.least(F.col("first") + F.col("per"), F.col("count").cast("bigint")))).alias("sample"))
-        # sizes and sync samples come as rows, so that no sample carries its track's tables along
-        sized = t.select(*KEY, F.posexplode("sizes").alias("no", "size")).select(*KEY, (F.col("no") + 1).cast("bigint").alias("sample"), "size")
-        synced = t.select(*KEY, F.explode("sync").alias("sample")).distinct().withColumn("marked", F.lit(True))
-        each = each.join(sized, [*KEY, "sample"])
-        within = Window.partitionBy(*KEY, "chunk").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
-        placed = each.select(*KEY, "sample", (F.col("at") + F.coalesce(F.sum("size").over(within), F.lit(0))).cast("decimal(20,0)").alias("offset"), "size", "all_sync")
-        placed = placed.join(synced, [*KEY, "sample"], "left").select(*KEY, "sample", "offset", "size", (F.col("all_sync") | F.coalesce("marked", F.lit(False))).alias("is_sync"))
-        timed = runs(t, "stts", "delta").select(*KEY, "sample", F.col("value").cast("bigint").alias("duration"), F.col("before").cast("bigint").alias("decode_time"))
-        late = runs(t.where("ctts is not null"), "ctts", "offset").select(*KEY, "sample", F.col("value").cast("bigint").alias("shift"))
-        out = placed.join(timed, [*KEY, "sample"]).join(late, [*KEY, "sample"], "left").withColumn("composition_time", F.col("decode_time") + F.coalesce("shift", F.lit(0))).drop("shift")
-        rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("composition_time", "sample")) - 1
-        gop = F.max(F.when(F.col("is_sync"), F.col("sample"))).over(Window.partitionBy(*KEY).orderBy("sample").rowsBetween(Window.unboundedPreceding, 0))
-        return self._kept(out.withColumn("rank", rank).withColumn("gop", gop))
+        return self._each("samples").select("file_id", "track", F.explode("samples").alias("s")).select("file_id", "track", "s.*")
 
     @cached_property
     def errors(self) -> DataFrame:
         """(file_id, track, error): null where the track is sound."""
-        t = self.tracks.join(self.c.files.select("file_id", "file_len", "movie_timescale"), "file_id")
-        got = self.samples.groupBy(*KEY).agg(F.count("*").alias("n"), F.max(F.col("offset") + F.col("size")).alias("end"), F.min("size").alias("least"))
-        total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x["count"])
-        rising = lambda a: F.forall(F.transform(a, lambda x, i: F.when(i == 0, x >= 1).otherwise(x > F.element_at(a, i))), lambda ok: ok)
-        count = F.size("sizes")
-        rules = (
-            ("sample tables are missing", F.col("sizes").isNull() | F.col("chunk_offsets").isNull() | F.col("stsc").isNull() | F.col("stts").isNull()),
-            ("no timescale", F.col("timescale").isNull()),
-            ("stsc does not begin with the first chunk, or isn't in order", (F.element_at("stsc", 1)["first_chunk"] != 1) | ~rising(F.transform("stsc", lambda x: x["first_chunk"]))),
-            ("stts or ctts doesn't cover the samples", (total("stts") != count) | (F.col("ctts").isNotNull() & (total("ctts") != count))),
-            ("stss isn't in order", F.col("sync").isNotNull() & (~rising(F.col("sync")) | F.exists("sync", lambda x: x > F.size("sizes")))),
-            ("chunks don't hold all samples", F.coalesce("n", F.lit(0)) != count),
-            ("a sample is empty or leaves the file", (F.col("least") < 1) | (F.col("end") > F.col("file_len"))),
-            ("an edit has another rate than 1", F.col("edits").isNotNull() & F.exists("edits", lambda e: (e["rate"] != 1) | (e["rate_fraction"] != 0))),
-            ("too many frames", F.col("edits").isNotNull() & (count * F.size("edits") > MOST_ITEMS)),
-        )
-        error = F.lit(None).cast("string")
-        for text, broken in reversed(rules):
-            error = F.when(F.coalesce(broken, F.lit(False)), text).otherwise(error)
-        return self._kept(t.join(got, KEY, "left").select(*KEY, error.alias("error")))
+        return self._each("error").select("file_id", "track", "error")
 
     @cached_property
     def frames(self) -> DataFrame:
         """(file_id, track, frame, sample, time, duration): what is shown, in order, in ticks of the movie."""
-        t = self.tracks.join(self.errors.where("error is null"), KEY).join(self.c.files.select("file_id", "movie_timescale"), "file_id")
-        t = t.select(*KEY, "edits", F.col("timescale").alias("media"), F.coalesce("movie_timescale", "timescale").alias("movie"))
-        s = self.samples.select(*KEY, "sample", "composition_time", "duration", "rank")
-        first = s.groupBy(*KEY).agg(F.min("composition_time").alias("first"))
-        plain = s.join(t.where("edits is null"), KEY).join(first, KEY).select(*KEY, F.lit(0).alias("edit"), "rank", "sample", rescale(F.col("composition_time") - F.col("first"), F.col("media"), F.col("movie")).alias("time"), rescale(F.col("duration"), F.col("media"), F.col("movie")).alias("duration"))
-        edits = t.where("edits is not null").select(*KEY, "media", "movie", F.posexplode("edits").alias("edit", "e"))
-        edits = edits.withColumn("cursor", _sum(F.col("e.segment").cast(_DEC), "edit")).withColumn("span", rescale(F.col("e.segment"), F.col("movie"), F.col("media"))).where("e.media_time >= 0")
-        shown = s.join(edits, KEY).where("composition_time >= e.media_time and composition_time - e.media_time < span")
-        cut = shown.select(*KEY, "edit", "rank", "sample", (F.col("cursor") + rescale(F.col("composition_time") - F.col("e.media_time"), F.col("media"), F.col("movie"))).cast(_DEC).alias("time"), rescale(F.col("duration"), F.col("media"), F.col("movie")).alias("duration"))
-        no = F.row_number().over(Window.partitionBy(*KEY).orderBy("edit", "rank")) - 1
-        return self._kept(plain.unionByName(cut).select(*KEY, no.alias("frame"), "sample", F.col("time").cast("decimal(20,0)").alias("time"), F.col("duration").cast("bigint").alias("duration")))
+        return self._each("frames").select("file_id", "track", F.posexplode("frames").alias("frame", "f")).select("file_id", "track", "frame", "f.*")
 
     @cached_property
     def info(self) -> DataFrame:
         """(file_id, track, role, frames, timescale, duration, repetitions, first_time, last_time, dependent, width, height)."""
-        t = self.tracks.join(self.roles, KEY).join(self.c.files.select("file_id", "movie_timescale", "movie_duration"), "file_id")
-        scale = F.coalesce("movie_timescale", "timescale")
-        length = F.when(F.coalesce(F.col("movie_duration"), F.lit(0)) > 0, F.col("movie_duration").cast(_DEC)).otherwise(rescale(F.col("media_duration"), F.col("timescale"), scale))
-        f = self.frames.groupBy(*KEY).agg(F.count("*").alias("frames"), F.min_by("time", "frame").alias("first_time"), F.max_by("time", "frame").alias("last_time"))
-        dependent = self.samples.groupBy(*KEY).agg(F.bool_or(~F.col("is_sync")).alias("dependent"))
-        edit = F.element_at("edits", 1)
-        segment = edit["segment"].cast(_DEC)
-        loops = F.col("edit_repeat") & (F.size("edits") == 1) & (edit["media_time"] == 0)
-        all_ones = length.isin(F.lit(FOREVER).cast(_DEC), F.lit(str((1 << 64) - 1)).cast(_DEC))
-        parts = F.when((segment > 0) & (length % segment == 0), (length / segment).cast("bigint"))
-        again = F.when(F.col("edits").isNull(), 1).when(loops & all_ones, FOREVER).when(loops & (parts <= FOREVER), parts).otherwise(0)
-        return self._kept(t.join(f, KEY).join(dependent, KEY).select(*KEY, "role", "frames", scale.alias("timescale"), length.cast("decimal(20,0)").alias("duration"), again.cast("bigint").alias("repetitions"), "first_time", "last_time", "dependent", "width", "height"))
+        each = self._each("frames", "samples", "timescale", "length", "repetitions", "width", "height").where(F.size("frames") > 0)
+        role = F.coalesce(*[F.when(F.col("track") == F.col(f"roles.{r}"), r) for r in ("image", "alpha", "thumbnail")])
+        time = lambda i: F.element_at("frames", i)["time"]
+        return each.select("file_id", "track", role.alias("role"), F.size("frames").cast("bigint").alias("frames"), F.coalesce("movie_timescale", "timescale").alias("timescale"), F.col("length").cast("decimal(20,0)").alias("duration"), "repetitions", time(1).alias("first_time"), time(-1).alias("last_time"), F.exists("samples", lambda s: ~s["is_sync"]).alias("dependent"), "width", "height").where("role is not null")
 
     @cached_property
     def alpha_matches(self) -> DataFrame:
         """(file_id, matches): whether the alpha track shows frames at the same times as the image track, and repeats like it."""
-        both = self.info.where("role = 'image'").alias("i").join(self.info.where("role = 'alpha'").alias("a"), "file_id").select("file_id", F.col("i.track").alias("it"), F.col("a.track").alias("at"), ((F.col("i.frames") == F.col("a.frames")) & (F.col("i.repetitions") == F.col("a.repetitions"))).alias("same"))
-        f = self.frames
-        left = both.join(f.withColumnRenamed("track", "it"), ["file_id", "it"]).select("file_id", "frame", F.col("time").alias("t1"), F.col("duration").alias("d1"))
-        right = both.join(f.withColumnRenamed("track", "at"), ["file_id", "at"]).select("file_id", "frame", F.col("time").alias("t2"), F.col("duration").alias("d2"))
-        odd = left.join(right, ["file_id", "frame"], "full").where(~(F.col("t1").eqNullSafe(F.col("t2")) & F.col("d1").eqNullSafe(F.col("d2")))).select("file_id").distinct().withColumn("odd", F.lit(True))
-        return both.join(odd, "file_id", "left").select("file_id", (F.col("same") & F.col("odd").isNull()).alias("matches"))
+        return self.rows.where("matches is not null").select("file_id", "matches")
 
     @cached_property
     def usable(self) -> DataFrame:
         """(file_id, track, has_alpha, has_thumbnail): the image tracks of movies that can be shown; alpha has to be sound and to match."""
-        at = lambda role: F.max(F.when(F.col("role") == role, F.struct("track", F.col("error").isNull().alias("sound"))))
-        by = self.roles.join(self.errors, KEY).groupBy("file_id").agg(at("image").alias("i"), at("alpha").alias("a"), at("thumbnail").alias("t")).join(self.alpha_matches, "file_id", "left")
-        sound = F.col("i.sound") & (F.col("a").isNull() | F.coalesce(F.col("a.sound") & F.col("matches"), F.lit(False)))
-        return by.where(sound).select("file_id", F.col("i.track").alias("track"), F.col("a").isNotNull().alias("has_alpha"), F.col("t").isNotNull().alias("has_thumbnail"))
-
-
-def info_with_movies(c: Container, s: Sequences) -> DataFrame:
-    """items.info(), files with a movie that can be shown being sequences; those without a primary item have the movie's image track for
-    one, its size, depth and colour, and its alpha and thumbnail tracks."""
-    base = info(c)
-    t = s.usable.withColumnRenamed("has_alpha", "m_alpha").withColumnRenamed("has_thumbnail", "m_thumbnail")
-    t = t.join(s.tracks.select(*KEY, F.col("width").alias("m_width"), F.col("height").alias("m_height"), F.coalesce("hvcc.bit_depth", "av1c.bit_depth", F.lit(8)).alias("m_depth"), F.when(F.col("colr.kind") == "nclx", F.col("colr")).alias("m_colr")), KEY).drop("track")
-    rows = base.join(t.withColumn("movie", F.lit(True)), "file_id", "left")
-    only = F.coalesce(F.col("movie") & (F.col("error") == "no primary item"), F.lit(False))
-    lim, w, h = c.limits, F.col("m_width"), F.col("m_height")
-    made = {
-        "kind": F.when(F.col("movie"), "sequence").otherwise(F.col("kind")), "width": w, "height": h, "bit_depth": F.col("m_depth"), "has_alpha": F.col("m_alpha"), "has_exif": F.lit(False), "has_xmp": F.lit(False), "has_thumbnail": F.col("m_thumbnail"), "has_gain_map": F.lit(False),
-        "color_primaries": F.col("m_colr.primaries"), "transfer_characteristics": F.col("m_colr.transfer"), "matrix_coefficients": F.col("m_colr.matrix"), "full_range": F.col("m_colr.full_range"),
-        "rgb_bytes": w * h * 3, "rgba_bytes": w * h * 4, "within_limits": (w <= lim.width) & (h <= lim.height) & (w * h <= lim.pixels), "error": F.lit(None).cast("string"),
-    }
-    return rows.select("file_id", *[(made[k] if k == "kind" else F.when(only, made[k]).otherwise(F.col(k))).alias(k) for k in base.columns if k != "file_id"])
+        return self.rows.where("usable").select("file_id", F.col("roles.image").alias("track"), F.col("roles.alpha").isNotNull().alias("has_alpha"), F.col("roles.thumbnail").isNotNull().alias("has_thumbnail"))
+
+
+def lookup(c: Container, wanted: Column) -> DataFrame:
+    """(file_id, track, wanted, offset, size, duration, decode_time, composition_time) of single samples, `wanted` being an array of numbers
+    made of a file's row. Each is found by binary search over the runs of its track's tables; no track is unrolled, and no rows move. Numbers
+    that a track lacks have nulls."""
+    of = lambda t: F.transform(wanted, lambda n: let(tr.sample_at(t, n), lambda s: F.struct(t["track"].alias("track"), n.cast("bigint").alias("wanted"), *[s[k].alias(k) for k in ("offset", "size", "duration", "decode_time", "composition_time")])))
+    found = F.flatten(F.transform("tracks", of))
+    return c.raw.select("file_id", F.explode(found).alias("s")).select("file_id", "s.*")

@@ -18,9 +18,11 @@ from boxloom.operators import metrics
 from boxloom.operators.decode import pictures, pixels
 from boxloom.plans import items as it
 from boxloom.plans import streams
-from boxloom.plans.sequences import Sequences, info_with_movies, rescale
+from boxloom.plans.sequences import Sequences, lookup, rescale
 from boxloom.shipping import shipped
+from boxloom.sources import heif
 from boxloom.sources import writer as w
+from boxloom.sources.folders import shared_folder
 from boxloom.sources.tables import Container, box_rows
 
 ALPHA, GAIN = "urn:mpeg:mpegB:cicp:systems:auxiliary:alpha", "urn:com:apple:photo:2020:aux:hdrgainmap"
@@ -139,6 +141,30 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return it.metadata(c).select("file_id", *[F.col(k).cast("string").alias(k) for k in ("exif", "xmp", "icc")])
 
 
+def heif_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written by the data source, and read by it: what is told of them, how many bytes that took, and the payloads of one type."""
+    heif.register(spark)
+    files = written(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), _large_file)
+    path = shared_folder(spark, "heif")
+    files.select(F.format_string("%d/%d.heic", F.col("file_id") % 7, "file_id").alias("name"), "content").write.format("heif").mode("append").save(path)
+    key = F.regexp_extract("file_id", r"(\d+)\.heic$", 1).cast("long")
+    told = it.info(heif.container(spark, path)).select("file_id", "width", "height", "has_exif", "error")
+    taken = spark.read.format("heif").load(path).select("file_id", "file_len", (F.col("bytes_read") < 2000).alias("few"))
+    exif = heif.payloads(spark, path).where("item_type = 'Exif'").select("file_id", F.col("payload").cast("string").alias("payload"))
+    return told.join(taken, "file_id").join(exif, "file_id", "left").select(key.alias("file_id"), "width", "height", "has_exif", "file_len", "few", "payload", "error")
+
+
+def _large_file(key: int, name: str, nation: int) -> bytes:
+    """A picture of some thousand bytes, and its Exif data behind."""
+    body = bytes(4000 + key % 50)
+    exif = [{"id": 2, "type": "Exif", "parts": [name.encode(), str(nation).encode()]}] if key % 3 else []
+    return w.still([{"id": 1, "type": "hvc1", "props": [1, 2], "parts": [body]}, *exif], [w.ispe(key % 90 + 1, nation + 1), w.hvcc()])
+
+
+HEIF_SOURCE = """SELECT c_custkey AS file_id, (c_custkey % 90 + 1)::BIGINT AS width, (c_nationkey + 1)::BIGINT AS height, c_custkey % 3 > 0 AS has_exif,
+(4259 + c_custkey % 50 + CASE WHEN c_custkey % 3 > 0 THEN 50 + length(c_name) + length(c_nationkey::VARCHAR) ELSE 0 END)::BIGINT AS file_len, true AS few, CASE WHEN c_custkey % 3 > 0 THEN c_name || c_nationkey END AS payload, NULL::VARCHAR AS error FROM customer"""
+
+
 METADATA = """SELECT c_custkey AS file_id, 'MM' || c_custkey AS exif, c_name || '!' AS xmp, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS icc FROM customer"""
 
 
@@ -194,7 +220,7 @@ def _sequence_file(key: int, orders: list[int]) -> bytes:
 
 def _sequences(spark: SparkSession, sf_dir: str) -> Sequences:
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("orders"))
-    return Sequences(Container(written(orders, _sequence_file), keep=True))
+    return Sequences(Container(written(orders, _sequence_file)))
 
 
 _SAMPLES = """WITH o AS (SELECT o_custkey AS f, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
@@ -212,9 +238,21 @@ def sequence_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequences(spark, sf_dir).samples.select("file_id", "sample", F.col("offset").cast("long").alias("offset"), "size", "duration", "composition_time", "is_sync", F.col("rank").cast("long").alias("rank"), "gop")
 
 
+def sample_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single samples of sequences, among them numbers that they lack: none is unrolled."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("orders"))
+    wanted = F.array(*[((F.col("file_id") * k) % 40 + 1) for k in (1, 3, 7, 11)])
+    found = lookup(Container(written(orders, _sequence_file)), F.array_distinct(wanted))
+    return found.select("file_id", F.col("wanted").alias("sample"), F.col("offset").cast("long").alias("offset"), "size", "duration", "decode_time", "composition_time")
+
+
 SEQUENCE_SAMPLES = _SAMPLES + "SELECT f AS file_id, i AS sample, off::BIGINT AS offset, size::BIGINT AS size, dur::BIGINT AS duration, ct::BIGINT AS composition_time, sync AS is_sync, rank, gop FROM u"
 
 
+SAMPLE_LOOKUP = _SAMPLES + """SELECT k.f AS file_id, k.i AS sample, off::BIGINT AS offset, size::BIGINT AS size, dur::BIGINT AS duration, dt::BIGINT AS decode_time, ct::BIGINT AS composition_time
+FROM (SELECT DISTINCT f, (f * m) % 40 + 1 AS i FROM o, (VALUES (1), (3), (7), (11)) v(m)) k LEFT JOIN u ON u.f = k.f AND u.i = k.i"""
+
+
 def sequence_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequences(spark, sf_dir).frames.select("file_id", F.col("frame").cast("long").alias("frame"), "sample", F.col("time").cast("long").alias("time"), "duration")
 
@@ -247,8 +285,8 @@ def _movie_file(key: int, size: int) -> bytes:
 
 
 def movie_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Container(written(table(spark, sf_dir, "part").select("p_partkey", "p_size"), _movie_file), keep=True)
-    return info_with_movies(c, Sequences(c)).select("file_id", "kind", "width", "height", "bit_depth", "has_alpha", "has_thumbnail", "has_exif", "within_limits", "rgba_bytes", "error")
+    c = Container(written(table(spark, sf_dir, "part").select("p_partkey", "p_size"), _movie_file))
+    return it.info(c).select("file_id", "kind", "width", "height", "bit_depth", "has_alpha", "has_thumbnail", "has_exif", "within_limits", "rgba_bytes", "error")
 
 
 MOVIE_INFO = """WITH p AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 5 AS v FROM part)
@@ -259,8 +297,9 @@ CASE WHEN v = 0 THEN s * (s + 1) * 4 WHEN v IN (1, 2) THEN (s + 2) * (s + 3) * 4
 
 def sequence_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The image, alpha and thumbnail tracks of movies, and whether alpha is in step with the image."""
-    seq = Sequences(Container(written(table(spark, sf_dir, "part").select("p_partkey", "p_size"), _movie_file), keep=True))
-    return seq.roles.join(seq.alpha_matches, "file_id", "left").select("file_id", F.col("track").cast("int").alias("track"), "role", "matches")
+    rows = Sequences(Container(written(table(spark, sf_dir, "part").select("p_partkey", "p_size"), _movie_file))).rows
+    named = F.filter(F.array(*[F.struct(F.col(f"roles.{r}").cast("int").alias("track"), F.lit(r).alias("role")) for r in ("image", "alpha", "thumbnail")]), lambda r: r["track"].isNotNull())
+    return rows.select("file_id", F.explode(named).alias("r"), "matches").select("file_id", "r.*", "matches")
 
 
 SEQUENCE_ROLES = """SELECT p_partkey AS file_id, track::INT AS track, role, CASE p_partkey % 5 WHEN 2 THEN true WHEN 4 THEN false END AS matches FROM part, (VALUES (0, 'image'), (1, 'alpha'), (2, 'thumbnail')) v(track, role)
@@ -556,8 +595,8 @@ VERDICTS = """SELECT CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 = 0 THEN 'b
 
 
 ALL = (
-    (file_kind, FILE_KIND), (box_scan, BOX_SCAN), (order_items, ORDER_ITEMS), (image_info, IMAGE_INFO), (metadata, METADATA), (references, REFERENCES), (compact_images, COMPACT_IMAGES),
-    (sequence_samples, SEQUENCE_SAMPLES), (sequence_frames, SEQUENCE_FRAMES), (sequence_info, SEQUENCE_INFO), (movie_info, MOVIE_INFO), (sequence_roles, SEQUENCE_ROLES),
+    (file_kind, FILE_KIND), (box_scan, BOX_SCAN), (order_items, ORDER_ITEMS), (image_info, IMAGE_INFO), (metadata, METADATA), (heif_source, HEIF_SOURCE), (references, REFERENCES), (compact_images, COMPACT_IMAGES),
+    (sequence_samples, SEQUENCE_SAMPLES), (sample_lookup, SAMPLE_LOOKUP), (sequence_frames, SEQUENCE_FRAMES), (sequence_info, SEQUENCE_INFO), (movie_info, MOVIE_INFO), (sequence_roles, SEQUENCE_ROLES),
     (unci_pixels, UNCI_PIXELS), (packed_pixels, PACKED_PIXELS), (chroma_pixels, CHROMA_PIXELS), (role_pixels, ROLE_PIXELS), (turned_pixels, TURNED_PIXELS), (alpha_pixels, ALPHA_PIXELS), (overlay_pixels, OVERLAY_PIXELS), (unsupported_pictures, UNSUPPORTED_PICTURES),
     (image_difference, IMAGE_DIFFERENCE), (picture_hashes, PICTURE_HASHES), (box_means, BOX_MEANS), (annexb_units, ANNEXB_UNITS), (coded_streams, CODED_STREAMS), (expr_ycc_rgb, EXPR_YCC_RGB), (expr_samples, EXPR_SAMPLES), (corpus_pick, CORPUS_PICK), (bench_summary, BENCH_SUMMARY), (verdicts, VERDICTS),
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 
@@ -93,24 +93,51 @@ def boxes(data: bytes, offset: int = 0) -> Iterator[Box]:
         at += size
 
 
+class Hole:
+    """Content that was not read."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def __len__(self) -> int:
+        return self.n
+
+
+def outline(read: Callable[[int, int], bytes], size: int, wanted: set[str]) -> Iterator[Box]:
+    """boxes() of a file of some size, whose bytes read(at, n) gives: headers and the contents of wanted types alone."""
+    at = 0
+    while at + 8 <= size:
+        head = read(at, min(16, size - at))
+        n, begin, kind = int.from_bytes(head[:4], "big"), 8, head[4:8].decode("latin-1")
+        if n == 1:
+            if len(head) < 16:
+                return
+            n, begin = int.from_bytes(head[8:], "big"), 16
+        elif n == 0:
+            n = size - at
+        if n < begin or at + n > size:
+            return
+        yield Box(kind, at + begin, read(at + begin, n - begin) if kind in wanted else Hole(n - begin))
+        at += n
+
+
 #: Boxes that hold boxes, and how many bytes stand before these.
 HOLDERS = {"meta": 4, "iprp": 0, "ipco": 0, "iref": 4, "moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "edts": 0, "tref": 0, "dinf": 0}
 
 
 def box_tree(data: bytes) -> list[tuple[int, int | None, int, str, int, int]]:
-    """(box_id, parent_id, depth, type, content_off, content_len) of all boxes, parents first."""
+    """(box_id, parent_id, depth, type, content_off, content_len) of all boxes, however deep, parents first."""
     out: list[tuple[int, int | None, int, str, int, int]] = []
-
-    def walk(content: bytes, offset: int, parent: int | None, depth: int) -> None:
-        for b in boxes(content, offset):
-            out.append((len(out), parent, depth, b.type, b.offset, len(b.content)))
-            if b.type == "iinf" and len(b.content) >= 6:
-                skip = 6 if b.content[0] == 0 else 8
-            elif b.type in HOLDERS and depth < 16:
-                skip = HOLDERS[b.type]
-            else:
-                continue
-            walk(b.content[skip:], b.offset + skip, out[-1][0] if out[-1][4] == b.offset else None, depth + 1)
-
-    walk(data, 0, None, 0)
+    todo = [(boxes(data), None, 0)]
+    while todo:
+        level, parent, depth = todo[-1]
+        if (b := next(level, None)) is None:
+            todo.pop()
+            continue
+        out.append((len(out), parent, depth, b.type, b.offset, len(b.content)))
+        skip = HOLDERS.get(b.type)
+        if b.type == "iinf" and len(b.content) >= 6:
+            skip = 6 if b.content[0] == 0 else 8
+        if skip is not None:
+            todo.append((boxes(b.content[skip:], b.offset + skip), out[-1][0], depth + 1))
     return out

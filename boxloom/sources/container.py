@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import accumulate
+
 from boxloom.sources.boxes import Bits, Box, Damaged, Fields, Short, boxes
 from boxloom.sources.properties import MOST_ICC, PARSERS, parse_property
 
@@ -421,6 +424,32 @@ def read_trak(b: bytes) -> dict:
     return t
 
 
+def with_sums(t: dict) -> dict:
+    """The track, its tables with what stands before each of their rows: samples, ticks and bytes. So a sample is found by searching, and
+    runs are unrolled each for itself."""
+    for name, value in (("stts", "delta"), ("ctts", None)):
+        first = ticks = 0
+        for r in t[name] or ():
+            r["first"] = first
+            first += r["count"]
+            if value:
+                r["time"] = ticks
+                ticks += r["count"] * r[value]
+    chunks, first = len(t["chunk_offsets"] or ()), 0
+    spans = t["stsc"] or []
+    for r, follows in zip(spans, [*spans[1:], None], strict=False):
+        stop = min(follows["first_chunk"], chunks + 1) if follows else chunks + 1
+        r["chunks"], r["first_sample"] = max(stop - r["first_chunk"], 0) if r["first_chunk"] else 0, first
+        first += r["chunks"] * r["per_chunk"]
+    before = 0
+    for e in t["edits"] or ():
+        e["before"] = before
+        before += e["segment"]
+    t["size_sums"] = [0, *accumulate(t["sizes"])] if t["sizes"] is not None else None
+    t["sync_sorted"] = sorted({s for s in t["sync"] or () if s > 0})
+    return t
+
+
 def read_moov(b: Box, out: dict) -> None:
     """All tracks that can be read; which of them are used is decided on the tables."""
     for x in boxes(b.content):
@@ -430,7 +459,7 @@ def read_moov(b: Box, out: dict) -> None:
             out["movie_timescale"], out["movie_duration"] = times(x.content)
         elif x.type == "trak":
             try:
-                out["tracks"].append(read_trak(x.content) | {"track": len(out["tracks"])})
+                out["tracks"].append(with_sums(read_trak(x.content)) | {"track": len(out["tracks"])})
             except (Short, Damaged):
                 out["warnings"].append("a track is damaged")
 
@@ -471,11 +500,16 @@ def by_item(out: dict) -> dict:
 
 def parse(content: bytes, limits: Limits | None = None) -> dict:
     """The rows of one file; `error` tells why it can't be read, and then there are none."""
+    return parse_boxes(boxes(content), len(content), limits)
+
+
+def parse_boxes(found: Iterable[Box], size: int, limits: Limits | None = None) -> dict:
+    """parse() of a file of some size by its boxes at the top; of those that hold no tables only the length is looked at."""
     limits, out, moov = limits or Limits(), empty(), None
     try:
-        if len(content) < 16:
+        if size < 16:
             raise Damaged("the file is too short")
-        for b in boxes(content):
+        for b in found:
             if b.type == "ftyp":
                 read_ftyp(b, out)
             elif b.type == "meta" and not out["has_meta"]:

@@ -14,43 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from boxloom.sources.boxes import box_tree
 from boxloom.sources.container import Limits, parse
-
-_U64 = "decimal(20,0)"
-COLR = "struct<kind: string, primaries: int, transfer: int, matrix: int, full_range: boolean, icc: binary>"
-HVCC = "struct<profile_space: int, tier: int, profile: int, compatible: bigint, constraints: bigint, level: int, chroma_format: int, bit_depth: int, bit_depth_chroma: int, nal_length: int, nals: array<binary>>"
-AV1C = "struct<profile: int, level: int, bit_depth: int, monochrome: boolean, subsampling_x: int, subsampling_y: int, config: binary>"
-CLAP = "struct<width_n: bigint, width_d: bigint, height_n: bigint, height_d: bigint, horiz_off_n: bigint, horiz_off_d: bigint, vert_off_n: bigint, vert_off_d: bigint>"
-UNCC = "struct<profile: string, components: array<struct<index: int, bit_depth: int, format: int, align: int>>, sampling: int, interleave: int, block_size: int, components_le: boolean, pad_lsb: boolean, block_le: boolean, reversed: boolean, pad_unknown: boolean, pixel_size: bigint, row_align: bigint, tile_align: bigint, tile_cols: bigint, tile_rows: bigint>"
-MEMBERS = {
-    "ispe": "struct<width: bigint, height: bigint>",
-    "clap": CLAP,
-    "irot": "struct<angle: int>",
-    "imir": "struct<axis: int>",
-    "colr": COLR,
-    "auxc": "struct<aux_type: string, subtype: binary>",
-    "hvcc": HVCC,
-    "av1c": AV1C,
-    "uncc": UNCC,
-    "cmpc": "struct<type: string, unit: int>",
-    "cmpd": "array<int>",
-    "icef": f"array<struct<offset: {_U64}, size: {_U64}>>",
-}
-ROWS = {
-    "items": "ord: int, item_id: bigint, item_type: string, name: string, content_type: string, hidden: boolean",
-    "extents": f"loc_ord: int, item_id: bigint, method: int, base_offset: {_U64}, ext_no: int, offset: {_U64}, length: {_U64}",
-    "props": "prop_idx: int, kind: string, " + ", ".join(f"{k}: {v}" for k, v in MEMBERS.items()),
-    "assocs": "assoc_ord: int, item_id: bigint, pos: int, prop_idx: int, essential: boolean",
-    "refs": "ref_ord: int, ref_type: string, from_id: bigint, pos: int, to_id: bigint",
-    "tracks": f"track: int, track_id: bigint, aux_for: bigint, width: bigint, height: bigint, handler: string, timescale: bigint, media_duration: {_U64}, hvcc: {HVCC}, av1c: {AV1C}, colr: {COLR}, is_alpha: boolean, sizes: array<bigint>, chunk_offsets: array<{_U64}>, stsc: array<struct<first_chunk: bigint, per_chunk: bigint, description: bigint>>, sync: array<bigint>, stts: array<struct<count: bigint, delta: bigint>>, ctts: array<struct<count: bigint, offset: bigint>>, edits: array<struct<segment: {_U64}, media_time: bigint, rate: int, rate_fraction: int>>, edit_repeat: boolean",
-}
-#: The same rows by item, for questions that are answered in the row of a file.
-NESTED = {
-    "nodes": "item_id: bigint, ord: int, item_type: string, name: string, content_type: string, hidden: boolean, props: array<int>, dimg: array<bigint>, dimg_no: array<int>, loc: int",
-    "locations": "item_id: bigint, method: int, parts: array<struct<at: decimal(38,0), length: decimal(20,0)>>",
-    "links": "ref_type: string, from_id: bigint, from_no: int, targets: array<struct<ref_ord: int, pos: int, to_id: bigint>>",
-}
-FILE = f"primary_no: int, brand: string, minor: string, brands: array<string>, primary_id: bigint, idat_off: bigint, idat_len: bigint, mdat_off: bigint, mdat_len: bigint, movie_timescale: bigint, movie_duration: {_U64}, error: string, warnings: array<string>"
-
+from boxloom.sources.movies import with_movies
+from boxloom.sources.schema import FILE, NESTED, ROWS
 
 def parse_files(files: DataFrame, limits: Limits | None = None, file_id: str = "file_id", content: str = "content", keep: bool = False) -> DataFrame:
     """A row for each file: its id, what FILE names and, nested, the rows of each table; with `keep` its content, too. A damaged file has
@@ -96,30 +61,43 @@ def box_rows(files: DataFrame) -> DataFrame:
 
 
 class Container:
-    """The tables of some files; what is derived from the parsed rows is plain Catalyst. With `keep` the parsed rows are kept until
-    release(), for several questions about the same files; they hold no contents."""
+    """The tables of some files; what is derived from the parsed rows is plain Catalyst. Movies that can be shown have items of their own
+    (see movies.py) wherever items are. With `keep` the parsed rows are kept until release(), for several questions about the same files;
+    they hold no contents."""
 
     def __init__(self, files: DataFrame, limits: Limits | None = None, keep: bool = False):
         self.contents = files.select("file_id", "content")
         self.limits = limits or Limits()
-        self.parsed = parse_files(self.contents, self.limits)
+        self.raw = parse_files(self.contents, self.limits)
         if keep:
-            self.parsed = self.parsed.persist(StorageLevel.MEMORY_AND_DISK)
+            self.raw = self.raw.persist(StorageLevel.MEMORY_AND_DISK)
+
+    @classmethod
+    def of(cls, parsed: DataFrame, limits: Limits | None = None) -> Container:
+        """The same on rows that are parsed already, without contents."""
+        out = cls.__new__(cls)
+        out.limits, out.raw = limits or Limits(), parsed
+        return out
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return with_movies(self.raw, self.limits)
 
     @cached_property
     def whole(self) -> DataFrame:
         """The parsed rows with the contents of their files beside them, so that items are cut where the file is; never kept."""
-        return parse_files(self.contents, self.limits, keep=True)
+        return with_movies(parse_files(self.contents, self.limits, keep=True), self.limits)
 
     def release(self) -> None:
-        self.parsed.unpersist()
+        self.raw.unpersist()
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.parsed.drop(*ROWS, *NESTED, "primary_no")
+        return self.parsed.drop(*ROWS, *NESTED, "primary_no", "has_meta", "movie")
 
     def rows(self, table: str) -> DataFrame:
-        return self.parsed.select("file_id", F.explode(table).alias("r")).select("file_id", "r.*")
+        rows = self.raw if table == "tracks" else self.parsed
+        return rows.select("file_id", F.explode(table).alias("r")).select("file_id", "r.*")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in ROWS:
