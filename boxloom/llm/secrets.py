@@ -1,12 +1,15 @@
 """Secret scans in DataFrame functions alone: candidates by patterns, false positives removed by a random forest.
 
-Candidates are runs of 12 or more letters, digits and + / _ - with up to two = behind them, wherever they stand; values behind a secret
-word (password, token ...) with =, : or a blank between; and values behind any other = or :. Values may have any length and hold any
-symbols but blanks, quotes, < and >; they end before & ; , if a further name with its = or : follows (without a secret word before any of
-& ; , = : ?), and closing punctuation behind them is not part of them. Features are the length, shares of kinds of characters,
-transitions between kinds, the share that dictionary words cover, whether the candidate stands in a path or address, and the 48
-characters before it, whatever other candidates these hold. The forest is trained on labelled findings, at most `most` of them, on the
-driver, and becomes one SQL expression; documents are scanned row by row, and nothing moves between tasks.
+Candidates are, by definition: bare runs of 12 or more letters, digits and + / _ - with up to two = behind them, wherever they stand (shorter
+ones are too like words to be told by themselves); values behind a name that holds a secret word (password, token ...), however long the
+name, with =, : or blanks between, however many; values behind any other = or :; and what stands between user and host in an address.
+Values may have any length and any number of parts, and hold any symbols but blanks, quotes, < and >; they end before & ; , if a further
+name with its = or : follows (without a secret word before any of & ; , = : ?), and closing punctuation behind them is not part of them.
+Words that only name the kind of a secret (Bearer, KEY) are no values. Features are the length, shares of kinds of characters, transitions
+between kinds, the share that dictionary words cover, whether the candidate stands in a path or address, and as context the 48 characters
+before it, whatever other candidates these hold, and 24 behind; of longer names their secret word stands for them. The forest is trained on
+labelled findings, at most `most` of them, on the driver, and becomes one SQL expression; documents are scanned row by row, and nothing
+moves between tasks. Patterns never go back over what they have read, so a scan takes time in proportion to the text.
 
 Null and empty texts have no findings. Texts are scanned whole, with all their candidates; of findings one within the other the longer
 is given; rows that tie or repeat have the same findings again; empty tables give empty tables. scan() reads two columns only, so others
@@ -27,14 +30,19 @@ _C = r"A-Za-z0-9+/_\-"
 #: The first group is what a match holds before the candidate.
 RUN = rf"()(?<![{_C}])[{_C}]{{12,}}(?:={{1,2}}(?![{_C}=\"'`]))?"
 _WORDS = r"token|secret|passw|passphrase|pwd|api.?key|access.?key|auth(?!or(?!i[sz]))|credential|bearer|private|signature"
-_V, _W, _ENDS = r"[^\s\"'`<>&;,]", r"[^\s\"'`<>&;,=:?]", r"(?<![.,;:)\]}])"
-NAMED = rf"((?i:{_WORDS})[^\s=:\"'`]{{0,20}}[\"'`]?(?:\s{{0,2}}[=:]{{1,2}}>?\s{{0,2}}|\s{{1,2}})[\"'`]?){_V}+(?:[&;,](?!\w{{1,40}}[=:]){_V}+){{0,50}}{_ENDS}"
-ASSIGNED = rf"([=:]>?\s{{0,2}}[\"'`]?){_W}+{_ENDS}"
+#: Characters of names, of values, and of values that closing punctuation does not end.
+_R, _N, _M = r"[^\s=:\"'`]", r"[^\s\"'`<>&;,.:)\]}]", r"[^\s\"'`<>&;,=:?.)\]}]"
+_SET = r"[\"'`]?(?:\s*+[=:]{1,2}>?\s*+|\s++)[\"'`]?"
+_KIND = r"(?!(?i:bearer|basic|digest|token|keys?)\b-*+(?:\s|$))"
+#: A name is read from its begin, or from where the value before it ends, and only once.
+NAMED = rf"((?:\G|(?<!{_R}))(?={_R}*?(?i:{_WORDS})){_R}++{_SET}){_KIND}(?![&;,])(?:{_N}++|[&;,.:)\]}}]++(?={_N})(?!(?<=[&;,])\w++[=:]))++"
+ASSIGNED = rf"([=:]>?\s*+[\"'`]?){_KIND}(?:{_M}++|[.)\]}}]++(?={_M}))++"
+ADDRESS = r"(://[^\s/:@\"'`<>]*+:)[^\s/@\"'`<>]++(?=@)"
 #: Frequent parts of names and prose; what they cover is less likely a secret.
 DICTIONARY = "account address admin backup bank build cache class client code color config content count course customer data date default demo device document download draft email error event example export file final first form group guide handler height house image index info invoice item label large last left light line link list local login main manager message meta method model module month name network note number object order other output page part path person photo phone picture place plan point post price print product profile project query read record release report request response result right sample schema screen script section server service session size small source start state status storage street string style summary system table task temp test text thumb time title track type update upload user value version video view week width window world year".split()
-BEFORE = r"(?i)(?:" + _WORDS + r")[^\s]{0,20}\s{0,2}[=:]{0,2}>?\s{0,2}[\"'`]?$"
+BEFORE = r"(?i)(?:" + _WORDS + r")[^\s=:&;,]*\s*[=:]{0,2}>?\s*[\"'`]?$"
 PLAIN = r"(?i)(commit|sha1|sha256|md5|checksum|digest|etag|uuid|guid|isbn|card|phone|tel|order|invoice|build|revision|version|hash|id|no|nr|number)\W{0,4}$"
-FEATURES = ("length", "digits", "upper", "lower", "transitions", "letters_only_runs", "dictionary", "path", "assigned", "quoted", "secret_word", "plain_word", "hex", "variety", "symbols", "known_form")
+FEATURES = ("length", "digits", "upper", "lower", "transitions", "letters_only_runs", "dictionary", "path", "assigned", "quoted", "secret_word", "plain_word", "hex", "variety", "symbols", "known_form", "address", "name")
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -62,6 +70,8 @@ def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
         "variety": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
         "symbols": _share(c, "[^A-Za-z0-9+/_=-]"),
         "known_form": flag(c.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^xox[abp]-|^sk[-_]|^AIza|^eyJ")),
+        "address": flag(before.rlike(r"://[^\s/:@]*:$") & after.rlike("^@")),
+        "name": flag(after.rlike("^[\"'`]?\\s*[=:]")),
     }
 
 
@@ -145,6 +155,10 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 1) -> Data
         k = r.randrange(10)
         value = [lambda: pick(hexes, r.choice([12, 16, 18, 20, 24, 32, 40, 64])), lambda: pick(b62, r.randint(16, 48)), lambda: "AKIA" + pick(string.ascii_uppercase + "234567", 16), lambda: "ghp_" + pick(b62, 36), lambda: pick(b62 + "+/", 43) + "=", lambda: "sk-" + pick(b62, r.randint(32, 48)), lambda: pick(b62 + "!#$%.@^*-_", r.randint(6, 20)) + pick(b62 + "!#$%", 1), lambda: pick(b62, r.randint(6, 15)), lambda: pick(string.ascii_letters, r.randint(8, 24)), lambda: (word() + pick(digits, r.randint(1, 4)) + pick(string.ascii_lowercase + "!#$", r.randint(0, 3))).rjust(6, "q")][k]()
         bare = k in (2, 3, 5) and r.random() < 0.7
+        if r.random() < 0.06:
+            return value.translate(str.maketrans("/@", "xx")), prose() + " " + r.choice(["postgres", "mysql", "https", "redis", "amqp"]) + "://" + word() + ":"
+        if r.random() < 0.06:
+            return value, prose() + r.choice([" Bearer ", " bearer ", " Authorization: Bearer "])
         return value, prose() + " " + ("" if bare else name() + sets())
 
     def other() -> tuple[str, str]:
@@ -167,6 +181,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 1) -> Data
             lambda: (r.choice(["null", "true", "false", "None", "required", "invalid", "expired", "****", "********", "${" + word() + "}", "{{" + word() + "}}", "self." + word(), "config.get(" + word() + ")", "os.environ[" + word() + "]", r.choice(DICTIONARY), "your_" + r.choice(DICTIONARY)]), name() + sets()),
             lambda: (r.choice([word(), word() + ",", "is", "for", "of", "the", "was", word() + word(), word() + "."]), name() + r.choice([" ", " ", "s ", ": "])),
             lambda: (r.choice("-_/+") * r.randint(12, 60), r.choice(["", ": ", "="])),
+            lambda: (r.choice([str.upper, str.lower])(r.choice(["", "my_", "app_"]) + name() + r.choice(["", "_", "_of_the_"]) + r.choice([pick(digits, 1), r.choice(DICTIONARY)])), r.choice(["", "", "export ", "&", "--"])),
         ]
         value, before = r.choice(kinds)()
         return value, prose() + " " + before
@@ -175,18 +190,30 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 1) -> Data
     for i in range(n):
         value, before = secret() if i % 2 else other()
         quote = before[-1:] if before[-1:] in "\"'" and before[-1:] else ""
-        after = quote + r.choice([" ", ". ", ", ", "\n", " ", "### ", "%%% "]) + prose()
+        if not i % 2 and any(w in value.lower() for w in ("token", "secret", "passw", "pwd", "key")) and "_" in value:
+            after = r.choice(["=", " = ", ": ", '": "']) + word()
+        else:
+            after = "@" + word() + ".com" if before.endswith(":") and "://" in before else quote + r.choice([" ", ". ", ", ", "\n", " ", "### ", "%%% "]) + prose()
         rows.append((value, before[-48:], after[:24], i % 2))
     return spark.createDataFrame(rows, "candidate string, before string, after string, secret int")
 
 
 def candidates(text: Column) -> Column:
     """An array of (parts, found, lead) of a text, one for each pattern: what stands between matches, the matches, and what each holds
-    before its candidate."""
-    one = lambda p, may: F.when(may, matches(p)).otherwise(F.struct(F.array(text).alias("parts"), F.array().cast("array<string>").alias("found"), F.array().cast("array<string>").alias("lead")))
-    matches = lambda p: F.struct(F.split(text, p, -1).alias("parts"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("lead"))
-    # most texts hold no secret word: one look at them instead of three
-    return F.array(matches(RUN), one(NAMED, text.rlike(f"(?i){_WORDS}")), one(ASSIGNED, text.rlike("[=:]")))
+    before its candidate, which is looked for in the match alone."""
+    nothing = F.array().cast("array<string>")
+    none = F.struct(F.array(text).alias("parts"), nothing.alias("found"), nothing.alias("lead"))
+
+    def matches(p: str, may: Column | None = None) -> Column:
+        found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+        # what an address has behind its candidate is not in the match
+        again = p.removesuffix("(?=@)")
+        lead = (lambda f: F.lit("")) if p == RUN else (lambda f: F.regexp_extract(f, again, 1))
+        out = F.struct(F.split(text, p, -1).alias("parts"), found.alias("found"), F.transform(found, lead).alias("lead"))
+        return out if may is None else F.when(may, out).otherwise(none)
+
+    # most texts hold no secret word and no address: one look at them instead of two
+    return F.array(matches(RUN), matches(NAMED, text.rlike(f"(?i){_WORDS}")), matches(ASSIGNED, text.rlike("[=:]")), matches(ADDRESS, F.contains(text, F.lit("://")) & F.contains(text, F.lit("@"))))
 
 
 def in_context(p: Column, judge) -> Column:
@@ -196,7 +223,8 @@ def in_context(p: Column, judge) -> Column:
         n, so_far = F.length(x["lead"]), F.concat(a["tail"], x["part"])
         begin = a["at"] + F.length(x["part"]) + n
         secret = F.substring(x["found"], n + 1, F.length(x["found"]))
-        before = F.substring(F.concat(so_far, x["lead"]), -48, 48)
+        word, mark = F.regexp_extract(x["lead"], f"(?i){_WORDS}", 0), F.regexp_extract(x["lead"], f"{_SET}$", 0)
+        before = F.when(n <= 40, F.substring(F.concat(so_far, x["lead"]), -48, 48)).otherwise(F.substring(F.concat(word, mark), -48, 48))
         one = F.struct(secret.alias("secret"), begin.alias("begin"), before.alias("before"), F.substring(x["after"], 1, 24).alias("after"))
         tail = F.substring(F.concat(so_far, x["found"]), -48, 48)
         return F.struct((begin - n + F.length(x["found"])).alias("at"), tail.alias("tail"), F.concat(a["out"], judge(F.array(one))).alias("out"))
