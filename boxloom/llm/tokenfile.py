@@ -4,7 +4,7 @@ A folder holds two Parquet tables. `codebook` (id, bits) has the code length of
 all documents; codes are canonical, so the lengths alone give them. `blocks` has a row for each block of whole documents: the
 first token's number among all, the documents' keys and token counts, and `block`, which is
 
-    4 bytes BLT1 | u32 tokens | u32 tokens between checkpoints | u32 checkpoints | u32 bit offset at each checkpoint | code bits
+    4 bytes BLT2 | u32 tokens | u32 tokens between checkpoints | u32 checkpoints | u64 bit offset at each checkpoint | code bits
 
 in little-endian order, the bits from the highest of each byte on. A block is read without any other; within it all stretches
 between checkpoints are decoded side by side, one table lookup a token.
@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from boxloom.llm.bpe import LibraryBpe, by_bytes, encoder
 from boxloom.llm.common import discard, parallelism, release, stage_path, staged
 
-MAGIC = b"BLT1"
+MAGIC = b"BLT2"
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -96,7 +96,7 @@ def pack(ids: np.ndarray, code: np.ndarray, bits: np.ndarray, every: int) -> byt
         sums, word = np.add.reduceat(placed, first), word[first]
         words[word] |= sums >> np.uint64(32)
         words[word + 1] |= sums & np.uint64(0xFFFFFFFF)
-    marks = at[::every].astype("<u4")
+    marks = at[::every].astype("<u8")
     return struct.pack("<4sIII", MAGIC, n, every, len(marks)) + marks.tobytes() + words.astype(">u4").tobytes()
 
 
@@ -104,8 +104,8 @@ def unpack(block: bytes, ids: np.ndarray, bits: np.ndarray, longest: int) -> np.
     magic, n, every, marks = struct.unpack_from("<4sIII", block)
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
-    pos = np.frombuffer(block, "<u4", marks, 16).astype(np.int64)
-    words = np.frombuffer(block, ">u4", -1, 16 + 4 * marks).astype(np.uint64)
+    pos = np.frombuffer(block, "<u8", marks, 16).astype(np.int64)
+    words = np.frombuffer(block, ">u4", -1, 16 + 8 * marks).astype(np.uint64)
     pairs = (words[:-1] << np.uint64(32)) | words[1:]
     out = np.empty((min(every, n) if n else 0, marks), np.uint32)
     shift, last = np.uint64(64 - longest), len(pairs) - 1
