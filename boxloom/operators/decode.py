@@ -61,7 +61,7 @@ class File:
             w, h = item["ispe"]["width"], item["ispe"]["height"]
             if not self.limits.allow(w, h):
                 raise ValueError("the image is too large")
-            f = decode_unci(item["uncc"], item["cmpc"], item["cmpd"], item["icef"], self.payload(item), w, h)
+            f = decode_unci(item["uncc"], item["cmpc"], item["cmpd"], item["icef"], self.payload(item), w, h, self.limits.memory)
         elif kind in ("hvc1", "hev1", "av01"):
             raise Unsupported("hevc pixels are unsupported" if kind != "av01" else "av1 pixels are unsupported")
         else:
@@ -150,6 +150,16 @@ def shown_size(item: dict) -> tuple[int, int]:
     return w, h
 
 
+#: Bytes held for each sample of an item while it is decoded: positions and values of a plane at a time, planes, and packed pixels.
+HELD = 48
+
+
+def cost(items: Column) -> Column:
+    """At least as many bytes as decoding some items holds at once: their payloads, and what their samples take."""
+    one = lambda i: F.coalesce(F.length(i["payload"]), F.lit(0)) + F.coalesce(i["ispe"]["width"].cast("decimal(20,0)") * i["ispe"]["height"], F.lit(0)) * HELD
+    return F.aggregate(items, F.lit(0).cast("decimal(38,0)"), lambda a, i: (a + one(i)).cast("decimal(38,0)"))
+
+
 IMAGE = "role string, width int, height int, format string, stride int, data binary, warning string, error string"
 
 
@@ -167,6 +177,10 @@ def pictures(c: Container, form: str = "rgb", roles: tuple[str, ...] = ("primary
     gain = first_with("auxl", primary, GAIN_MAP) if "gain_map" in roles else none
     # items and their payloads are put together in the row of their file, and decoded there
     out = c.whole.select("file_id", "primary_id", F.col("error").alias("parse_error"), F.transform("nodes", known).alias("items"), alpha.alias("alpha"), small.alias("thumbnail"), gain.alias("gain_map"))
+    # a file that would hold too much is not handed to the kernel
+    over = cost(F.col("items")) > F.lit(c.limits.memory).cast("decimal(38,0)")
+    out = out.withColumn("parse_error", F.coalesce("parse_error", F.when(over, "the file needs more memory than allowed")))
+    out = out.withColumn("items", F.when(F.col("parse_error").isNull(), F.col("items")))
     kind, limits = c.parsed.schema["file_id"].dataType, c.limits
     schema = T.StructType([T.StructField("file_id", kind), *T.StructType.fromDDL(IMAGE).fields])
     arrow = to_arrow_schema(schema)

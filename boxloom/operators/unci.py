@@ -19,8 +19,8 @@ class Unsupported(ValueError):
     pass
 
 
-def unpacked(kind: str, units: list[dict] | None, data: bytes) -> bytes:
-    """The payload behind its compression, unit by unit where there are several."""
+def unpacked(kind: str, units: list[dict] | None, data: bytes, most: int) -> bytes:
+    """The payload behind its compression, unit by unit where there are several; no more than `most` bytes come out, whatever is packed."""
     windows = {"zlib": zlib.MAX_WBITS, "defl": -zlib.MAX_WBITS}
     if kind not in windows:
         raise Unsupported(f"compression {kind.strip()} is unsupported")
@@ -29,13 +29,25 @@ def unpacked(kind: str, units: list[dict] | None, data: bytes) -> bytes:
     for at, n in spans:
         if at + n > len(data):
             raise ValueError("a compressed unit leaves the payload")
+        if most <= 0:
+            break
         try:
-            out.append(zlib.decompressobj(windows[kind]).decompress(data[at : at + n]))
+            out.append(zlib.decompressobj(windows[kind]).decompress(data[at : at + n], most))
         except zlib.error as e:
             raise ValueError(f"a compressed unit is damaged: {e}") from None
+        most -= len(out[-1])
     return b"".join(out)
 
 
+def needed(uncc: dict, width: int, height: int) -> int:
+    """At least as many bytes as the samples of an image take, with what aligns them."""
+    cols, rows = max(uncc["tile_cols"], 1), max(uncc["tile_rows"], 1)
+    tw, th = -(-width // cols), -(-height // rows)
+    cells = [max(p["align"], uncc["block_size"], 2) for p in uncc["components"]]
+    row = max(sum(_up(tw * n + 8, uncc["row_align"]) for n in cells), _up(tw * uncc["pixel_size"] + 8, uncc["row_align"]))
+    return cols * rows * _up(th * row, uncc["tile_align"])
+
+
 def to_8_bits(v: np.ndarray, depth: int) -> np.ndarray:
     if depth >= 8:
         return v >> (depth - 8) & 255
@@ -94,7 +106,7 @@ class _Gather:
         return word
 
 
-def decode(uncc: dict, cmpc: dict | None, types: list[int] | None, icef: list[dict] | None, data: bytes, width: int, height: int) -> Frame:
+def decode(uncc: dict, cmpc: dict | None, types: list[int] | None, icef: list[dict] | None, data: bytes, width: int, height: int, memory: int = 1 << 30) -> Frame:
     """The frame of an uncompressed image; Unsupported or ValueError where there is none."""
     parts, sampling, layout = uncc["components"], uncc["sampling"], uncc["interleave"]
     if sampling > 2 or layout > 4:
@@ -114,7 +126,9 @@ def decode(uncc: dict, cmpc: dict | None, types: list[int] | None, icef: list[di
     kx, ky = 1 + (sampling > 0), 1 + (sampling == 2)
     if tw % kx or th % ky:
         raise ValueError("subsampled tiles need even sizes")
-    source = _Gather(unpacked(cmpc["type"], icef, data) if cmpc else data)
+    if cmpc and needed(uncc, width, height) > memory:
+        raise ValueError("the image needs more memory than allowed")
+    source = _Gather(unpacked(cmpc["type"], icef, data, needed(uncc, width, height)) if cmpc else data)
     out = [np.zeros((height, width), np.uint16), *(np.zeros((height // ky, width // kx), np.uint16) for _ in range(2)), np.full((height, width), 255, np.uint16) if 7 in kinds else None]
 
     def put(plane: int | None, tx: int, ty: int, v: np.ndarray) -> None:

@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 from boxloom.functions import colour
 from boxloom.operators import metrics
 from boxloom.operators.decode import pictures, pixels
+from boxloom.plans import derived, streams
 from boxloom.plans import items as it
-from boxloom.plans import streams
 from boxloom.plans.sequences import Sequences, lookup, rescale
 from boxloom.shipping import shipped
 from boxloom.sources import heif
 from boxloom.sources import writer as w
 from boxloom.sources.folders import shared_folder
-from boxloom.sources.tables import Container, box_rows
+from boxloom.sources.container import Limits
+from boxloom.sources.tables import Container, box_rows, register_functions
 
 ALPHA, GAIN = "urn:mpeg:mpegB:cicp:systems:auxiliary:alpha", "urn:com:apple:photo:2020:aux:hdrgainmap"
 
@@ -306,6 +307,96 @@ SEQUENCE_ROLES = """SELECT p_partkey AS file_id, track::INT AS track, role, CASE
 WHERE p_partkey % 5 > 0 AND (role = 'image' OR p_partkey % 5 = 2 OR role = 'alpha' AND p_partkey % 5 = 4)"""
 
 
+def _mixed_file(key: int, size: int) -> bytes:
+    """Still images, movies with alpha and a thumbnail, and still images beside a movie."""
+    even = lambda n, delta, at, **how: w.track([4] * n, [(n, delta)], [at], [(1, n)], **how)
+    still = w.still([{"id": 1 + key % 2, "type": "hvc1", "props": [1, 2]}], [w.ispe(size, size + 1), w.hvcc(10)], brands=("mif1", "msf1") if key % 3 == 2 else ("mif1", "heic"), primary=1 + key % 2)
+    if key % 3 == 0:
+        return still
+    tracks = [even(4, 20, 32 + key % 5, width=size + 2, height=size + 3)]
+    if key % 3 == 2:
+        return still + w.movie(tracks, 1000, 80)[-len(w.box("moov", w.full("mvhd", 0, 0, bytes(16)), *tracks)) :]
+    tracks += [even(4, 20, 32, track_id=2, handler="auxv", alpha_of=1, width=size + 2, height=size + 3), even(2, 40, 40, track_id=3, width=2, height=2)]
+    return w.movie(tracks, 1000, 80, bytes(60))
+
+
+def movie_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks as items, alone and beside still images: what is told of them, where their payload stands, and what refers to them."""
+    c = Container(written(table(spark, sf_dir, "part").select("p_partkey", "p_size"), _mixed_file))
+    one = F.transform("nodes", lambda n: F.struct(n["item_id"].alias("item_id"), it.resolved(n).alias("r"), F.get(F.get(F.col("locations"), n["loc"])["parts"], F.lit(0)).alias("at"), F.get(F.filter("links", lambda x: x["from_id"] == n["item_id"]), F.lit(0)).alias("link")))
+    rows = c.parsed.select("file_id", "primary_id", F.explode(one).alias("i"))
+    return rows.select("file_id", "i.item_id", (F.col("i.item_id") == F.col("primary_id")).alias("is_primary"), "i.r.item_type", F.col("i.r.ispe.width").alias("width"), F.col("i.r.hvcc.bit_depth").alias("bit_depth"), F.col("i.at.at").cast("long").alias("at"), F.col("i.at.length").cast("long").alias("length"), F.get("i.link.targets", F.lit(0))["to_id"].alias("refers_to"))
+
+
+MOVIE_ITEMS = """WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part)
+SELECT k AS file_id, (1 + k % 2)::BIGINT AS item_id, true AS is_primary, 'hvc1' AS item_type, s::BIGINT AS width, 10::INT AS bit_depth, NULL::BIGINT AS at, NULL::BIGINT AS length, NULL::BIGINT AS refers_to FROM p WHERE k % 3 <> 1
+UNION ALL SELECT k, 4294967295, false, 'hvc1', s + 2, 8, 32 + k % 5, 4, NULL FROM p WHERE k % 3 = 2
+UNION ALL SELECT k, i, i = 1, 'hvc1', CASE WHEN i = 3 THEN 2 ELSE s + 2 END, 8, CASE i WHEN 1 THEN 32 + k % 5 WHEN 2 THEN 32 ELSE 40 END, 4, CASE WHEN i = 3 THEN 1 END FROM p, (VALUES (1), (2), (3)) v(i) WHERE k % 3 = 1"""
+
+
+def decode_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which items have to be decoded, with alpha, prediction, cycles, missing items and chains that are too long."""
+
+    def make(key: int, nation: int) -> bytes:
+        made = {1: [2, 3], 5: [1], 7: [99] if key % 2 else [5], 8: [7], 9: [8], 10: [9 - nation % 2]}
+        items = [{"id": i, "type": "grid" if i == 1 else "iden" if i in made else "hvc1", "props": [1, 2] if i == 6 else [1]} for i in range(1, 11)]
+        refs = [("dimg", i, to) for i, to in made.items()] + [("pred", 3, [4])] + ([("pred", 4, [3])] if key % 3 == 0 else []) + [("auxl", 6, [5]), ("auxl", 2, [9]), ("thmb", 4, [1])]
+        return w.still(items, [w.ispe(1, 1), w.auxc(ALPHA)], refs)
+
+    return derived.order(Container(written(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), make)))
+
+
+DECODE_ORDER = """WITH v AS (SELECT s_suppkey AS file_id, s_nationkey AS n, i, s_suppkey % 3 = 0 AS round, s_suppkey % 2 = 1 AS lost FROM supplier, (SELECT unnest(range(1, 11)) AS i)),
+l AS (SELECT *, CASE WHEN i IN (2, 6) THEN 0 WHEN i = 4 AND NOT round THEN 0 WHEN i = 3 AND NOT round THEN 1 WHEN i = 1 AND NOT round THEN 2 WHEN i = 5 AND NOT round THEN 3 WHEN i > 6 AND NOT round AND NOT lost THEN CASE i WHEN 10 THEN 7 - n % 2 ELSE i - 3 END END AS level FROM v)
+SELECT file_id, i::BIGINT AS item_id, level::INT AS level, CASE WHEN level > 4 THEN 'nested too deep' WHEN level IS NOT NULL THEN NULL WHEN i = 7 AND lost THEN 'item 99 is missing' WHEN i > 7 AND lost THEN 'item ' || CASE i WHEN 10 THEN 9 - n % 2 ELSE i - 1 END || ' has no level' ELSE 'in a cycle, or over one' END AS error FROM l"""
+
+
+def grid_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles that a region of each grid needs, with their payloads; tiles of odd files are turned."""
+
+    def make(key: int) -> bytes:
+        rows, columns, tw, th = key % 3 + 1, key % 4 + 1, key % 5 + 3, 4
+        width, height = columns * tw - key % 2, rows * th - 1
+        grid = bytes([0, 0, rows - 1, columns - 1]) + width.to_bytes(2, "big") + height.to_bytes(2, "big")
+        tiles = [{"id": i + 2, "type": "hvc1", "props": [1, 2, 3] if key % 2 else [1, 2], "parts": [f"{key}/{i}".encode()]} for i in range(rows * columns - (key % 11 == 0))]
+        return w.still([{"id": 1, "type": "grid", "parts": [grid], "idat": key % 4 == 0}, *tiles], [w.ispe(th, tw) if key % 2 else w.ispe(tw, th), w.hvcc(), w.irot(1)], [("dimg", 1, [t["id"] for t in tiles])])
+
+    c = Container(written(table(spark, sf_dir, "part").select("p_partkey"), make))
+    out = derived.region_tiles(c, F.col("file_id") % 7 - 1, F.col("file_id") % 3, F.col("file_id") % 7 + 6, F.col("file_id") % 3 + 5, payloads=True)
+    return out.withColumn("payload", F.col("payload").cast("string"))
+
+
+GRID_REGION = """WITH g AS (SELECT p_partkey AS k, p_partkey % 3 + 1 AS r, p_partkey % 4 + 1 AS c, p_partkey % 5 + 3 AS tw, 4 AS th, greatest(p_partkey % 7 - 1, 0) AS x0, p_partkey % 3 AS y0 FROM part),
+h AS (SELECT *, least(k % 7 + 6, c * tw - k % 2) AS x1, least(k % 3 + 5, r * th - 1) AS y1 FROM g),
+t AS (SELECT *, j * c + i AS no, greatest(i * tw, x0) AS ax, greatest(j * th, y0) AS ay, least((i + 1) * tw, x1) AS zx, least((j + 1) * th, y1) AS zy FROM h, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(3)) AS j) WHERE i < c AND j < r AND k % 11 > 0)
+SELECT k AS file_id, 1::BIGINT AS item_id, no::INT AS no, (no + 2)::BIGINT AS tile_id, (ax - i * tw)::BIGINT AS source_x, (ay - j * th)::BIGINT AS source_y, (ax - x0)::BIGINT AS target_x, (ay - y0)::BIGINT AS target_y, (zx - ax)::BIGINT AS width, (zy - ay)::BIGINT AS height, NULL::VARCHAR AS error, k || '/' || no AS payload FROM t WHERE zx > ax AND zy > ay
+UNION ALL SELECT k, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'the grid''s tiles are too many or too few', NULL FROM g WHERE k % 11 = 0"""
+
+
+def box_scan_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """box_scan as a table function in SQL."""
+    register_functions(spark)
+    files = written(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), _nation_file)
+    return spark.sql("SELECT f.file_id, b.type, count(*) AS n, sum(CASE WHEN b.type = 'free' THEN b.content_len END) AS free_bytes FROM {files} f, LATERAL box_scan(f.content) b GROUP BY f.file_id, b.type", files=files)
+
+
+def limited_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures that are too large, need too much memory, or pack far more than they show."""
+
+    def make(key: int) -> bytes:
+        width = key % 30 + 1
+        plane = bytes((key + x) % 256 for x in range(width)) * 10
+        return w.unci_file(zlib.compress(plane + bytes(100_000 if key % 3 == 0 else 0)), width, 10, w.uncc([8]), (0,), [w.cmpc("zlib")])
+
+    c = Container(written(table(spark, sf_dir, "part").select("p_partkey"), make), Limits(width=20, memory=11_990))
+    seen = it.info(c).select("file_id", "within_limits")
+    return seen.join(pictures(c).select("file_id", F.length("data").cast("long").alias("bytes"), "error"), "file_id")
+
+
+LIMITED_PICTURES = """WITH p AS (SELECT p_partkey AS k, p_partkey % 30 + 1 AS w FROM part)
+SELECT k AS file_id, w <= 20 AS within_limits, CASE WHEN w <= 20 THEN 30 * w END::BIGINT AS bytes, CASE WHEN w > 24 THEN 'the file needs more memory than allowed' WHEN w > 20 THEN 'the image is too large' END AS error FROM p"""
+
+
 # ---- pictures ----
 
 
@@ -596,7 +687,7 @@ VERDICTS = """SELECT CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 = 0 THEN 'b
 
 ALL = (
     (file_kind, FILE_KIND), (box_scan, BOX_SCAN), (order_items, ORDER_ITEMS), (image_info, IMAGE_INFO), (metadata, METADATA), (heif_source, HEIF_SOURCE), (references, REFERENCES), (compact_images, COMPACT_IMAGES),
-    (sequence_samples, SEQUENCE_SAMPLES), (sample_lookup, SAMPLE_LOOKUP), (sequence_frames, SEQUENCE_FRAMES), (sequence_info, SEQUENCE_INFO), (movie_info, MOVIE_INFO), (sequence_roles, SEQUENCE_ROLES),
+    (sequence_samples, SEQUENCE_SAMPLES), (sample_lookup, SAMPLE_LOOKUP), (sequence_frames, SEQUENCE_FRAMES), (sequence_info, SEQUENCE_INFO), (movie_info, MOVIE_INFO), (movie_items, MOVIE_ITEMS), (decode_order, DECODE_ORDER), (grid_region, GRID_REGION), (box_scan_sql, BOX_SCAN), (limited_pictures, LIMITED_PICTURES), (sequence_roles, SEQUENCE_ROLES),
     (unci_pixels, UNCI_PIXELS), (packed_pixels, PACKED_PIXELS), (chroma_pixels, CHROMA_PIXELS), (role_pixels, ROLE_PIXELS), (turned_pixels, TURNED_PIXELS), (alpha_pixels, ALPHA_PIXELS), (overlay_pixels, OVERLAY_PIXELS), (unsupported_pictures, UNSUPPORTED_PICTURES),
     (image_difference, IMAGE_DIFFERENCE), (picture_hashes, PICTURE_HASHES), (box_means, BOX_MEANS), (annexb_units, ANNEXB_UNITS), (coded_streams, CODED_STREAMS), (expr_ycc_rgb, EXPR_YCC_RGB), (expr_samples, EXPR_SAMPLES), (corpus_pick, CORPUS_PICK), (bench_summary, BENCH_SUMMARY), (verdicts, VERDICTS),
 )

@@ -16,10 +16,10 @@ ALPHA_URN, ALPHA_HEVC, ALPHA_AVC = "urn:mpeg:mpegB:cicp:systems:auxiliary:alpha"
 
 
 class Limits:
-    """What a file may ask for; the defaults are those of the public interface."""
+    """What a file may ask for; memory is the number of bytes that decoding one file may hold at once."""
 
-    def __init__(self, width: int = 16_384, height: int = 16_384, pixels: int = 256_000_000):
-        self.width, self.height, self.pixels = width, height, pixels
+    def __init__(self, width: int = 16_384, height: int = 16_384, pixels: int = 256_000_000, memory: int = 1 << 30):
+        self.width, self.height, self.pixels, self.memory = width, height, pixels, memory
 
     def allow(self, width: int, height: int) -> bool:
         return 0 < width <= self.width and 0 < height <= self.height and width * height <= self.pixels

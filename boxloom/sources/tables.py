@@ -60,6 +60,19 @@ def box_rows(files: DataFrame) -> DataFrame:
     return files.select("file_id", "content").mapInArrow(run, schema)
 
 
+@F.udtf(returnType="box_id int, parent_id int, depth int, type string, content_off bigint, content_len bigint")
+class BoxScan:
+    """box_rows() as a table function of SQL: a row for each box of one file's content."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        yield from box_tree(content or b"")
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes box_scan known to SQL: SELECT f.file_id, b.* FROM files f, LATERAL box_scan(f.content) b."""
+    spark.udtf.register("box_scan", BoxScan)
+
+
 class Container:
     """The tables of some files; what is derived from the parsed rows is plain Catalyst. Movies that can be shown have items of their own
     (see movies.py) wherever items are. With `keep` the parsed rows are kept until release(), for several questions about the same files;
