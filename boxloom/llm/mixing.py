@@ -2,16 +2,17 @@
 
 1. Sizes (words) are summed by source. Targets share `share` of all sizes by weight; a target stops at `most` times its source's
    size, and the excess is shared again by weight among the others until none is above.
-2. Within each source, documents stand in the order of a hash of their ids; the sum of the sizes before a document is its place.
-   The mix takes the first target words of this order, read as often as needed: whole passes over the source, then the documents
-   of a part of one more pass, of which only the last is cut. So each source's words are exact to one word.
-3. What is taken is dealt to shards in blocks of `block` words, each document and pass to the block in which it begins. A tree splits
-   the sources' exact block quotas: the root holds all, each node deals its blocks to its halves by a multivariate-hypergeometric
-   draw, each leaf is a shard. The blocks of a source are permuted, and each shard takes the next ones of its quota: disjoint, and
-   all of them. Within a shard, documents are shuffled by a hash.
-
-Only sums by source and the quotas (sources times shards) come to the driver, never documents. A source with most rows is spread
-like any other, since places come from range sums. All draws come from `seed`, so reruns agree.
+2. Within each source, documents stand in the order of a hash of their ids; the sum of the sizes before a document is its place, and the
+   block of `block` words in which it begins is its block. The mix reads a source in passes. What is left behind whole passes is drawn:
+   all blocks of the source are permuted, and the first ones are taken until their words reach the target; of the last one the documents
+   up to there, of which the last may be cut. So which documents come once more follows from the draw, and each source's words are exact.
+3. The blocks of whole passes and those drawn are a source's quota. A tree splits the sources' exact quotas: the root holds all, each node
+   deals its blocks to its halves by a multivariate-hypergeometric draw, each leaf is a shard. All blocks of a quota are permuted, and each
+   shard takes the next ones of its part: disjoint, and all of them. Within a shard, documents are shuffled by a hash.
+
+Sums by source, where the draw of each ends, and the quotas (sources times shards) come to the driver, never documents or blocks. A source
+with most rows is spread like any other, since places and the words of permuted blocks come from range sums. All draws come from `seed`,
+so reruns agree.
 
 A null text has no words; a document without words is taken 0 times. A null source is a source of its own, the last. Where no words
 are, all targets are 0. Rows that tie (same id, same text) are all kept; they stand in the order in which they are read. Long texts are
@@ -35,6 +36,8 @@ SHARDS = 16
 MOST_BLOCKS = 500_000_000
 #: Words of a part of a shard. A shard is written as parts, in the order of its rows, so that no task holds a shard however large.
 PART = 4_000_000
+#: Parts grow beyond so many in all, as each is a partition of one shuffle.
+MOST_PARTS = 100_000
 
 
 def n_words(text: str | Column) -> Column:
@@ -93,7 +96,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: int) -> np.ndarray:
 
 
 def plan(docs: DataFrame, weights: Sequence[float], **how: object) -> DataFrame:
-    """Each row of docs, its columns (or those of keep) in `row`, with size, source_size, target, place, and `pieces`: (pass, words, block, shard, order)
+    """Each row of docs, its columns (or those of keep) in `row`, with size, source_size, target, place, and `pieces`: (pass, words, block (its number in the quota), shard, order)
     for each pass that takes some of it. The weights repeat over the sources in the order of their code points, null last."""
     return _plan(docs, weights, **how)[0]
 
@@ -108,40 +111,66 @@ def _plan(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: f
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
     words = [round(t) for t in wanted]
     block = max(block, -(-sum(words) // MOST_BLOCKS))
-    quotas = np.array([-(-w // block) for w in words], np.int64)
-    ends = np.cumsum(split(quotas, shards, np.random.default_rng(seed)), axis=0) if len(quotas) else np.zeros((shards, 0), np.int64)
-    by_source = spark.createDataFrame([(r.source, i, s, t, w, int(q), [int(x) for x in ends[:, i]]) for i, (r, s, t, w, q) in enumerate(zip(found, sizes, wanted, words, quotas, strict=True))], "s string, s_no int, source_size long, target double, words long, quota long, ends array<long>")
-    joined = placed.join(by_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    many = F.ceil(F.col("words") / F.greatest("source_size", F.lit(1))).cast("int")
-    begin = lambda p: p.cast("long") * F.col("source_size") + F.col("place")
-    passes = F.transform(F.sequence(F.lit(0), F.greatest(many, F.lit(1)) - 1), lambda p: F.struct(p.alias("pass"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - begin(p))).alias("words"), F.expr("0L").alias("no")))
-    taken = joined.withColumn("pieces", F.filter(passes, lambda x: x["words"] > 0))
-    schema = joined.drop("ends", "s_no", "quota", "words", "h1").withColumn("pieces", F.expr("array(struct(0 as pass, 0L as words, 0L as block, 0 as shard, 0L as order))")).schema
-    names = [c for c in taken.columns if c in schema.names and c != "pieces"]
+    whole = [w // s if s else 0 for w, s in zip(words, sizes, strict=True)]
+    rest = [w - n * s for w, n, s in zip(words, whole, sizes, strict=True)]
+    ends = draw_ends(placed, block, {r.source: (s, x) for r, s, x in zip(found, sizes, rest, strict=True) if x}, seed)
+    last = [ends.get(r.source, (-1, 0, 0)) for r in found]
+    blocks = [-(-s // block) for s in sizes]
+    quotas = np.array([x[0] + 1 + n * k for x, n, k in zip(last, whole, blocks, strict=True)], np.int64)
+    limits = np.cumsum(split(quotas, shards, np.random.default_rng(seed)), axis=0) if len(quotas) else np.zeros((shards, 0), np.int64)
+    told = zip(found, sizes, wanted, whole, blocks, last, quotas, strict=True)
+    by_source = spark.createDataFrame([(r.source, s, t, n, k, *map(int, x), int(q), [int(v) for v in limits[:, i]]) for i, (r, s, t, n, k, x, q) in enumerate(told)], "s string, source_size long, target double, whole long, n_blocks long, last long, upto long, first long, quota long, ends array<long>")
+    joined = placed.join(by_source, F.col("source").eqNullSafe(F.col("s"))).drop("s", "h1")
+    helpers = ("whole", "n_blocks", "last", "upto", "first", "quota", "ends")
+    schema = joined.drop(*helpers).withColumn("pieces", F.expr("array(struct(0 as pass, 0L as words, 0L as block, 0 as shard, 0L as order))")).schema
+    names = [c for c in schema.names if c != "pieces"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
-            pieces = col("pieces")
-            row = pieces.value_parent_indices().to_numpy()
-            flat = pieces.flatten()
-            get = lambda c: col(c).to_numpy(zero_copy_only=False)[row]  # noqa: E731, B023
-            no = flat.field("pass").to_numpy(zero_copy_only=False).astype(np.int64)
-            blocks = (no * get("source_size") + get("place")) // block
-            drawn = permuted(blocks, get("quota"), seed)
-            # each shard takes the next blocks of its quota
-            limits = np.array(col("ends").to_pylist(), np.int64).reshape(b.num_rows, -1)[row] if b.num_rows else np.zeros((0, 1), np.int64)
-            shard = (limits <= drawn[:, None]).sum(axis=1) if len(row) else np.zeros(0, np.int64)
-            order = permuted_hash(get("h2"), no)
-            full = pa.StructArray.from_arrays([flat.field("pass"), flat.field("words"), pa.array(blocks, pa.int64()), pa.array(shard, pa.int32()), pa.array(order)], names=["pass", "words", "block", "shard", "order"])
-            out = {c: col(c) for c in names} | {"pieces": pa.ListArray.from_arrays(offsets(pieces), full)}
+            of = {c: col(c).to_numpy(zero_copy_only=False) for c in ("size", "place", *helpers[:-1])}
+            mine = of["place"] // block
+            drawn = permuted(mine, np.maximum(of["n_blocks"], 1), seed)
+            # of the pass that is drawn: blocks before the last whole, and the last up to its words
+            part = np.where(drawn < of["last"], of["size"], np.where(drawn == of["last"], np.clip(of["upto"] - (of["place"] - of["first"]), 0, of["size"]), 0))
+            many = np.where(of["size"] > 0, of["whole"], 0) + (part > 0)
+            row = np.repeat(np.arange(b.num_rows), many)
+            no = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            full = no < of["whole"][row]
+            taken = np.where(full, of["size"][row], part[row])
+            # the drawn blocks come first, in the order of the draw, then those of each whole pass
+            at = np.where(full, of["last"][row] + 1 + no * of["n_blocks"][row] + mine[row], drawn[row])
+            dealt = permuted(at, of["quota"][row], seed + 1)
+            upper = np.array(col("ends").to_pylist(), np.int64).reshape(b.num_rows, -1)[row] if b.num_rows else np.zeros((0, 1), np.int64)
+            shard = (upper <= dealt[:, None]).sum(axis=1) if len(row) else np.zeros(0, np.int64)
+            order = permuted_hash(col("h2").to_numpy()[row], no)
+            fields = [pa.array(no.astype(np.int32)), pa.array(taken), pa.array(at), pa.array(shard.astype(np.int32)), pa.array(order)]
+            pieces = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["pass", "words", "block", "shard", "order"]))
+            out = {c: col(c) for c in names} | {"pieces": pieces}
             yield pa.RecordBatch.from_arrays([out[c] for c in schema.names], names=schema.names)
 
-    return taken.drop("h1").mapInArrow(deal, schema), sum(words)
+    return joined.mapInArrow(deal, schema), sum(words)
+
 
+def draw_ends(placed: DataFrame, block: int, wanted: dict[str | None, tuple[int, int]], seed: int) -> dict[str | None, tuple[int, int, int]]:
+    """Where the draw of each source ends that has (size, words to draw): the number of its last block in the permuted order, how many
+    words of that block are taken, and the place at which the block's documents begin. A row for each source comes to the driver."""
+    if not wanted:
+        return {}
+    spark = placed.sparkSession
+    sizes = spark.createDataFrame([(k, -(-s // block), x) for k, (s, x) in wanted.items()], "s string, n_blocks long, rest long")
+    weights = placed.where("size > 0").groupBy("source", F.call_function("div", F.col("place"), F.lit(block)).alias("block")).agg(F.sum("size").alias("w"), F.min("place").alias("first"))
+    known = weights.join(sizes, F.col("source").eqNullSafe(F.col("s"))).select("source", "block", "n_blocks", "rest", "w", "first")
+    kind = "source string, drawn long, rest long, w long, first long"
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            drawn = permuted(b.column(1).to_numpy(), b.column(2).to_numpy(), seed)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(drawn), *b.columns[3:]], names=["source", "drawn", "rest", "w", "first"])
 
-def offsets(lists: pa.ListArray) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32))
+    before = prefix_sums(known.mapInArrow(number, kind), ["drawn"], "w", "before", "source")
+    hit = before.where("before < rest and before + w >= rest").select("source", "drawn", (F.col("rest") - F.col("before")).alias("upto"), "first").collect()
+    return {r["source"]: (r["drawn"], r["upto"], r["first"]) for r in hit}
 
 
 def permuted_hash(h: np.ndarray, no: np.ndarray) -> np.ndarray:
@@ -161,7 +190,7 @@ def mixed(docs: DataFrame, weights: Sequence[float], text: str = "text", **how:
     columns = [whole.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
     shard, order = free_name(docs, "shard"), free_name(docs, "order")
     # orders are spread evenly over 64 bits, so equal stretches of them are parts of about equal size
-    parts = max(1, -(-words // (shards * PART)))
+    parts = max(1, min(-(-words // (shards * PART)), MOST_PARTS // shards))
     part = F.floor((F.col("piece.order").cast("double") / 2.0**64 + 0.5) * parts).cast("int")
     at = F.col("piece.shard") * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))
     rows = spread.select(*columns, F.col("piece.shard").alias(shard), F.col("piece.order").alias(order), at.alias("_at"))

@@ -57,6 +57,50 @@ def test_mixing(spark):
     assert mixing.plan(docs.limit(0), (3, 1, 2)).count() == 0
 
 
+@pytest.mark.parametrize(("block", "shards", "seed"), [(16, 5, 1), (7, 1, 1), (500, 3, 2), (4096, 16, 1)])
+def test_the_draw_against_a_plain_twin(spark, block, shards, seed):
+    """Everything that plan() draws, in loops over documents and blocks."""
+    docs = spark.createDataFrame([r for r in mixed_rows() if r[0] is not None], SCHEMA).dropDuplicates(["doc_id"])
+    plan = lambda k: {r.doc_id: r for r in mixing.plan(docs, (3, 1, 2), keep=["doc_id"], block=k, shards=shards, seed=seed).select("row.doc_id", "target", "pieces").collect()}
+    got = plan(block)
+    hashed = docs.select("doc_id", "source", mixing.n_words("text").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("h1"), F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string"), "text").alias("h2")).collect()
+    sources, quotas, taken = {}, [], {}
+    for r in sorted(hashed, key=lambda r: (r.source is None, r.source or "", r.h1, r.h2)):
+        sources.setdefault(r.source, []).append(r)
+    for rs in sources.values():
+        size, words, place, blocks = sum(r.size for r in rs), round(got[rs[0].doc_id].target), 0, {}
+        whole = words // size if size else 0
+        rest = words - whole * size
+        for r in rs:
+            blocks.setdefault(place // block, []).append(r)
+            place += r.size
+        n, drawn = -(-size // block), 0
+        order = {int(mixing.permuted(np.array([b]), np.array([n]), seed)[0]): b for b in range(n)}
+        for t in range(n):
+            if rest <= 0:
+                break
+            for r in blocks.get(order[t], []):
+                if take := min(r.size, rest):
+                    taken.setdefault(r.doc_id, {})[whole] = (take, order[t], t)
+                    rest, drawn = rest - take, t + 1
+        quotas.append(drawn + whole * n)
+        for b, some in blocks.items():
+            for r in some:
+                for p in range(whole if r.size else 0):
+                    taken.setdefault(r.doc_id, {})[p] = (r.size, b, drawn + p * n + b)
+    dealt = np.cumsum(mixing.split(np.array(quotas), shards, np.random.default_rng(seed)), axis=0)
+    for i, rs in enumerate(sources.values()):
+        for r in rs:
+            want = []
+            for p, (words, _, at) in sorted(taken.get(r.doc_id, {}).items()):
+                place = int(mixing.permuted(np.array([at]), np.array([quotas[i]]), seed + 1)[0])
+                want.append((p, words, at, int((dealt[:, i] <= place).sum()), int(mixing.permuted_hash(np.array([r.h2]), np.array([p]))[0])))
+            assert [tuple(x) for x in got[r.doc_id].pieces] == want
+    if block < 100:  # what is taken follows from the draw
+        other, total = plan(block + 3), lambda r: sum(p.words for p in r.pieces)
+        assert any(total(other[k]) != total(got[k]) for k in got)
+
+
 def test_mixed_texts(spark):
     rows = mixed_rows()
     out = mixing.mixed(with_clashes(spark.createDataFrame(rows, SCHEMA)), (3, 1, 2), block=16, shards=3).select("doc_id", "text", "source", "_shard").collect()
