@@ -30,8 +30,8 @@ DEPTH, MOST_TILES, MOST_LAYERS = 4, 512, 64
 class File:
     """The resolved items of one file, and how to decode them."""
 
-    def __init__(self, items: list[dict], limits: Limits):
-        self.items, self.limits = {i["item_id"]: i for i in items}, limits
+    def __init__(self, items: list[dict], limits: Limits, native: bool = False):
+        self.items, self.limits, self.native = {i["item_id"]: i for i in items}, limits, native
 
     def payload(self, item: dict) -> bytes:
         if item["payload"] is None:
@@ -61,7 +61,7 @@ class File:
             w, h = item["ispe"]["width"], item["ispe"]["height"]
             if not self.limits.allow(w, h):
                 raise ValueError("the image is too large")
-            f = decode_unci(item["uncc"], item["cmpc"], item["cmpd"], item["icef"], self.payload(item), w, h, self.limits.memory)
+            f = decode_unci(item["uncc"], item["cmpc"], item["cmpd"], item["icef"], self.payload(item), w, h, self.limits.memory, self.native)
         elif kind in ("hvc1", "hev1", "av01"):
             raise Unsupported("hevc pixels are unsupported" if kind != "av01" else "av1 pixels are unsupported")
         else:
@@ -165,6 +165,66 @@ IMAGE = "role string, width int, height int, format string, stride int, data bin
 
 def pictures(c: Container, form: str = "rgb", roles: tuple[str, ...] = ("primary",)) -> DataFrame:
     """(file_id, role, width, height, format, stride, data, warning, error) of each file's primary image, thumbnail and gain map."""
+
+    def made(file: File, n: int, alpha: int | None) -> dict:
+        f, warning = file.picture(n, alpha if len(form) == 4 else None)
+        px = np.ascontiguousarray(fr.to_pixels(f, form))
+        return {"width": px.shape[1], "height": px.shape[0], "stride": px.shape[1] * len(form), "data": px.tobytes(), "warning": warning}
+
+    return _decoded(c, roles, IMAGE, made, {"format": form})
+
+
+#: Planes of a picture in the order of luma, Cb, Cr, alpha; samples of more than 8 bits take two bytes, the low one first.
+PLANES = "role string, planes array<struct<name: string, width: int, height: int, depth: int, data: binary>>, error string"
+
+
+def planes(c: Container, roles: tuple[str, ...] = ("primary",)) -> DataFrame:
+    """(file_id, role, planes, error): pictures as planes at the depth of their samples, cut to what is shown; chroma has its own size."""
+
+    def made(file: File, n: int, alpha: int | None) -> dict:
+        file.native = True
+        f, _ = file.picture(n, alpha)
+        if f.width <= 0 or f.height <= 0:
+            raise ValueError("the crop leaves nothing")
+        out, (kx, ky), (left, _, top, _) = [], fr.STEPS[f.chroma], f.crop
+        for name, plane, sx, sy, depth in (("y", f.y, 1, 1, f.depth), ("cb", f.cb, kx, ky, f.chroma_depth), ("cr", f.cr, kx, ky, f.chroma_depth), ("a", f.a, 1, 1, f.depth)):
+            if plane is None or name in ("cb", "cr") and f.chroma == 0:
+                continue
+            cut = plane[top // sy : top // sy + -(-f.height // sy), left // sx : left // sx + -(-f.width // sx)]
+            unset = (1 << depth) - 1 if name == "a" else 0 if name == "y" else 1 << depth - 1
+            cut = np.where(cut == fr.UNSET, unset, cut).astype("<u2" if depth > 8 else "u1")
+            out.append({"name": name, "width": cut.shape[1], "height": cut.shape[0], "depth": depth, "data": cut.tobytes()})
+        return {"planes": out}
+
+    return _decoded(c, roles, PLANES, made, {})
+
+
+def raw(images: DataFrame) -> DataFrame:
+    """(file_id, role, raw): the planes of planes(), one behind the other, as files of raw pictures have them."""
+    part = lambda i: F.coalesce(F.get("planes", F.lit(i))["data"], F.lit(b""))
+    return images.where("error is null").select("file_id", "role", F.concat(*map(part, range(4))).alias("raw"))
+
+
+def needed_bytes(width: Column, height: Column, form: Column, stride: Column) -> Column:
+    """How many bytes a picture takes with rows that begin `stride` bytes apart, the last one without what follows it; null where a row
+    takes more than that."""
+    row = width * F.length(form)
+    return F.when(stride >= row, stride.cast("bigint") * (height - 1) + row)
+
+
+def at_stride(images: DataFrame, stride: Column) -> DataFrame:
+    """Pictures with rows that begin `stride` bytes apart, zeros between; one whose rows take more has an error and no data."""
+    row = F.col("width") * F.length("format")
+    lines = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.hex(F.substring("data", y * row + 1, row)))
+    gap = F.repeat(F.lit("00"), (stride - row).cast("int"))
+    fits = F.coalesce(needed_bytes(F.col("width"), F.col("height"), F.col("format"), stride).isNotNull(), F.lit(False))
+    data = F.when(fits, F.unhex(F.array_join(F.transform(lines, lambda x, y: F.when(y < F.col("height") - 1, F.concat(x, gap)).otherwise(x)), "")))
+    error = F.coalesce("error", F.when(~fits, "the stride is too small"))
+    return images.withColumns({"data": F.when(F.col("error").isNull(), data), "stride": F.when(fits, stride.cast("int")), "error": error})
+
+
+def _decoded(c: Container, roles: tuple[str, ...], columns_of: str, make, also: dict) -> DataFrame:
+    """A row for each file and role: what make(file, item, alpha) gives, or an error."""
     columns = ["item_id", "item_type", "ispe", "colr", "hvcc", "av1c", "uncc", "cmpc", "cmpd", "icef", "transforms"]
 
     def known(n: Column) -> Column:
@@ -182,7 +242,7 @@ def pictures(c: Container, form: str = "rgb", roles: tuple[str, ...] = ("primary
     out = out.withColumn("parse_error", F.coalesce("parse_error", F.when(over, "the file needs more memory than allowed")))
     out = out.withColumn("items", F.when(F.col("parse_error").isNull(), F.col("items")))
     kind, limits = c.parsed.schema["file_id"].dataType, c.limits
-    schema = T.StructType([T.StructField("file_id", kind), *T.StructType.fromDDL(IMAGE).fields])
+    schema = T.StructType([T.StructField("file_id", kind), *T.StructType.fromDDL(columns_of).fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +253,11 @@ def pictures(c: Container, form: str = "rgb", roles: tuple[str, ...] = ("primary
                 for role, n in (("primary", row["primary_id"]), ("thumbnail", row["thumbnail"]), ("gain_map", row["gain_map"])):
                     if role not in roles or n is None and role != "primary":
                         continue
-                    base = {"file_id": row["file_id"], "role": role, "format": form}
+                    base = {"file_id": row["file_id"], "role": role} | also
                     try:
                         if row["parse_error"] is not None:
                             raise ValueError(row["parse_error"])
-                        f, warning = file.picture(n, row["alpha"] if role == "primary" and len(form) == 4 else None)
-                        px = np.ascontiguousarray(fr.to_pixels(f, form))
-                        made.append(base | {"width": px.shape[1], "height": px.shape[0], "stride": px.shape[1] * len(form), "data": px.tobytes(), "warning": warning})
+                        made.append(base | make(file, n, row["alpha"] if role == "primary" else None))
                     except (ValueError, Short) as e:
                         made.append(base | {"error": str(e) or "the data end too early"})
                 yield pa.RecordBatch.from_pylist(made, schema=arrow)

@@ -46,6 +46,103 @@ def picture_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> Da
     return both.select(*keys, "l", "r").mapInArrow(run, schema)
 
 
+def paired(images: DataFrame, of: Column, what: list[str], pair: str = "pair") -> DataFrame:
+    """(pair, l, r): pictures that meet, decoded once each and dealt to all their pairs in one shuffle. `of` is an array of (pair, side) made
+    of a picture's row, side being 0 or 1; pairs that lack one are left out."""
+    dealt = images.where("error is null").select(F.explode(of).alias("of"), F.struct(*what).alias("picture"))
+    side = lambda n: F.first(F.when(F.col("of.side") == n, F.col("picture")), ignorenulls=True)
+    return dealt.groupBy(F.col("of.pair").alias(pair)).agg(side(0).alias("l"), side(1).alias("r")).where("l is not null and r is not null")
+
+
+def differences(pairs: DataFrame, key: str = "pair") -> DataFrame:
+    """(key, n, sse, max_diff, n_diff, mse) of pairs of pictures (l, r) with width, height, format and data."""
+    schema = T.StructType([pairs.schema[key], *T.StructType.fromDDL("n long, sse long, max_diff long, n_diff long, mse double").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [compared(*(b.column(c).field("data")[i].as_buffer() for c in (1, 2)), all(b.column(1).field(k)[i] == b.column(2).field(k)[i] for k in ("width", "height", "format"))) for i in range(b.num_rows)]
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True))], names=schema.names)
+
+    return pairs.select(key, "l", "r").mapInArrow(run, schema)
+
+
+def compared(left: pa.Buffer, right: pa.Buffer, same: bool, kind: str = "u1") -> tuple:
+    """(n, sse, max_diff, n_diff, mse) of two runs of samples; nulls where they aren't alike in shape."""
+    if not same:
+        return (None,) * 5
+    x, y = (np.frombuffer(c, kind).astype(np.int64) for c in (left, right))
+    d = np.abs(x - y)
+    sse = int((d * d).sum())
+    return len(d), sse, int(d.max(initial=0)), int(np.count_nonzero(d)), sse / max(len(d), 1)
+
+
+def plane_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, plane, depth, n, sse, max_diff, md5_equal) of each plane of pictures (keys, planes); a plane that one side lacks, or that has
+    another size or depth there, has nulls. Each side is decoded once, and its planes meet in one shuffle."""
+    one = lambda df, side: df.select(*keys, F.explode("planes").alias("p")).select(*keys, F.col("p.name").alias("plane"), F.lit(side).alias("side"), F.struct("p.width", "p.height", "p.depth").alias("shape"), F.col("p.data").alias("data"))
+    of = lambda c, side: F.first(F.when(F.col("side") == side, F.col(c)), ignorenulls=True)
+    met = one(left, "l").unionByName(one(right, "r")).groupBy(*keys, "plane").agg(*[of(c, side).alias(f"{side}_{c}") for side in "lr" for c in ("shape", "data")])
+    same = F.coalesce(F.col("l_shape") == F.col("r_shape"), F.lit(False))
+    equal = same & (F.md5("l_data") == F.md5("r_data"))
+    rows = met.select(*keys, "plane", F.coalesce("l_shape.depth", "r_shape.depth").alias("depth"), F.when(same, F.col("l_shape.width").cast("bigint") * F.col("l_shape.height")).alias("n"), same.alias("same"), F.coalesce(equal, F.lit(False)).alias("md5_equal"), "l_data", "r_data")
+    at = len(keys) + 1
+    schema = T.StructType([*[rows.schema[k] for k in (*keys, "plane", "depth", "n")], *T.StructType.fromDDL("sse long, max_diff long").fields, rows.schema["md5_equal"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            depth, same, l, r = (b.column(b.schema.get_field_index(c)) for c in ("depth", "same", "l_data", "r_data"))  # noqa: E741
+            out = [compared(l[i].as_buffer(), r[i].as_buffer(), True, "<u2" if depth[i].as_py() > 8 else "u1")[1:3] if same[i].as_py() else (None, None) for i in range(b.num_rows)]
+            cols = list(zip(*out, strict=True)) if out else [(), ()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: at + 2], *(pa.array(c, pa.int64()) for c in cols), b.column(b.schema.get_field_index("md5_equal"))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def thumbs(images: DataFrame, cells: int = 16) -> DataFrame:
+    """The pictures with `means` in place of data: rounded means over cells x cells boxes, a byte for each box and channel, worked out on the
+    picture's bytes in one pass. Box t of n samples is [t * n / cells, (t + 1) * n / cells); an empty box has none, so pictures with a side of
+    fewer samples have a null."""
+    schema = T.StructType([*[f for f in images.schema.fields if f.name != "data"], T.StructField("means", T.BinaryType())])
+    names = [f.name for f in schema.fields[:-1]]
+
+    def mean(data: pa.Buffer, w: int, h: int, n: int) -> bytes | None:
+        if min(w, h) < cells:
+            return None
+        px = np.frombuffer(data, np.uint8).reshape(h, w, n)
+        at = lambda size: np.arange(cells + 1) * size // cells
+        rows = np.add.reduceat(px, at(h)[:-1], axis=0, dtype=np.int64)
+        sums = np.add.reduceat(rows, at(w)[:-1], axis=1)
+        count = np.outer(np.diff(at(h)), np.diff(at(w)))[:, :, None]
+        return ((sums + count // 2) // count).astype(np.uint8).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = {c: b.column(b.schema.get_field_index(c)) for c in ("data", "width", "height", "format")}
+            out = [mean(d.as_buffer(), w.as_py(), h.as_py(), len(f.as_py())) if d.is_valid else None for d, w, h, f in zip(col["data"], col["width"], col["height"], col["format"], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(out, pa.binary())], names=schema.names)
+
+    return images.mapInArrow(run, schema)
+
+
+def thumb_verdict(ours: DataFrame, expected: DataFrame, keys: list[str], gate: float) -> DataFrame:
+    """(keys, ok, mse, max_diff, detail): pictures against expected sizes and means (keys, width, height, means)."""
+    both = ours.select(*keys, F.struct("width", "height", "means", "error").alias("o")).join(expected.select(*keys, F.struct("width", "height", "means").alias("e")), keys)
+    byte = lambda c, i: F.conv(F.hex(F.substring(c, i + 1, 1)), 16, 10).cast("int")
+    d = F.transform(F.sequence(F.lit(0), F.length("o.means") - 1), lambda i: F.abs(byte(F.col("o.means"), i) - byte(F.col("e.means"), i)))
+    alike = F.length("o.means") == F.length("e.means")
+    rows = both.withColumn("d", F.when(alike & (F.length("o.means") > 0), d))
+    mse = F.aggregate("d", F.lit(0).cast("bigint"), lambda a, x: a + x * x) / F.size("d")
+    size = (F.col("o.width") == F.col("e.width")) & (F.col("o.height") == F.col("e.height"))
+    detail = F.when(F.col("o.error").isNotNull(), F.col("o.error")).when(~size, F.format_string("size %dx%d != %dx%d", "o.width", "o.height", "e.width", "e.height")).when(F.col("d").isNull(), "means of another length")
+    return rows.select(*keys, (detail.isNull() & (mse <= gate)).alias("ok"), F.when(detail.isNull(), mse).alias("mse"), F.when(detail.isNull(), F.array_max("d")).alias("max_diff"), detail.alias("detail"))
+
+
+def pick(files: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n of the files at random: those of least hash for a seed, so that a run can be done again."""
+    return files.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
 def box_means(pixels: DataFrame, keys: list[str], cells: int = 16) -> DataFrame:
     """(keys, cx, cy, ch, v): rounded means over cells x cells boxes, box t of n samples being [t * n / cells, (t + 1) * n / cells)."""
     size = pixels.groupBy(*keys).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))

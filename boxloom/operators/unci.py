@@ -106,8 +106,9 @@ class _Gather:
         return word
 
 
-def decode(uncc: dict, cmpc: dict | None, types: list[int] | None, icef: list[dict] | None, data: bytes, width: int, height: int, memory: int = 1 << 30) -> Frame:
-    """The frame of an uncompressed image; Unsupported or ValueError where there is none."""
+def decode(uncc: dict, cmpc: dict | None, types: list[int] | None, icef: list[dict] | None, data: bytes, width: int, height: int, memory: int = 1 << 30, native: bool = False) -> Frame:
+    """The frame of an uncompressed image; Unsupported or ValueError where there is none. With `native` its samples keep their depth, which
+    has to be one for all components; else they have 8 bits."""
     parts, sampling, layout = uncc["components"], uncc["sampling"], uncc["interleave"]
     if sampling > 2 or layout > 4:
         raise Unsupported("the sampling or interleave type is unsupported")
@@ -117,6 +118,10 @@ def decode(uncc: dict, cmpc: dict | None, types: list[int] | None, icef: list[di
         raise Unsupported("pixel or block sizes don't go with the interleave")
     if any(not 1 <= p["bit_depth"] <= 16 or p["format"] for p in parts):
         raise Unsupported("only unsigned components of 1 to 16 bits are supported")
+    bits = parts[0]["bit_depth"] if native and parts else 8
+    if native and any(p["bit_depth"] != bits for p in parts):
+        raise Unsupported("components of several depths have no planes of one")
+    fit = (lambda v, _: v) if native else to_8_bits
     kinds = [types[p["index"]] if types and p["index"] < len(types) else p["index"] for p in parts]
     planes, depths, aligns = [PLANES.get(k) for k in kinds], [p["bit_depth"] for p in parts], [p["align"] for p in parts]
     cols, rows = uncc["tile_cols"], uncc["tile_rows"]
@@ -129,7 +134,7 @@ def decode(uncc: dict, cmpc: dict | None, types: list[int] | None, icef: list[di
     if cmpc and needed(uncc, width, height) > memory:
         raise ValueError("the image needs more memory than allowed")
     source = _Gather(unpacked(cmpc["type"], icef, data, needed(uncc, width, height)) if cmpc else data)
-    out = [np.zeros((height, width), np.uint16), *(np.zeros((height // ky, width // kx), np.uint16) for _ in range(2)), np.full((height, width), 255, np.uint16) if 7 in kinds else None]
+    out = [np.zeros((height, width), np.uint16), *(np.zeros((height // ky, width // kx), np.uint16) for _ in range(2)), np.full((height, width), (1 << bits) - 1, np.uint16) if 7 in kinds else None]
 
     def put(plane: int | None, tx: int, ty: int, v: np.ndarray) -> None:
         if plane is not None:
@@ -140,14 +145,14 @@ def decode(uncc: dict, cmpc: dict | None, types: list[int] | None, icef: list[di
     row_align, tile_align = uncc["row_align"], uncc["tile_align"]
     at = 0  # byte where the next rows begin
     if uncc["block_size"]:
-        _blocks(uncc, planes, depths, source, put, cols, rows, tw, th)
+        _blocks(uncc, planes, depths, source, put, cols, rows, tw, th, fit)
     elif layout == TILE_PLANAR:
         for plane, depth, align in zip(planes, depths, aligns, strict=True):
             w, h = size(plane)
             pos, n = _row([(depth, align)], w)
             n = _up(n, row_align)
             for t in range(cols * rows):
-                put(plane, t % cols, t // cols, to_8_bits(source.bits(8 * (at + n * np.arange(h))[:, None] + pos[:, 0], depth), depth))
+                put(plane, t % cols, t // cols, fit(source.bits(8 * (at + n * np.arange(h))[:, None] + pos[:, 0], depth), depth))
                 at += _up(n * h, tile_align)
     else:
         for t in range(cols * rows):
@@ -156,14 +161,14 @@ def decode(uncc: dict, cmpc: dict | None, types: list[int] | None, icef: list[di
                 pos, n = _row(list(zip(depths, aligns, strict=True)), tw, uncc["pixel_size"])
                 n = _up(n, row_align)
                 for i, (plane, depth) in enumerate(zip(planes, depths, strict=True)):
-                    put(plane, tx, ty, to_8_bits(source.bits(8 * (at + n * np.arange(th))[:, None] + pos[:, i], depth), depth))
+                    put(plane, tx, ty, fit(source.bits(8 * (at + n * np.arange(th))[:, None] + pos[:, i], depth), depth))
                 at += n * th
             elif layout == ROW:
                 each = [_row([c], tw) for c in zip(depths, aligns, strict=True)]
                 sizes = [_up(n, row_align) for _, n in each]
                 for i, (plane, depth) in enumerate(zip(planes, depths, strict=True)):
                     first = at + sum(sizes[:i])
-                    put(plane, tx, ty, to_8_bits(source.bits(8 * (first + sum(sizes) * np.arange(th))[:, None] + each[i][0][:, 0], depth), depth))
+                    put(plane, tx, ty, fit(source.bits(8 * (first + sum(sizes) * np.arange(th))[:, None] + each[i][0][:, 0], depth), depth))
                 at += sum(sizes) * th
             else:
                 paired = False
@@ -175,25 +180,25 @@ def decode(uncc: dict, cmpc: dict | None, types: list[int] | None, icef: list[di
                         paired = True
                         pos, n = _row([(depth, 0), (depth, 0)], w)
                         for k, p in enumerate((plane, 3 - plane)):
-                            put(p, tx, ty, to_8_bits(source.bits(8 * (at + n * np.arange(h))[:, None] + pos[:, k], depth), depth))
+                            put(p, tx, ty, fit(source.bits(8 * (at + n * np.arange(h))[:, None] + pos[:, k], depth), depth))
                     else:
                         pos, n = _row([(depth, align)], w)
                         n = _up(n, row_align)
-                        put(plane, tx, ty, to_8_bits(source.bits(8 * (at + n * np.arange(h))[:, None] + pos[:, 0], depth), depth))
+                        put(plane, tx, ty, fit(source.bits(8 * (at + n * np.arange(h))[:, None] + pos[:, 0], depth), depth))
                     at += n * h
             at = begin + _up(at - begin, tile_align)
     rgb, yuv = any(4 <= k <= 6 for k in kinds), any(1 <= k <= 3 for k in kinds)
     if not rgb and not yuv and len(parts) == 1:
-        out[1][...] = out[2][...] = 128
-    return Frame(*out, chroma={0: 3, 1: 2, 2: 1}[sampling], matrix=6 if not rgb and (yuv or len(parts) == 1) else 0, primaries=1, transfer=13)
+        out[1][...] = out[2][...] = 1 << bits - 1
+    return Frame(*out, depth=bits, chroma_depth=bits, chroma={0: 3, 1: 2, 2: 1}[sampling], matrix=6 if not rgb and (yuv or len(parts) == 1) else 0, primaries=1, transfer=13)
 
 
-def _blocks(uncc: dict, planes: list, depths: list[int], source: _Gather, put, cols: int, rows: int, tw: int, th: int) -> None:
+def _blocks(uncc: dict, planes: list, depths: list[int], source: _Gather, put, cols: int, rows: int, tw: int, th: int, fit=to_8_bits) -> None:
     """Layouts of whole blocks, one for each sample or each pixel."""
     block, pixel, row_align, tile_align, little = uncc["block_size"], uncc["pixel_size"], uncc["row_align"], uncc["tile_align"], uncc["block_le"]
     if block > 8 or uncc["sampling"] or uncc["components_le"]:
         raise Unsupported("this block layout is unsupported")
-    cut = lambda word, shift, depth: to_8_bits((word >> np.uint64(shift) & np.uint64((1 << depth) - 1)).astype(np.int64), depth)
+    cut = lambda word, shift, depth: fit((word >> np.uint64(shift) & np.uint64((1 << depth) - 1)).astype(np.int64), depth)
     at = 0
     if uncc["interleave"] == PLANAR:
         if any(not 4 * block < d <= 8 * block for d in depths):

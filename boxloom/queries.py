@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import colour
 from boxloom.operators import metrics
-from boxloom.operators.decode import pictures, pixels
+from boxloom.operators.decode import at_stride, needed_bytes, pictures, pixels, planes
 from boxloom.plans import derived, streams
 from boxloom.plans import items as it
 from boxloom.plans.sequences import Sequences, lookup, rescale
@@ -560,8 +560,9 @@ def image_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
         return w.unci_file(w.pack_samples(planes, [8] * 3, 0), 4, 4, w.uncc([8] * 3, 0), (4, 5, 6))
 
     p = pictures(Container(written(table(spark, sf_dir, "part").select("p_partkey"), make)))
-    other = p.withColumn("file_id", F.col("file_id") - 1)
-    return metrics.picture_difference(p, other, ["file_id"]).select("file_id", "n", "sse", "max_diff", "n_diff", "mse")
+    pairs = F.array(*[F.struct((F.col("file_id") - n).alias("pair"), F.lit(n).alias("side")) for n in (0, 1)])
+    met = metrics.paired(p, pairs, ["width", "height", "format", "data"], "file_id")
+    return metrics.differences(met, "file_id").select("file_id", "n", "sse", "max_diff", "n_diff", "mse")
 
 
 IMAGE_DIFFERENCE = """WITH p AS (SELECT p_partkey AS k, x, y, ch, (p_partkey * (ch + 1) + x * 12 + y * 3) % 256 AS v """ + _GRID.format(w=4, h=4, c=3) + """)
@@ -569,6 +570,76 @@ SELECT a.k AS file_id, count(*) AS n, sum((a.v - b.v) * (a.v - b.v))::BIGINT AS
 FROM p a JOIN p b ON b.k = a.k + 1 AND a.x = b.x AND a.y = b.y AND a.ch = b.ch GROUP BY a.k"""
 
 
+def _planes_file(key: int, changed: bool) -> bytes:
+    """4 x 4 pictures: 8 bits with chroma of half size, or 10 bits; changed ones differ in a luma sample of every third and a chroma sample
+    of every fifth."""
+    depth, small = (10, 4) if key % 2 else (8, 2)
+    planes = [[[(key * (c + 3) + x * 90 + y * 25 + c * 40) % (1 << depth) for x in range(n)] for y in range(n)] for c, n in enumerate((4, small, small))]
+    planes[0][1][2] ^= changed and key % 3 == 0
+    planes[1][0][1] ^= 3 * (changed and key % 5 == 0)
+    data = w.pack_samples(planes, [10] * 3, 0) if key % 2 else bytes(v for p in planes for row in p for v in row)
+    return w.unci_file(data, 4, 4, w.uncc([depth] * 3, 0, sampling=0 if key % 2 else 2), (1, 2, 3))
+
+
+def native_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes at the depth of their samples, with their digests, against those of changed copies."""
+    of = lambda changed: planes(Container(written(table(spark, sf_dir, "part").select("p_partkey"), lambda key: _planes_file(key, changed)))).where("error is null")
+    left = of(False)
+    digests = left.select("file_id", F.explode("planes").alias("p")).select("file_id", F.col("p.name").alias("plane"), F.md5("p.data").alias("md5"))
+    return metrics.plane_differences(left, of(True), ["file_id"]).join(digests, ["file_id", "plane"]).select("file_id", "plane", "depth", "n", "sse", "max_diff", "md5_equal", "md5")
+
+
+NATIVE_PLANES = """WITH s AS (SELECT p_partkey AS k, c, ['y', 'cb', 'cr'][c + 1] AS plane, p_partkey % 2 = 1 AS deep, x, y, (p_partkey * (c + 3) + x * 90 + y * 25 + c * 40) % CASE WHEN p_partkey % 2 = 1 THEN 1024 ELSE 256 END AS v
+FROM part, (SELECT unnest(range(3)) AS c), (SELECT unnest(range(4)) AS x), (SELECT unnest(range(4)) AS y) WHERE c = 0 OR p_partkey % 2 = 1 OR x < 2 AND y < 2),
+d AS (SELECT *, CASE WHEN c = 0 AND x = 2 AND y = 1 AND k % 3 = 0 THEN 1 WHEN c = 1 AND x = 1 AND y = 0 AND k % 5 = 0 THEN abs(xor(v, 3) - v) ELSE 0 END AS diff FROM s)
+SELECT k AS file_id, plane, any_value(CASE WHEN deep THEN 10 ELSE 8 END)::INT AS depth, count(*) AS n, sum(diff * diff)::BIGINT AS sse, max(diff)::BIGINT AS max_diff, max(diff) = 0 AS md5_equal,
+md5(unhex(string_agg(printf('%02X', (v % 256)::INT) || CASE WHEN deep THEN printf('%02X', (v // 256)::INT) ELSE '' END, '' ORDER BY y, x))) AS md5 FROM d GROUP BY k, plane"""
+
+
+def strided_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures with rows at a stride of the caller's, which may be too small."""
+
+    def make(key: int) -> bytes:
+        width = key % 3 + 2
+        values = [[[(key * 7 + c * 50 + x * 40 + y * 10) % 256 for x in range(width)] for y in range(3)] for c in range(3)]
+        return w.unci_file(w.pack_samples(values, [8] * 3, 1), width, 3, w.uncc([8] * 3, 1), (4, 5, 6))
+
+    stride = F.col("file_id") % 9 + 6
+    out = at_stride(pictures(Container(written(table(spark, sf_dir, "part").select("p_partkey"), make))), stride)
+    return out.select("file_id", "stride", needed_bytes(F.col("width"), F.col("height"), F.col("format"), stride).alias("needed"), F.length("data").cast("long").alias("n_bytes"), F.md5("data").alias("md5"), "error")
+
+
+STRIDED_PICTURES = """WITH p AS (SELECT p_partkey AS k, p_partkey % 3 + 2 AS w, p_partkey % 9 + 6 AS stride FROM part),
+v AS (SELECT k, y, string_agg(printf('%02X', ((k * 7 + ch * 50 + x * 40 + y * 10) % 256)::INT), '' ORDER BY x, ch) AS line FROM p, (SELECT unnest(range(4)) AS x), (SELECT unnest(range(3)) AS y), (SELECT unnest(range(3)) AS ch) WHERE x < w GROUP BY k, y)
+SELECT p.k AS file_id, CASE WHEN stride >= 3 * w THEN stride END::INT AS stride, CASE WHEN stride >= 3 * w THEN 2 * stride + 3 * w END::BIGINT AS needed, CASE WHEN stride >= 3 * w THEN 2 * stride + 3 * w END::BIGINT AS n_bytes,
+CASE WHEN stride >= 3 * any_value(w) THEN md5(unhex(string_agg(CASE WHEN y < 2 THEN line || repeat('00', (stride - 3 * w)::INT) ELSE line END, '' ORDER BY y))) END AS md5, CASE WHEN stride < 3 * w THEN 'the stride is too small' END AS error FROM p JOIN v ON v.k = p.k GROUP BY p.k, p.w, p.stride"""
+
+
+def thumb_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of pictures against expected ones, of which a byte is off, or the width."""
+
+    def make(key: int) -> bytes:
+        plane = [[(key * 11 + x * x + 5 * y) % 256 for x in range(20)] for y in range(18)]
+        return w.unci_file(w.pack_samples([plane], [8], 0), 20, 18, w.uncc([8]), (0,))
+
+    ours = metrics.thumbs(pictures(Container(written(table(spark, sf_dir, "supplier").select("s_suppkey"), make))))
+    first = F.conv(F.hex(F.substring("means", 1, 1)), 16, 10).cast("int")
+    moved = F.unhex(F.lpad(F.hex((first + F.col("file_id") % 60) % 256), 2, "0"))
+    expected = ours.select("file_id", F.when(F.col("file_id") % 7 == 0, 21).otherwise(F.col("width")).alias("width"), "height", F.concat(moved, F.expr("substring(means, 2)")).alias("means"))
+    return metrics.thumb_verdict(ours, expected, ["file_id"], gate=1.0).select("file_id", "ok", F.round("mse", 6).alias("mse"), "max_diff", "detail")
+
+
+THUMB_VERDICTS = """WITH s AS (SELECT s_suppkey AS k, (s_suppkey * 11 % 256)::INT AS v FROM supplier), d AS (SELECT *, abs((v + k % 60) % 256 - v)::INT AS d, k % 7 = 0 AS wide FROM s)
+SELECT k AS file_id, NOT wide AND d * d / 768.0 <= 1 AS ok, CASE WHEN NOT wide THEN round(d * d / 768.0, 6) END::DOUBLE AS mse, CASE WHEN NOT wide THEN d END::INT AS max_diff, CASE WHEN wide THEN 'size 20x18 != 21x18' END AS detail FROM d"""
+
+
+def best_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.best_time(table(spark, sf_dir, "lineitem").withColumn("ms", F.col("l_quantity") + F.col("l_linenumber")), "l_orderkey", "ms")
+
+
+BEST_TIMES = "SELECT l_orderkey, min(l_quantity + l_linenumber) AS best_ms FROM lineitem GROUP BY l_orderkey"
+
+
 def picture_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and digest of pictures as files, and the hash of the samples of their middle channel."""
 
@@ -591,8 +662,10 @@ def box_means(spark: SparkSession, sf_dir: str) -> DataFrame:
         plane = [[(key * 11 + x * x + 5 * y) % 256 for x in range(20)] for y in range(18)]
         return w.unci_file(w.pack_samples([plane], [8], 0), 20, 18, w.uncc([8]), (0,))
 
-    p = pixels(pictures(Container(written(table(spark, sf_dir, "supplier").select("s_suppkey"), make)))).where("ch = 0")
-    return metrics.box_means(p, ["file_id"]).select("file_id", "cx", "cy", "v")
+    means = metrics.thumbs(pictures(Container(written(table(spark, sf_dir, "supplier").select("s_suppkey"), make))))
+    each = means.select("file_id", "means", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
+    v = F.conv(F.hex(F.substring("means", F.col("i") * 3 + 1, F.lit(1))), 16, 10).cast("int")
+    return each.select("file_id", (F.col("i") % 16).alias("cx"), F.floor(F.col("i") / 16).cast("int").alias("cy"), v.alias("v"))
 
 
 BOX_MEANS = """WITH p AS (SELECT s_suppkey AS k, x, y, (s_suppkey * 11 + x * x + 5 * y) % 256 AS v FROM supplier, (SELECT unnest(range(20)) AS x), (SELECT unnest(range(18)) AS y)), t AS (SELECT unnest(range(16)) AS t)
@@ -689,7 +762,7 @@ ALL = (
     (file_kind, FILE_KIND), (box_scan, BOX_SCAN), (order_items, ORDER_ITEMS), (image_info, IMAGE_INFO), (metadata, METADATA), (heif_source, HEIF_SOURCE), (references, REFERENCES), (compact_images, COMPACT_IMAGES),
     (sequence_samples, SEQUENCE_SAMPLES), (sample_lookup, SAMPLE_LOOKUP), (sequence_frames, SEQUENCE_FRAMES), (sequence_info, SEQUENCE_INFO), (movie_info, MOVIE_INFO), (movie_items, MOVIE_ITEMS), (decode_order, DECODE_ORDER), (grid_region, GRID_REGION), (box_scan_sql, BOX_SCAN), (limited_pictures, LIMITED_PICTURES), (sequence_roles, SEQUENCE_ROLES),
     (unci_pixels, UNCI_PIXELS), (packed_pixels, PACKED_PIXELS), (chroma_pixels, CHROMA_PIXELS), (role_pixels, ROLE_PIXELS), (turned_pixels, TURNED_PIXELS), (alpha_pixels, ALPHA_PIXELS), (overlay_pixels, OVERLAY_PIXELS), (unsupported_pictures, UNSUPPORTED_PICTURES),
-    (image_difference, IMAGE_DIFFERENCE), (picture_hashes, PICTURE_HASHES), (box_means, BOX_MEANS), (annexb_units, ANNEXB_UNITS), (coded_streams, CODED_STREAMS), (expr_ycc_rgb, EXPR_YCC_RGB), (expr_samples, EXPR_SAMPLES), (corpus_pick, CORPUS_PICK), (bench_summary, BENCH_SUMMARY), (verdicts, VERDICTS),
+    (image_difference, IMAGE_DIFFERENCE), (native_planes, NATIVE_PLANES), (strided_pictures, STRIDED_PICTURES), (thumb_verdicts, THUMB_VERDICTS), (best_times, BEST_TIMES), (picture_hashes, PICTURE_HASHES), (box_means, BOX_MEANS), (annexb_units, ANNEXB_UNITS), (coded_streams, CODED_STREAMS), (expr_ycc_rgb, EXPR_YCC_RGB), (expr_samples, EXPR_SAMPLES), (corpus_pick, CORPUS_PICK), (bench_summary, BENCH_SUMMARY), (verdicts, VERDICTS),
 )
 QUERIES = {f.__name__: shipped(f) for f, _ in ALL}
 ORACLE_SQL = {f.__name__: sql for f, sql in ALL}
