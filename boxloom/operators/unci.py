@@ -19,7 +19,7 @@ class Unsupported(ValueError):
     pass
 
 
-def unpacked(kind: str, units: list[dict] | None, data: bytes, most: int) -> bytes:
+def unpacked(kind: str, units: list[dict] | None, data: bytes, most: int = 1 << 30) -> bytes:
     """The payload behind its compression, unit by unit where there are several; no more than `most` bytes come out, whatever is packed."""
     windows = {"zlib": zlib.MAX_WBITS, "defl": -zlib.MAX_WBITS}
     if kind not in windows:
