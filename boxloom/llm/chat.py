@@ -15,7 +15,9 @@ The text of assistant turns is under the loss mask: spans of the rendered text,
 
 A conversation comes out as segments in order, each of whole turns and about `segment` characters, so that one with very many turns
 is never held at once; their concatenation is the formatted conversation. Turns stand in the order of turn, then role, then text,
-nulls first. Null roles and texts are empty; a null conv_id is a conversation of its own; a turn number may repeat."""
+nulls first. Null roles and texts are empty; a null conv_id is a conversation of its own; a turn number may repeat, and so may whole rows,
+all of which are kept. A turn is never cut, so a very long text makes a segment of its own. Empty tables give empty tables. Only conv_id,
+turn, role and text are read, so further columns may have any names."""
 
 from __future__ import annotations
 
