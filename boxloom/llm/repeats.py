@@ -14,8 +14,11 @@ A byte goes if a string of `length` bytes that covers it also starts earlier: in
 4. Spans. Repeated windows become spans of each text, and the rest of the text is kept.
 
 Each anchor's number of places is joined to them; the few anchors with more places than a task should hold, at most one for each task,
-are broadcast instead. Anchors with over `block` contexts (a line that a third of all documents share, say) are dealt in pairs of
-blocks: each window meets each other in one of them, and no task holds more than two blocks.
+are broadcast instead. Of an anchor with over `block` contexts (a line that a third of all documents share, say) equal contexts come
+first: each task that reads texts sends only the oldest of each, these meet by their hash, and one passes over them in the order of age, so
+that a context of any number of copies leaves one. If more than `block` different ones are left, their windows are dealt one by one, by
+the hash of their bytes, in the same way. So the work is linear in such an anchor: no two contexts are compared that have no window in
+common, but in a group of at most `block`.
 
 Null texts are empty; texts under `length` bytes lose nothing but may not be longer than 2 GB. A null doc_id comes before all others.
 Rows of one id are told apart by the hash of their texts, in whose order they stand; rows equal in both are one document. Empty tables
@@ -32,7 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import BASE, BASE_INV, byte_codes, discard, mix64, parallelism, powers, release, staged, utf8
-from boxloom.llm.neardup import in_blocks
 
 _CODES = byte_codes(11)
 _tables: dict[str, np.ndarray] = {}
@@ -267,6 +269,48 @@ def pieces(groups: np.ndarray, context: pa.ChunkedArray, most: int) -> list[tupl
     return out
 
 
+class Oldest:
+    """The least place (doc, part, first) of each context, while they take no more than `most` bytes."""
+
+    COLUMNS = "h long, doc long, part long, first int, anchor int, context binary, size int"
+    NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+
+    def __init__(self, most: int = 32 << 20):
+        self.most, self.load, self.held, self.spans = most, 0, {}, []
+
+    def add(self, h: int, anchor: int, context: bytes, size: int, place: tuple[int, int, int]) -> None:
+        key, n = (h, anchor, context, size), len(self.held)
+        old = self.held.setdefault(key, place)
+        if place < old:
+            self.held[key] = place
+        if len(self.held) > n:
+            self.load += len(context) + 300
+        elif old != place:  # the younger one is a repeat
+            self.spans.append((*max(old, place), len(context)))
+
+    def full(self) -> bool:
+        return self.load > self.most or len(self.spans) > 100_000
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """The oldest ones, and a row without a context for each repeat."""
+        rows = [(h, *place, anchor, context, size) for (h, anchor, context, size), place in self.held.items()]
+        rows += [(hash(x) & 0x7FFFFFFFFFFFFFFF, *x[:3], x[2] + x[3], None, 1) for x in self.spans]
+        self.load, self.held, self.spans = 0, {}, []
+        for at in range(0, len(rows), 10_000):
+            cols = zip(*rows[at : at + 10_000], strict=True)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=Oldest.NAMES)
+
+
+def with_size(rows: DataFrame) -> DataFrame:
+    """Adds how many rows have the same h, to those that share it with others.
+
+    Of n rows in p parts at the most p keys have over n / p rows: these few are sent to their rows, which would else meet in one task."""
+    sizes = staged(rows.groupBy("h").agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("size")).where("size > 1"), "sizes")
+    often = F.broadcast(sizes.where(F.col("size") > rows.count() // parallelism(rows.sparkSession)))
+    return rows.join(often, "h", "left_anti").join(sizes, "h").unionByName(rows.join(often, "h"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: int = 32_768, windows: int = 8_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept binary) of each row."""
     spark = docs.sparkSession
@@ -281,18 +325,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: in
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc[i:j][text]), pa.array(part[i:j][text]), pa.array((q - start[text]).astype(np.int32))], names=["h", "doc", "part", "pos"])
 
     found = staged(docs.select("doc", "part", "text").mapInArrow(find, "h long, doc long, part long, pos int"), "anchors")
-    again = staged(found.groupBy("h").agg(F.count("*").cast("int").alias("size")).where("size > 1"), "again")
-    # of n keys in p parts at the most p have over n / p rows: these few are sent to their rows, which would else meet in one task
-    often = F.broadcast(again.where(F.col("size") > found.count() // parallelism(spark)))
-    sized = found.join(often, "h", "left_anti").join(again, "h").unionByName(found.join(often, "h"))
-    places = staged(sized.groupBy("doc", "part").agg(F.collect_list(F.struct("pos", "size")).alias("at")), "places")
+    places = staged(with_size(found).groupBy("doc", "part").agg(F.collect_list(F.struct("pos", "size")).alias("at")), "places")
     discard(found)
-    discard(again)
 
     # a row without a context is a span that is known to repeat already; its anchor column holds where it ends
-    names = ["h", "doc", "part", "first", "anchor", "context", "size"]
+    names = Oldest.NAMES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        oldest = Oldest()
         for b in batches:
             doc, part, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
             for i, j, data, start in arenas(utf8(b.column(2))):
@@ -317,44 +357,90 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: in
                     spread = mix64(h[use][s].view(np.uint64) + s.astype(np.uint64)).view(np.int64)
                     none = pa.nulls(len(s), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(d[s]), pa.array(p[s]), pa.array((a[s] - start[text[s]]).astype(np.int32)), pa.array((z[e] - start[text[s]]).astype(np.int32)), none, pa.array(np.ones(len(s), np.int32))], names=names)
-                keep = np.flatnonzero(~twin)
+                hot = size[at[use]] > block
+                for k in np.flatnonzero(~twin & hot).tolist():
+                    oldest.add(int(h[use[k]]), int(q[use[k]] - a[k]), raw[a[k] : z[k]], int(size[at[use[k]]]), (int(d[k]), int(p[k]), int(a[k] - start[text[k]])))
+                if oldest.full():
+                    yield from oldest.flush()
+                keep = np.flatnonzero(~twin & ~hot)
                 ends = np.cumsum((z - a)[keep])
                 body = b"".join([raw[x:y] for x, y in zip(a[keep].tolist(), z[keep].tolist(), strict=True)])
                 contexts = pa.BinaryArray.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(body)])
                 yield pa.RecordBatch.from_arrays([pa.array(h[use][keep]), pa.array(d[keep]), pa.array(p[keep]), pa.array((a - start[text])[keep].astype(np.int32)), pa.array((q[use] - a)[keep].astype(np.int32)), contexts, pa.array(size[at[use]][keep])], names=names)
 
-    contexts = docs.join(places, ["doc", "part"]).select("doc", "part", "text", "at").mapInArrow(cut, "h long, doc long, part long, first int, anchor int, context binary, size int")
-    dealt = in_blocks(contexts.withColumn("_m", F.xxhash64("doc", "part", "first")), "h", "size", "_m", block).select("h", "b1", "b2", "doc", "part", "first", "anchor", "context")
+        yield from oldest.flush()
+
+    contexts = docs.join(places, ["doc", "part"]).select("doc", "part", "text", "at").mapInArrow(cut, Oldest.COLUMNS)
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        oldest = Oldest()
+        for b in batches:
+            for doc, part, first, context in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                for k in range(len(context) - length + 1):
+                    oldest.add(0, 0, context[k : k + length], block + 1, (doc, part, first + k))
+                if oldest.full():
+                    yield from oldest.flush()
+        yield from oldest.flush()
+
+    # what `sort` gives: spans that repeat, and with a context the oldest of equal contexts of anchors that have over `block`
+    told = ["h", "doc", "part", "begin", "end", "anchor", "context"]
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         load = 0
+        of, seen = None, {}
+
+        def spans(doc: pa.Array, part: pa.Array, begin: pa.Array, end: pa.Array) -> pa.RecordBatch:
+            n = len(doc)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), doc, part, begin, end, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=told)
+
+        def collapse(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            """Rows in the order of hash and age: the first of equal contexts stays, the others are spans."""
+            nonlocal of, seen
+            stay, gone = [], []
+            for i, (h, ck, doc, part, first, anchor, context) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6, 7)), strict=True)):
+                if of != (h, ck):
+                    of, seen = (h, ck), {}
+                old = seen.setdefault((anchor, context), (i, doc, part, first))
+                if old == (i, doc, part, first):
+                    stay.append(i)
+                elif old[1:] != (doc, part, first):
+                    gone.append((doc, part, first, first + len(context)))
+            seen = {k: (-1, *x[1:]) for k, x in seen.items()}  # numbers of rows begin again with the next batch
+            if gone:
+                yield spans(*(pa.array(c, k) for c, k in zip(zip(*gone, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)))
+            rest = b.take(pa.array(stay, pa.int64()))
+            end = pc.add(rest.column(5), pc.binary_length(rest.column(7)))
+            yield pa.RecordBatch.from_arrays([rest.column(0), rest.column(3), rest.column(4), rest.column(5), end, rest.column(6), rest.column(7)], names=told)
 
         def solve(rows: pa.Table) -> pa.RecordBatch:
-            h, b1, b2, doc, part, first, anchor = (rows.column(k).to_numpy() for k in range(7))
+            h, doc, part, first, anchor = (rows.column(k).to_numpy() for k in (0, 3, 4, 5, 6))
             text = rows.column(7).combine_chunks()
             text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
             ends = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, 4 * text.offset).astype(np.int64)
             data = np.frombuffer(text.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0])
             moved = lambda *cs: np.any([np.diff(c, prepend=c[:1]) != 0 for c in cs], axis=0)
-            other = moved(h, b1, b2)
+            other = moved(h)
             group, age = np.cumsum(other), np.cumsum(other | moved(doc, part, first))
             i, a, z = repeats(data, np.diff(ends), anchor.astype(np.int64), group, age, length)
-            return pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(part[i]), pa.array((first[i] + a).astype(np.int32)), pa.array((first[i] + z + length).astype(np.int32))], names=["doc", "part", "begin", "end"])
+            return spans(pa.array(doc[i]), pa.array(part[i]), pa.array((first[i] + a).astype(np.int32)), pa.array((first[i] + z + length).astype(np.int32)))
 
         for b in batches:
             known = pc.is_null(b.column(7))
             if known.true_count:
-                spans = b.filter(known)
-                yield pa.RecordBatch.from_arrays([spans.column(k) for k in (3, 4, 5, 6)], names=["doc", "part", "begin", "end"])
+                old = b.filter(known)
+                yield spans(*(old.column(k) for k in (3, 4, 5, 6)))
                 b = b.filter(pc.invert(known))
+            hot = b.column(8)
+            if hot.true_count:
+                yield from collapse(b.filter(hot))
+                b = b.filter(pc.invert(hot))
             held.append(b)
             load += b.column(7).nbytes
             if load < windows:
                 continue
             rows = pa.Table.from_batches(held)
-            h, b1, b2 = (rows.column(k).to_numpy() for k in range(3))
-            cut_at = np.flatnonzero((np.diff(h) != 0) | (np.diff(b1) != 0) | (np.diff(b2) != 0)) + 1
+            cut_at = np.flatnonzero(np.diff(rows.column(0).to_numpy()) != 0) + 1
             if len(cut_at):  # whole groups; the last may go on
                 for s, e in pieces(np.append(0, cut_at), rows.column(7), windows):
                     yield solve(rows.slice(s, e - s))
@@ -363,9 +449,24 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = 32, block: in
         if held and (rows := pa.Table.from_batches(held)).num_rows:
             yield solve(rows)
 
-    ordered = dealt.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2", "doc", "part", "first")
-    spans = ordered.mapInArrow(sort, "doc long, part long, begin int, end int").groupBy("doc", "part").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    spans = staged(spans, "spans")
+    def sorted_out(rows: DataFrame, name: str) -> DataFrame:
+        hot = F.col("context").isNotNull() & (F.col("size") > block)
+        dealt = rows.withColumn("hot", hot).withColumn("ck", F.when(hot, F.xxhash64("anchor", "context")).otherwise(0))
+        dealt = dealt.withColumn("b", F.pmod("ck", F.ceil(F.col("size") / F.lit(block)).cast("long"))).select("h", "b", "ck", "doc", "part", "first", "anchor", "context", "hot")
+        ordered = dealt.repartition("h", "b").sortWithinPartitions("h", "b", "ck", "doc", "part", "first")
+        return staged(ordered.mapInArrow(sort, "h long, doc long, part long, begin int, end int, anchor int, context binary"), name)
+
+    most = sorted_out(contexts, "sorted")
+    discard(places)
+    # different contexts of hot anchors: few of an anchor are sorted now, of many each window meets its equals
+    left = with_size(most.where("context is not null").select("h", "doc", "part", F.col("begin").alias("first"), "anchor", "context"))
+    single = left.where(F.col("size") > block).select("doc", "part", "first", "context").mapInArrow(windows_of, Oldest.COLUMNS)
+    single = single.withColumn("h", F.when(F.col("context").isNull(), F.col("h")).otherwise(F.xxhash64("context")))
+    more = sorted_out(left.where(F.col("size") <= block).select(*Oldest.NAMES).unionByName(single), "windows")
+    repeated = most.where("context is null").unionByName(more.where("context is null"))
+    spans = staged(repeated.groupBy("doc", "part").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    discard(most)
+    discard(more)
     release(spark)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

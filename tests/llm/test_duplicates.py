@@ -125,6 +125,27 @@ def test_repeats(spark, block, windows):
         assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))] == want[r.doc_id], r.doc_id
 
 
+def test_an_anchor_of_many_copies_and_many_neighbours(spark):
+    """A line that a third of the rows share, among different texts, and rows that are copies: more places than a block holds."""
+    line, r = prose(77, 18), random.Random(6)
+    rows = [(i, f"{prose(1000 + i, 20)} {line} {prose(2000 + i, 20)}" if i % 3 == 0 else prose(3000, 40) if i % 3 == 1 else f"{line} {prose(4000 + i % 5, 9)}", "en", "a", 1) for i in range(90)]
+    r.shuffle(rows)
+    want = brute_repeats(sorted((x[0], x[1]) for x in rows), 100)
+    for block in (7, 40):
+        got = repeats.remove_repeats(documents(spark, rows).repartition(5), block=block).collect()
+        assert {x.doc_id: [(x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept))] for x in got} == want
+
+
+def test_the_oldest_of_each_context_stays():
+    o = repeats.Oldest()
+    for place in [(3, 0, 5), (1, 0, 9), (2, 0, 0), (1, 0, 9)]:
+        o.add(7, 2, b"abc", 50, place)
+    o.add(7, 1, b"abc", 50, (0, 0, 0))  # another distance from the anchor
+    rows = [tuple(x.values()) for b in o.flush() for x in b.to_pylist()]
+    assert [x for x in rows if x[5]] == [(7, 1, 0, 9, 2, b"abc", 50), (7, 0, 0, 0, 1, b"abc", 50)]
+    assert sorted(x[1:5] for x in rows if not x[5]) == [(2, 0, 0, 3), (3, 0, 5, 8)] and not list(o.flush())
+
+
 def test_repeats_of_rows_that_tie(spark):
     text = prose(9, 60)
     rows = [(1, text, "", "", 0), (1, text, "", "", 0), (None, text, "", "", 0), (2, text, "", "", 0)]
