@@ -7,13 +7,15 @@ most (|q|^2 + N^2 - that distance^2) / 2, N being the largest norm there, and at
 of these bounds: first those that hold k candidates, which gives each query a k-th score; then all whose bound reaches that score.
 The search stops there: no other annulus can hold a better vector. Scores are exact integers.
 
-An annulus of over `block` vectors (many copies of one vector, say) is searched in blocks. What tasks hold is one block and some
-queries; what the driver holds is the sample and one row for each annulus.
+Annuli that follow one another are packed into bins of about `block` vectors (fewer, if there would be fewer than four bins for each task;
+of at most `weight` bytes); one of more vectors (many copies of one vector, say) has several bins to itself. A query goes to a bin once, with the list
+of its annuli there, so its vector is copied once for each bin, not for each annulus. What a task holds is one bin and some queries; it sends
+the k best of the bin. What the driver holds is the sample and one row for each annulus.
 
 Vectors that are null or empty or hold null or non-finite components take no part, nor do those without an id or of another length
 than most of the sample. Rows of one id count as one: a query never meets its own id, of several rows of its id that of the least bytes
-is the query, and an id that is met has the score of its best row and one place. Ties go to the smaller id. Scores beyond 64 bits are cut
-to the largest. Long vectors are compared whole. Empty tables give empty tables. Only the columns named are read, so others may have any
+is the query, and an id that is met has the score of its best row and one place. Ties go to the smaller id. Scores beyond 2 ** 63 - 1
+of either sign are cut to it. Long vectors are compared whole. Empty tables give empty tables. Only the columns named are read, so others may have any
 names."""
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import discard, release, staged
+from boxloom.llm.common import discard, parallelism, release, staged
 
 
+#: Below all scores.
 LOWEST = -(2**63)
 
 
@@ -75,16 +78,32 @@ def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k, np.sqrt(((x - pivots[k]) ** 2).sum(axis=1))
 
 
+def bins(many: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, count): the bins of each annulus. Neighbours share one while they have no more than `size` vectors together; an annulus of
+    more has several to itself."""
+    first, count = np.zeros(len(many), int), np.ceil(many / size).astype(int)
+    at, load = 0, 0
+    for c, n in enumerate(many.tolist()):
+        if load and load + n > size:
+            at, load = at + 1, 0
+        first[c] = at
+        if count[c] > 1:
+            at, load = at + int(count[c]), 0
+        else:
+            load += n
+    return first, count
+
+
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Inner products of integer vectors, exact; int64."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
     if most < 2**53:
         return (q @ v.T).astype(np.int64)
     big = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in v], object).T
-    return np.array([[min(max(x, -(2**63)), 2**63 - 1) for x in r] for r in big], np.int64)
+    return np.array([[min(max(x, LOWEST + 1), 2**63 - 1) for x in r] for r in big], np.int64)
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, pivots: int = 64, rings: int = 8, sample: int = 4096, block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, pivots: int = 64, rings: int = 8, sample: int = 4096, block: int = 65_536, weight: int = 64 << 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which is_query holds, the k other rows of the largest inner products."""
     vectors = staged(integer_vectors(rows, scale, key, vector).distinct(), "vectors")
     seen = [np.frombuffer(r.v, "<f8") for r in vectors.orderBy(F.xxhash64("id"), "id", "v").limit(sample).collect()]
@@ -104,8 +123,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
     # a row for each annulus: pivots times rings at most
     cells = sorted(tuple(c) for c in index.groupBy("cell").agg(F.count("*"), F.min("r"), F.max("r"), F.max("norm")).collect())
     no, many, low, high, norm = (np.array([c[i] for c in cells], np.float64) for i in range(5))
-    no, blocks = no.astype(int), np.ceil(many / block).astype(int)
-    shares = {int(c): int(n) for c, n in zip(no, blocks, strict=True)}
+    no = no.astype(int)
+    first_bin, blocks = bins(many, max(1, min(block, weight // (8 * dim), int(np.ceil(many.sum() / (4 * parallelism(rows.sparkSession)))))))
     queries = staged(index.where(is_query).groupBy("id").agg(F.min("v").alias("v")), "queries")
 
     def bounds(q: np.ndarray) -> np.ndarray:
@@ -133,55 +152,85 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0,
                     i, c = np.nonzero(go)
                     each = blocks[c]
                     i, c = np.repeat(i, each), np.repeat(c, each)
-                    block_no = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
-                    yield pa.RecordBatch.from_arrays([pa.array(no[c], pa.int32()), pa.array(block_no, pa.int32()), pa.array(np.ones(len(i), np.int32)), pa.array([ids[j] for j in i], pa.int64()), pa.array([vs[j] for j in i], pa.binary()), part.column(2).take(pa.array(i))], names=["cell", "block", "kind", "id", "v", "least"])
+                    at_bin = first_bin[c] + np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
+                    new = np.flatnonzero((np.diff(i, prepend=-1) != 0) | (np.diff(at_bin, prepend=-1) != 0))
+                    cells_ = pa.ListArray.from_arrays(pa.array(np.append(new, len(i)), pa.int32()), pa.array(no[c], pa.int32()))
+                    i = i[new]
+                    yield pa.RecordBatch.from_arrays([pa.array(at_bin[new], pa.int32()), pa.array(np.ones(len(i), np.int32)), cells_, pa.array([ids[j] for j in i], pa.int64()), pa.array([vs[j] for j in i], pa.binary()), part.column(2).take(pa.array(i))], names=["bin", "kind", "cells", "id", "v", "least"])
 
         return run
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, ids, held, x, first = None, [], [], None, None
+        of, held, x = None, [], None
         for b in batches:
-            cell, part, kind, key_, v, bars = (b.column(i) for i in range(6))
-            bars = bars.to_numpy()
-            cell, part, kind = (c.to_numpy() for c in (cell, part, kind))
-            edge = np.flatnonzero(np.diff(cell, prepend=-1) | np.diff(part, prepend=-1) | np.diff(kind, prepend=-1)).tolist()
+            bin_, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edge = np.flatnonzero((np.diff(bin_, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0)).tolist()
             for s, e in zip(edge, [*edge[1:], b.num_rows], strict=True):
-                if of != (cell[s], part[s]):
-                    of, ids, held, x = (cell[s], part[s]), [], [], None
-                some, vs = key_.slice(s, e - s).to_pylist(), v.slice(s, e - s).to_pylist()
+                if of != bin_[s]:
+                    of, held, x = bin_[s], [], None
+                rows_ = b.slice(s, e - s)
                 if kind[s] == 0:
-                    ids += some
-                    held += vs
+                    held.append(rows_)
                     continue
-                if x is None:
-                    order = np.argsort(np.array(ids, np.int64), kind="stable")
-                    x, own = np.frombuffer(b"".join(held), "<f8").reshape(-1, dim)[order], np.array(ids, np.int64)[order]
-                    own, first = np.unique(own, return_index=True)
-                if not len(x):
+                if not held:
                     continue
-                for a in range(0, len(some), 256):
-                    q = np.array(some[a : a + 256], np.int64)
-                    s_ = exact_scores(np.frombuffer(b"".join(vs[a : a + 256]), "<f8").reshape(-1, dim), x)
-                    s_ = s_ if len(first) == len(x) else np.maximum.reduceat(s_, first, axis=1)
-                    s_[q[:, None] == own] = -(2**63)
-                    best = np.argsort(-s_.astype(np.float64), axis=1, kind="stable")[:, :k] if np.abs(s_.astype(np.float64))[s_ > -(2**63)].max(initial=0) < 2**53 else np.array([sorted(range(len(own)), key=lambda j: (-int(r[j]), j))[:k] for r in s_])
-                    rows_, cols = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
-                    # a score below the k-th that its query has already can't be among the best
-                    good = (q[rows_] != own[cols]) & (s_[rows_, cols] >= bars[s + a : s + a + len(q)][rows_])
-                    rows_, cols = rows_[good], cols[good]
-                    yield pa.RecordBatch.from_arrays([pa.array(q[rows_]), pa.array(own[cols]), pa.array(s_[rows_, cols])], names=["query_id", "vec_id", "score"])
+                if x is None:
+                    table = pa.Table.from_batches(held)
+                    held = held[:1]
+                    cell, own = table.column("cells").combine_chunks().flatten().to_numpy(), table.column("id").to_numpy()
+                    order = np.lexsort((own, cell))
+                    cell, own = cell[order], own[order]
+                    x = np.frombuffer(b"".join(table.column("v").to_pylist()), "<f8").reshape(-1, dim)[order]
+                    from_ = np.flatnonzero(np.diff(cell, prepend=-1))
+                    spans = [(int(cell[a]), a, z) for a, z in zip(from_.tolist(), [*from_[1:].tolist(), len(cell)], strict=True)]
+                    by_id = np.argsort(own, kind="stable")
+                    own, first = np.unique(own[by_id], return_index=True)
+                step = max(1, min(256, (16 << 20) // (8 * len(x))))  # scores of some queries with the whole bin at a time
+                for a in range(0, e - s, step):
+                    yield best_of(rows_.slice(a, step), x, spans, by_id, own, first)
+
+    def best_of(some: pa.RecordBatch, x: np.ndarray, spans: list[tuple[int, int, int]], by_id: np.ndarray, own: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        """The k best ids of a bin for each of some queries, from the annuli that are on its list."""
+        q, bars = some.column(3).to_numpy(), some.column(5).to_numpy()
+        vs = np.frombuffer(b"".join(some.column(4).to_pylist()), "<f8").reshape(-1, dim)
+        asked, cells_ = some.column(2).value_parent_indices().to_numpy(), some.column(2).flatten().to_numpy()
+        score = np.full((len(q), len(x)), LOWEST)
+        for c, a, z in spans:
+            of = asked[cells_ == c]
+            if len(of):
+                score[of, a:z] = exact_scores(vs[of], x[a:z])
+        score = score[:, by_id]
+        score = score if len(first) == score.shape[1] else np.maximum.reduceat(score, first, axis=1)
+        score[q[:, None] == own] = LOWEST
+        # a score below the k-th that its query has already can't be among the best, nor one below the k-th of the bin
+        least = np.maximum(bars, LOWEST + 1)
+        if score.shape[1] > k:
+            least = np.maximum(least, np.partition(score, score.shape[1] - k, axis=1)[:, -k])
+        row, col = np.nonzero(score >= least[:, None])
+        order = np.lexsort((col, ~score[row, col], row))  # the complement falls as the score rises; of equal ones the least id is first
+        order = order[np.arange(len(order)) - np.searchsorted(row, row) < k]
+        row, col = row[order], col[order]
+        return pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(own[col]), pa.array(score[row, col])], names=["query_id", "vec_id", "score"])
+
+    def stored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The index, dealt to its bins."""
+        for b in batches:
+            c = np.searchsorted(no, b.column(0).to_numpy())
+            share = b.column(1).to_numpy() % blocks[c]
+            n = b.num_rows
+            cells_ = pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(first_bin[c] + share, pa.int32()), pa.array(np.zeros(n, np.int32)), cells_, b.column(2), b.column(3), pa.array(np.full(n, LOWEST))], names=["bin", "kind", "cells", "id", "v", "least"])
 
     lowest = F.lit(LOWEST).cast("long")
-    share = F.create_map(*[F.lit(x) for c in sorted(shares.items()) for x in c]) if shares else F.create_map(F.lit(0), F.lit(1))
-    stored = index.select("cell", F.pmod(F.xxhash64("id", "v"), share[F.col("cell")].cast("long")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v", lowest.alias("least"))
+    form = "bin int, kind int, cells array<int>, id long, v binary, least long"
+    stored = index.select("cell", F.xxhash64("id", "v").alias("share"), "id", "v").mapInArrow(stored_rows, form)
 
     def searched(routes: DataFrame) -> DataFrame:
-        met = stored.unionByName(routes).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
+        met = stored.unionByName(routes).repartition("bin").sortWithinPartitions("bin", "kind")
         return met.mapInArrow(search, "query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    form = "cell int, block int, kind int, id long, v binary, least long"
     early = staged(top(searched(queries.select("id", "v", lowest.alias("least")).mapInArrow(route(True), form))), "early")
     bar = early.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
     late = searched(queries.join(bar, "id", "left").select("id", "v", F.coalesce("least", lowest).alias("least")).mapInArrow(route(False), form))

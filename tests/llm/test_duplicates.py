@@ -10,7 +10,7 @@ from boxloom.llm import neardup, repeats
 from boxloom.llm.common import Words
 from boxloom.llm.components import components
 from boxloom.llm.neardup_vectors import Forest, linked, near_duplicate_vectors, unit
-from boxloom.llm.topk import exact_scores, top_k
+from boxloom.llm.topk import bins, exact_scores, top_k
 from tests.llm.helpers import documents, odd_rows, prose, with_clashes
 
 
@@ -282,6 +282,18 @@ def test_top_k_of_repeated_rows(spark, block):
     assert {tuple(g) for g in got.collect()} == want
 
 
+def test_bins_hold_neighbouring_annuli():
+    many = np.array([3, 4, 2, 25, 1, 9, 10, 1])
+    first, count = bins(many, 10)
+    assert count.tolist() == [1, 1, 1, 3, 1, 1, 1, 1] and first.tolist() == [0, 0, 0, 1, 4, 4, 5, 6]
+    load = {}
+    for f, c, n in zip(first.tolist(), count.tolist(), many.tolist(), strict=True):
+        for b in range(f, f + c):
+            load[b] = load.get(b, 0) + n / c
+    assert max(load.values()) <= 10 and sorted(load) == list(range(7))
+    assert bins(np.zeros(0), 10)[0].tolist() == []
+
+
 def test_large_scores_are_exact():
     q, v = np.array([[2.0**40, 1.0]]), np.array([[2.0**22, 1.0], [2.0**30, 0.0]])
     assert exact_scores(q, v).tolist() == [[2**62 + 1, 2**63 - 1]]
