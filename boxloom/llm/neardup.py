@@ -10,8 +10,8 @@
 4. Components of the candidates are compared on the full sets of their texts, in the same way: the links that remain are exact.
 5. Components of those links are the result.
 
-Lists and components of over `block` documents are dealt in pairs of blocks, so that no task holds more than two blocks and no
-pair is missed.
+Lists and components of over `block` documents, and components with over `heavy` shingles (long texts), are dealt in pairs of blocks, so
+that no task holds more than two blocks and no pair is missed. A text is cut to its set as it comes in, and sets leave as a group ends.
 
 Null and empty texts, and those without words, have no shingles and link with nothing. Rows of one doc_id are one document; a
 null doc_id links with nothing and is kept. Ties don't matter: results depend on sets and least ids only. Long texts are read whole.
@@ -127,7 +127,7 @@ def in_blocks(rows: DataFrame, key: str, count: str, member: str, block: int) ->
     return rows.withColumn("_n", blocks).withColumn("_b", own).withColumn("_p", F.explode(pairs)).withColumn("b1", F.col("_p.b1")).withColumn("b2", F.col("_p.b2")).drop("_n", "_b", "_p")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 100, k: int = 48, indexed: int = 8, margin: float = 0.26, block: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 100, k: int = 48, indexed: int = 8, margin: float = 0.26, block: int = 4096, heavy: int = 2_000_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row; sets link for which of * intersection >= over * union."""
     spark, least = docs.sparkSession, over / of - margin
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 1
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([s[:k].astype("<u8").tobytes() for s in sets], pa.binary())], names=["doc", "n", "print", "sketch"])
 
     seen = staged(docs.mapInArrow(sketch, "doc long, n long, print binary, sketch binary"), "sketches")
-    classes = staged(seen.where("print is not null and doc is not null").groupBy("print").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    classes = staged(seen.where("print is not null and doc is not null").groupBy("print").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,17 +171,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, over: int = 80, of: int = 1
 
     met = hits.join(classes.select("rep", "sketch"), "rep").select("value", "b1", "b2", "rep", "sketch").repartition("value", "b1", "b2").sortWithinPartitions("value", "b1", "b2")
     candidates = components(met.mapInArrow(compare, "a long, b long"))
-    sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
-    members = in_blocks(candidates.join(sizes, "root"), "root", "size", "node", block).select("root", "b1", "b2", F.col("node").alias("doc"))
+    weighed = candidates.join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    sizes = weighed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") / F.lit(heavy))).alias("blocks"))
+    members = in_blocks(candidates.join(sizes, "root"), "root", "blocks", "node", 1).select("root", "b1", "b2", F.col("node").alias("doc"))
     members = staged(members, "members")
     release(spark)
 
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with the sets of their texts in place of these."""
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                sets = [x.astype("<u8").tobytes() for x in shingle_sets(utf8(part.column(4)), words)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.large_binary())], names=["root", "b1", "b2", "doc", "set"])
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[int, int]] = []
-        for rows in by_group(batches, 3):
+        for rows in by_group(sets_of(batches), 3):
             if len(rows) > 1:
-                sets = shingle_sets([r[4].encode() for r in rows], words)
-                root = set_links(sets, over, of)
+                root = set_links([np.frombuffer(r[4], "<u8") for r in rows], over, of)
                 pairs += [(rows[i][3], rows[j][3]) for i, j in enumerate(root.tolist()) if i != j]
             if len(pairs) > 10_000:
                 yield _links(pairs)

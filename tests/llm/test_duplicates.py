@@ -67,8 +67,8 @@ def varied(n=60):
     return rows
 
 
-@pytest.mark.parametrize(("words", "block"), [(4, 4096), (5, 3)])
-def test_near_duplicates(spark, words, block):
+@pytest.mark.parametrize(("words", "block", "heavy"), [(4, 4096, 2_000_000), (5, 3, 2_000_000), (4, 4096, 150)])
+def test_near_duplicates(spark, words, block, heavy):
     rows = [r for r in odd_rows() if r[0] is not None] + varied()
     sets = [(r[0], shingles(r[1], words)) for r in rows]
     s = Sets()
@@ -77,7 +77,7 @@ def test_near_duplicates(spark, words, block):
         for b, y in sets[:i]:
             if x and y and 100 * len(x & y) >= 80 * len(x | y):
                 s.join(a, b)
-    got = neardup.near_duplicates(with_clashes(documents(spark, rows)), words=words, block=block).collect()
+    got = neardup.near_duplicates(with_clashes(documents(spark, rows)), words=words, block=block, heavy=heavy).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.component_id == s.find(r.doc_id) and r.kept == (r.doc_id == r.component_id)
