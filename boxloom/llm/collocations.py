@@ -6,10 +6,14 @@ word ids by prefix doubling in numpy (by 1, 2, 4 and 5 words; no further, as no
 words as their LCP says, so the phrases of n words are the intervals whose LCP is n or more: one interval is one phrase, its length its
 count in the shard. Counts are merged by (language, phrase) over all shards; texts are never shuffled.
 
-Only what can occur `least` times need be merged. So shards are read four times. The first three count words, pairs of frequent words and
-triples of frequent pairs by their 64-bit hashes; hashes that reach `least` set bits of maps of fixed size (2 ** bits), which are all that
-is sent to the tasks. A map tells too much (two hashes may share a bit) but never too little: phrases that reach `least` have frequent
-words, pairs and triples. The fourth reading sorts suffixes and merges phrases by their words themselves, so counts are exact.
+Only what can occur `least` times need be merged, and nothing is merged twice. So shards are read four times: for words, for pairs of
+frequent words, for triples of frequent pairs, and for the four and five words of frequent triples. Each reading sorts suffixes as far as it
+needs, and merges phrases by their words themselves, so counts are exact. The hashes of the frequent ones of a language set bits of a map
+of fixed size (2 ** bits), which is all that is sent to the tasks of the next readings. A map tells too much (two hashes may share a bit)
+but never too little: phrases that reach `least` have frequent words, pairs and triples.
+
+What a task holds is a shard of about `shard` bytes, numbered in 32 bits, and texts not yet in one, at most twice as many bytes in all
+languages together; hashes are made in slices.
 
 A phrase is scored at its worst cut: floor(1000 * a * n / (l * r)), in exact decimals. It is dropped if it lies in a phrase of one word
 more that occurs as often (longer ones that hold it occur at most as often as one between). The first `most` of each language are ranked
@@ -23,7 +27,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cached_property
+from hashlib import blake2b
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,20 @@ _MAP[9] = 32
 _MORE = re.compile(rb"(?: *[^ \xff]+){1,4}")
 _WORD_END = re.compile(rb"[ \xff]")
 _CODES = byte_codes(11)
+#: Rows of a batch, places and bytes of a slice.
+_ROWS, _PLACES, _BYTES = 100_000, 1 << 18, 1 << 18
+_POWERS, _INVERSES = powers(BASE, _BYTES), powers(BASE_INV, _BYTES)
+
+
+def code(text: str | bytes) -> np.uint64:
+    """A 64-bit hash of a language, or of a word that no slice holds."""
+    return _U(int.from_bytes(blake2b(text if isinstance(text, bytes) else text.encode(), digest_size=8).digest(), "little"))
+
+
+def to_next(stops: np.ndarray, n: int) -> np.ndarray:
+    """How far it is from each of n places to the next stop, itself included; the last stop is behind them all, or the last of them."""
+    stops = stops.astype(np.int32)
+    return np.repeat(stops, np.diff(stops, prepend=np.int32(-1)))[:n] - np.arange(n, dtype=np.int32)
 
 
 def stretches(data: bytes, most: int) -> Iterator[tuple[bytes, int]]:
@@ -75,70 +94,90 @@ class Shard:
 
     def __init__(self, data: bytes, own: int):
         raw = np.frombuffer(data, np.uint8)
-        gap = (raw == 32) | (raw == END)
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
+        gap = raw == 32
+        gap |= raw == END
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]])))
         begin, end = edge[0::2], edge[1::2]
-        size = np.append(0, np.cumsum(end - begin))
-        kind, offset = (pa.binary(), np.int32) if size[-1] < 1 << 31 else (pa.large_binary(), np.int64)
-        body = pa.Array.from_buffers(kind, len(begin), [None, pa.py_buffer(size.astype(offset)), pa.py_buffer(raw[~gap])])
-        coded = body.dictionary_encode()
-        self.ids, self.words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        kind, offset = (pa.binary(), np.int32) if len(raw) < 1 << 31 else (pa.large_binary(), np.int64)
+        size = np.zeros(len(begin) + 1, offset)
+        np.cumsum(end - begin, out=size[1:])
         self.own = int(np.searchsorted(begin, own))
         last = np.searchsorted(begin, np.flatnonzero(raw == END))  # how many words begin before each end of a piece
         self.ends = np.append(last[np.diff(last, append=len(begin)) > 0], len(begin))
+        body = pa.Array.from_buffers(kind, len(begin), [None, pa.py_buffer(size), pa.py_buffer(raw[~gap])])
+        del edge, begin, end, gap
+        coded = body.dictionary_encode()
+        self.ids, self.words = coded.indices.to_numpy(), coded.dictionary
 
     @cached_property
     def room(self) -> np.ndarray:
-        n = len(self.ids)
-        return np.repeat(self.ends, np.diff(self.ends, prepend=0)) - np.arange(n)
+        return to_next(self.ends - 1, len(self.ids)) + np.int32(1)
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word of the vocabulary."""
         at = np.append(0, np.cumsum(pc.binary_length(self.words).to_numpy().astype(np.int64)))
-        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(self.words)], pa.int32()), self.words), b"")[0].as_buffer()
-        raw = np.frombuffer(text, np.uint8)
-        sums = np.zeros(len(raw) + 1, _U)
-        np.cumsum(_CODES[raw] * powers(BASE, len(raw)), out=sums[1:])
-        return mix64((sums[at[1:]] - sums[at[:-1]]) * powers(BASE_INV, len(raw) + 1)[at[:-1]] + np.diff(at).astype(_U))
+        out, a = np.empty(len(self.words), _U), 0
+        while a < len(out):
+            b = int(np.searchsorted(at, at[a] + _BYTES, "right")) - 1  # the words from a to b are a slice
+            if b <= a:
+                out[a] = code(self.words[a].as_py())
+                a += 1
+                continue
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), self.words.slice(a, b - a)), b"")[0].as_buffer()
+            raw, cut = np.frombuffer(text, np.uint8), at[a : b + 1] - at[a]
+            sums = np.zeros(len(raw) + 1, _U)
+            np.cumsum(_CODES[raw] * _POWERS[: len(raw)], out=sums[1:])
+            out[a:b] = mix64((sums[cut[1:]] - sums[cut[:-1]]) * _INVERSES[cut[:-1]] + np.diff(cut).astype(_U))
+            a = b
+        return out
+
+    def told(self, h: np.ndarray, k: int, lang: str, bitmap: np.ndarray, bits: int) -> np.ndarray:
+        """Of each place, whether the map has the k words that begin there; h are the hashes of the vocabulary."""
+        n, out = len(self.ids), np.zeros(len(self.ids), bool)
+        for a in range(0, n - k + 1, _PLACES):
+            found = is_set(bitmap, runs(h[self.ids[a : a + _PLACES + k - 1]], k) ^ code(lang), bits)
+            out[a : a + len(found)] = found
+        return out
 
     def limit(self, good: np.ndarray) -> None:
-        """Pieces end before and behind words that aren't good, which have no room themselves."""
+        """Pieces end before and behind words that aren't good, which have no room themselves; good tells of each place."""
         n = len(self.ids)
-        bad = np.append(np.flatnonzero(~good[self.ids]), n)
-        self.room = np.minimum(self.room, np.repeat(bad, np.diff(bad, prepend=-1))[:n] - np.arange(n))
+        self.room = np.minimum(self.room, to_next(np.append(np.flatnonzero(~good), n), n))
 
     def limit_pairs(self, good: np.ndarray) -> None:
         """Pieces end between words whose pair isn't good; good tells of each place whether the pair that begins there is."""
         n = len(self.ids)
-        stop = np.append(np.flatnonzero(~good[: max(n - 1, 0)]), n - 1)
-        self.room = np.minimum(self.room, np.repeat(stop, np.diff(stop, prepend=-1)) - np.arange(n) + 1)
+        self.room = np.minimum(self.room, to_next(np.append(np.flatnonzero(~good[: max(n - 1, 0)]), n - 1), n) + np.int32(1))
 
     def limit_triples(self, good: np.ndarray) -> None:
         """Phrases of three words and more hold none but good triples; good tells of each place whether the triple that begins there is."""
         n = len(self.ids)
         good = good & (self.room > 2)
-        bad = np.append(np.flatnonzero(~good), n)
-        after = np.repeat(bad, np.diff(bad, prepend=-1))[:n] - np.arange(n)
-        self.room = np.where(good, after + 2, np.minimum(self.room, 2))
+        self.room = np.where(good, to_next(np.append(np.flatnonzero(~good), n), n) + np.int32(2), np.minimum(self.room, 2))
 
-    def suffixes(self, depth: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-        """Places in pieces of two words and more in the order of the words from there on, up to depth, and the LCP of each with the one
+    def suffixes(self, depth: int = LONGEST, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Places in pieces of `least` words and more in the order of the words from there on, up to depth, and the LCP of each with the one
         before."""
-        n, room = len(self.ids), np.minimum(self.room, depth)
-        at = np.flatnonzero((room > 1) | (room == 1) & (np.append(0, room[:-1]) > 1))
-        rank, known, order = self.ids + 1, 1, np.arange(len(at))
+        n, room = len(self.ids), np.minimum(self.room, np.int32(depth))
+        held = room >= least
+        for _ in range(least - 1):
+            held[1:] |= held[:-1].copy()
+        at = np.flatnonzero(held & (room > 0)).astype(np.int32)
+        rank, known, order = self.ids + np.int32(1), 1, np.arange(len(at))
         while known < depth:
             step = min(known, depth - known)
             # a rank of `known` words, then one of the `known` words that end at the new depth; 0 where the piece has ended
-            key = rank[at] * (n + 2) + np.where(room[at] > step, rank[np.minimum(at + step, n - 1)], 0)
+            key = rank[at].astype(np.int64)
+            key *= n + 2
+            key += np.where(room[at] > step, rank[np.minimum(at + np.int32(step), n - 1)], np.int32(0))
             order = np.argsort(key)
             key = key[order]
-            rank = np.zeros(n, np.int64)
-            rank[at[order]] = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)])
+            rank = np.zeros(n, np.int32)
+            rank[at[order]] = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)], dtype=np.int32)
             known += step
         at = at[order]
-        lcp = np.zeros(len(at), np.int64)
-        same = np.arange(1, len(at))
+        lcp = np.zeros(len(at), np.int8)
+        same = np.arange(1, len(at), dtype=np.int32)
         for k in range(depth):
             a, b = at[same - 1], at[same]
             same = same[(room[a] > k) & (room[b] > k)]
@@ -146,16 +185,22 @@ class Shard:
             lcp[same] = k + 1
         return at, lcp
 
-    def phrases(self, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def phrases(self, shortest: int = 1, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(words, places, counts) of the phrases of each number of words: the intervals of the suffix array by their LCP, and for one
         word, whose order is that of the ids, its ids."""
         own = self.own
-        place = np.flatnonzero(self.room[:own] > 0)
-        words, first, count = np.unique(self.ids[place], return_index=True, return_counts=True)
-        yield 1, place[first], count
-        at, lcp = self.suffixes(longest)
+        if shortest == 1:
+            place = np.flatnonzero(self.room[:own] > 0).astype(np.int32)
+            words, some = self.ids[place], np.zeros(len(self.words), np.int32)
+            some[words] = place
+            count = np.bincount(words, minlength=len(some))
+            yield 1, some[count > 0], count[count > 0]
+            del place, words, some, count
+            if longest == 1:
+                return
+        at, lcp = self.suffixes(longest, max(shortest, 2))
         mine = (at < own).astype(np.int64)  # places behind the stretch's own are in the order, but not counted
-        for k in range(2, longest + 1):
+        for k in range(max(shortest, 2), longest + 1):
             first = np.flatnonzero(lcp < k)
             count = np.add.reduceat(mine, first) if len(first) else first
             place = at[first]
@@ -167,19 +212,19 @@ class Shard:
         return (pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]).cast(pa.large_string())
 
 
-def runs(h: np.ndarray, shard: Shard, k: int) -> np.ndarray:
-    """A hash of the k words that begin at each place, from the hashes of the vocabulary; 0 where fewer follow."""
-    w = h[shard.ids]
+def runs(w: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k words that begin at each place behind which k - 1 follow, from the hashes of the words."""
     out, n = mix64(w), max(len(w) - k + 1, 0)
     for j in range(1, k):
         out = mix64(out[:n] * _U(BASE) + w[j : n + j])
-    return np.append(out[:n], np.zeros(len(w) - n, _U))
+    return out[:n]
 
 
 def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, Shard]]:
-    """(lang, shard) of rows (lang, text)."""
+    """(lang, shard) of rows (lang, text); texts of all languages that wait for a shard are at most twice `most` bytes and a text."""
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
+    waiting = 0
 
     def cut(lang: str) -> Iterator[tuple[str, Shard]]:
         data = bytes([END]).join(held.pop(lang)).translate(bytes(_MAP))
@@ -193,8 +238,10 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str,
             for lang, text in zip(langs[at : at + 256], utf8(b.column(1).slice(at, 256)), strict=True):
                 held.setdefault(lang, []).append(text)
                 size[lang] = size.get(lang, 0) + len(text) + 1
-                if size[lang] > most:
-                    yield from cut(lang)
+                waiting += len(text) + 1
+                for full in [lang] if size[lang] > most else list(held) if waiting > 2 * most else []:
+                    waiting -= size[full]
+                    yield from cut(full)
     for lang in list(held):
         yield from cut(lang)
 
@@ -207,12 +254,27 @@ def counted(docs: DataFrame, make, columns: str, most: int) -> DataFrame:
         for lang, shard in shards(batches, most):
             for arrays in make(lang, shard):
                 n = len(arrays[0])
-                for a in range(0, n, 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * min(100_000, n - a), pa.string()), *(x.slice(a, 100_000) for x in arrays)], names=names)
+                for a in range(0, n, _ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * min(_ROWS, n - a), pa.string()), *(x.slice(a, _ROWS) for x in arrays)], names=names)
 
     return docs.mapInArrow(run, columns)
 
 
+def hashed(phrases: DataFrame, k: int) -> DataFrame:
+    """h, the hash that Shard.told looks up, of rows (lang, phrase) of k words each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, _PLACES):
+                lang, text = b.column(0).slice(a, _PLACES).dictionary_encode(), utf8(b.column(1).slice(a, _PLACES))
+                s = Shard(bytes([END]).join(text), 0)
+                langs = np.array([code(x) for x in lang.dictionary.to_pylist()], _U)[lang.indices.to_numpy()]
+                h = runs(s.hashes()[s.ids], k)[::k] ^ langs
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "h long")
+
+
 def bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
     """A map of 2 ** bits bits, of which those of the hashes (column h) are set: 2 ** (bits - 3) bytes, however many there are."""
     page = min(bits, 16)
@@ -247,50 +309,34 @@ def phrase_counts(docs: DataFrame, least: int = 100, text: str = "text", lang: s
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where("text is not null and text != ''")
 
-    def words(_: str, s: Shard) -> Iterator[list[pa.Array]]:
-        if len(s.words):
-            yield [pa.array(s.hashes().view(np.int64)), pa.array(np.bincount(s.ids[: s.own], minlength=len(s.words)))]
-
-    total = staged(counted(rows, words, "lang string, h long, n long", shard).groupBy("lang", "h").agg(F.sum("n").alias("n")), "words")
-    sizes = total.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
-    known = spark.sparkContext.broadcast(bit_map(total.where(F.col("n") >= least), bits))
-
-    def frequent(s: Shard, pairs: np.ndarray | None = None, triples: np.ndarray | None = None) -> np.ndarray:
-        """Limits a shard to what can be frequent by the maps that are there."""
-        h = s.hashes()
-        s.limit(is_set(known.value, h, bits))
-        if pairs is not None:
-            s.limit_pairs(is_set(pairs, runs(h, s, 2), bits))
-        if triples is not None:
-            s.limit_triples(is_set(triples, runs(h, s, 3), bits))
-        return h
-
-    def often(k: int, name: str, *maps) -> DataFrame:
-        """Hashes of the runs of k words that are frequent."""
-
-        def make(_: str, s: Shard) -> Iterator[list[pa.Array]]:
-            if len(s.words):
-                h = frequent(s, *(m.value for m in maps))
-                value, n = np.unique(runs(h, s, k)[: s.own][s.room[: s.own] >= k], return_counts=True)
-                if len(value):
-                    yield [pa.array(value.view(np.int64)), pa.array(n)]
-
-        found = counted(rows, make, "lang string, h long, n long", shard).groupBy("lang", "h").agg(F.sum("n").alias("n"))
-        return staged(found.where(F.col("n") >= least), name)
-
-    pairs = spark.sparkContext.broadcast(bit_map(often(2, "pairs"), bits))
-    triples = spark.sparkContext.broadcast(bit_map(often(3, "triples", pairs), bits))
-
-    def all_phrases(_: str, s: Shard) -> Iterator[list[pa.Array]]:
-        if not len(s.words):
-            return
-        frequent(s, pairs.value, triples.value)
-        for k, place, n in s.phrases():
-            if len(place):
-                yield [s.spelled(place, k).cast(pa.string()), pa.array(np.full(len(place), k, np.int32)), pa.array(n)]
-
-    merged = counted(rows, all_phrases, "lang string, phrase string, words int, f long", shard).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-    return staged(merged.where(F.col("f") >= least), "phrases"), sizes
+    def often(name: str, shortest: int, longest: int, *maps) -> DataFrame:
+        """(lang, phrase, words, f) of the frequent phrases whose words, pairs and triples the maps have, as far as they are there. Among
+        the words, a row without a phrase has the number of all words of its language."""
+
+        def make(lang: str, s: Shard) -> Iterator[list[pa.Array]]:
+            if not len(s.words):
+                return
+            if shortest == 1:
+                yield [pa.array([None], pa.string()), pa.array([1], pa.int32()), pa.array([s.own])]
+            else:
+                h = s.hashes()
+                for k, (limit, m) in enumerate(zip((s.limit, s.limit_pairs, s.limit_triples), maps), 1):
+                    limit(s.told(h, k, lang, m.value, bits))
+                del h
+            for k, place, n in s.phrases(shortest, longest):
+                for a in range(0, len(place), _ROWS):
+                    some = place[a : a + _ROWS]
+                    yield [s.spelled(some, k).cast(pa.string()), pa.array(np.full(len(some), k, np.int32)), pa.array(n[a : a + _ROWS])]
+
+        merged = counted(rows, make, "lang string, phrase string, words int, f long", shard).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+        return staged(merged.where((F.col("f") >= least) | F.col("phrase").isNull()), name)
+
+    first = often("words", 1, 1)
+    counts, maps = [first.where("phrase is not null")], []
+    for name, shortest, longest in (("pairs", 2, 2), ("triples", 3, 3), ("phrases", 4, LONGEST)):
+        maps.append(spark.sparkContext.broadcast(bit_map(hashed(counts[-1], shortest - 1), bits)))
+        counts.append(often(name, shortest, longest, *maps))
+    return reduce(DataFrame.union, counts), first.where("phrase is null and f > 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = 100, most: int = 2000, **how: object) -> DataFrame:

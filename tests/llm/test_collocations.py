@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 from math import floor
 
+import pyarrow as pa
 import pytest
 
 from boxloom.llm import collocations as co
@@ -97,3 +99,54 @@ def test_suffixes_are_sorted():
     for i in range(1, len(at)):
         a, b = text[i - 1], text[i]
         assert lcp[i] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
+def test_each_phrase_is_sent_by_one_reading(spark, monkeypatch):
+    rows, sent, real = [("en", "new york city hall in new york")] * 6 + [("de", "new york city hall in new york")] * 2 + [("de", "in new")] * 9, [], co.counted
+    monkeypatch.setattr(co, "counted", lambda *a: sent.append(real(*a)) or sent[-1])
+    counts, sizes = co.phrase_counts(spark.createDataFrame(rows, "lang string, text string"), 5)
+    found = [{(r.lang, r.phrase) for r in x.where("phrase is not null").collect()} for x in sent]
+    assert [{len(p.split(" ")) for _, p in x} for x in found] == [{1}, {2}, {3}, {4, 5}]
+    assert {p for lang, p in found[1] if lang == "de"} == {"in new"} and not [p for lang, p in found[2] | found[3] if lang == "de"]  # frequent in en only
+    assert counts.where("words = 5 and lang = 'en' and f = 6").count() == 3 and {(r.lang, r.n) for r in sizes.collect()} == {("en", 42), ("de", 32)}
+
+
+def test_memory_of_a_shard():
+    """Hashes take slices and eight bytes or so a word, suffixes at most 80 bytes a word."""
+    r = random.Random(5)
+    for data in (" ".join("%x" % r.getrandbits(40) for _ in range(150_000)), " ".join(r.choices("the of and to in is was".split(), k=250_000)), "x" * 2_000_000):
+        shard = co.Shard(data.encode(), len(data))
+        tracemalloc.start()
+        try:
+            assert len(shard.hashes()) == len(shard.words)
+            assert tracemalloc.get_traced_memory()[1] < 16 * 10**6 + 24 * len(shard.words)
+            tracemalloc.reset_peak()
+            assert sum(int(n.sum()) for k, _, n in shard.phrases() if k == 1) == len(shard.ids)
+            assert tracemalloc.get_traced_memory()[1] < 80 * len(shard.ids) + 10**6
+        finally:
+            tracemalloc.stop()
+
+
+def test_texts_of_many_languages_do_not_pile_up():
+    read = 0
+
+    def batches():
+        nonlocal read
+        for i in range(2000):
+            read += 100
+            yield pa.RecordBatch.from_arrays([pa.array([f"l{i % 300}"]), pa.array(["word " * 20])], names=["lang", "text"])
+
+    got, before = Counter(), 0
+    for lang, shard in co.shards(batches(), 5000):
+        got[lang] += shard.own
+        assert read - 5 * (sum(got.values()) - shard.own) <= 2 * 5000 + 400
+    assert got == Counter({f"l{i}": 20 * len(range(i, 2000, 300)) for i in range(300)})
+
+
+def test_words_that_no_slice_of_hashes_holds(monkeypatch):
+    words = ["a", "b" * 40, "c" * 7, "d" * 8, "e" * 9, "é", "b" * 41]
+    whole = co.Shard(" ".join(words).encode(), 10**6).hashes().tolist()
+    monkeypatch.setattr(co, "_BYTES", 8)
+    some = [co.Shard(" ".join(w).encode(), 10**6).hashes().tolist() for w in (words, words[::-1])]
+    assert some[0] == some[1][::-1] and len(set(some[0])) == len(words)
+    assert [x == y for x, y in zip(whole, some[0], strict=True)] == [len(w.encode()) <= 8 for w in words]
