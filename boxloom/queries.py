@@ -34,14 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(rows: DataFrame, make: Callable[..., bytes]) -> DataFrame:
-    """(file_id, content): a file for each row; the first column is the id, and make gets the row's values."""
+    """(file_id, content): a file for each row; the first column is the id, and make gets the row's values.
+
+    Rows are dealt over all cores first: a table of a few MB is one or two splits, and a row of it is a file to write, parse and decode."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [make(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(out, pa.binary())], names=["file_id", "content"])
 
-    return rows.mapInArrow(run, "file_id long, content binary")
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, rows.columns[0]).mapInArrow(run, "file_id long, content binary")
 
 
 # ---- containers ----

@@ -142,3 +142,13 @@ def test_streams_and_hashes(spark):
     for v in (5, 6):
         h = (h ^ v) * metrics.FNV_FACTOR % (1 << 64)
     assert {r.id: int(r.hash) for r in metrics.plane_hash(rows, "id", "s").collect()} == {1: h, 2: metrics.FNV_START}
+
+
+def test_files_are_dealt_over_all_cores(spark):
+    """A table of one split was one task, whatever its rows take."""
+    from boxloom.queries import table, written
+
+    made = written(table(spark, "/root/testdata/sf0.001", "part").select("p_partkey"), lambda key: b"%d" % key)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(len(p) > 0 for p in made.rdd.glom().collect())[-2:] == [True, True]
+    assert {(r.file_id, bytes(r.content)) for r in made.collect()} == {(r.p_partkey, b"%d" % r.p_partkey) for r in table(spark, "/root/testdata/sf0.001", "part").collect()}
