@@ -10,6 +10,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -223,6 +224,30 @@ def at_stride(images: DataFrame, stride: Column) -> DataFrame:
     return images.withColumns({"data": F.when(F.col("error").isNull(), data), "stride": F.when(fits, stride.cast("int")), "error": error})
 
 
+#: Files that are Python objects at once, and rows and bytes of pictures that go on together.
+FILES, MANY, LARGE = 64, 256, 4 << 20
+
+
+def taken(row: dict) -> int:
+    """Bytes of a picture's samples."""
+    return len(row.get("data") or b"") + sum(len(p["data"]) for p in row.get("planes") or ())
+
+
+def plain(a: pa.Array) -> list:
+    """to_pylist(), a column of nested ones at a time: those that are null throughout, as most kinds of properties are, cost nothing."""
+    if a.null_count == len(a):
+        return [None] * len(a)
+    if pa.types.is_struct(a.type):
+        names, columns = [f.name for f in a.type], [plain(x) for x in a.flatten()]
+        out = [dict(zip(names, values, strict=True)) for values in zip(*columns, strict=True)]
+    elif pa.types.is_list(a.type):
+        values, ends = plain(a.flatten()), np.cumsum(pc.fill_null(a.value_lengths(), 0).to_numpy(zero_copy_only=False)).tolist()
+        out = [values[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+    else:
+        return a.to_pylist()
+    return [x if there else None for x, there in zip(out, a.is_valid().to_pylist(), strict=True)] if a.null_count else out
+
+
 def _decoded(c: Container, roles: tuple[str, ...], columns_of: str, make, also: dict) -> DataFrame:
     """A row for each file and role: what make(file, item, alpha) gives, or an error."""
     columns = ["item_id", "item_type", "ispe", "colr", "hvcc", "av1c", "uncc", "cmpc", "cmpd", "icef", "transforms"]
@@ -246,10 +271,11 @@ def _decoded(c: Container, roles: tuple[str, ...], columns_of: str, make, also:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = [], 0
         for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1).to_pylist()[0]
-                file, made = File(row["items"] or [], limits), []
+            # a few files at a time are Python objects; pictures go on once they are many, or large
+            for row in (r for k in range(0, b.num_rows, FILES) for r in plain(b.slice(k, FILES).to_struct_array())):
+                file = File(row["items"] or [], limits)
                 for role, n in (("primary", row["primary_id"]), ("thumbnail", row["thumbnail"]), ("gain_map", row["gain_map"])):
                     if role not in roles or n is None and role != "primary":
                         continue
@@ -260,7 +286,12 @@ def _decoded(c: Container, roles: tuple[str, ...], columns_of: str, make, also:
                         made.append(base | make(file, n, row["alpha"] if role == "primary" else None))
                     except (ValueError, Short) as e:
                         made.append(base | {"error": str(e) or "the data end too early"})
-                yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                    held += taken(made[-1])
+                if len(made) >= MANY or held >= LARGE:
+                    yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                    made, held = [], 0
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     return out.select("file_id", "primary_id", "parse_error", "items", "alpha", "thumbnail", "gain_map").mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from boxloom.functions import colour
@@ -152,3 +153,13 @@ def test_files_are_dealt_over_all_cores(spark):
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(len(p) > 0 for p in made.rdd.glom().collect())[-2:] == [True, True]
     assert {(r.file_id, bytes(r.content)) for r in made.collect()} == {(r.p_partkey, b"%d" % r.p_partkey) for r in table(spark, "/root/testdata/sf0.001", "part").collect()}
+
+
+def test_plain_rows_are_those_of_arrow():
+    from boxloom.operators.decode import plain
+
+    kind = pa.struct([("n", pa.int64()), ("s", pa.struct([("a", pa.list_(pa.int32())), ("b", pa.binary())])), ("l", pa.list_(pa.struct([("x", pa.string()), ("none", pa.struct([("y", pa.int8())]))])))])
+    rows = [None, {"n": 1, "s": None, "l": []}, {"n": None, "s": {"a": None, "b": b"q"}, "l": None}, {"n": 3, "s": {"a": [1, None], "b": None}, "l": [None, {"x": "u", "none": None}]}, {"n": 4, "s": {"a": [], "b": b""}, "l": [{"x": None, "none": None}]}]
+    array = pa.array(rows * 3, kind)
+    for part in (array, array.slice(2, 9), array.slice(1, 2), array.slice(3, 0), array.slice(5, 1)):
+        assert plain(part) == part.to_pylist()
