@@ -163,3 +163,22 @@ def test_plain_rows_are_those_of_arrow():
     array = pa.array(rows * 3, kind)
     for part in (array, array.slice(2, 9), array.slice(1, 2), array.slice(3, 0), array.slice(5, 1)):
         assert plain(part) == part.to_pylist()
+
+
+@pytest.mark.parametrize("depth", range(1, 17))
+def test_bits_at_any_place(depth):
+    data = bytes(random.Random(depth).randrange(256) for _ in range(9))
+    text = "".join(format(b, "08b") for b in data) + "0" * 400
+    at = np.array([[0, 8, 16, 64, 72, 80, 400], [1, 7, 13, 63, 66, 71, 300]])
+    source = unci._Gather(data)
+    for places in (at, at[:1]):
+        want = [[int((text[p:] + "0" * 16)[:depth] or "0", 2) for p in row] for row in places.tolist()]
+        assert source.bits(places, depth).tolist() == want
+
+
+def test_places_of_a_layout_are_worked_out_once():
+    data = bytes(range(48))
+    unci._row.cache_clear()
+    frames = [unci.decode(layout([8] * 3, 1), None, [4, 5, 6], None, data, 4, 4) for _ in range(5)]
+    assert unci._row.cache_info().misses == 1 and unci._row.cache_info().hits == 4
+    assert all((f.y == frames[0].y).all() for f in frames) and frames[0].y[0].tolist() == [1, 4, 7, 10]
