@@ -77,24 +77,27 @@ def compared(left: pa.Buffer, right: pa.Buffer, same: bool, kind: str = "u1") ->
     return len(d), sse, int(d.max(initial=0)), int(np.count_nonzero(d)), sse / max(len(d), 1)
 
 
-def plane_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def plane_differences(left: DataFrame, right: DataFrame, keys: list[str], digests: bool = False) -> DataFrame:
     """(keys, plane, depth, n, sse, max_diff, md5_equal) of each plane of pictures (keys, planes); a plane that one side lacks, or that has
-    another size or depth there, has nulls. Each side is decoded once, and its planes meet in one shuffle."""
+    another size or depth there, has nulls. Each side is decoded once, and its planes meet in one shuffle. With `digests` `md5` follows, that
+    of the left side's plane, which is at hand here: joining it from elsewhere would decode that side again, and might send a row for each
+    plane to the driver for a broadcast, as the planner can't tell how many rows come out of files."""
     one = lambda df, side: df.select(*keys, F.explode("planes").alias("p")).select(*keys, F.col("p.name").alias("plane"), F.lit(side).alias("side"), F.struct("p.width", "p.height", "p.depth").alias("shape"), F.col("p.data").alias("data"))
     of = lambda c, side: F.first(F.when(F.col("side") == side, F.col(c)), ignorenulls=True)
     met = one(left, "l").unionByName(one(right, "r")).groupBy(*keys, "plane").agg(*[of(c, side).alias(f"{side}_{c}") for side in "lr" for c in ("shape", "data")])
     same = F.coalesce(F.col("l_shape") == F.col("r_shape"), F.lit(False))
     equal = same & (F.md5("l_data") == F.md5("r_data"))
-    rows = met.select(*keys, "plane", F.coalesce("l_shape.depth", "r_shape.depth").alias("depth"), F.when(same, F.col("l_shape.width").cast("bigint") * F.col("l_shape.height")).alias("n"), same.alias("same"), F.coalesce(equal, F.lit(False)).alias("md5_equal"), "l_data", "r_data")
+    more = ["md5"] if digests else []
+    rows = met.withColumn("md5", F.md5("l_data")).select(*keys, "plane", F.coalesce("l_shape.depth", "r_shape.depth").alias("depth"), F.when(same, F.col("l_shape.width").cast("bigint") * F.col("l_shape.height")).alias("n"), same.alias("same"), F.coalesce(equal, F.lit(False)).alias("md5_equal"), *more, "l_data", "r_data")
     at = len(keys) + 1
-    schema = T.StructType([*[rows.schema[k] for k in (*keys, "plane", "depth", "n")], *T.StructType.fromDDL("sse long, max_diff long").fields, rows.schema["md5_equal"]])
+    schema = T.StructType([*[rows.schema[k] for k in (*keys, "plane", "depth", "n")], *T.StructType.fromDDL("sse long, max_diff long").fields, *[rows.schema[k] for k in ("md5_equal", *more)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             depth, same, l, r = (b.column(b.schema.get_field_index(c)) for c in ("depth", "same", "l_data", "r_data"))  # noqa: E741
             out = [compared(l[i].as_buffer(), r[i].as_buffer(), True, "<u2" if depth[i].as_py() > 8 else "u1")[1:3] if same[i].as_py() else (None, None) for i in range(b.num_rows)]
             cols = list(zip(*out, strict=True)) if out else [(), ()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: at + 2], *(pa.array(c, pa.int64()) for c in cols), b.column(b.schema.get_field_index("md5_equal"))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: at + 2], *(pa.array(c, pa.int64()) for c in cols), *(b.column(b.schema.get_field_index(k)) for k in ("md5_equal", *more))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

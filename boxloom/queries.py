@@ -588,9 +588,7 @@ def _planes_file(key: int, changed: bool) -> bytes:
 def native_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planes at the depth of their samples, with their digests, against those of changed copies."""
     of = lambda changed: planes(Container(written(table(spark, sf_dir, "part").select("p_partkey"), lambda key: _planes_file(key, changed)))).where("error is null")
-    left = of(False)
-    digests = left.select("file_id", F.explode("planes").alias("p")).select("file_id", F.col("p.name").alias("plane"), F.md5("p.data").alias("md5"))
-    return metrics.plane_differences(left, of(True), ["file_id"]).join(digests, ["file_id", "plane"]).select("file_id", "plane", "depth", "n", "sse", "max_diff", "md5_equal", "md5")
+    return metrics.plane_differences(of(False), of(True), ["file_id"], digests=True).where("md5 is not null").select("file_id", "plane", "depth", "n", "sse", "max_diff", "md5_equal", "md5")
 
 
 NATIVE_PLANES = """WITH s AS (SELECT p_partkey AS k, c, ['y', 'cb', 'cr'][c + 1] AS plane, p_partkey % 2 = 1 AS deep, x, y, (p_partkey * (c + 3) + x * 90 + y * 25 + c * 40) % CASE WHEN p_partkey % 2 = 1 THEN 1024 ELSE 256 END AS v

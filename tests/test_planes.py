@@ -1,5 +1,6 @@
 """Planes at native depth, strides, means, pairs of pictures, and work that is given up."""
 
+import hashlib
 import random
 import threading
 import time
@@ -124,3 +125,16 @@ def test_work_is_given_up_and_done_again(spark):
     with pytest.raises(ZeroDivisionError):
         within(spark, lambda: 1 // 0)
     assert spark.range(5).count() == 5 and not spark.sparkContext.getJobTags()
+
+
+def test_digests_come_with_the_differences(spark):
+    """A join with digests from elsewhere decoded one side again and sent a row for each plane to the driver."""
+    from boxloom import queries
+
+    a, b = (planes(files(spark, *(picture(10, seed=s)[1] for s in seeds))) for seeds in ((0, 5), (0, 6, 9)))
+    got = {(r.file_id, r.plane): r for r in metrics.plane_differences(a, b, ["file_id"], digests=True).collect()}
+    want = {(r.file_id, p.name): hashlib.md5(bytes(p.data)).hexdigest() for r in a.collect() for p in r.planes}
+    assert {k: r.md5 for k, r in got.items()} == want | {(2, n): None for n in ("y", "cb", "cr")}
+    assert (got[0, "y"].md5_equal, got[1, "y"].md5_equal, got[2, "y"].n) == (True, False, None)
+    plan = queries.native_planes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
