@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 from tokenizers import pre_tokenizers as PreTokenizer
 
+from boxloom.llm.common import by_bytes
+
 #: The pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Every version of Unicode agrees on the letters below.
@@ -50,6 +52,10 @@ SETTLED = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
 SYMBOLS = "\n" + "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
+#: The rank of pairs that aren't merged.
+NONE = 1 << 62
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable characters that stand for bytes in vocabulary files: printable ones for themselves, the others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -79,6 +85,18 @@ def gather(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat((at - ends + size).astype(kind), size) + np.arange(ends[-1] if len(ends) else 0, dtype=kind)]
 
 
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size
+
+
+def packed(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists, and how many each has."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), "<u4", int(size.sum())), size
+
+
 class ForcedBpe:
     """Encoder and decoder of one vocabulary. Ids of a text are bytes: little-endian unsigned 32-bit integers."""
 
@@ -104,8 +122,15 @@ class ForcedBpe:
         self.table = [b""] * size
         for t, i in self.vocab.items():
             self.table[i] = t
+        self.pairs = np.array(sorted(self.ranks), np.int64)
+        self.merged = np.array([self.ranks[k] for k in self.pairs.tolist()], np.int64)
+        self.bytes = None if None in self.single else np.array(self.single, np.int64)
         self.short: dict[bytes, list[int]] = {}
-        self.short = {t: [i] for t, i in self.vocab.items() if len(t) < 100 and self.merge(t) == [i]}  # tokens that their own merges give
+        some = [t for t in self.vocab if 0 < len(t) < 100]
+        ids, size = self.merge_many(*joined(some))
+        for t, i, k in zip(some, ids[np.cumsum(size) - size].tolist(), size.tolist(), strict=True):
+            if k == 1 and i == self.vocab[t]:  # tokens that their own merges give
+                self.short[t] = [i]
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for t, i in self.added.items():
             self.table[i] = t.encode()
@@ -119,6 +144,7 @@ class ForcedBpe:
         self.pattern = regex.compile(PATTERN if pre.get("use_regex", True) else r"(?s).+")
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.tails: dict[str, np.ndarray] = {}
+        self.spell: tuple[np.ndarray, np.ndarray] | None = None
         # words met, and where their ids stand in flat
         self.words, self.used = pa.array([], pa.string()), np.zeros(0, bool)
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
@@ -158,6 +184,49 @@ class ForcedBpe:
                 heapq.heappush(heap, (r, before[k], ids[before[k]], ids[k]))
         return [i for i in ids if i >= 0]
 
+    def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What merge() calls the rank of each pair, and NONE for those that aren't merged."""
+        key = a << 24 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.merged[at], NONE)
+
+    def merge_many(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many fragments at once, those of `data` from `first` on: their ids, and how many each has. In each turn every fragment
+        merges its leftmost pair of least rank, and those that have none left go. Fragments that aren't short are merged one by one, as a turn
+        looks at all of each."""
+        n = np.diff(np.append(first, len(data)))
+        slow = self.bytes is None or not len(self.pairs)
+        apart = np.flatnonzero((n >= 100) | slow)
+        got = [np.array(self.merge(data[a : a + k].tobytes()), np.int64) for a, k in zip(first[apart].tolist(), n[apart].tolist(), strict=True)]
+        flat, which = got, [np.repeat(apart, np.fromiter(map(len, got), np.int64, len(got)))]
+        of = np.repeat(np.arange(len(n)), n)  # the fragment of each id
+        short = (n < 100)[of] & (not slow)
+        ids, of = (self.bytes[data[short]] if not slow else data[:0].astype(np.int64)), of[short]
+        rank = np.full(len(ids), NONE)  # of an id and the next
+        inside = np.flatnonzero(of[:-1] == of[1:])
+        rank[inside] = self._merged(ids[inside], ids[inside + 1])
+        while len(ids):
+            begin = np.flatnonzero(np.diff(of, prepend=-1))
+            size = np.diff(np.append(begin, len(of)))
+            least = np.minimum.reduceat(rank, begin)
+            done = least == NONE
+            if done.any():
+                gone = np.repeat(done, size)
+                flat.append(ids[gone]), which.append(of[gone])
+                ids, of, rank, size, least = ids[~gone], of[~gone], rank[~gone], size[~done], least[~done]
+            hit = np.flatnonzero(rank == np.repeat(least, size))
+            hit = hit[np.diff(of[hit], prepend=-1) > 0]  # the leftmost of each fragment
+            ids[hit] = least & (1 << 24) - 1
+            left = np.ones(len(ids), bool)
+            left[hit + 1] = False
+            ids, of, rank = ids[left], of[left], rank[left]
+            at = hit - np.arange(len(hit))
+            for k in (at, at[at > 0] - 1):  # the pairs of the new id
+                near = np.minimum(k + 1, len(ids) - 1)
+                rank[k] = np.where((near > k) & (of[k] == of[near]), self._merged(ids[k], ids[near]), NONE)
+        every = np.concatenate(which)
+        return np.concatenate([*flat, ids])[np.argsort(every, kind="stable")].astype("<u4"), np.bincount(every, minlength=len(n))
+
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece, cut at every pair of bytes that no token holds."""
         inside = self.inside
@@ -170,9 +239,15 @@ class ForcedBpe:
             out += self.merge(f)
         return out
 
-    def letters(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of pieces that are one token of the pattern: letters, with or without a space before them."""
-        return [self._token(p) for p in pieces]
+    def letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that are one token of the pattern: letters, with or without a space before them; and how many each has. All are
+        cut at forced boundaries, and the fragments are merged together."""
+        data, piece = joined([p.encode() for p in pieces])
+        cut = np.append(True, ~self.join[data[:-1], data[1:]])[: len(data)]
+        cut[piece] = True
+        first = np.flatnonzero(cut)
+        ids, size = self.merge_many(data, first)
+        return ids, np.add.reduceat(size, np.searchsorted(first, piece)) if len(piece) else size
 
     def solve(self, pieces: list[str]) -> list[list[int]]:
         """Ids of any other pieces."""
@@ -188,21 +263,22 @@ class ForcedBpe:
         new = np.flatnonzero(pc.is_null(found).to_numpy(zero_copy_only=False))
         lacking = words.take(pa.array(new)).dictionary_encode()
         todo = lacking.dictionary.to_pylist()
-        got: dict[str, list[int]] = {}
-        for solve, some in ((self.letters, [w for w in todo if w.lstrip(MARK).isalpha()]), (self.solve, [w for w in todo if not w.lstrip(MARK).isalpha()])):
-            got.update(zip(some, solve([w[1:] if w[:1] == MARK else " " + w for w in some]), strict=True))
+        alpha = np.fromiter((w.lstrip(MARK).isalpha() for w in todo), bool, len(todo))
+        order = np.argsort(~alpha, kind="stable")  # words of letters stand first
+        spaced = [w[1:] if w[:1] == MARK else " " + w for w in (todo[i] for i in order.tolist())]
+        plain = int(alpha.sum())
+        solved = [self.letters(spaced[:plain]), packed(self.solve(spaced[plain:]))]
+        flat, size = (np.concatenate(x) for x in zip(*solved, strict=True))
         self.used[place[pc.is_valid(found).to_numpy(zero_copy_only=False)]] = True
         if len(self.words) + len(todo) > self.KEPT:  # what no text has had since the last time goes
             moved = np.cumsum(self.used) - 1
             self._keep(np.flatnonzero(self.used))
             self.used[:] = False
             place = moved[place] if len(moved) else place
-        place[new] = len(self.words) + lacking.indices.to_numpy()
-        ids = [got[w] for w in todo]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        place[new] = len(self.words) + np.argsort(order)[lacking.indices.to_numpy()]
         self.at = np.append(self.at, len(self.flat) + np.cumsum(size) - size)
-        self.size, self.flat = np.append(self.size, size), np.append(self.flat, np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum())))
-        self.words, self.used = pa.concat_arrays([self.words, lacking.dictionary.cast(pa.string())]), np.append(self.used, np.ones(len(todo), bool))
+        self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
+        self.words, self.used = pa.concat_arrays([self.words, lacking.dictionary.cast(pa.string()).take(pa.array(order))]), np.append(self.used, np.ones(len(todo), bool))
         return place
 
     def _keep(self, rows: np.ndarray) -> None:
@@ -295,6 +371,15 @@ class ForcedBpe:
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
+    def spelled_out(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of many runs of ids, one behind the other, and how many each has; not decoded."""
+        if self.spell is None:
+            self.spell = joined(self.table)
+        data, at = self.spell
+        size = np.diff(np.append(at, len(data)))[ids]
+        ends = np.append(0, np.cumsum(size))
+        return gather(data, at[ids], size), np.diff(ends[np.append(0, np.cumsum(count))])
+
     def decode(self, ids: bytes | np.ndarray) -> str:
         table = self.table
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
@@ -314,10 +399,10 @@ class LibraryBpe(ForcedBpe):
         self.model = self.library.model
         self.spelled = {b: c for c, b in byte_alphabet().items()}
 
-    def letters(self, pieces: list[str]) -> list[list[int]]:
+    def letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """One token of the pattern goes right to the library's model, spelled in the alphabet of the vocabulary."""
         tokenize, spelled = self.model.tokenize, self.spelled
-        return [[t.id for t in tokenize(p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(spelled))] for p in pieces]
+        return packed([[t.id for t in tokenize(p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(spelled))] for p in pieces])
 
     def solve(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
@@ -326,16 +411,6 @@ class LibraryBpe(ForcedBpe):
         return self.solve([text])[0]
 
 
-def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about `most` bytes of a text column: what a batch holds does not follow the lengths of its texts."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        to = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")), at + 1)
-        yield batch.slice(at, to - at)
-        at = to
-
-
 @functools.cache
 def encoder(path: str, kind: type[ForcedBpe] = ForcedBpe) -> ForcedBpe:
     """The encoder of a vocabulary file, made once in each worker."""
@@ -357,9 +432,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str
                 texts = part.column(1).to_pylist()
                 ids, count = bpe.encode_arrays(texts)
                 ends = np.append(0, 4 * np.cumsum(count))
-                back = [bpe.decode(ids[a:z]) for a, z in zip((ends[:-1] // 4).tolist(), (ends[1:] // 4).tolist(), strict=True)]
-                column = pa.array(back, pa.string()) if decoded else pa.array([x == (t or "") for x, t in zip(back, texts, strict=True)], pa.bool_())
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), packed, column, *part.columns[2:]], names=schema.names)
+                data, size = bpe.spelled_out(ids, count)
+                spelled, at = data.tobytes(), np.append(0, np.cumsum(size)).tolist()
+                if decoded:
+                    column = pa.array([spelled[a:z].decode("utf-8", "replace") for a, z in zip(at, at[1:], strict=False)], pa.string())
+                else:  # equal bytes are equal texts; of others what decoding makes of them is looked at
+                    same = [spelled[a:z] == (x := t or "").encode() or spelled[a:z].decode("utf-8", "replace") == x for t, a, z in zip(texts, at, at[1:], strict=False)]
+                    column = pa.array(same, pa.bool_())
+                stored = pa.BinaryArray.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), stored, column, *part.columns[2:]], names=schema.names)
 
     return docs.select(F.col(key), F.col(text), *[F.col(c) for c in carry]).mapInArrow(run, schema)

@@ -17,43 +17,53 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import BASE, mix64
+from boxloom.llm.common import BASE, by_bytes, mix64
 
 WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 
 
-class WordCodes(dict):
-    """64-bit codes of words, kept for as long as they fit."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        h = 0xCBF29CE484222325
-        for at in range(0, len(b := word.encode()), 7):
-            h = (h ^ int.from_bytes(b[at : at + 7], "little") ^ len(b) << 56) * BASE & 0xFFFFFFFFFFFFFFFF
-            h ^= h >> 29
-        self[word] = h
-        return h
-
-
-CODES = WordCodes()
+def codes(words: list[str]) -> np.ndarray:
+    """64-bit codes of words, seven bytes at a time, of all words at once."""
+    text = "".join(words)
+    size = np.fromiter(map(len, words) if text.isascii() else (len(w.encode()) for w in words), np.int64, len(words))
+    data = np.frombuffer(text.encode() + bytes(7), np.uint8)
+    at, left, h = np.cumsum(size) - size, size, np.full(len(words), 0xCBF29CE484222325, _U)
+    rows = np.flatnonzero(left > 0)
+    while len(rows):
+        v = np.zeros(len(rows), _U)
+        for k in range(7):
+            v |= np.where(left[rows] > k, data[at[rows] + k], 0).astype(_U) << _U(8 * k)
+        x = (h[rows] ^ v ^ size[rows].astype(_U) << _U(56)) * _U(BASE)
+        h[rows] = x ^ x >> _U(29)
+        at, left = at + 7, left - 7
+        rows = rows[left[rows] > 0]
+    return h
+
+
+def coordinates(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The coordinates of all texts, in any order and with repetitions, and the number of the text that each is of."""
+    found = [WORD.findall(t.lower()) if t else [] for t in texts]
+    w, of = codes(list(chain.from_iterable(found))), np.repeat(np.arange(len(texts)), np.fromiter(map(len, found), np.int64, len(found)))
+    m = mix64(w)
+    hashes, texts_of = [m], [of]
+    for gap, more in ((1, m[:-1] * _U(3) + w[1:]), (2, m[:-2] * _U(5) + w[2:] + _U(1))):
+        one = of[gap:] == of[:-gap]  # both words are of one text
+        hashes.append(mix64(more[one]))
+        texts_of.append(of[gap:][one])
+    return (np.concatenate(hashes) >> _U(64 - bits)).astype(np.uint32), np.concatenate(texts_of)
 
 
 def features(text: str | None, bits: int) -> np.ndarray:
     """The sorted distinct coordinates of a text."""
-    w = np.array([CODES[x] for x in WORD.findall(text.lower())] if text else [], _U)
-    if not len(w):
-        return np.zeros(0, np.uint32)
-    m = mix64(w)
-    h = np.concatenate([m, mix64(m[:-1] * _U(3) + w[1:]), mix64(m[:-2] * _U(5) + w[2:] + _U(1))])
-    return np.unique((h >> _U(64 - bits)).astype(np.uint32))
+    return np.unique(coordinates([text], bits)[0])
 
 
 class Ftrl:
@@ -140,10 +150,13 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], bits: int = 20, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size + 1)
         table[at] = w
+        heavy = table != 0  # few: only their coordinates are sorted
         for b in batches:
-            for begin in range(0, b.num_rows, 500):
-                part = b.slice(begin, 500)
-                s = np.array([table[features(t, bits)].sum() for t in part.column(place).to_pylist()]) + table[size]
+            for part in by_bytes(b, place, 1 << 20):
+                x, of = coordinates(part.column(place).to_pylist(), bits)
+                keep = heavy[x]
+                each = np.unique(of[keep] << bits | x[keep])
+                s = np.bincount(each >> bits, table[each & size - 1], part.num_rows) + table[size]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], names=names)
 
     return docs.mapInArrow(run, schema)

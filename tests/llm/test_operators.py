@@ -463,3 +463,22 @@ def test_pipeline_with_odd_rows(spark, tmp_path):
     with_clashes(documents(spark)).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     assert corpus_pipeline.run(spark, path).count() > 5
+
+
+def test_features_of_many_texts_are_those_of_each():
+    """Texts were hashed word by word, each for itself, and all their coordinates sorted."""
+
+    def slow(word):
+        h = 0xCBF29CE484222325
+        for at in range(0, len(b := word.encode()), 7):
+            h = (h ^ int.from_bytes(b[at : at + 7], "little") ^ len(b) << 56) * toxicity.BASE & 0xFFFFFFFFFFFFFFFF
+            h ^= h >> 29
+        return h
+
+    words = ["", "a", "seven77", "eight888", "äöü", "漢字漢字", "x" * 29]
+    assert toxicity.codes(words).tolist() == [slow(x) for x in words] and toxicity.codes(words[:4]).tolist() == [slow(x) for x in words[:4]]
+    texts = ["one", None, "One two, three two", "", "two one one two one one", "ÄÖ漢 é"]
+    x, of = toxicity.coordinates(texts, 20)
+    for i, t in enumerate(texts):
+        assert np.unique(x[of == i]).tolist() == toxicity.features(t, 20).tolist()
+    assert len(toxicity.features(texts[2], 20)) == 3 + 3 + 2

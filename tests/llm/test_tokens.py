@@ -134,3 +134,27 @@ def test_blocks_round_trip(ids, every):
 def test_damaged_blocks_are_refused():
     with pytest.raises(ValueError):
         tf.unpack(b"nope" + bytes(40), np.zeros(2, np.uint32), np.ones(2, np.int64), 1)
+
+
+def test_many_fragments_are_merged_as_each_is(encoders):
+    """New words were merged one by one, which was most of the time that a worker's first texts took."""
+    from boxloom.llm.bpe import joined
+
+    e, r = encoders[0], random.Random(5)
+    some = [bytes(r.choice(b"abcde aeioutnsr\xc3\xa4\xb6") for _ in range(r.choice([1, 2, 3, 8, 30, 98, 99, 100, 101, 300]))) for _ in range(3000)]
+    some += [b"a" * k for k in range(1, 110)] + [b"ab" * k for k in range(1, 60)]
+    ids, size = e.merge_many(*joined(some))
+    want = [e.merge(f) for f in some]
+    assert ids.tolist() == [i for ids in want for i in ids] and size.tolist() == [len(ids) for ids in want]
+    words = ["".join(r.choice(" abcdeäöüßéŁжстоnrtiou") for _ in range(r.choice([1, 2, 5, 9, 20]))) for _ in range(3000)]
+    ids, size = e.letters(words)
+    want = [e._token(x) for x in words]
+    assert ids.tolist() == [i for ids in want for i in ids] and size.tolist() == [len(ids) for ids in want]
+    assert [x.tolist() for x in e.letters([])] == [[], []]
+
+
+def test_runs_of_ids_are_spelled_at_once(encoders):
+    e, r = encoders[0], random.Random(6)
+    runs = [[r.randrange(len(e.table)) for _ in range(k)] for k in (0, 3, 0, 50, 1, 0)]
+    data, size = e.spelled_out(np.array([i for x in runs for i in x], "<u4"), np.array(list(map(len, runs))))
+    assert data.tobytes() == b"".join(e.table[i] for x in runs for i in x) and size.tolist() == [sum(len(e.table[i]) for i in x) for x in runs]
